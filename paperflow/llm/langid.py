@@ -48,7 +48,7 @@ def histograms(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) ->
         for at in range(int(offsets[lo]), int(offsets[hi]), SLICE_BYTES):
             end = min(at + SLICE_BYTES + 2, int(offsets[hi]))  # two bytes over, for the grams that begin here
             b = _BLANK[raw[at:end]].astype(np.uint32)
-            doc = np.searchsorted(offsets[lo : hi + 1], np.arange(at, end), "right").astype(np.int64) - 1 if hi - lo > 64 else np.repeat(np.arange(hi - lo), np.diff(np.clip(offsets[lo : hi + 1], at, end)))
+            doc = np.repeat(np.arange(hi - lo), np.diff(np.clip(offsets[lo : hi + 1], at, end)))
             with np.errstate(over="ignore"):
                 two = (b[:-1] << np.uint32(8)) | b[1:]
                 for gram, width in ((two, 2), ((two[:-1] << np.uint32(8)) | b[2:], 3)):
