@@ -37,7 +37,7 @@ from .common import MinHash, checkpointed, count_of, dropped, shingle_sets, text
 NUM_PERM = 48
 MISS = 1e-8
 SHORT_LIST = 32
-BLOCK = 256
+BLOCK_SHINGLES = 200_000
 BROADCAST_ROWS = 2_000_000
 
 
@@ -199,7 +199,7 @@ def links(posted: DataFrame, sets: DataFrame, threshold: int, percent: int) -> D
 
     long_lists = open_lists.where(F.col("size") > SHORT_LIST)
     rest = labelled.join(long_lists, "token").withColumn("odd", F.col("component") != F.col("top"))
-    counts = rest.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.col("odd").cast("int")) / BLOCK).cast("int").alias("odd_blocks"))
+    counts = rest.groupBy("token").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("odd"), F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("odd_blocks"))
     rest = rest.join(counts, "token").withColumn("h", F.xxhash64("set_key"))
     lefts = rest.where("odd").select("token", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.expr("int(pmod(h, odd_blocks))").alias("i"), F.lit(0).alias("side"), "set_key", "component")
     rights = rest.select("token", F.expr("int(pmod(h, all_blocks))").alias("j"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("i"), F.lit(1).alias("side"), "set_key", "component")

@@ -25,12 +25,35 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compacted table holds: every column of documents, the text as its MD5."""
+    from pyspark.sql import functions as F
+
+    from .common import scratch
+    from .shards import arrivals_compacted
+
+    rows = arrivals_compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards")).read()
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import weigh
+
+    return weigh(table(spark, sf_dir, "documents"))
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extraction import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
@@ -61,7 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_shards": op6_shards,
+    "op7_mixing": op7_mixing,
     "op8_extraction": op8_extraction,
+    "op9_search": op9_search,
     "op10_fingerprints": op10_fingerprints,
 }
 OP5_SQL = r"""
@@ -81,4 +107,13 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id, s.
 FROM sets s JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_minhash_near_dedup": OP5_SQL}
+OP1_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, url FROM pages),
+h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, url, payload_bytes, p.payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p LEFT JOIN h ON h.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
+"""
+OP6_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_shards": OP6_SQL}
