@@ -216,5 +216,13 @@ def texts_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return utf8(batch.column(batch.schema.get_field_index(name)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as make it differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def count_of(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()

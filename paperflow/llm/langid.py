@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, utf8
+from .common import SLICE_BYTES, fresh, utf8
 
 BUCKETS = 4096
 AMBIGUOUS = 0.2
@@ -155,29 +156,55 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_
     return Model(languages, code, weights, bias)
 
 
+def _inputs(text_col: str) -> list:
+    text = F.col(text_col).cast("string")
+    return [F.lower(text).alias("_lowered"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters")]
+
+
+def _judge(model):
+    """Of lower-cased texts and whether they have letters: prediction, score, lead, wrong bits, ambiguous, rejected."""
+
+    def part(m: Model, texts: pa.Array, letters: np.ndarray) -> list[np.ndarray]:
+        if m.languages:
+            best, score, lead, wrong = m.decode(histograms(*utf8(texts)))
+        else:
+            letters, best, score, lead, wrong = np.zeros(len(letters), bool), *[np.zeros(len(letters), int)] * 4
+        ambiguous = (lead < AMBIGUOUS) & letters
+        names = np.array([*m.languages, "und"], object)[np.where(letters, best, len(m.languages))]
+        return [names, np.where(letters, score, 0.0), np.where(letters, lead, 0.0), np.where(letters, wrong, 0), ambiguous, ~letters | (ambiguous & (wrong > m.radius))]
+
+    def run(texts: pa.Array, letters: pa.Array) -> list[pa.Array]:
+        mask = letters.to_numpy(zero_copy_only=False).astype(bool)
+        parts = [part(model.value, texts.slice(lo, 512), mask[lo : lo + 512]) for lo in range(0, len(texts), 512)] or [part(model.value, texts, mask)]
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
+        return [pa.array(np.concatenate(c), k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)]
+
+    return run
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """The rows of docs, in all their columns, that are not rejected."""
+    judged = _judge(docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, max_train_docs)))
+    n, schema = len(docs.columns), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pc.invert(judged(batch.column(n), batch.column(n + 1))[-1])
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema(list(batch.schema)[:n])).filter(keep)
+
+    lowered, letters = _inputs(text_col)
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], lowered.alias(fresh(docs, "_lowered")), letters.alias(fresh(docs, "_letters"))).mapInArrow(run, schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """id_col, held_out, lang_pred, score, second_share_lead double, wrong_bits int, ambiguous boolean, rejected boolean."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, max_train_docs))
+    judged = _judge(docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, max_train_docs)))
     names = [id_col, "held_out", "lang_pred", "score", "lead", "wrong_bits", "ambiguous", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                letters = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                if m.languages:
-                    best, score, lead, wrong = m.decode(histograms(*utf8(batch.column(1))))
-                else:
-                    letters, best, score, lead, wrong = np.zeros(len(letters), bool), *[np.zeros(len(letters), int)] * 4
-                ambiguous = (lead < AMBIGUOUS) & letters
-                predicted = [m.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-                rejected = ~letters | (ambiguous & (wrong > m.radius))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(predicted), pa.array(np.where(letters, score, 0.0).astype(float)), pa.array(np.where(letters, lead, 0.0).astype(float)), pa.array(np.where(letters, wrong, 0).astype(np.int32)), pa.array(ambiguous), pa.array(rejected)], names
-                )
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *judged(batch.column(2), batch.column(3))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col), F.lower(text).alias("text"), held_out(id_col, HELD_OUT, 0).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col(id_col), held_out(id_col, HELD_OUT, 0).alias("held_out"), *_inputs(text_col))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, lead double, wrong_bits int, ambiguous boolean, rejected boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MinHash, checkpointed, count_of, dropped, shingle_sets, texts_of, word_hashes, written
+from .common import MinHash, checkpointed, count_of, dropped, fresh, shingle_sets, texts_of, word_hashes, written
 
 NUM_PERM = 48
 MISS = 1e-8
@@ -211,17 +211,38 @@ def links(posted: DataFrame, sets: DataFrame, threshold: int, percent: int) -> D
     return out
 
 
-def named(rows: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
-    """The sketched rows with the least id of their component."""
-    labelled = rows.join(comp, rows["set_key"] == comp["node"], "left").select("doc_id", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("component"))
-    least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = labelled.join(least, "component", "left")
-    component_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """The sketched rows, with component: its key (null for an empty set) and least_row: the row that names it."""
+    labelled = rows.join(comp, rows["set_key"] == comp["node"], "left").select("doc_id", "row_hash", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("component"))
+    name = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_hash")
+    least = labelled.where("component is not null").groupBy("component").agg(F.min(name).alias("least_row"))
+    return labelled.join(least, "component", "left")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, num_perm: int = NUM_PERM, shingle: int = 5) -> DataFrame:
-    """One row per input row: id_col, n_shingles long, component_id (least id of its component), kept boolean."""
+def named(rows: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
+    """id_col, n_shingles, component_id, kept of the sketched rows."""
+    component_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("least_row.doc_id", "doc_id"))
+    return _labelled(rows, comp).select(F.col("doc_id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, num_perm: int = NUM_PERM, shingle: int = 5) -> DataFrame:
+    """The rows of docs, in all their columns, without those near another: one row of each component, that of the least id
+    (of several, the one of the least hash; of rows without an id, too). Rows with empty sets all stay."""
+    rows, comp = _components(docs, id_col, text_col, percent, num_perm, shingle)
+    found = written(_labelled(rows, comp).where("component is not null").select("row_hash", (F.col("row_hash") != F.col("least_row.row_hash")).alias("gone")), "decisions")
+    row, mark = fresh(docs, "_row"), fresh(docs, "_twice")
+    gone = found.where("gone").select(F.col("row_hash").alias(row)).distinct()
+    twice = found.where("not gone").groupBy(F.col("row_hash").alias(row)).agg(F.count("*").alias("n")).where("n > 1").select(row, F.lit(True).alias(mark))
+    if count_of(found) <= BROADCAST_ROWS:
+        gone, twice = F.broadcast(gone), F.broadcast(twice)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(gone, row, "left_anti").join(twice, row, "left")
+    single = left.where(F.col(mark).isNull()).select(own)
+    return single.unionByName(left.where(F.col(mark)).dropDuplicates([row]).select(own))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, num_perm: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and the components of set keys (node, component)."""
     rows = written(sketch(docs, id_col, text_col, num_perm, shingle), "sketch")
     sets = written(rows.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n_shingles"), F.min("row_hash").alias("row_hash"), F.first("sig").alias("sig")), "sets")
 
@@ -239,4 +260,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = checkpointed(components(edges))
     dropped(posted, full, sets, wanted)
 
-    return named(rows, comp, id_col)
+    return rows, comp
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, num_perm: int = NUM_PERM, shingle: int = 5) -> DataFrame:
+    """One row per input row: id_col, n_shingles long, component_id (least id of its component), kept boolean."""
+    return named(*_components(docs, id_col, text_col, percent, num_perm, shingle), id_col)

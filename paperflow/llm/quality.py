@@ -151,18 +151,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fit(x, stats, np.array(got["label"].to_pylist(), float))
 
 
+def _scores(m: Model, texts: pa.Array) -> np.ndarray:
+    raw, offsets = utf8(texts)
+    out = np.zeros(len(texts))
+    for lo, hi in _grouped(raw, offsets):
+        part = offsets[lo : hi + 1]
+        out[lo:hi] = m.score(m.vectors(*features(raw[part[0] : part[-1]], part - part[0])))
+    return out
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """The rows of docs, in all their columns, with a score of at least one half."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, max_train_docs))
+    place, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model.value, batch.column(place)) >= 0.5))
+
+    return docs.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """id_col, held_out boolean, score double, predicted int of every row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, max_train_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            out = np.zeros(batch.num_rows)
-            for lo, hi in _grouped(raw, offsets):
-                part = offsets[lo : hi + 1]
-                out[lo:hi] = m.score(m.vectors(*features(raw[part[0] : part[-1]], part - part[0])))
+            out = _scores(model.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
