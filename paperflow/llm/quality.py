@@ -8,8 +8,8 @@ half of the sum over factors of (sum v x)^2 - sum v^2 x^2, linear in the non-zer
 It is fitted on a bounded sample: at most max_train_docs labelled rows, chosen by a hash of the id; scoring covers all rows.
 
 Nulls and odd input: a null text counts as empty, which has a score like any other; labels with a null id or value are not
-learned; a null id is never held out and never learned from; without labels of both values the score is the mean label (0.5
-without any). Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
+learned; a null id is never held out and never learned from; without labels of both values every score is the same, close to
+the only label (0.5 without any). Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = 40, batch
     mean = float(y.mean()) if len(y) else 0.5
     d = WORD_BUCKETS + len(STATS) * BINS
     model = Model(cuts, float(np.log(mean / (1 - mean))) if 0 < mean < 1 else (mean - 0.5) * 20, np.zeros(d, np.float32), np.zeros((d, RANK), np.float32))
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         return model
     z = model.vectors(x, stats)
     model.factors = rng.normal(0, 0.05, (d, RANK)).astype(np.float32)

@@ -1,0 +1,528 @@
+"""The corpus operators against brute force, round trips and held-out accuracy, and their odd inputs."""
+
+import collections
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+
+pytest.importorskip("paperflow.llm")
+
+from paperflow.llm import common, extraction, fingerprints, langid, mixing, neardup, packing, quality, search, shards, warc  # noqa: E402
+from paperflow.llm import queries as q  # noqa: E402
+
+import public_tokenizers  # noqa: E402
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, component string, sets long, _row int, _mix int, held_out int"
+ODD = [
+    (1, None, "en", "a", 0, "x", "y", 1, 1, 1, 1),
+    (2, "", None, None, 0, "x", "y", 1, 1, 1, 1),
+    (3, "  \n\t ", "en", "a", 3, "x", "y", 1, 1, 1, 1),
+    (None, "one two three four five six seven", "en", "a", 30, "x", "y", 1, 1, 1, 1),
+    (5, "one two three four five six seven", "en", None, 30, "x", "y", 1, 1, 1, 1),
+    (5, "one two three four five six seven", "en", None, 30, "x", "y", 1, 1, 1, 1),
+    (6, "12345 !!! ???", "de", "b", 12, "x", "y", 1, 1, 1, 1),
+    (7, "word " * 60_000, "en", "b", 300_000, "x", "y", 1, 1, 1, 1),
+    (8, "É\x00ß 日本語 \U0001f600 ́", "fr", "b", 10, "x", "y", 1, 1, 1, 1),
+    (9, "alone", "en", "b", 5, "x", "y", 1, 1, 1, 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def words_of(text):
+    low = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    return re.findall(rb"[^\x20\x09-\x0d]+", low)
+
+
+def sets_of(pairs):
+    out = []
+    for _, text in pairs:
+        w = words_of(text)
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_components(pairs, percent):
+    """component (row numbers) of every row."""
+    sets, label = sets_of(pairs), list(range(len(pairs)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    posted = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for j, n in collections.Counter(j for g in s for j in posted[g]).items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+        for g in s:
+            posted[g].append(i)
+    return [root(i) for i in range(len(pairs))], [len(s) for s in sets]
+
+
+def near_texts(seed=0, groups=6, copies=60):
+    """Groups of near copies of one base, some with many edits, and texts that share half of a common passage."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, out = [word() for _ in range(60)], []
+    for g in range(groups):
+        base = [word() for _ in range(120)]
+        for c in range(copies if g < 2 else 4):
+            w = base[:]
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+                w[rng.randrange(len(w))] = word()
+            out.append(" ".join(w))
+    out += [" ".join(passage + [word() for _ in range(45)]) for _ in range(80)]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+# --- near-duplicates
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_components_match_brute_force(spark, percent, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT_LIST", 6)  # the long lists' way is taken too
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1500)
+    pairs = near_texts()
+    got = neardup.near_components(spark.createDataFrame(pairs, "doc_id long, text string"), percent=percent).toPandas().set_index("doc_id")
+    component, sizes = brute_components(pairs, percent)
+    for (i, _), c, n in zip(pairs, component, sizes, strict=True):
+        assert (got.component_id[i], got.n_shingles[i], got.kept[i]) == (c, n, c == i)
+
+
+def test_near_components_of_documents(spark, sf, docs):
+    pairs = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    got = q.op5_minhash_near_dedup(spark, sf).toPandas().set_index("doc_id")
+    component, sizes = brute_components(pairs, 85)
+    assert all(got.component_id[i] == pairs[c][0] and got.n_shingles[i] == n for (i, _), c, n in zip(pairs, component, sizes, strict=True))
+
+
+def test_near_components_odd(spark, odd):
+    got = [tuple(r) for r in neardup.near_components(odd).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 3, 5, False), (5, 3, 5, True), (5, 3, 5, True), (6, 1, 6, True), (7, 1, 7, True), (8, 1, 8, True), (9, 1, 9, True)], key=repr)
+    assert neardup.near_components(odd.limit(0)).count() == 0
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark, odd):
+    out = neardup.deduplicated(odd)
+    assert out.columns == odd.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 5, 6, 7, 8, 9]
+
+
+def test_match_threshold():
+    for s in (0.8, 0.85):
+        t = neardup.match_threshold(s, 48)
+        below = lambda k: sum(math.comb(48, i) * s**i * (1 - s) ** (48 - i) for i in range(k))
+        assert below(t) <= 1e-8 < below(t + 1)
+
+
+def test_word_hashes_split_as_the_pattern_does():
+    texts = ["A b\tc\n\nD", "", "  x ", None, "é É", "word " * 300_000]
+    import pyarrow as pa
+
+    h, at = common.word_hashes(*common.utf8(pa.array(texts)))
+    assert np.diff(at).tolist() == [len(words_of(t)) for t in texts]
+    assert h[0] == common.word_hashes(*common.utf8(pa.array(["a"])))[0][0] and len(set(h[at[5] :].tolist())) == 1
+
+
+# --- fingerprints
+
+
+def test_edited_fingerprints(spark, sf, docs):
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    got = q.op10_fingerprints(spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(rows)
+    sets = dict(zip([i for i, _ in rows], sets_of(rows), strict=True))
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[1][:half]
+        assert got.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest() and got.n_chars[i] == len(text)
+        e = sets_of([(0, edited)])[0]
+        assert abs(got.near_edited[i] - len(sets[i] & e) / len(sets[i] | e)) < 0.25
+    by_text = collections.defaultdict(set)
+    for i, text in rows:
+        by_text[text].add(got.fingerprint[i])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_fingerprints_in_many_parts_and_odd(spark, odd, docs):
+    few = fingerprints.edited_fingerprints(docs).toPandas().set_index("doc_id").sort_index()
+    many = fingerprints.edited_fingerprints(docs, partition_chars=20_000).toPandas().set_index("doc_id").sort_index()
+    pd.testing.assert_frame_equal(few, many)
+    got = fingerprints.edited_fingerprints(odd)
+    assert got.count() == len(ODD) and fingerprints.edited_fingerprints(odd.limit(0)).count() == 0
+    one = fingerprints.edited_fingerprints(odd.where("doc_id = 9")).first()
+    assert one.near_next == 1.0
+
+
+def test_near_duplicates_by_bands(spark):
+    pairs = near_texts(3, groups=3, copies=12)
+    got = fingerprints.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).toPandas().set_index("doc_id")
+    component, _ = brute_components(pairs, 80)
+    wrong = sum(got.component_id[i] != c for (i, _), c in zip(pairs, component, strict=True))
+    assert wrong <= 0.05 * len(pairs)
+
+
+# --- language and quality
+
+
+def test_language_accuracy_on_held_out_rows(spark, sf, docs):
+    got = q.op2_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) and (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) == h for i, h in zip(got.doc_id, got.held_out, strict=True))
+
+
+def test_language_odd(spark, odd):
+    got = {r.doc_id: r for r in langid.identify(odd).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 6)] == ["und"] * 4 and got[1].rejected and not got[None].held_out
+    assert langid.identify(odd.limit(0)).count() == 0
+    kept = langid.accepted(odd)
+    assert kept.columns == odd.columns and {1, 2, 3, 6}.isdisjoint({r.doc_id for r in kept.collect()})
+    unlabelled = odd.withColumn("lang", odd["lang"].substr(99, 1).cast("string")).selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_codes_are_apart():
+    for n in (2, 3, 4, 5, 9, 30):
+        code = langid.code_matrix(n)
+        assert len({tuple(c) for c in code.tolist()}) == n
+    m = langid.Model(list("abcd"), langid.code_matrix(4), np.eye(7, dtype=np.float32), np.zeros(7, np.float32))
+    flipped = langid.code_matrix(4)[2].copy()
+    flipped[0] *= -1
+    assert m.radius == 1 and m.decode(flipped[None] * 4.0)[0][0] == 2
+
+
+def test_quality_accuracy_on_held_out_rows(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = q.op3_quality(spark, sf).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert (held.quality == held.predicted).mean() > 0.9 and ((got.score >= 0.5) == (got.predicted == 1)).all()
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(0)
+    d = quality.WORD_BUCKETS + len(quality.STATS) * quality.BINS
+    m = quality.Model(np.zeros((len(quality.STATS), quality.BINS - 1)), 0.3, rng.normal(size=d), rng.normal(0, 0.1, (d, quality.RANK)))
+    z = np.zeros((1, d))
+    at = rng.choice(d, 12, replace=False)
+    z[0, at] = rng.normal(size=12)
+    pairs = sum(m.factors[i] @ m.factors[j] * z[0, i] * z[0, j] for a, i in enumerate(at) for j in at[a + 1 :])
+    assert np.isclose(m.score(z)[0], 1 / (1 + np.exp(-(0.3 + z[0] @ m.weights + pairs))))
+
+
+def test_quality_odd(spark, odd):
+    labels = spark.createDataFrame([(5, 1, "x"), (None, 0, "x"), (6, None, "x"), (9, 1, "x")], "doc_id long, quality int, text string")
+    got = quality.score(odd, labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(odd.limit(0), labels.limit(0)).count() == 0
+    assert {r.score for r in quality.score(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.accepted(odd, labels).columns == odd.columns
+
+
+# --- packing
+
+
+def check_packing(rows, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        assert r.doc_tokens == len(ids[r.doc_id])
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, p in pieces.items():
+        at = 0
+        for start, n in sorted(p):
+            assert start == at
+            at += n
+        assert at == len(ids[i])
+    total = 0
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 2048
+        total += at if at & (at - 1) == 0 else 2048
+    assert set(pieces) == set(ids) and total <= 1.02 * sum(map(len, ids.values()))
+
+
+def test_packing_of_documents(spark, sf, docs):
+    check_packing(q.op4_packing(spark, sf).collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_packing_odd(spark, odd):
+    once = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    check_packing(packing.pack(once, PATH).collect(), {r.doc_id: r.text for r in once.collect()})
+    assert packing.pack(odd, PATH).groupBy().sum("length").first()[0] > 0 and packing.pack(odd.limit(0), PATH).count() == 0
+
+
+def test_words_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    odd = ["it's DON'T we'll 'tis ''s", "ÀÉ Ünïcode Straße 12ab3 x́y", "a<|endoftext|>b", "日本語 テスト, καλός ΣΑΣ", "İstanbul\x1cx   y z", "", "  ", None, "foo'sbar 'S", "é ́a ﬁ ½ ①", "de%%% a.b.c x-y (z)"]
+    for t, ids in zip(odd, words(odd), strict=True):
+        assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_packer_fills_windows():
+    rng = random.Random(1)
+    lengths = [rng.choice([1, 5, 80, 300, 700, 1500, 5000]) for _ in range(400)]
+    windows = packing.Packer().pack(lengths)
+    assert sum(n for _, w in windows for *_, n in w) == sum(lengths) and all(size == sum(n for *_, n in w) for size, w in windows)
+    steps = packing.step_groups(windows, 8)
+    sizes = collections.defaultdict(set)
+    for (size, _), s in zip(windows, steps, strict=True):
+        sizes[s].add(size)
+    assert all(len(x) == 1 for x in sizes.values())
+
+
+# --- archives
+
+
+def test_archives_round_trip(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas().set_index("page_id")
+    got = q.op1_warc(spark, sf).toPandas()
+    assert sorted(got.page_id) == sorted(pages.index)
+    for r in got.itertuples():
+        raw = pages.html[r.page_id].encode()
+        assert (r.payload_bytes, r.payload_digest, r.url) == (len(raw), hashlib.sha1(raw).hexdigest(), pages.url[r.page_id])
+
+
+def test_archives_odd(spark):
+    big = "é" * 600
+    rows = [(1, "http://WWW.a.b.com:80/x?y#z", big, 1), (2, "http://a.b.com/x?y", big, 1), (3, None, big, 1), (None, "odd\r\nurl", big, 1), (5, "http://q.org", None, 1), (6, "http://q.org/", "small", 1), (7, "http://q.org/", "small", 1), (2, "http://a.b.com/x?y", big, 1), (8, "http://z", "WARC/1.1\r\n\r\n" + big, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_and_read(pages).collect()), key=repr)
+    assert got == sorted([(1, "revisit", 3, 1200), (2, "revisit", 3, 1200), (2, "revisit", 3, 1200), (3, "response", None, 1200), (None, "revisit", 3, 1200), (5, "response", None, 0), (6, "response", None, 5), (7, "response", None, 5), (8, "response", None, 1212)], key=repr)
+    assert warc.archive_and_read(pages.limit(0)).count() == 0
+
+
+def test_lookup_finds_every_capture(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    path = common.scratch(spark, "warc")
+    warc.write_archives(pages.union(pages), path, records_per_file=30)
+    blocks, directory = warc.build_index(spark, path, block_captures=7, range_captures=40)
+    want = collections.Counter(warc.captures(spark, path).toPandas().key)
+    keys = spark.createDataFrame(pd.DataFrame({"key": [*want, "", "nope", "zzz"]}))
+    assert collections.Counter(warc.lookup(keys, blocks, directory).toPandas().key) == want
+
+
+# --- extraction
+
+
+def test_extraction_of_pages(spark, sf):
+    import html
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas().set_index("page_id")
+    for r in q.op8_extraction(spark, sf).collect():
+        body = pages.html[r.page_id]
+        body = body[body.index("<article>") : body.index("</article>")]
+        assert r.text == " ".join(html.unescape(re.sub("<[^>]*>", " ", body)).split()) and r.n_chars == len(r.text)
+
+
+def test_extraction_of_new_layouts():
+    rng, wrong, total = random.Random(987), 0, 0
+    for _ in range(80):
+        tree = extraction.parse(extraction.labelled_page(rng))
+        for v, p in enumerate(extraction.train().marginals(tree)):
+            if v and tree.sizes[v]:
+                total += 1
+                wrong += (p > 0.5) != ("data-label" in tree.attrs[v])
+    assert wrong <= 0.03 * total
+
+
+def test_messages_give_exact_marginals():
+    import itertools
+
+    model = extraction.train()
+    tree = extraction.parse("<nav><ul><li>a</ul></nav><article><h1>b</h1><p>c<p>d</article><footer>e</footer>")
+    u, n = model.unary(tree), len(tree.tag)
+    mass = [0.0] * n
+    whole = 0.0
+    for y in itertools.product((0, 1), repeat=n):
+        w = math.exp(sum(u[v] * y[v] for v in range(n)) + sum(model.edges[extraction.kind(tree.tag[v])][y[tree.parent[v]]][y[v]] for v in range(1, n)))
+        whole += w
+        for v in range(n):
+            mass[v] += w * y[v]
+    assert np.allclose([m / whole for m in mass], model.marginals(tree))
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "a < b", "<p", "<!--", "<script>x", "</p></div>", "<div><p>x</div></p>", "<a href='>'>t</a>", "&amp;&#65;&nope;", "<p class=\"x'>y</p>", "<" * 5000, "<div>" * 3000 + "x"])
+def test_extraction_never_fails(page):
+    assert isinstance(extraction.train().extract(page), str)
+
+
+def test_extraction_odd(spark):
+    pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article><h1>T</h1><p>A&nbsp;&amp;\n b</p></article><script>no</script>", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extraction.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "T A & b", 7)]
+    assert extraction.extract(pages.limit(0)).count() == 0
+
+
+# --- shards
+
+
+def test_compaction_keeps_rows_and_sizes(spark, docs, odd):
+    table = shards.arrivals_compacted(docs.repartition(6), common.scratch(spark, "shards"), target_bytes=1 << 20)
+    assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    m = table.manifest()
+    assert len(m.shards) < len(table.manifest(8).shards) and table.compact(1 << 20).version == m.version
+    other = shards.arrivals_compacted(odd, common.scratch(spark, "shards"), arrivals=3)
+    assert sorted(map(tuple, other.read().collect()), key=repr) == sorted(ODD, key=repr)
+    empty = shards.arrivals_compacted(odd.limit(0), common.scratch(spark, "shards"))
+    assert empty.read().count() == 0 and empty.read().columns == odd.columns
+
+
+def test_manifests_are_atomic(spark, odd):
+    table = shards.ShardTable(spark, common.scratch(spark, "shards"))
+    with pytest.raises(ValueError):
+        table.read()
+    first = table.append(odd)
+    table.commit(first, first.schema, list(first.shards))
+    with pytest.raises(Exception, match="exist|rename"):
+        table.commit(first, first.schema, list(first.shards))
+    assert table.version() == 2 and table.read(1).count() == len(ODD)
+
+
+# --- mixing
+
+
+def test_raking_meets_all_marginals(spark, sf, docs):
+    got = mixing.weigh(docs, targets={"lang": {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}}).toPandas()
+    goal = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
+    share = (got.n_tokens * got.factor).groupby(got.lang).sum()
+    for lang, s in (share / share.sum()).items():
+        assert abs(s - goal[lang]) < 1e-6
+    for c in ("source", "topic"):
+        natural = got.groupby(c).n_tokens.sum() ** mixing.TEMPER
+        now = (got.n_tokens * got.factor).groupby(got[c]).sum()
+        assert (abs(now / now.sum() - natural / natural.sum()) < 2e-2).all()
+    assert got.probability.between(0, 1).all() and abs(got.kept.mean() - got.probability.mean()) < 0.12
+
+
+def test_rake_against_plain_loops():
+    rng = np.random.default_rng(0)
+    tokens = rng.integers(1, 99, 24).astype(float)
+    members = [np.repeat(np.arange(4), 6), np.tile(np.arange(6), 4)]
+    goals = [np.array([0.4, 0.3, 0.2, 0.1]), np.full(6, 1 / 6)]
+    w = (tokens / tokens.sum()).reshape(4, 6)
+    for _ in range(500):
+        w = w * (goals[0] / w.sum(1))[:, None]
+        w = w * (goals[1] / w.sum(0))[None]
+    assert np.allclose(mixing.rake(tokens, members, goals) * tokens / tokens.sum(), w.ravel())
+
+
+def test_mixing_odd(spark, odd):
+    got = mixing.weigh(odd)
+    assert got.count() == len(ODD) and got.where("source = '(none)'").count() == 3
+    assert mixing.sample(odd).columns == odd.columns
+    assert mixing.weigh(odd.limit(0)).count() == 0 and mixing.sample(odd.limit(0)).count() == 0
+    kept = {i: {r.kept for r in rows} for i, rows in ((5, got.where("doc_id = 5").collect()),)}
+    assert all(len(x) == 1 for x in kept.values())
+
+
+# --- search
+
+
+def brute_search(texts, query_id, terms, k=10):
+    bags = {i: collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())) for i, t in texts.items()}
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    mean = sum(size.values()) / len(size)
+    score = {}
+    for i, b in bags.items():
+        s = sum(w * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * size[i] / mean)) for t, w in terms.items() if b[t])
+        if s > 0:
+            score[i] = s
+    return sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_search_matches_brute_force(spark, sf, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bags = {i: collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode().lower())) for i, t in texts.items()}
+    df = collections.Counter(w for b in bags.values() for w in b)
+    index = search.build_index(docs, shard_tokens=9_000)
+    assert index.count() > 2
+    weights, mean = search.weighted(search.query_terms(docs.where("doc_id % 50 = 0")), index, top=None)
+    got = search.search(index, weights, mean).toPandas()
+    for i in [i for i in texts if i % 50 == 0]:
+        terms = {w: n * math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w, n in bags[i].items()}
+        mine = got[got.query_id == i].sort_values("rank")
+        want = brute_search(texts, i, terms)
+        assert np.allclose(mine.score, [s for _, s in want]) and mine["rank"].tolist() == list(range(1, len(want) + 1))
+        firm = [d for (d, s), (_, n) in zip(want[:-1], want[1:], strict=True) if abs(s - n) > 1e-9][:3]
+        assert all(d in set(mine.doc_id) for d in firm)
+
+
+def test_search_odd(spark, odd):
+    got = search.similar_documents(odd, every=1)
+    assert {r.query_id for r in got.collect()} <= {5, 6, 7, 8, 9}
+    assert search.similar_documents(odd.limit(0)).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline_stages(spark, sf, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, seen = docs, {}
+    for name, stage in pipeline.STAGES:
+        before = rows
+        rows = common.written(stage(spark, rows, sf), name)
+        seen[name] = rows
+        if name == "minhash_near_dedup":
+            pairs = sorted((r.doc_id, r.text) for r in before.collect())
+            component, _ = brute_components(pairs, 80)
+            assert sorted(r.doc_id for r in rows.collect()) == sorted(pairs[c][0] for c in set(component))
+        if name != "packing":
+            assert rows.columns == docs.columns and rows.join(before, "doc_id", "left_anti").count() == 0
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    good = labels.join(docs, "doc_id").count()
+    assert labels.join(seen["quality_classifier"], "doc_id").count() >= 0.98 * good
+    final = seen["mixing"].toPandas()
+    check_packing(rows.collect(), dict(zip(final.doc_id, final.text, strict=True)))
+    assert pipeline.run(spark, sf).count() == rows.count()
+
+
+def test_oracles(spark, sf):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import oracle
+
+    con = oracle.database(sf)
+    for name, sql in q.ORACLE_SQL.items():
+        assert oracle.difference(spark, con, q.QUERIES[name], sql, sf) is None, name
+
+
+def test_manifest_is_json(spark, odd):
+    table = shards.ShardTable(spark, common.scratch(spark, "shards"))
+    table.append(odd)
+    text = spark.read.text(f"{table.root}/manifest/v000000001.json").first()[0]
+    assert json.loads(text)["version"] == 1
