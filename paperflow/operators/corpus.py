@@ -121,8 +121,8 @@ def break_reference(text: Column, seed: Column) -> Column:
 
 
 def tckn_from_seed(seed: Column) -> Column:
-    """A valid identity number from a seed: nine digits by modular arithmetic, two check digits."""
-    digits = [F.pmod((seed % 1_000_003) * (7_919 + 104_729 * i) + 15_485_863 * (i + 1) + seed, F.lit(9 if i == 0 else 10)).cast("int") + (1 if i == 0 else 0) for i in range(9)]
+    """A valid identity number from a seed: nine digits of its hashes, two check digits."""
+    digits = [F.pmod(F.xxhash64(seed.cast("long"), F.lit(i)), F.lit(9 if i == 0 else 10)).cast("int") + (1 if i == 0 else 0) for i in range(9)]
     odd, even = F.lit(0), F.lit(0)
     for i, d in enumerate(digits):
         odd, even = (odd + d, even) if i % 2 == 0 else (odd, even + d)

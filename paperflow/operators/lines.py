@@ -118,7 +118,7 @@ def strip_stock_phrases(lines: DataFrame) -> DataFrame:
     taken = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
     rows = lines.withColumn("taken", F.when(F.col("part") == "body", taken).otherwise(F.array().cast("array<string>")))
     kept = rows.withColumn("text", F.when(F.size("taken") > 0, squeeze_space(F.regexp_replace("text", pattern, " "))).otherwise(F.col("text"))).where("part <> 'body' or text <> ''").drop("taken")
-    moved = rows.where("size(taken) > 0").withColumn("text", F.array_join(F.transform("taken", F.trim), " ")).withColumn("part", F.lit("footer")).drop("taken")
+    moved = rows.where("size(taken) > 0").withColumn("text", F.array_join(F.transform("taken", lambda x: F.trim(x)), " ")).withColumn("part", F.lit("footer")).drop("taken")
     return kept.unionByName(moved)
 
 

@@ -42,7 +42,7 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 def listed(c: Column, separator: str) -> Column:
     """The trimmed entries of a separated list, without blanks; an empty array for null."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _csv(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
