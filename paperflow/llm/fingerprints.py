@@ -86,9 +86,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     likeness: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    ordered = _in_order(base, max(1, -(-total // partition_chars)))
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * -(-total // partition_chars))
-    ordered = ordered.repartition(parts, "part").sortWithinPartitions("part", "guard", F.desc_nulls_last("doc_id"), "text")
+    ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // partition_chars))
+    ordered = _in_order(base, ranges).repartition(2 * ranges, "part").sortWithinPartitions("part", "guard", F.desc_nulls_last("doc_id"), "text")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
