@@ -181,3 +181,13 @@ def answer_quality(answers: DataFrame, allowed: list[str]) -> DataFrame:
 def call_costs(calls: DataFrame) -> DataFrame:
     """model, calls, mean_tokens, mean_candidates (percentiles by board.rank_percentile)."""
     return calls.groupBy("model").agg(F.count("*").alias("calls"), F.avg("tokens").alias("mean_tokens"), F.avg("candidates").alias("mean_candidates"))
+
+
+def scan_quality(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """engine, n, number, date, code, letters, terms: means over the measurable documents of each engine (null: nothing could be
+    measured). found: doc_id, engine, number, date, code, turkish_ratio, terms_found; labels: doc_id, number, date, code,
+    turkish_ratio, terms."""
+    both = found.alias("f").join(labels.alias("l"), "doc_id")
+    same = lambda c: F.avg(F.when(F.col(f"l.{c}").isNotNull(), F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}")).cast("double")))
+    share = lambda a, b: F.avg(F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))))
+    return both.groupBy("f.engine").agg(F.count("*").alias("n"), same("number").alias("number"), same("date").alias("date"), same("code").alias("code"), share("f.turkish_ratio", "l.turkish_ratio").alias("letters"), share("f.terms_found", "l.terms").alias("terms"))

@@ -569,3 +569,6 @@ def w2(s, d):
 
     rows = view(s, d, "trace").select("doc_id", F.col("event_id").alias("action_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("stage").alias("status"))
     return latest_status(rows).select("doc_id", "status", "events")
+
+
+from . import catalogue_more  # noqa: E402, F401  it registers its queries here
