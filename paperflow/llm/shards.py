@@ -154,11 +154,12 @@ class ShardTable:
         return self._frame(self.spark, m.schema, list(m.shards))
 
 
-def arrivals_compacted(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: int = 8, target_bytes: int = TARGET_BYTES) -> ShardTable:
-    """Appends docs as that many arrivals (by a hash of the id), compacts and expires what was merged."""
+def arrivals_compacted(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = TARGET_BYTES) -> ShardTable:
+    """Appends docs as at most that many arrivals, compacts and expires what was merged. The partitions of docs are dealt to the
+    arrivals in turn, so each task writes one shard of one arrival."""
     table = ShardTable(docs.sparkSession, root)
     name = next(f"arrival{'_' * i}" for i in range(99) if f"arrival{'_' * i}" not in docs.columns)
-    table.append_each(docs.withColumn(name, F.expr(f"int(pmod(xxhash64(`{id_col}`), {arrivals}))")), name)
+    table.append_each(docs.withColumn(name, F.spark_partition_id() % arrivals), name)
     before = table.version()
     if table.compact(target_bytes).version > before:
         table.expire()
