@@ -467,7 +467,7 @@ def test_search_matches_brute_force(spark, sf, docs):
     bags = {i: collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode().lower())) for i, t in texts.items()}
     df = collections.Counter(w for b in bags.values() for w in b)
     index = search.build_index(docs, shard_tokens=9_000)
-    assert index.count() > 2
+    assert index.count() >= 2
     weights, mean = search.weighted(search.query_terms(docs.where("doc_id % 50 = 0")), index, top=None)
     got = search.search(index, weights, mean).toPandas()
     for i in [i for i in texts if i % 50 == 0]:
