@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -147,12 +148,25 @@ def pii_flag(kind: Column, stated: Column) -> Column:
     return F.when(kind.isin(PERSONAL_TYPES), True).otherwise(F.coalesce(stated, F.lit(False)))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return nth(F.transform(F.array(value), fn), 1)
+
+
+def check_digits(nine: Column) -> Column:
+    """The tenth and eleventh digit that belong to nine digits (an array of int)."""
+
+    def both(d: Column) -> Column:
+        odd, even = nth(d, 1) + nth(d, 3) + nth(d, 5) + nth(d, 7) + nth(d, 9), nth(d, 2) + nth(d, 4) + nth(d, 6) + nth(d, 8)
+        tenth = F.pmod(7 * odd - even, F.lit(10))
+        return F.array(tenth, F.pmod(odd + even + tenth, F.lit(10)))
+
+    return bound(nine, both)
+
+
 def tckn_valid(c: Column) -> Column:
-    d = F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.substring(c, i, F.lit(1)).cast("int"))
-    at = lambda i: nth(d, i)
-    odd, even = at(1) + at(3) + at(5) + at(7) + at(9), at(2) + at(4) + at(6) + at(8)
-    tenth = F.pmod(7 * odd - even, F.lit(10))
-    ok = (tenth == at(10)) & (F.pmod(odd + even + tenth, F.lit(10)) == at(11))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.substring(c, i, F.lit(1)).cast("int"))
+    ok = bound(digits, lambda d: check_digits(F.slice(d, 1, 9)) == F.slice(d, 10, 2))
     return F.coalesce(F.when(c.rlike(r"^[1-9]\d{10}$"), ok).otherwise(False), F.lit(False))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_style, nth, squeeze_space, words_of
+from ..functions.text import bound, check_digits, normalize_style, nth, squeeze_space, words_of
 
 CLOSING_VERB = r"(?s)^(.*)\b(arz|rica)( ederim)"
 REFERENCE_PHRASES = [r"(?iu)\bilgi(?:de|'de)?\s+kayıtlı\s+(?:yazı|başvuru)(?:nız|niz)?\s*(?:ile|üzerine|kapsamında)?,?\s*", r"(?iu)\bilgi\s+(?:yazı|talep|başvuru)(?:nız|niz)?\s*(?:ile|üzerine|kapsamında)?,?\s*"]
@@ -122,12 +122,9 @@ def break_reference(text: Column, seed: Column) -> Column:
 
 def tckn_from_seed(seed: Column) -> Column:
     """A valid identity number from a seed: nine digits of its hashes, two check digits."""
-    digits = [F.pmod(F.xxhash64(seed.cast("long"), F.lit(i)), F.lit(9 if i == 0 else 10)).cast("int") + (1 if i == 0 else 0) for i in range(9)]
-    odd, even = F.lit(0), F.lit(0)
-    for i, d in enumerate(digits):
-        odd, even = (odd + d, even) if i % 2 == 0 else (odd, even + d)
-    tenth = F.pmod(7 * odd - even, F.lit(10))
-    return F.concat(*[d.cast("string") for d in digits], tenth.cast("string"), F.pmod(odd + even + tenth, F.lit(10)).cast("string"))
+    first = F.pmod(F.xxhash64(seed.cast("long"), F.lit(0)), F.lit(9)) + 1
+    nine = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.when(i == 0, first).otherwise(F.pmod(F.xxhash64(seed.cast("long"), i), F.lit(10))).cast("int"))
+    return bound(nine, lambda d: F.array_join(F.transform(F.concat(d, check_digits(d)), lambda x: x.cast("string")), ""))
 
 
 def phone_from_seed(seed: Column) -> Column:

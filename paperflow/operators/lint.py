@@ -61,7 +61,7 @@ def tail(text: Column, n: int) -> Column:
 def completeness(text: Column) -> Column:
     """TAM-01."""
     t = stripped(text)
-    last = nth(sentences(nth(paragraphs(t), -1)), -1)
+    last = nth(sentences(tail(nth(paragraphs(t), -1), 400)), -1)  # enough to see whether it is one word
     ended = t.rlike(r"[.!?]$")
     return F.concat(_when(t == "", _finding("TAM-01", "hata", detail="empty")), _when((t != "") & ~ended, _finding("TAM-01", "hata", tail(t, 60), "cut")), _when((t != "") & ended & (F.size(F.split(F.trim(last), SPACE)) < 2), _finding("TAM-01", "uyari", last, "short")))
 
@@ -78,20 +78,21 @@ def expected_closing(writer: Column, direction: Column) -> Column:
     return out.otherwise("arz")
 
 
-def closing(text: Column, writer: Column, direction: Column) -> Column:
+def closing(text: Column, writer: Column, direction: Column, n: Column | None = None) -> Column:
     """ME-02, ME-03."""
-    n = normalize_style(stripped(text))
+    n = normalize_style(stripped(text)) if n is None else n
+    end = tail(n, 80)  # longer than any closing
     wanted = expected_closing(writer, direction)
-    has = reduce(lambda out, kv: out | ((wanted == kv[0]) & n.rlike(kv[1])), CLOSINGS.items(), F.lit(False))
-    other = reduce(lambda out, kv: out | n.rlike(kv[1]), CLOSINGS.items(), F.lit(False))
+    has = reduce(lambda out, kv: out | ((wanted == kv[0]) & end.rlike(kv[1])), CLOSINGS.items(), F.lit(False))
+    other = reduce(lambda out, kv: out | end.rlike(kv[1]), CLOSINGS.items(), F.lit(False))
     last = tail(F.substring_index(stripped(text), "\n", -1), 70)
     forbidden = [_when(n.contains(w), _finding("ME-02", "hata", F.lit(w), "forbidden")) for w in FORBIDDEN_CLOSINGS]
     return F.concat(*forbidden, _when(n.contains("önem arz et"), _finding("ME-02", "uyari", detail="importance")), _when(~has & other, _finding("ME-03", "hata", last, "direction")), _when(~has & ~other, _finding("ME-02", "hata", last, "missing")))
 
 
-def first_person(text: Column, writer: Column) -> Column:
+def first_person(text: Column, writer: Column, n: Column | None = None) -> Column:
     """K13.1: suffixes that only a first person has, past forms of known verbs, and a list of forms."""
-    body = F.regexp_replace(normalize_style(stripped(text)), CLOSING_TAIL, "")
+    body = F.regexp_replace(normalize_style(stripped(text)) if n is None else n, CLOSING_TAIL, "")
     sure = F.regexp_extract_all(body, F.lit(FIRST_PERSON), F.lit(0))
     stem = lambda w: F.regexp_replace(w, "(dık|dik|duk|dük|tık|tik|tuk|tük)$", "")
     peeled = lambda s: reduce(lambda out, v: out | (s.endswith(v) & F.substring(s, F.lit(1), F.length(s) - len(v)).isin(VERB_STEMS)), VOICES, s.isin(VERB_STEMS))
@@ -102,42 +103,42 @@ def first_person(text: Column, writer: Column) -> Column:
     return F.when(F.coalesce(writer, F.lit("")).isin(PERSONAL_WRITERS), F.array().cast("array<struct<rule_id:string,severity:string,detail:string,quote:string>>")).otherwise(found)
 
 
-def office_words(text: Column, writer: Column) -> Column:
+def office_words(text: Column, writer: Column, n: Column | None = None) -> Column:
     """VTD-01."""
-    n = normalize_style(text)
+    n = normalize_style(text) if n is None else n
     return F.concat(*[_when((writer == "vatandas") & n.contains(w), _finding("VTD-01", "hata", F.lit(w))) for w in OFFICE_WORDS])
 
 
-def names(text: Column, forbidden: Column, writer: Column) -> Column:
+def names(text: Column, forbidden: Column, writer: Column, n: Column | None = None) -> Column:
     """ATF-01: a student may use a name where every occurrence is part of a faculty's or school's name."""
-    n = normalize_style(text)
+    n = normalize_style(text) if n is None else n
     after = lambda name: F.slice(F.split(n, F.concat(F.lit(r"\Q"), name, F.lit(r"\E")), -1), 2, 10_000)
     part = lambda name: F.forall(after(name), lambda t: reduce(lambda o, w: o | F.ltrim(F.substring(t, 1, 40)).startswith(w), FACULTY_WORDS, F.lit(False)))
     bad = F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda f: n.contains(normalize_style(f)) & (F.trim(f) != "") & ~((F.coalesce(writer, F.lit("")) == "ogrenci") & part(normalize_style(f))))
     return F.transform(bad, lambda f: _finding("ATF-01", "hata", f))
 
 
-def coverage(text: Column, terms: Column) -> Column:
+def coverage(text: Column, terms: Column, n: Column | None = None) -> Column:
     """KPS-01: a key term whose content stems mostly don't occur."""
-    n, have = normalize_style(text), content_stems(text)
+    n, have = normalize_style(text) if n is None else n, content_stems(text)
     hit = lambda s: F.exists(have, lambda m: m.startswith(s) | s.startswith(m))
     share = lambda t: F.size(F.filter(content_stems(t), hit)) / F.size(content_stems(t))
     bad = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: ~t.rlike(TITLE_FORM) & ~normalize_style(t).rlike(REFERENCE_TERM) & ~n.contains(normalize_style(t)) & (F.size(content_stems(t)) > 0) & (share(t) < COVERAGE))
     return F.transform(bad, lambda t: _finding("KPS-01", "hata", t))
 
 
-def attachments(text: Column, attachment: Column, name: Column) -> Column:
+def attachments(text: Column, attachment: Column, name: Column, n: Column | None = None) -> Column:
     """EK-01, EK-02."""
-    n = normalize_style(text)
+    n = normalize_style(text) if n is None else n
     words = F.filter(F.split(normalize_style(name), SPACE), lambda w: F.length(w) > 4)
     named = F.coalesce((F.size(words) > 0) & F.forall(words, lambda w: n.contains(w)), F.lit(False))
     placed = n.rlike(ATTACHED)
     return F.concat(_when(attachment & ~placed & ~named, _finding("EK-01", "hata")), _when(~attachment & placed, _finding("EK-02", "hata", F.regexp_extract(n, ATTACHED, 0))))
 
 
-def references(text: Column, reference: Column) -> Column:
+def references(text: Column, reference: Column, n: Column | None = None) -> Column:
     """ILG-01, ILG-02, ILG-03."""
-    n = normalize_style(text)
+    n = normalize_style(text) if n is None else n
     first = normalize_style(nth(sentences(nth(paragraphs(text), 1)), 1))
     here, anywhere = F.coalesce(first.rlike(REFERRED), F.lit(False)), n.rlike(REFERRED)
     return F.concat(_when(reference & ~here & anywhere, _finding("ILG-01", "uyari", F.substring(first, 1, 70))), _when(~reference & anywhere, _finding("ILG-02", "hata")), _when(reference & ~here & ~anywhere, _finding("ILG-03", "hata", F.substring(first, 1, 70))))
@@ -158,11 +159,16 @@ GROUPS = ("completeness", "form", "closing", "first_person", "office_words", "na
 def lint(bodies: DataFrame, id_col: str = "doc_id", groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """id_col, rule_id, severity, detail, quote of every finding."""
     have = set(bodies.columns)
+    style = "_style"
+    while style in have:
+        style += "_"
+    bodies = bodies.withColumn(style, normalize_style(stripped(F.col("text"))))  # once; referenced often, so it stays a projection
     c = lambda name, kind="string": F.col(name) if name in have else F.lit(None).cast(kind)
+    text, n = F.col("text"), F.col(style)
     made = {
-        "completeness": lambda: completeness(c("text")), "form": lambda: form(c("text")), "closing": lambda: closing(c("text"), c("writer"), c("direction")), "first_person": lambda: first_person(c("text"), c("writer")),
-        "office_words": lambda: office_words(c("text"), c("writer")), "names": lambda: names(c("text"), c("forbidden_names", "array<string>"), c("writer")), "coverage": lambda: coverage(c("text"), c("key_terms", "array<string>")),
-        "attachments": lambda: attachments(c("text"), c("attachment", "boolean"), c("attachment_name")), "references": lambda: references(c("text"), c("reference", "boolean")), "structure": lambda: structure(c("text"), c("sentence_counts", "array<int>")),
+        "completeness": lambda: completeness(text), "form": lambda: form(text), "closing": lambda: closing(text, c("writer"), c("direction"), n), "first_person": lambda: first_person(text, c("writer"), n),
+        "office_words": lambda: office_words(text, c("writer"), n), "names": lambda: names(text, c("forbidden_names", "array<string>"), c("writer"), n), "coverage": lambda: coverage(text, c("key_terms", "array<string>"), n),
+        "attachments": lambda: attachments(text, c("attachment", "boolean"), c("attachment_name"), n), "references": lambda: references(text, c("reference", "boolean"), n), "structure": lambda: structure(text, c("sentence_counts", "array<int>")),
     }
     return bodies.select(id_col, F.explode(F.concat(*[made[g]() for g in groups])).alias("f")).select(id_col, "f.rule_id", "f.severity", "f.detail", "f.quote")
 
