@@ -22,8 +22,8 @@ def rank_percentile(rows: DataFrame, value: str, p: float, by: list[str], slots:
     inside = ranged.withColumn("_run", F.sum("_c").over(Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     parts = ranged.groupBy("_part", *by).agg(F.sum("_c").alias("_s"))
     ahead = parts.withColumn("_ahead", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    placed = inside.join(F.broadcast(ahead), ["_part", *by]) if by else inside.join(F.broadcast(ahead), "_part")
-    placed = placed.join(F.broadcast(totals), by) if by else placed.crossJoin(F.broadcast(totals))
+    placed = inside.join(ahead, ["_part", *by]) if by else inside.join(ahead, "_part")
+    placed = placed.join(totals, by) if by else placed.crossJoin(totals)
     place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
     return placed.where((F.col("_run") + F.col("_ahead")) > place).groupBy(*by).agg(F.min(value).alias(name))
 

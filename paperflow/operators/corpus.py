@@ -47,14 +47,14 @@ def body_audit(found: DataFrame) -> DataFrame:
 def defect_audit(defective: DataFrame, clean: DataFrame, expected: DataFrame) -> DataFrame:
     """doc_id, defect, tripped, original_clean: an injected defect trips one of its rules (defect, rules), which the original
     doesn't. defective, clean: doc_id, defect, rules (array of found rules)."""
-    both = defective.join(clean.select("doc_id", F.col("rules").alias("before")), "doc_id", "left").join(F.broadcast(expected.select("defect", F.col("rules").alias("wanted"))), "defect", "left")
+    both = defective.join(clean.select("doc_id", F.col("rules").alias("before")), "doc_id", "left").join(expected.select("defect", F.col("rules").alias("wanted")), "defect", "left")
     none = F.array().cast("array<string>")
     return both.select("doc_id", "defect", F.arrays_overlap("rules", F.coalesce("wanted", none)).alias("tripped"), (~F.arrays_overlap(F.coalesce("before", none), F.coalesce("wanted", none))).alias("original_clean"))
 
 
 def side_effects(defective: DataFrame, clean: DataFrame, expected: DataFrame) -> DataFrame:
     """doc_id, unexpected: rules that an injection trips besides its own."""
-    both = defective.join(clean.select("doc_id", F.col("rules").alias("before")), "doc_id", "left").join(F.broadcast(expected.select("defect", F.col("rules").alias("wanted"))), "defect", "left")
+    both = defective.join(clean.select("doc_id", F.col("rules").alias("before")), "doc_id", "left").join(expected.select("defect", F.col("rules").alias("wanted")), "defect", "left")
     none = F.array().cast("array<string>")
     return both.select("doc_id", F.array_except(F.array_except("rules", F.coalesce("before", none)), F.coalesce("wanted", none)).alias("unexpected")).where("size(unexpected) > 0")
 
@@ -80,7 +80,7 @@ def quota_check(labels: DataFrame, targets: DataFrame) -> DataFrame:
 def cross_minimum(labels: DataFrame, a: str, b: str, least: int) -> DataFrame:
     """Pairs of values of two columns with fewer rows than least, absent pairs included."""
     left, right = labels.where(F.col(a).isNotNull()).select(a).distinct(), labels.where(F.col(b).isNotNull()).select(b).distinct()
-    grid = left.crossJoin(F.broadcast(right))  # two small vocabularies
+    grid = left.crossJoin(right)  # two small vocabularies
     n = labels.groupBy(a, b).agg(F.count("*").alias("n"))
     return grid.join(n, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
 

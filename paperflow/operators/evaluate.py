@@ -43,7 +43,7 @@ def field_accuracy(predicted: DataFrame, labels: DataFrame, fields: list[str], e
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"l.{f}").isNotNull().alias("has"), F.coalesce(right(f), F.lit(False)).alias("right")) for f in fields])
     rows = both.select("doc_id", F.col("l.defect").alias("defect"), F.col("l.format").alias("format"), F.explode(cells).alias("c")).select("doc_id", "defect", "format", "c.*").where("has")
     if exempt is not None:
-        rows = rows.join(F.broadcast(exempt), ["defect", "field"], "left_anti")
+        rows = rows.join(exempt, ["defect", "field"], "left_anti")
     return rows.groupingSets([[F.col("field")], [F.col("field"), F.col("format")]], "field", "format").agg(F.count("*").alias("measured"), F.sum(F.col("right").cast("long")).alias("right"))
 
 
@@ -68,7 +68,7 @@ def rule_alarms(findings: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rule_catches(findings: DataFrame, labels: DataFrame, expected: DataFrame) -> DataFrame:
     """defect, rule_id, n, caught: defective documents whose expected rule (defect, rule_id) found something."""
-    wanted = labels.where("defect is not null").join(F.broadcast(expected), "defect")
+    wanted = labels.where("defect is not null").join(expected, "defect")
     hit = findings.select("doc_id", "rule_id").distinct().withColumn("hit", F.lit(1))
     return wanted.join(hit, ["doc_id", "rule_id"], "left").groupBy("defect", "rule_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0))).cast("long").alias("caught"))
 

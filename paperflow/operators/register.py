@@ -29,10 +29,10 @@ def assign_numbers(new: DataFrame, register: DataFrame | None = None, slots: int
     counts = ranged.groupBy("part", *KEY).agg(F.count("*").alias("c"))
     before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    out = numbered.join(F.broadcast(offsets), ["part", *KEY])
+    out = numbered.join(offsets, ["part", *KEY])
     if register is not None:
         last = register.groupBy(*KEY).agg(F.max("seq").alias("last"))
-        out = out.join(F.broadcast(last), KEY, "left")
+        out = out.join(last, KEY, "left")
         added = out.select(*KEY, "doc_id", (F.col("n") + F.col("before") + F.coalesce("last", F.lit(0))).cast("long").alias("seq"))
         return register.select(*KEY, "doc_id", F.col("seq").cast("long").alias("seq")).unionByName(added)
     return out.select(*KEY, "doc_id", (F.col("n") + F.col("before")).cast("long").alias("seq"))

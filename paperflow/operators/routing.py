@@ -61,7 +61,7 @@ def source_badge(path: Column) -> Column:
 
 def addressee_route(matches: DataFrame, letterheads: DataFrame, units: DataFrame, least: float = GATE) -> DataFrame:
     """doc_id, unit, score: a name match of at least 0.85, else the letterhead's unit if it can be a target (1.0)."""
-    targets = F.broadcast(units.where("routable").select(F.col("code").alias("lh")))
+    targets = units.where("routable").select(F.col("code").alias("lh"))
     lh = letterheads.select("doc_id", F.col("unit").alias("lh")).join(targets, "lh", "left_semi")
     both = matches.select("doc_id", "unit", "score").join(lh, "doc_id", "full")
     good = F.coalesce(F.col("score") >= least, F.lit(False))

@@ -170,7 +170,7 @@ def findings(results: DataFrame, rules: list[Rule], evidence: DataFrame | None =
     """Violations with severity, title, basis, field and quote (the evidence's quote where the rule has none)."""
     spark = results.sparkSession
     table = spark.createDataFrame([(r.rule_id, r.severity, (r.title or r.rule_id) + (" […]" if r.title_cut else ""), r.basis, r.path) for r in rules], "rule_id string, severity string, title string, basis string, field string")
-    out = results.where("status = 'ihlal'").join(F.broadcast(table), "rule_id")
+    out = results.where("status = 'ihlal'").join(table, "rule_id")
     if evidence is not None:
         quotes = evidence.select(F.col("doc_id").alias(id_col), F.col("field_path").alias("field"), F.col("quote").alias("evidence_quote")).dropDuplicates([id_col, "field"])
         out = out.join(quotes, [id_col, "field"], "left").withColumn("quote", F.coalesce("quote", "evidence_quote")).drop("evidence_quote")
@@ -192,7 +192,7 @@ def missing_items(found: DataFrame, rules: list[Rule], id_col: str = "doc_id", s
     spark = found.sparkSession
     asks = spark.createDataFrame([(r.rule_id, r.question, r.askable) for r in rules], "rule_id string, question string, askable boolean")
     severity = F.when(F.col("rule_id").isin(*softened) & (F.col("severity") == "hata"), "uyari").otherwise(F.col("severity"))
-    return found.join(F.broadcast(asks), "rule_id", "left").select(id_col, "rule_id", "field", severity.alias("severity"), cut(F.col("title"), 200).alias("description"), "quote", "question", F.coalesce("askable", F.lit(False)).alias("askable"), F.lit(False).alias("resolved"))
+    return found.join(asks, "rule_id", "left").select(id_col, "rule_id", "field", severity.alias("severity"), cut(F.col("title"), 200).alias("description"), "quote", "question", F.coalesce("askable", F.lit(False)).alias("askable"), F.lit(False).alias("resolved"))
 
 
 def legal_basis(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -221,7 +221,7 @@ def validate(rules: list[Rule], schema: T.StructType | None = None) -> None:
 
 def smoke_test(rules: DataFrame, samples: DataFrame) -> DataFrame:
     """rule_id, text, expected, found of samples (rule_id, text, expected) that a rule's pattern answers otherwise."""
-    both = samples.join(F.broadcast(rules.select("rule_id", "pattern")), "rule_id")
+    both = samples.join(rules.select("rule_id", "pattern"), "rule_id")
     return both.withColumn("found", F.expr("regexp_like(text, pattern)")).where("found <> expected").select("rule_id", "text", "expected", "found")
 
 

@@ -10,19 +10,24 @@ def _order(seed: int):
     return F.xxhash64(F.col("id").cast("string"), F.lit(seed))
 
 
+def _firsts(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """rows with r, their place in their class, up to n. The limit on the rank lets Spark cut each class before the shuffle, so
+    a class with most of the rows doesn't meet in one task."""
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(_order(seed), "id"))).where(F.col("r") <= n)
+
+
 def class_covering(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """One row of each class, then rounds over the classes by size until n. rows: id, class."""
-    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("class"))).withColumn("round", F.row_number().over(Window.partitionBy("class").orderBy(_order(seed), "id"))).where(F.col("round") <= n)
-    return sized.orderBy("round", F.desc("size"), "class").limit(n).select("id", "class", "round")
+    sizes = rows.groupBy("class").agg(F.count("*").alias("size"))
+    return _firsts(rows, n, seed).join(sizes, "class").orderBy("r", F.desc("size"), "class").limit(n).select("id", "class", F.col("r").alias("round"))
 
 
 def proportional(rows: DataFrame, n: int, least: int = 2, seed: int = 0) -> DataFrame:
     """round(n size / total) rows of each stratum, at least two."""
     sizes = rows.groupBy("class").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    quota = sizes.crossJoin(F.broadcast(total)).select("class", F.greatest(F.lit(least), F.round(n * F.col("size") / F.col("total"))).alias("quota"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(_order(seed), "id")))
-    return ranked.join(F.broadcast(quota), "class").where("r <= quota").select("id", "class")
+    total = sizes.agg(F.sum("size").alias("total"))  # one row
+    quota = sizes.crossJoin(total).select("class", F.greatest(F.lit(least), F.round(n * F.col("size") / F.col("total"))).alias("quota"))
+    return _firsts(rows, max(n, least), seed).join(quota, "class").where("r <= quota").select("id", "class")
 
 
 def first_per_class(rows: DataFrame, k: int) -> DataFrame:

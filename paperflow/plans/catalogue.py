@@ -258,7 +258,7 @@ def j3(s, d):
 def j5(s, d):
     letters = view(s, d, "letters")
     best = matching.best_unit_match(letters, view(s, d, "units"), "addressee").where("score = 1.0")
-    return letters.join(F.broadcast(best), letters["addressee"] == best["text"]).select("doc_id", "code")
+    return letters.join(best, letters["addressee"] == best["text"]).select("doc_id", "code")
 
 
 @query("j5_fuzzy_units")

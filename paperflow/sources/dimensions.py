@@ -12,7 +12,7 @@ DEPTH = 16
 
 def root_institution(units: DataFrame, depth: int = DEPTH) -> DataFrame:
     """code, root, path of every unit; a cycle or an unknown parent ends the climb where it is met."""
-    tree = F.broadcast(units.select(F.col("code").alias("up_code"), F.col("parent_code").alias("up_parent")))
+    tree = units.select(F.col("code").alias("up_code"), F.col("parent_code").alias("up_parent"))
     out = units.select("code", F.col("code").alias("root"), "parent_code", F.array("code").alias("path"))
     for _ in range(depth):
         out = out.join(tree, (out["parent_code"] == F.col("up_code")) & ~F.array_contains("path", F.col("up_code")), "left")
@@ -62,7 +62,7 @@ def parse_rule_list(lines: DataFrame, text_col: str = "value") -> DataFrame:
 def overlay_rules(rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """Rules with the non-null override columns laid over, defaults filled (targets [gelen], enabled false)."""
     extra = [c for c in overrides.columns if c != "rule_id"]
-    both = rules.alias("r").join(F.broadcast(overrides.alias("o")), "rule_id", "left")
+    both = rules.alias("r").join(overrides.alias("o"), "rule_id", "left")
     columns = [F.coalesce(F.col(f"o.{c}"), F.col(f"r.{c}")).alias(c) if c in rules.columns else F.col(f"o.{c}") for c in extra]
     out = both.select("rule_id", *[F.col(f"r.{c}") for c in rules.columns if c not in extra and c != "rule_id"], *columns)
     if "targets" in out.columns:
