@@ -28,6 +28,7 @@ güncellenmiştir alınmıştır görülmüştür verilmiştir gönderilmiştir
 SECRECY = {"hizmete özel": 1, "gizli": 2, "çok gizli": 3}
 NUMBER_PATTERN = r"^([EZO])-(\d{6,10})-(\d{3}(?:\.\d{2}){0,3})-(\d+)$"
 SPACE = r"(?U)\s+"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def nth(array: Column, place: int | Column) -> Column:
@@ -39,6 +40,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Without white space (of any script) at both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def squeeze_space(c: Column) -> Column:
     """Every run of white space as one blank, trimmed; null as the empty text."""
     return F.trim(F.regexp_replace(text_or_empty(c), SPACE, " "))
@@ -89,7 +95,7 @@ def normalize_style(c: Column, exact: bool = False) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    parts = F.transform(F.split(F.trim(text_or_empty(c)), r"\n\s*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(F.trim(text_or_empty(c)), r"\n\s*\n"), lambda p: strip(p))
     return F.filter(parts, lambda p: p != "")
 
 
@@ -100,7 +106,7 @@ def sentences(c: Column) -> Column:
     c = F.regexp_replace(c, rf"(?U)\b({'|'.join(ABBREVIATIONS)})\.", "$1" + hold)
     c = F.regexp_replace(c, r"(?U)\b([A-ZÇĞİÖŞÜ])\.", "$1" + hold)
     parts = F.split(c, r'(?<=[.!?])\s+(?=[A-ZÇĞİÖŞÜ"„])')
-    parts = F.transform(parts, lambda p: F.regexp_replace(F.translate(p, hold, "."), r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(parts, lambda p: strip(F.translate(p, hold, ".")))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, content_stems, fold, normalize_style, nth, paragraphs, sentences, text_or_empty
+from ..functions.text import SPACE, content_stems, fold, normalize_style, nth, paragraphs, sentences, strip, text_or_empty
 
 # Closings, word lists and patterns of official style.
 CLOSINGS = {"arz": r"arz ederim\s*\.?\s*$", "rica": r"rica ederim\s*\.?\s*$", "karma": r"arz\s*(?:ve|/)\s*rica ederim\s*\.?\s*$", "sunulur": r"(?:bilgilerinize sunulur|saygılarımla|saygılarımı sunarım)\s*\.?\s*$"}
@@ -51,7 +51,7 @@ def _when(condition: Column, finding: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text_or_empty(text), r"(?U)^\s+|\s+$", "")
+    return strip(text_or_empty(text))
 
 
 def tail(text: Column, n: int) -> Column:
