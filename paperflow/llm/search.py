@@ -5,13 +5,13 @@ compressed arrays of sorted terms (64-bit word hashes), postings by ascending do
 BLOCK_DOCS documents the highest term frequency and the shortest document, which bound a term's score for any corpus statistics.
 Document frequencies, the number of documents and their mean length are summed over all shards.
 
-Search: a query block (a broadcast of bounded size) goes to every shard. In a shard, the bounds of the query's terms are summed
+Search: a query block (a broadcast of about BLOCK_TERMS terms and QUERY_BLOCK queries) goes to every shard. In a shard, the bounds of the query's terms are summed
 for each document block; blocks are taken in descending order and skipped when their sum is below the score of the k-th best
 document so far (the pivot test of WAND, on aligned blocks), so no skipped document can be among the best. Thresholds carry
 over to a task's next shard, and a shard whose terms' bounds sum to less is skipped whole. The shards' best are merged by score, ties by id.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. The query of a document is made of the QUERY_TERMS
-terms with the highest tf x idf of its whole text (like a more-like-this search); given queries can be of any terms.
+Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. The query of a document is made of all words of its
+whole text; given queries can be of any terms.
 
 Nulls and odd input: null or empty texts have no terms, match nothing and count as documents of length 0; null ids can be
 found but are never queries; repeated rows are documents of their own; other columns are ignored; without documents or
@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_of, utf8, word_hashes, written
+from .common import dropped, utf8, word_hashes, written
 
 K1, B = 1.2, 0.75
 BLOCK_DOCS = 128
 STEP_BLOCKS = 32
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 16
 QUERY_BLOCK = 16_384
+BLOCK_TERMS = 250_000
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[:48] = _SEPARATOR[58:65] = _SEPARATOR[91:97] = _SEPARATOR[123:128] = True
 SHARD = "shard long, n_docs long, n_tokens long, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, block_starts binary, blocks binary, block_tf binary, block_len binary"
@@ -141,8 +141,8 @@ def query_terms(queries: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
 
 
-def weighted(terms: DataFrame, index: DataFrame, top: int | None = QUERY_TERMS) -> tuple[DataFrame, float]:
-    """query_id, term, weight (qtf x idf) of the top terms of each query, and the mean document length."""
+def weighted(terms: DataFrame, index: DataFrame, top: int | None = None) -> tuple[DataFrame, float]:
+    """query_id, term, weight (qtf x idf) of all terms of each query (or its top ones), and the mean document length."""
     n, tokens = index.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
     n, tokens = n or 0, tokens or 0
     scored = terms.join(document_frequencies(index), "term").withColumn("weight", F.col("qtf") * F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -185,11 +185,14 @@ class Shard:
             return docs, scores
         p, n = self._spans(self.starts, at)
         doc, w = self.docs[p], weights.repeat(n)
+        every = len(live) <= STEP_BLOCKS and len(live) == np.count_nonzero(bound > 0)  # no posting is skipped
         while len(live):
             now, live = live[:STEP_BLOCKS], live[STEP_BLOCKS:]
-            wanted = np.zeros(self.ranges, bool)
-            wanted[now] = True
-            inside = wanted[doc // BLOCK_DOCS]
+            inside = slice(None)
+            if not every:
+                wanted = np.zeros(self.ranges, bool)
+                wanted[now] = True
+                inside = wanted[doc // BLOCK_DOCS]
             total = np.bincount(doc[inside], w[inside] * self.impact[p[inside]], len(self.lengths))
             d = np.flatnonzero((total > 0) & (total >= floor))
             docs, scores = np.concatenate([docs, d]), np.concatenate([scores, total[d]])
@@ -209,16 +212,24 @@ class Shard:
         return (lo - ends + n).repeat(n) + np.arange(ends[-1]), n
 
 
-def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10) -> DataFrame:
+def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: the k best of each query (fewer if fewer share a term with it)."""
     spark = index.sparkSession
     weights = written(weights, "queries")
-    blocks = max(1, -(-count_of(weights.select("query_id").distinct()) // QUERY_BLOCK))
+    queries, terms = weights.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    blocks = max(1, -(-queries // QUERY_BLOCK), -(-(terms or 0) // block_terms))
+    if blocks > 1:  # in files by block, of which a block reads its own
+        whole, number = weights, F.expr(f"pmod(xxhash64(query_id), {blocks})")
+        weights = written(whole.repartition(blocks, number).withColumn("block", number), "queries")
+        dropped(whole)
     found = None
     for i in range(blocks):
-        rows = weights.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {i}")).toPandas().sort_values(["query_id", "term"])
-        ids, first = np.unique(rows["query_id"].to_numpy(), return_index=True)
-        block = spark.sparkContext.broadcast((ids, np.append(first, len(rows)), rows["term"].to_numpy(), rows["weight"].to_numpy()))
+        rows = (weights.where(F.col("block") == i).drop("block") if blocks > 1 else weights).toArrow()
+        owner, term, weight = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
+        order = np.lexsort((term, owner))
+        ids, first = np.unique(owner[order], return_index=True)
+        block = spark.sparkContext.broadcast((ids, np.append(first, len(order)), term[order], weight[order]))
+        del rows, owner, term, weight, order
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             ids, first, terms, weight = block.value
@@ -227,6 +238,7 @@ def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10
             owner = np.repeat(np.arange(len(ids)), np.diff(first))
             for batch in batches:
                 for i in range(batch.num_rows):
+                    shard = None  # one is held at a time
                     shard = Shard(batch.slice(i, 1).to_pylist()[0], mean_length)
                     found, at = shard.places(terms)
                     mine, cuts = weight[found], np.searchsorted(found, first)
@@ -249,8 +261,8 @@ def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10
                     docs = np.concatenate([x[0] for _, x in some])
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _ in some], [len(x[0]) for _, x in some])), pa.array(docs, mask=docs == NO_ID), pa.array(np.concatenate([x[1] for _, x in some]))], ["query_id", "doc_id", "score"])
 
-        # a task for each core: what it emits is bounded by its queries, and its thresholds carry over many shards
-        part = index.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(run, "query_id long, doc_id long, score double")
+        # two tasks for each core: what one emits is bounded by its queries, and its thresholds carry over many shards
+        part = index.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "query_id long, doc_id long, score double")
         found = part if found is None else found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -479,6 +479,27 @@ def test_search_matches_brute_force(spark, sf, docs):
         assert all(d in set(mine.doc_id) for d in firm)
 
 
+def test_similar_documents_by_all_terms(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bags = {i: collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode().lower())) for i, t in texts.items()}
+    df = collections.Counter(w for b in bags.values() for w in b)
+    got = search.similar_documents(docs).toPandas()
+    asked = [i for i in texts if i % 50 == 0]
+    assert max(len(bags[i]) for i in asked) > 16
+    for i in asked:
+        terms = {w: n * math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w, n in bags[i].items()}
+        want = brute_search(texts, i, terms)
+        assert np.allclose(got[got.query_id == i].sort_values("rank").score, [s for _, s in want])
+
+
+def test_search_in_query_blocks_by_terms(spark, docs):
+    index = search.build_index(docs)
+    weights, mean = search.weighted(search.query_terms(docs.where("doc_id % 10 = 0")), index)
+    one, many = (search.search(index, weights, mean, block_terms=n).toPandas().sort_values(["query_id", "rank"], ignore_index=True) for n in (10**9, 400))
+    assert weights.count() > 2 * 400
+    pd.testing.assert_frame_equal(one, many)
+
+
 def test_search_odd(spark, odd):
     got = search.similar_documents(odd, every=1)
     assert {r.query_id for r in got.collect()} <= {5, 6, 7, 8, 9}
