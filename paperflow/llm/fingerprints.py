@@ -24,7 +24,7 @@ from . import neardup
 from .common import MinHash, checkpointed, dropped, shingle_sets, utf8, word_hashes, written
 
 NUM_PERM = 128
-BAND_ROWS = 8
+BAND_ROWS = 4
 PARTITION_CHARS = 16_000_000
 
 
@@ -130,7 +130,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, num_perm: int = NUM_PERM, band_rows: int = BAND_ROWS, shingle: int = 5) -> DataFrame:
     """id_col, component_id: bands of band_rows signature values are joined, links confirmed on full shingle sets at percent.
 
-    With 16 bands of 8 a pair at 0.8 meets in some band with a probability of 0.947, at 0.9 of 0.9999."""
+    With 32 bands of 4 a pair at 0.8 meets in no band with a probability of 5e-8."""
     rows = written(neardup.sketch(docs, id_col, text_col, num_perm, shingle), "sketch")
     sets = written(rows.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n_shingles"), F.min("row_hash").alias("row_hash"), F.first("sig").alias("sig")), "sets")
     bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", 1 + i, band_rows)) for i in range(0, num_perm, band_rows)])

@@ -60,6 +60,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extraction": op8_extraction,
     "op9_search": op9_search,
     "op10_fingerprints": op10_fingerprints,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 OP5_SQL = r"""
 WITH RECURSIVE words AS (

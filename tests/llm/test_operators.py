@@ -183,6 +183,26 @@ def test_near_duplicates_by_bands(spark):
     assert wrong <= 0.05 * len(pairs)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pairs = []
+    for _ in range(300):  # 104 of 128 shingles in common
+        base = [word() for _ in range(120)]
+        pairs += [" ".join(base), " ".join(base[:-12] + [word() for _ in range(12)])]
+    pairs = list(enumerate(pairs))
+    got = fingerprints.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).toPandas().set_index("doc_id")
+    component, _ = brute_components(pairs, 80)
+    assert len(set(component)) == 300 and all(got.component_id[i] == c for (i, _), c in zip(pairs, component, strict=True))
+
+
+def test_near_duplicates_of_the_table(spark, sf, docs):
+    got = q.op10_near_duplicates(spark, sf).toPandas().set_index("doc_id")
+    pairs = sorted((r.doc_id, r.text) for r in docs.collect())
+    component, _ = brute_components(pairs, 80)
+    assert [got.component_id[i] for i, _ in pairs] == [pairs[c][0] for c in component]
+
+
 # --- language and quality
 
 
