@@ -30,9 +30,12 @@ TRAIN_PAGES = 400
 EPOCHS = 16
 
 # Fixed values of HTML: elements by their role in the tree.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q s samp small span strike strong sub sup time tt u var wbr nobr object".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object title textarea select canvas audio video head".split())
+RAW = frozenset("script style noscript template svg iframe title textarea select canvas audio video head".split())
+TO_THE_END = frozenset("script style textarea title iframe".split())  # without an end tag they hold the rest of the page
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption summary address".split())
 FURNITURE = frozenset("nav aside header footer form article main dialog menu button fieldset".split())
 CLOSES = {
@@ -45,6 +48,18 @@ ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 WORD = re.compile(r"[a-z]+")
 
 
+def ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements of that name end, by their start; those without an end tag are left out."""
+    out, open_at = {}, []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", page, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_at.append(m.start())
+        elif open_at:
+            out[open_at.pop()] = m.end()
+    return out
+
+
 class Tree:
     """Nodes in page order, parents before children; segments are (node, raw text) in page order."""
 
@@ -63,6 +78,7 @@ def parse(page: str) -> Tree:
     text: list[str] = []
     in_link = False
     at, n = 0, len(page)
+    ended: dict[str, dict[int, int]] = {}
 
     def put(piece: str) -> None:
         if piece:
@@ -90,6 +106,11 @@ def parse(page: str) -> Tree:
         if name in RAW and not closing:
             if m[3].endswith("/"):
                 continue
+            if name not in TO_THE_END and name != "head":
+                if name not in ended:
+                    ended[name] = ends(page, name)
+                at = ended[name].get(m.start(), at)
+                continue
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if name == "head" and end is None:
                 end = re.compile(r"(?=<body\b)", re.I).search(page, at)

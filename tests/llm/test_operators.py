@@ -399,6 +399,23 @@ def test_extraction_never_fails(page):
     assert isinstance(extraction.train().extract(page), str)
 
 
+@pytest.mark.parametrize("mark", ["<object data=x>", "<video src=x>", "<audio src=x>", "<canvas>", "<select>", "<svg viewBox='0 0 1 1'>", "<template>", "<noscript>"])
+def test_extraction_keeps_text_after_an_unclosed_element(mark):
+    one, two = ("The first paragraph of the article has some words in it.", "The second one goes on for as long as the first did.")
+    model = extraction.train()
+    for page in (f"<body>{mark}<article><h1>T</h1><p>{one}</p><p>{two}</p></article></body>", f"<article><h1>T</h1><p>{one}</p>{mark}<p>{two}</p></article>"):
+        assert model.extract(page) == f"T {one} {two}"
+    name = mark[1:].split()[0].strip(">")
+    if name != "object":  # a later element's end tag is its own; nested ones are balanced
+        page = f"<article><h1>T</h1><p>{one}</p>{mark}<p>{two}</p>{mark}no{mark}no</{name}>no</{name}></article>"
+        assert model.extract(page) == f"T {one} {two}"
+
+
+def test_extraction_keeps_formulas_and_objects():
+    page = "<article><h1>T</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be given.</p><object data=x><p>What it shows is told in words here.</p></object><p>And so it ends.</p></article>"
+    assert extraction.train().extract(page) == "T Let x=1 be given. What it shows is told in words here. And so it ends."
+
+
 def test_extraction_odd(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article><h1>T</h1><p>A&nbsp;&amp;\n b</p></article><script>no</script>", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extraction.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "T A & b", 7)]
