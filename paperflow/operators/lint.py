@@ -112,7 +112,7 @@ def office_words(text: Column, writer: Column, n: Column | None = None) -> Colum
 def names(text: Column, forbidden: Column, writer: Column, n: Column | None = None) -> Column:
     """ATF-01: a student may use a name where every occurrence is part of a faculty's or school's name."""
     n = normalize_style(text) if n is None else n
-    after = lambda name: F.slice(F.split(n, F.concat(F.lit(r"\Q"), name, F.lit(r"\E")), -1), 2, 10_000)
+    after = lambda name: F.slice(F.split(n, F.concat(F.lit(r"\Q"), name, F.lit(r"\E")), -1), 2, F.length(n))
     part = lambda name: F.forall(after(name), lambda t: reduce(lambda o, w: o | F.ltrim(F.substring(t, 1, 40)).startswith(w), FACULTY_WORDS, F.lit(False)))
     bad = F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda f: n.contains(normalize_style(f)) & (F.trim(f) != "") & ~((F.coalesce(writer, F.lit("")) == "ogrenci") & part(normalize_style(f))))
     return F.transform(bad, lambda f: _finding("ATF-01", "hata", f))

@@ -300,3 +300,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "govde_007.txt").write_text("bir\n\niki")
     assert [tuple(r) for r in readers.read_bodies(spark, str(tmp_path / "g")).collect()] == [("007", "bir\n\niki")]
+
+
+def test_bare_name_after_many_faculty_names(spark):
+    docs = spark.createDataFrame([(1, "Gazi Eğitim Fakültesi " * 10_001), (2, "Gazi Eğitim Fakültesi " * 10_001 + "Gazi tarafından")], "id int, text string")
+    found = docs.select("id", F.size(lint.names(F.col("text"), F.array(F.lit("Gazi")), F.lit("ogrenci"))).alias("n"))
+    assert {r.id: r.n for r in found.collect()} == {1: 0, 2: 1}
