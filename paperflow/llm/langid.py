@@ -6,8 +6,8 @@ the least summed logistic loss against the classifiers' margins wins, its share
 ambiguous if the two best shares differ by less than AMBIGUOUS, and rejected if it is `und`, or ambiguous with more wrong bits
 than the code corrects.
 
-The classifiers are fitted on a bounded sample: at most max_train_docs labelled rows, in equal parts for each language, chosen
-by a hash of the id; the rest of the work covers all rows.
+The classifiers are fitted on a bounded sample: at most max_train_docs labelled rows, in about equal parts for each language,
+chosen by a hash of the id; the rest of the work covers all rows.
 
 Nulls and odd input: a null text or one without a letter is `und` with score 0; a null language is not learned; a null id is
 never held out and never learned from; without any labelled row every text is `und`; with one language every other text has
@@ -21,11 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, fresh, utf8
+from .common import SLICE_BYTES, fresh, small_batches, tidy, utf8
 
 BUCKETS = 4096
 AMBIGUOUS = 0.2
@@ -64,13 +63,12 @@ def histograms(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) ->
 
 
 def code_matrix(n: int, seed: int = 3) -> np.ndarray:
-    """Codewords (n x bits) of -1 and 1: all distinct splits of up to 5 languages, beyond that the random 31 bits with the
-    largest least distance of 300 draws."""
+    """Codewords (n x bits) of -1 and 1: all distinct splits of up to 5 languages (two or three languages have too few to
+    correct a bit), beyond that the random 31 bits with the largest least distance of 300 draws."""
     if n <= 1:
-        return np.ones((n, 7))
+        return np.ones((n, 1))
     if n <= 5:
-        splits = [[(s >> i) & 1 for i in range(n)] for s in range(1, 2 ** (n - 1))]
-        return np.tile(np.array(splits).T * 2.0 - 1, (1, max(1, 7 // len(splits))))
+        return np.array([[(s >> i) & 1 for i in range(n)] for s in range(1, 2 ** (n - 1))]).T * 2.0 - 1
     rng, best, most = np.random.default_rng(seed), None, -1
     for _ in range(300):
         code = rng.choice([-1.0, 1.0], (n, 31))
@@ -127,25 +125,34 @@ def held_out(id_col: str, mod: int, rest: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(False))
 
 
+def uniform(id_col: str, salt: int):
+    """A number from 0 to 1 that depends on the id alone."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)), 11) / float(1 << 53)
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fits on rows that aren't held out; at most max_train_docs of them, in equal parts for each language."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col, HELD_OUT, 0))
+    rows = small_batches(docs).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col, HELD_OUT, 0))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.ones((0, 7)), np.zeros((BUCKETS, 7), np.float32), np.zeros(7, np.float32))
+        return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     each = max(1, max_train_docs // len(languages))
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))])
-    some = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
+    place = fresh(rows, "_place")
+    some = rows.withColumn(place, uniform(id_col, 17) / share[F.col(lang_col)]).where(F.col(place) < 1)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = histograms(*utf8(batch.column(1))).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                x = histograms(*utf8(part.column(1))).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2)], ["lang", "x", "place"])
 
-    got = some.select(F.col(lang_col), F.lower(F.col(text_col).cast("string"))).mapInArrow(features, "lang string, x binary").toArrow()
+    got = some.select(F.col(lang_col), F.lower(F.col(text_col).cast("string")), place).mapInArrow(tidy(features), "lang string, x binary, place double")
+    got = got.orderBy("place").limit(max_train_docs).toArrow()  # the draw is max_train_docs by expectation, this makes it a bound
     if not got.num_rows:
-        return Model([], np.ones((0, 7)), np.zeros((BUCKETS, 7), np.float32), np.zeros(7, np.float32))
+        return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     labels = got["lang"].to_pylist()
     languages = sorted(set(labels))
@@ -158,7 +165,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_
 
 def _inputs(text_col: str) -> list:
     text = F.col(text_col).cast("string")
-    return [F.lower(text).alias("_lowered"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters")]
+    return [F.lower(text), F.coalesce(text.rlike(r"\p{L}"), F.lit(False))]
 
 
 def _judge(model):
@@ -183,17 +190,15 @@ def _judge(model):
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """The rows of docs, in all their columns, that are not rejected."""
+    """The rows of docs, in all their columns, that are not rejected. Python sees the texts and returns a boolean alone."""
     judged = _judge(docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, max_train_docs)))
-    n, schema = len(docs.columns), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pc.invert(judged(batch.column(n), batch.column(n + 1))[-1])
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema(list(batch.schema)[:n])).filter(keep)
+    @F.arrow_udf("boolean")
+    def rejected(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, letters in columns:
+            yield judged(texts, letters)[-1]
 
-    lowered, letters = _inputs(text_col)
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], lowered.alias(fresh(docs, "_lowered")), letters.alias(fresh(docs, "_letters"))).mapInArrow(run, schema)
+    return small_batches(docs).where(~rejected(*_inputs(text_col)))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
@@ -207,4 +212,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), held_out(id_col, HELD_OUT, 0).alias("held_out"), *_inputs(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, lead double, wrong_bits int, ambiguous boolean, rejected boolean")
+    return small_batches(rows).mapInArrow(tidy(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, lead double, wrong_bits int, ambiguous boolean, rejected boolean")

@@ -14,78 +14,117 @@ documents of their own; other columns of the input are ignored; an empty table g
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches, tidy
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 GROUP_TOKENS = 2_000_000
 STEP_WINDOWS = 32
-CACHE_WORDS = 800_000
+CACHE_BYTES = 24 << 20
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 
 
+# How a tokenizer file must cut texts for its words never to span white space.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
+
+
 class WordTokenizer:
-    """Ids of whole texts by a vocabulary whose words never span white space: a word met before costs one look-up.
+    """Ids of whole texts by a tokenizer file. If the file cuts texts as WORDWISE says, a word met before costs one look-up;
+    any other tokenizer encodes whole texts.
 
     Words of ASCII letters are encoded by the model itself, other words by the whole tokenizer. Texts with control white
-    space or letters whose lower case depends on their place are left to the tokenizer whole."""
+    space or letters whose lower case depends on their place are left to the tokenizer whole. What is remembered is kept in
+    two generations of cache_bytes each: words that come up again move to the younger one, the older one is dropped."""
 
     _odd = regex.compile(r"[\x1c-\x1f\x85]")
     _plain = regex.compile(r"[a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        stated = json.loads(self.tokenizer.to_str())
+        self.wordwise = all(stated[k] == v for k, v in WORDWISE.items()) and all(x["content"].startswith("<|") for x in stated["added_tokens"])
+        largest = max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.kind, self.code = ("<u2", "H") if largest < 1 << 16 else ("<u4", "I")
+        self.cache_bytes, self.held = cache_bytes, 0
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _unknown(self, words: set[str]) -> list[str]:
+        """Those that the younger generation lacks, once it has taken what it can from the older one."""
+        new = words - self.cache.keys()
+        found = new & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in found)
+        self._count(found)
+        return list(new - found)
+
+    def _count(self, words: Collection[str]) -> None:
+        self.held += 170 * len(words) + 2 * sum(map(len, words)) + sum(map(len, map(self.cache.__getitem__, words)))
 
     def _letters(self, words: list[str]) -> None:
-        """Puts words of letters alone in the cache: plain ASCII by the model itself, others many at a time by the library."""
-        cache, tokenize, rest = self.cache, self.model.tokenize, []
+        """Remembers words of letters alone: plain ASCII by the model itself, others many at a time by the library."""
+        cache, code, tokenize, rest = self.cache, self.code, self.model.tokenize, []
         for w in words:
             if w.isascii():
-                cache[w] = array("H", [x.id for x in tokenize(w)]).tobytes()
+                cache[w] = array(code, [x.id for x in tokenize(w)]).tobytes()
             else:
                 rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u2").tobytes()
+        self._whole(rest)
+
+    def _whole(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.cache[w] = array(self.code, e.ids).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Puts words (lower case, without white space) in the cache. A word of letters with a tail of ASCII punctuation is
-        its letters, then its tail."""
-        cache, letters, tailed, other = self.cache, [], [], []
+        """Remembers new words (lower case, without white space). A word of letters with a tail of ASCII punctuation is its
+        letters, then its tail."""
+        cache, letters, tailed, other = self.cache, set(), [], []
         for w in words:
             core = w.rstrip(_TAIL)
-            if not core:
-                other.append(w)
-            elif not core.isalpha() or not (core.isascii() or self._plain.fullmatch(core)):
-                other.append(w)
-            else:
-                if core not in cache:
-                    letters.append(core)
+            if core.isalpha() and (core.isascii() or self._plain.fullmatch(core)):
+                letters.add(core)
                 if len(core) != len(w):
                     tailed.append((w, core, w[len(core) :]))
-        self._letters(list(dict.fromkeys(letters)))
-        tails = list({t for _, _, t in tailed if t not in cache})
-        for w, e in zip(other + tails, self.tokenizer.encode_batch_fast(other + tails, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u2").tobytes()
+            else:
+                other.append(w)
+        new = self._unknown(letters)
+        self._letters(new)
+        more = self._unknown({t for _, _, t in tailed})
+        self._whole(other + more)
         for w, core, tail in tailed:
             cache[w] = cache[core] + cache[tail]
+        self._count({*words, *new, *more})
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -93,19 +132,19 @@ class WordTokenizer:
         met: set[str] = set()
         for i, t in enumerate(texts):
             if not t:
-                out[i] = np.zeros(0, "<u2")
-            elif self._odd.search(t) or "<|" in t or "Σ" in t or "İ" in t:
+                out[i] = np.zeros(0, self.kind)
+            elif not self.wordwise or self._odd.search(t) or "<|" in t or "Σ" in t or "İ" in t:
                 out[i] = self._encode(t)
             else:
                 split[i] = t.lower().split()
                 met.update(split[i])
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn([w for w in met if w not in self.cache])
+        if self.held > self.cache_bytes:
+            self.cache, self.older, self.held = {}, self.cache, 0
+        self._learn(self._unknown(met))
         get = self.cache.__getitem__
         for i, words in enumerate(split):
             if words is not None:
-                out[i] = np.frombuffer(b"".join(map(get, words)), "<u2")
+                out[i] = np.frombuffer(b"".join(map(get, words)), self.kind)
         return out
 
 
@@ -208,7 +247,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     step_group. Sequence ids and step groups are unique across the table: the partition's number stands in the upper bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, packer = WordTokenizer(tokenizer_path), Packer(tiers)
+        tokenize, packer = WordTokenizer(tokenizer_path, end_id), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         state = {"sequence": base, "step": base}
         ids: list = []
@@ -237,7 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(lo, 500)
                 for i, t in zip(part.column(0).to_pylist(), tokenize(part.column(1).to_pylist()), strict=True):
                     ids.append(i)
-                    tokens.append(np.append(t, np.array(end_id, "<u2")))
+                    tokens.append(np.append(t, np.array(end_id, t.dtype)))
                     held += len(tokens[-1])
                     if held >= group_tokens:
                         yield flush()
@@ -245,6 +284,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if ids:
             yield flush()
 
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(rows).mapInArrow(tidy(run), SCHEMA)

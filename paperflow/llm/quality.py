@@ -3,7 +3,7 @@
 A text is a sparse vector x: root counts of hashed words (length 1), and one indicator for the quantile bin of each structure
 statistic (shares of upper case, digits, punctuation, symbols, lines, distinct words ...) and of its length. The score is
 sigmoid(w0 + w.x + sum over pairs <v_i, v_j> x_i x_j); with rank-k factors the pair sum is
-half of the sum over factors of (sum v x)^2 - sum v^2 x^2, linear in the non-zero features.
+half of the sum over factors of (sum v x)^2 - sum v^2 x^2, which scoring takes over the non-zero features alone.
 
 It is fitted on a bounded sample: at most max_train_docs labelled rows, chosen by a hash of the id; scoring covers all rows.
 
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, word_hashes
-from .langid import held_out
+from .common import small_batches, tidy, utf8, word_hashes
+from .langid import held_out, uniform
 
 WORD_BUCKETS = 4096
 BINS = 8
@@ -54,8 +54,8 @@ def _grouped(raw: np.ndarray, offsets: np.ndarray, limit: int = 256, most: int =
         lo = hi
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word part (texts x WORD_BUCKETS, rows of length 1) and structure statistics (texts x len(STATS))."""
+def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Word part, by its non-zero entries (text, bucket, value; rows of length 1), and structure statistics (texts x len(STATS))."""
     n = len(offsets) - 1
     counts = np.zeros((n, 10))
     size = np.diff(offsets)
@@ -64,10 +64,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     chars = size - counts[:, 8]
     words, at = word_hashes(raw, offsets)
     n_words = np.diff(at)
-    doc = np.repeat(np.arange(n), n_words)
-    table = np.bincount(doc * WORD_BUCKETS + (words >> np.uint64(52)).astype(np.int64), minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS)
-    x = np.sqrt(table).astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    cells, times = np.unique(np.repeat(np.arange(n), n_words) * WORD_BUCKETS + (words >> np.uint64(52)).astype(np.int64), return_counts=True)
+    doc, bucket = np.divmod(cells, WORD_BUCKETS)
+    value = np.sqrt(times / np.maximum(n_words, 1)[doc]).astype(np.float32)
+    top = np.zeros(n)
+    np.maximum.at(top, doc, times)
     c, w = np.maximum(chars, 1), np.maximum(n_words, 1)
     ends = np.zeros(n)
     if len(raw):
@@ -75,8 +76,14 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         closing = odd & np.append((raw[1:] == 32) | (raw[1:] == 10), True)
         total = np.concatenate([[0], np.cumsum(closing)])
         ends = (total[offsets[1:]] - total[offsets[:-1]]) / w
-    stats = np.column_stack([np.log1p(chars), np.log1p(n_words), chars / w, *(counts[:, k] / c for k in range(6)), counts[:, 6] / w, counts[:, 9] / c, (table > 0).sum(1) / w, (table.max(1) if n else np.zeros(0)) / w, ends])
-    return x, stats
+    stats = np.column_stack([np.log1p(chars), np.log1p(n_words), chars / w, *(counts[:, k] / c for k in range(6)), counts[:, 6] / w, counts[:, 9] / c, np.bincount(doc, minlength=n) / w, top / w, ends])
+    return (doc, bucket, value), stats
+
+
+def dense(entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    x = np.zeros((n, WORD_BUCKETS), np.float32)
+    x[entries[0], entries[1]] = entries[2]
+    return x
 
 
 @dataclass
@@ -86,18 +93,31 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray
 
+    def bins(self, stats: np.ndarray) -> np.ndarray:
+        """The feature numbers of the statistics' bins (texts x statistics)."""
+        s = stats.shape[1]
+        return WORD_BUCKETS + np.arange(s) * BINS + np.column_stack([np.searchsorted(self.cuts[k], stats[:, k], "right") for k in range(s)])
+
     def vectors(self, x: np.ndarray, stats: np.ndarray) -> np.ndarray:
         """The whole feature rows: words, then indicators of the statistics' bins."""
         n, s = stats.shape
-        ones = np.zeros((n, s * BINS), np.float32)
-        for k in range(s):
-            ones[np.arange(n), k * BINS + np.searchsorted(self.cuts[k], stats[:, k], "right")] = 1 / np.sqrt(s)
-        return np.hstack([x, ones])
+        z = np.hstack([x, np.zeros((n, s * BINS), np.float32)])
+        z[np.arange(n)[:, None], self.bins(stats)] = 1 / np.sqrt(s)
+        return z
 
-    def score(self, z: np.ndarray) -> np.ndarray:
-        """Sum-of-squares identity; linear in the features."""
-        pairs = 0.5 * ((z @ self.factors) ** 2 - (z**2) @ (self.factors**2)).sum(1)
-        return 1 / (1 + np.exp(-np.clip(self.bias + z @ self.weights + pairs, -30, 30)))
+    def score(self, entries: tuple[np.ndarray, np.ndarray, np.ndarray], stats: np.ndarray) -> np.ndarray:
+        """Sum-of-squares identity over the non-zero features."""
+        n, s = stats.shape
+        if not n:
+            return np.zeros(0)
+        doc = np.concatenate([entries[0], np.repeat(np.arange(n), s)])
+        order = np.argsort(doc, kind="stable")  # every text has at least its statistics
+        place = np.concatenate([entries[1], self.bins(stats).ravel()])[order]
+        value = np.concatenate([entries[2], np.full(n * s, 1 / np.sqrt(s), np.float32)])[order]
+        starts = np.searchsorted(doc[order], np.arange(n))
+        each = self.factors[place] * value[:, None]
+        pairs = 0.5 * (np.add.reduceat(each, starts) ** 2 - np.add.reduceat(each**2, starts)).sum(1)
+        return 1 / (1 + np.exp(-np.clip(self.bias + np.add.reduceat(self.weights[place] * value, starts) + pairs, -30, 30)))
 
 
 def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.02, ridge: float = 1e-5, seed: int = 5) -> Model:
@@ -131,21 +151,23 @@ def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = 40, batch
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Fits on labelled rows that aren't held out. The chosen ids (max_train_docs at most, by expectation) are broadcast."""
+    """Fits on labelled rows that aren't held out. The chosen ids (max_train_docs at most) are broadcast."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, HELD_OUT, 1))
     share = min(1.0, max_train_docs / max(1, marks.count()))
-    some = marks.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000))
-    some = some.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    some = marks.select(F.col(id_col), F.col(label_col), uniform(id_col, 29).alias("place")).where(F.col("place") < share)
+    some = some.groupBy(id_col, "place").agg(F.max(F.col(label_col).cast("int")).alias("label")).orderBy("place", id_col).limit(max_train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                x, stats = features(*utf8(b.column(1)))
+                entries, stats = features(*utf8(b.column(1)))
+                x = dense(entries, b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in stats], pa.binary())], ["label", "x", "stats"])
 
     text = F.col(text_col).cast("string").alias("text")
-    got = docs.select(F.col(id_col), text).join(F.broadcast(some), id_col).select("label", "text").mapInArrow(run, "label int, x binary, stats binary").toArrow()
+    chosen = small_batches(docs).select(F.col(id_col), text).join(F.broadcast(some), id_col).select("label", "text")
+    got = chosen.mapInArrow(tidy(run), "label int, x binary, stats binary").limit(max_train_docs).toArrow()  # repeated ids count too
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, WORD_BUCKETS).astype(np.float32)
     stats = np.frombuffer(b"".join(got["stats"].to_pylist()), float).reshape(-1, len(STATS))
     return fit(x, stats, np.array(got["label"].to_pylist(), float))
@@ -156,20 +178,20 @@ def _scores(m: Model, texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts))
     for lo, hi in _grouped(raw, offsets):
         part = offsets[lo : hi + 1]
-        out[lo:hi] = m.score(m.vectors(*features(raw[part[0] : part[-1]], part - part[0])))
+        out[lo:hi] = m.score(*features(raw[part[0] : part[-1]], part - part[0]))
     return out
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """The rows of docs, in all their columns, with a score of at least one half."""
+    """The rows of docs, in all their columns, with a score of at least one half. Python sees the texts and returns a boolean alone."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, max_train_docs))
-    place, schema = docs.columns.index(text_col), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(model.value, batch.column(place)) >= 0.5))
+    @F.arrow_udf("boolean")
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            yield pa.array(_scores(model.value, texts) >= 0.5)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).where(good(F.col(text_col).cast("string")))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
@@ -183,4 +205,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), held_out(id_col, HELD_OUT, 1).alias("held_out"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return small_batches(rows).mapInArrow(tidy(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")

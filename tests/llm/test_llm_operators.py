@@ -233,6 +233,34 @@ def test_codes_are_apart():
     assert m.radius == 1 and m.decode(flipped[None] * 4.0)[0][0] == 2
 
 
+def test_two_languages_correct_no_bit():
+    m = langid.Model(list("ab"), langid.code_matrix(2), np.eye(1), np.zeros(1))
+    assert m.code.shape == (2, 1) and m.radius == 0
+
+
+def test_languages_of_all_rows_by_plain_loops(spark, docs):
+    m = langid.train(docs, "doc_id", "text", "lang")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+
+    def plain(text):
+        low = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in text.lower().encode())
+        counts = collections.Counter()
+        for width in (2, 3):
+            for i in range(len(low) - width + 1):
+                g = int.from_bytes(low[i : i + width], "big")
+                counts[((g * 2654435761 + width * 40503) * 2246822519 % 2**32) >> 20] += 1
+        norm = math.sqrt(sum(counts.values())) or 1
+        margins = [sum(m.weights[h, b] * math.sqrt(c) / norm for h, c in counts.items()) + m.bias[b] for b in range(m.code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-x * c)) for x, c in zip(margins, code, strict=True)) for code in m.code]
+        share = [math.exp(min(losses) - x) for x in losses]
+        best = share.index(max(share))
+        return m.languages[best], share[best] / sum(share)
+
+    for r in docs.collect():
+        name, score = plain(r.text or "") if any(c.isalpha() for c in r.text or "") else ("und", 0.0)
+        assert got[r.doc_id].lang_pred == name and abs(got[r.doc_id].score - score) < 1e-3
+
+
 def test_quality_accuracy_on_held_out_rows(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = q.op3_quality(spark, sf).join(labels, "doc_id").toPandas()
@@ -244,11 +272,46 @@ def test_factorisation_identity():
     rng = np.random.default_rng(0)
     d = quality.WORD_BUCKETS + len(quality.STATS) * quality.BINS
     m = quality.Model(np.zeros((len(quality.STATS), quality.BINS - 1)), 0.3, rng.normal(size=d), rng.normal(0, 0.1, (d, quality.RANK)))
-    z = np.zeros((1, d))
-    at = rng.choice(d, 12, replace=False)
-    z[0, at] = rng.normal(size=12)
-    pairs = sum(m.factors[i] @ m.factors[j] * z[0, i] * z[0, j] for a, i in enumerate(at) for j in at[a + 1 :])
-    assert np.isclose(m.score(z)[0], 1 / (1 + np.exp(-(0.3 + z[0] @ m.weights + pairs))))
+    n, s = 3, len(quality.STATS)
+    doc, bucket = np.repeat([0, 2], 6), np.concatenate([rng.choice(quality.WORD_BUCKETS, 6, replace=False) for _ in range(2)])
+    entries, stats = (doc, bucket, rng.normal(size=12).astype(np.float32)), rng.normal(size=(n, s))
+    z = m.vectors(quality.dense(entries, n), stats)
+    assert ((z[:, quality.WORD_BUCKETS :] > 0).sum(1) == s).all()
+    for row, got in zip(z, m.score(entries, stats), strict=True):
+        at = np.flatnonzero(row)
+        pairs = sum(m.factors[i] @ m.factors[j] * row[i] * row[j] for a, i in enumerate(at) for j in at[a + 1 :])
+        assert np.isclose(got, 1 / (1 + np.exp(-(0.3 + row @ m.weights + pairs))))
+
+
+def test_quality_scores_of_all_rows_by_plain_loops(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.train(docs, labels, "doc_id", "text", "quality")
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    bucket = {}
+
+    def plain(text):
+        raw, w = text.encode(), words_of(text)
+        for x in set(w) - bucket.keys():
+            bucket[x] = int(common.word_hashes(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0][0]) >> 52
+        count = collections.Counter(bucket[x] for x in w)
+        share = lambda chars: sum(text.count(c) for c in chars) / max(len(text), 1)
+        symbols, n = "#$%&*+=<>@^_~`/\\{}[]", max(len(w), 1)
+        odd_ends = sum(c in symbols + "!" and text[i + 1 : i + 2] in ("", " ", "\n") for i, c in enumerate(text))
+        stats = [
+            math.log1p(len(text)), math.log1p(len(w)), len(text) / n, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share(".,;:?'\"()-"), share(symbols), share("|"), share("!"),
+            text.count("\n") / n, sum(b >= 192 for b in raw) / max(len(text), 1), len(count) / n, max(count.values(), default=0) / n, odd_ends / n,
+        ]
+        x = {b: math.sqrt(c / n) for b, c in count.items()}
+        for k, v in enumerate(stats):
+            x[quality.WORD_BUCKETS + k * quality.BINS + sum(v >= cut for cut in m.cuts[k])] = 1 / math.sqrt(len(stats))
+        pairs = 0.0
+        for f in range(quality.RANK):
+            total = sum(m.factors[i, f] * v for i, v in x.items())
+            pairs += (total**2 - sum((m.factors[i, f] * v) ** 2 for i, v in x.items())) / 2
+        return 1 / (1 + math.exp(-max(-30, min(30, m.bias + sum(m.weights[i] * v for i, v in x.items()) + pairs))))
+
+    want = {r.doc_id: plain(r.text or "") for r in docs.collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-3
 
 
 def test_quality_odd(spark, odd):
