@@ -6,19 +6,23 @@ forbidden_names array, key_terms array, sentence_counts array (null where there
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, content_stems, fold, normalize_style, nth, paragraphs, sentences, strip, text_or_empty
+from ..functions.text import SPACE, WHITE, content_stems, fold, normalize_style, nth, paragraphs, sentences, strip, text_or_empty
 
 # Closings, word lists and patterns of official style.
-CLOSINGS = {"arz": r"arz ederim\s*\.?\s*$", "rica": r"rica ederim\s*\.?\s*$", "karma": r"arz\s*(?:ve|/)\s*rica ederim\s*\.?\s*$", "sunulur": r"(?:bilgilerinize sunulur|saygılarımla|saygılarımı sunarım)\s*\.?\s*$"}
+CLOSINGS = {"arz": ["arz ederim"], "rica": ["rica ederim"], "karma": ["rica ederim"], "sunulur": ["bilgilerinize sunulur", "saygılarımla", "saygılarımı sunarım"]}
+BOTH_CLOSINGS = r"arz\s*(?:ve|/)\s*rica ederim$"
 FORBIDDEN_CLOSINGS = ["arz olunur", "rica olunur", "arz edilir", "rica edilir", "arz ederiz", "rica ederiz", "arz etmekteyiz", "rica etmekteyiz", "arz olunmaktadır", "rica olunmaktadır", "arz ve rica olunur"]
 BY_DIRECTION = {"ust": "arz", "ayni": "arz", "alt": "rica", "karma": "karma", "gercek_kisi": "sunulur", "kurum_disi": "rica"}
+FIRST_PERSON_MARKS = ["yor", "makta", "mekte", "acağ", "eceğ"]  # each of the suffixes below has one
 FIRST_PERSON = r"(?U)\b\w{2,}(?:ıyoruz|iyoruz|uyoruz|üyoruz|ıyorum|iyorum|uyorum|üyorum|maktayız|mekteyiz|maktayım|mekteyim|acağız|eceğiz|acağım|eceğim)\b"
-PAST_PLURAL = r"(?U)\b(\w{2,}(?:dık|dik|duk|dük|tık|tik|tuk|tük))\b"
+PAST_SUFFIXES = ["dık", "dik", "duk", "dük", "tık", "tik", "tuk", "tük"]
+PAST_PLURAL = rf"(?U)\b(\w{{2,}}(?:{'|'.join(PAST_SUFFIXES)}))\b"
 VERB_STEMS = """yap et al ver gör bul sun gönder iste incele değerlendir belirle belirt hazırla karar uygula başlat tamamla düşün bildir sapta
 yaşa git gel kal kat edin öğren anla söyle yaz oku çalış kullan ekle çıkar geç dön bak sor cevapla düzenle düzelt onayla kabul ilet aktar taşı
 kur gerçekleş sürdür yürüt izle denetle ölç hesapla planla teklif sağla üret""".split()
@@ -41,13 +45,23 @@ REFERENCE_TERM = r"^\s*ilgi(?:de)?\s+(?:kayıtlı\s+)?(?:yazı|başvuru|talep|ta
 CLOSING_TAIL = r"(?:bilgilerini(?:zi|ze)?\s+(?:ve\s+gereğini\s+)?)?(?:arz|rica)(?:\s*(?:ve|/)\s*rica)?\s+ederim\s*\.?\s*$"
 COVERAGE = 0.6
 
+# Rules made of the lists: past stems with and without a voice suffix, and the listed forms that PAST_PLURAL doesn't cover.
+PAST_STEMS = sorted({stem + voice for stem in VERB_STEMS for voice in ("", *VOICES)})
+LISTED = rf"(?U)\b({'|'.join(sorted(w for w in FIRST_PERSON_WORDS if not w.endswith(tuple(PAST_SUFFIXES))))})\b"
+NONE = "array<struct<rule_id:string,severity:string,detail:string,quote:string>>"
+
 
 def _finding(rule: str, severity: str, quote: Column | None = None, detail: str = "") -> Column:
     return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(detail).alias("detail"), (quote if quote is not None else F.lit(None)).cast("string").alias("quote"))
 
 
 def _when(condition: Column, finding: Column) -> Column:
-    return F.when(F.coalesce(condition, F.lit(False)), F.array(finding)).otherwise(F.array().cast("array<struct<rule_id:string,severity:string,detail:string,quote:string>>"))
+    return F.when(F.coalesce(condition, F.lit(False)), F.array(finding)).otherwise(F.array().cast(NONE))
+
+
+def _any(text: Column, marks: list[str]) -> Column:
+    """One of the marks occurs: a cheap test before a pattern that needs one of them."""
+    return reduce(lambda out, m: out | text.contains(m), marks, F.lit(False))
 
 
 def stripped(text: Column) -> Column:
@@ -61,8 +75,9 @@ def tail(text: Column, n: int) -> Column:
 def completeness(text: Column) -> Column:
     """TAM-01."""
     t = stripped(text)
-    last = nth(sentences(tail(nth(paragraphs(t), -1), 400)), -1)  # enough to see whether it is one word
     ended = t.rlike(r"[.!?]$")
+    alone = t.rlike(r"(?U)(?:\A|[.!?]\s+|\n\s*)\S+\z")  # else the last sentence has two words at least
+    last = F.when(alone, nth(sentences(nth(paragraphs(t), -1)), -1))
     return F.concat(_when(t == "", _finding("TAM-01", "hata", detail="empty")), _when((t != "") & ~ended, _finding("TAM-01", "hata", tail(t, 60), "cut")), _when((t != "") & ended & (F.size(F.split(F.trim(last), SPACE)) < 2), _finding("TAM-01", "uyari", last, "short")))
 
 
@@ -81,26 +96,29 @@ def expected_closing(writer: Column, direction: Column) -> Column:
 def closing(text: Column, writer: Column, direction: Column, n: Column | None = None) -> Column:
     """ME-02, ME-03."""
     n = normalize_style(stripped(text)) if n is None else n
-    end = tail(n, 80)  # longer than any closing
+    bare = F.rtrim(n, F.lit(WHITE))
+    bare = F.when(bare.endswith("."), F.rtrim(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(WHITE))).otherwise(bare)
+    ends = {kind: reduce(lambda out, p: out | bare.endswith(p), phrases, F.lit(False)) for kind, phrases in CLOSINGS.items()}
+    ends["karma"] = ends["karma"] & bare.rlike(BOTH_CLOSINGS)
     wanted = expected_closing(writer, direction)
-    has = reduce(lambda out, kv: out | ((wanted == kv[0]) & end.rlike(kv[1])), CLOSINGS.items(), F.lit(False))
-    other = reduce(lambda out, kv: out | end.rlike(kv[1]), CLOSINGS.items(), F.lit(False))
+    has = reduce(lambda out, kv: out | ((wanted == kv[0]) & kv[1]), ends.items(), F.lit(False))
+    other = reduce(lambda out, kv: out | kv[1], ends.items(), F.lit(False))
     last = tail(F.substring_index(stripped(text), "\n", -1), 70)
-    forbidden = [_when(n.contains(w), _finding("ME-02", "hata", F.lit(w), "forbidden")) for w in FORBIDDEN_CLOSINGS]
-    return F.concat(*forbidden, _when(n.contains("önem arz et"), _finding("ME-02", "uyari", detail="importance")), _when(~has & other, _finding("ME-03", "hata", last, "direction")), _when(~has & ~other, _finding("ME-02", "hata", last, "missing")))
+    forbidden = F.concat(*[_when(n.contains(w), _finding("ME-02", "hata", F.lit(w), "forbidden")) for w in FORBIDDEN_CLOSINGS])
+    return F.concat(F.when(_any(n, ["arz ", "rica "]), forbidden).otherwise(F.array().cast(NONE)), _when(n.contains("önem arz et"), _finding("ME-02", "uyari", detail="importance")), _when(~has & other, _finding("ME-03", "hata", last, "direction")), _when(~has & ~other, _finding("ME-02", "hata", last, "missing")))
 
 
 def first_person(text: Column, writer: Column, n: Column | None = None) -> Column:
     """K13.1: suffixes that only a first person has, past forms of known verbs, and a list of forms."""
-    body = F.regexp_replace(normalize_style(stripped(text)) if n is None else n, CLOSING_TAIL, "")
-    sure = F.regexp_extract_all(body, F.lit(FIRST_PERSON), F.lit(0))
-    stem = lambda w: F.regexp_replace(w, "(dık|dik|duk|dük|tık|tik|tuk|tük)$", "")
-    peeled = lambda s: reduce(lambda out, v: out | (s.endswith(v) & F.substring(s, F.lit(1), F.length(s) - len(v)).isin(VERB_STEMS)), VOICES, s.isin(VERB_STEMS))
-    past = F.filter(F.regexp_extract_all(body, F.lit(PAST_PLURAL), F.lit(1)), lambda w: ~w.isin(NOT_VERBS) & peeled(stem(w)))
-    listed = F.filter(F.regexp_extract_all(body, F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: w.isin(FIRST_PERSON_WORDS) & ~w.rlike(PAST_PLURAL))
-    words = F.concat(sure, past, listed)
-    found = F.transform(words, lambda w: _finding("K13.1", "hata", w))
-    return F.when(F.coalesce(writer, F.lit("")).isin(PERSONAL_WRITERS), F.array().cast("array<struct<rule_id:string,severity:string,detail:string,quote:string>>")).otherwise(found)
+    body = normalize_style(stripped(text)) if n is None else n
+    body = F.when(_any(body, ["arz", "rica"]), F.regexp_replace(body, CLOSING_TAIL, "")).otherwise(body)
+    words = F.array().cast("array<string>")
+    sure = F.when(_any(body, FIRST_PERSON_MARKS), F.regexp_extract_all(body, F.lit(FIRST_PERSON), F.lit(0))).otherwise(words)
+    stem = lambda w: F.substring(w, F.lit(1), F.length(w) - 3)  # noqa: E731  each suffix has three letters
+    past = F.filter(F.regexp_extract_all(body, F.lit(PAST_PLURAL), F.lit(1)), lambda w: ~w.isin(NOT_VERBS) & stem(w).isin(PAST_STEMS))
+    past = F.when(_any(body, PAST_SUFFIXES), past).otherwise(words)
+    found = F.transform(F.concat(sure, past, F.regexp_extract_all(body, F.lit(LISTED), F.lit(1))), lambda w: _finding("K13.1", "hata", w))
+    return F.when(F.coalesce(writer, F.lit("")).isin(PERSONAL_WRITERS), F.array().cast(NONE)).otherwise(found)
 
 
 def office_words(text: Column, writer: Column, n: Column | None = None) -> Column:
@@ -112,8 +130,9 @@ def office_words(text: Column, writer: Column, n: Column | None = None) -> Colum
 def names(text: Column, forbidden: Column, writer: Column, n: Column | None = None) -> Column:
     """ATF-01: a student may use a name where every occurrence is part of a faculty's or school's name."""
     n = normalize_style(text) if n is None else n
-    after = lambda name: F.slice(F.split(n, F.concat(F.lit(r"\Q"), name, F.lit(r"\E")), -1), 2, F.length(n))
-    part = lambda name: F.forall(after(name), lambda t: reduce(lambda o, w: o | F.ltrim(F.substring(t, 1, 40)).startswith(w), FACULTY_WORDS, F.lit(False)))
+    quoted = lambda name: F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    after = lambda name: F.regexp_extract_all(n, F.concat(F.lit("(?s)(?="), quoted(name), F.lit("(.{0,40}))")), F.lit(1))  # noqa: E731  overlapping occurrences too
+    part = lambda name: F.forall(after(name), lambda t: reduce(lambda o, w: o | F.ltrim(t, F.lit(WHITE)).startswith(w), FACULTY_WORDS, F.lit(False)))
     bad = F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda f: n.contains(normalize_style(f)) & (F.trim(f) != "") & ~((F.coalesce(writer, F.lit("")) == "ogrenci") & part(normalize_style(f))))
     return F.transform(bad, lambda f: _finding("ATF-01", "hata", f))
 
@@ -132,7 +151,7 @@ def attachments(text: Column, attachment: Column, name: Column, n: Column | None
     n = normalize_style(text) if n is None else n
     words = F.filter(F.split(normalize_style(name), SPACE), lambda w: F.length(w) > 4)
     named = F.coalesce((F.size(words) > 0) & F.forall(words, lambda w: n.contains(w)), F.lit(False))
-    placed = n.rlike(ATTACHED)
+    placed = _any(n, ["ek", "ilişi"]) & n.rlike(ATTACHED)
     return F.concat(_when(attachment & ~placed & ~named, _finding("EK-01", "hata")), _when(~attachment & placed, _finding("EK-02", "hata", F.regexp_extract(n, ATTACHED, 0))))
 
 
@@ -140,7 +159,7 @@ def references(text: Column, reference: Column, n: Column | None = None) -> Colu
     """ILG-01, ILG-02, ILG-03."""
     n = normalize_style(text) if n is None else n
     first = normalize_style(nth(sentences(nth(paragraphs(text), 1)), 1))
-    here, anywhere = F.coalesce(first.rlike(REFERRED), F.lit(False)), n.rlike(REFERRED)
+    here, anywhere = F.coalesce(first.rlike(REFERRED), F.lit(False)), n.contains("ilgi") & n.rlike(REFERRED)
     return F.concat(_when(reference & ~here & anywhere, _finding("ILG-01", "uyari", F.substring(first, 1, 70))), _when(~reference & anywhere, _finding("ILG-02", "hata")), _when(reference & ~here & ~anywhere, _finding("ILG-03", "hata", F.substring(first, 1, 70))))
 
 
@@ -150,7 +169,7 @@ def structure(text: Column, counts: Column) -> Column:
     same = F.size(parts) == F.size(counts)
     own = F.transform(parts, lambda p: F.size(sentences(p)))
     off = F.filter(F.transform(F.arrays_zip(own.alias("own"), counts.alias("wanted")), lambda z: F.when(z["own"] != z["wanted"], _finding("BCM-02", "uyari", F.concat_ws("/", z["own"].cast("string"), z["wanted"].cast("string"))))), lambda x: x.isNotNull())
-    return F.when(counts.isNull(), F.array().cast("array<struct<rule_id:string,severity:string,detail:string,quote:string>>")).when(same, off).otherwise(F.array(_finding("BCM-01", "hata", F.size(parts).cast("string"))))
+    return F.when(counts.isNull(), F.array().cast(NONE)).when(same, off).otherwise(F.array(_finding("BCM-01", "hata", F.size(parts).cast("string"))))
 
 
 GROUPS = ("completeness", "form", "closing", "first_person", "office_words", "names", "coverage", "attachments", "references", "structure")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import board, corpus, evaluate, lines, lint, matching, register, routing, rules, sampling
 from ..sources import dimensions, readers
-from .views import table, view, with_views
+from .views import spread, table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +46,7 @@ FOLD = "trim(regexp_replace(lower(translate(text, 'ÀÁÃÄÅÈÉÊËÌÍÏÑÒ
 
 @query("n1_fold", f"SELECT doc_id, {FOLD} AS folded FROM documents")
 def n1(s, d):
-    return table(s, d, "documents").select("doc_id", t.fold(F.col("text")).alias("folded"))
+    return spread(table(s, d, "documents")).select("doc_id", t.fold(F.col("text")).alias("folded"))
 
 
 @query("n2_fold_hard", f"SELECT doc_id, trim(regexp_replace(translate({FOLD}, '1l|0', 'iiio'), '\\s+', ' ', 'g')) AS folded FROM documents")
@@ -211,19 +211,25 @@ def a5(s, d):
     return board.rule_frequency(found, "doc_id").select("rule_id", "n")
 
 
-@query("t1_lint", r"""SELECT rule_id, detail, count(*) AS n FROM (
-  SELECT 'TAM-01' AS rule_id, 'cut' AS detail FROM documents WHERE trim(text, ' ' || chr(10)) <> '' AND NOT regexp_matches(text, '[.!?]\s*$')
-  UNION ALL SELECT 'BIC-01', 'exclamation' FROM documents WHERE contains(text, '!') UNION ALL SELECT 'BIC-01', 'code' FROM documents WHERE contains(text, '```')
-  UNION ALL SELECT 'BIC-01', 'ellipsis' FROM documents WHERE contains(text, '...') OR contains(text, '…')
-  UNION ALL SELECT 'BIC-01', 'markup' FROM documents WHERE regexp_matches(text, '(?m)\*\*|^#{1,6}\s|^\s*[-*+]\s+|^\s*\d+[.)]\s+')) GROUP BY 1, 2""")
+_ABBREVIATED = "(?:" + "|".join(t.ABBREVIATIONS) + "|[A-ZÇĞİÖŞÜ])"
+
+
+@query("t1_lint", r"""WITH x AS (SELECT text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents)
+SELECT rule_id, detail, count(*) AS n FROM (
+  SELECT 'TAM-01' AS rule_id, 'cut' AS detail FROM x WHERE t <> '' AND NOT regexp_matches(t, '[.!?]$')
+  UNION ALL SELECT 'TAM-01', 'empty' FROM x WHERE coalesce(t, '') = ''
+  UNION ALL SELECT 'TAM-01', 'short' FROM x WHERE regexp_matches(t, '[.!?]$') AND (regexp_matches(t, '^\S+$') OR (regexp_matches(t, '[.!?]\s+[A-ZÇĞİÖŞÜ"„]\S*$') AND NOT regexp_matches(t, '\b""" + _ABBREVIATED + r"""\.\s+\S+$')))
+  UNION ALL SELECT 'BIC-01', 'exclamation' FROM x WHERE contains(text, '!') UNION ALL SELECT 'BIC-01', 'code' FROM x WHERE contains(text, '```')
+  UNION ALL SELECT 'BIC-01', 'ellipsis' FROM x WHERE contains(text, '...') OR contains(text, '…')
+  UNION ALL SELECT 'BIC-01', 'markup' FROM x WHERE regexp_matches(text, '(?m)\*\*|^#{1,6}\s|^\s*[-*+]\s+|^\s*\d+[.)]\s+')) GROUP BY 1, 2""")
 def t1(s, d):
-    found = lint.lint(table(s, d, "documents").select("doc_id", "text"), groups=("completeness", "form"))
-    return found.where("detail <> 'short'").groupBy("rule_id", "detail").agg(F.count("*").alias("n"))
+    found = lint.lint(spread(table(s, d, "documents").select("doc_id", "text")), groups=("completeness", "form"))
+    return found.groupBy("rule_id", "detail").agg(F.count("*").alias("n"))
 
 
 @query("t_full_lint")
 def t_full(s, d):
-    bodies = table(s, d, "documents").select("doc_id", "text", F.lit("kurum").alias("writer"), F.lit("ust").alias("direction"), F.lit(False).alias("attachment"), F.lit(False).alias("reference"))
+    bodies = spread(table(s, d, "documents").select("doc_id", "text")).select("*", F.lit("kurum").alias("writer"), F.lit("ust").alias("direction"), F.lit(False).alias("attachment"), F.lit(False).alias("reference"))
     return corpus.body_audit(lint.lint(bodies))
 
 
