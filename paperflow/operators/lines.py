@@ -4,12 +4,16 @@ lines: doc_id, line_no, text (y, page where needed). Everything after lines_from
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nth, squeeze_space, tr_lower
+from ..functions.text import nth, parse_tr_date, squeeze_space, tr_lower
 
 # Tolerances, marks and label patterns of printed letters.
 LINE_TOLERANCE = 6.0
@@ -27,32 +31,81 @@ LABEL_REFERENCE = r"(?iu)^\s*[İIi]lg[ıi1l|]\s*[:：]?\s+(?=\d{2}\.\d{2}\.\d{4}
 STATE_HEADER = r"\bT\.?\s*C\b\.?(?![\s.]*Kimlik)"
 COMPANY = r"(?iu)\b(Ltd\.?\s*Şti\.?|A\.?\s*Ş\.?|Limited|Anonim)(?![\p{L}])"
 CLOSING = r"(?iu)(?<![\p{L}])ederim(?![\p{L}])"
-
-
-def _anchored(y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Line numbers of sorted heights: a line goes on while the distance to its first word is within the tolerance."""
-    out, line, anchor = np.zeros(len(y), np.int32), -1, -np.inf
-    for i, v in enumerate(y):
-        if line < 0 or abs(v - anchor) > tolerance:
-            line, anchor = line + 1, v
-        out[i] = line
-    return out
+REFERENCE_MARK = r"(?iu)tarihli\s+ve|say[ıi]l[ıi]\s+yaz"
+NUMBER = r"(\bE-\d{8}-[\d.]+-\d+\b)"
+COMPANY_NUMBER = r"(\b(?:19|20)\d{2}/\d{1,6}\b)"
+DATE = r"(\b\d{2}\.\d{2}\.\d{4}\b)"
+ATTACHMENT_ONE = r"(?iu)^\s*Ek\s*[:：]\s*(.+?)\s*\((\d+)\s*Sayfa\)"
+ATTACHMENT_MANY = r"(?iu)^\s*(?:EKLER|Ek)\s*[:：]\s*(\d+)\s*adet"
+DISTRIBUTION = r"(?iu)^\s*(DAĞITIM|DAGITIM)\s*[:：]?\s*$"
+PERSON = r"[A-ZÇĞİÖŞÜ][a-zçğıöşüâî]+(?:\s+[A-ZÇĞİÖŞÜ][a-zçğıöşüâî]+)*\s+[A-ZÇĞİÖŞÜ]{2,}"
+
+
+def _anchored(y: list[float], tolerance: float) -> list[int]:
+    """Where lines begin in ascending heights: a line goes on while the distance to its first word is within the tolerance."""
+    starts, i = [], 0
+    while i < len(y):
+        starts.append(i)
+        j = bisect.bisect_right(y, y[i] + tolerance, i + 1)
+        while j < len(y) and y[j] - y[i] <= tolerance:  # where the sum was rounded down
+            j += 1
+        while j > i + 1 and y[j - 1] - y[i] > tolerance:
+            j -= 1
+        i = j
+    return starts
+
+
+def _page_lines(y: list[float], x: list[float], text: list[str], tolerance: float) -> Iterator[tuple[int, float, str]]:
+    """Number, height and text of a page's lines: words by place, the same word printed twice running once."""
+    starts = _anchored(y, tolerance)
+    for no, (a, b) in enumerate(zip(starts, [*starts[1:], len(y)], strict=True), 1):
+        words = [w for _, w in sorted(zip(x[a:b], text[a:b], strict=True))]
+        yield no, y[a], " ".join(w for i, w in enumerate(words) if not i or w != words[i - 1])
 
 
 def lines_from_words(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
-    """doc_id, page, line_no, y, text of words (doc_id, page, y, x, text), page by page."""
+    """doc_id, page, line_no, y, text of words (doc_id, page, y, x, text), page by page: one shuffle by page, sorted in Spark,
+    then one pass over the sorted rows that holds a page at a time."""
     kind = words.schema["doc_id"].dataType.simpleString()
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "text"], kind="stable")
-        page["line_no"] = _anchored(page["y"].to_numpy(), tolerance)
-        first = page.groupby("line_no", sort=True)["y"].first()
-        page = page.sort_values(["line_no", "x", "text"], kind="stable")
-        new = (page["text"] != page["text"].shift()) | (page["line_no"] != page["line_no"].shift())
-        text = page[new].groupby("line_no", sort=True)["text"].agg(" ".join)
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[0], "page": page["page"].iloc[0], "line_no": text.index + 1, "y": first.to_numpy(), "text": text.to_numpy()})
-
-    return words.where("text is not null and y is not null and x is not null").select("doc_id", "page", "y", "x", "text").groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page int, line_no int, y double, text string")
+    names = ["doc_id", "page", "line_no", "y", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, y, x, text, out, schema = None, [], [], [], [], None
+
+        def flush() -> None:
+            out.extend((*key, *line) for line in _page_lines(y, x, text, tolerance))
+            y.clear(), x.clear(), text.clear()
+
+        def ready() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), schema, strict=True)], names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            schema = [batch.schema[0].type, pa.int32(), pa.int32(), pa.float64(), pa.string()]
+            docs, pages, ys, xs, texts = (c.to_pylist() for c in batch.columns)
+            i, n = 0, len(docs)
+            while i < n:
+                j = i + 1
+                while j < n and docs[j] == docs[i] and pages[j] == pages[i]:
+                    j += 1
+                if key != (docs[i], pages[i]):
+                    if key is not None:
+                        flush()
+                    key = (docs[i], pages[i])
+                y += ys[i:j]
+                x += xs[i:j]
+                text += texts[i:j]
+                i = j
+            if out:
+                yield ready()
+        if key is not None:
+            flush()
+            yield ready()
+
+    rows = words.where("text is not null and y is not null and x is not null").select("doc_id", F.col("page").cast("int"), F.col("y").cast("double"), F.col("x").cast("double"), F.col("text").cast("string"))
+    ordered = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "y", "x", "text")
+    return ordered.mapInArrow(run, f"doc_id {kind}, page int, line_no int, y double, text string")
 
 
 def deskew(words: DataFrame, tolerance: float = LINE_TOLERANCE, least: int = 30, gain: float = 0.10) -> DataFrame:
@@ -68,7 +121,7 @@ def deskew(words: DataFrame, tolerance: float = LINE_TOLERANCE, least: int = 30,
             a = np.radians(degrees)
             return cx + (x - cx) * np.cos(a) - (y - cy) * np.sin(a), cy + (x - cx) * np.sin(a) + (y - cy) * np.cos(a)
 
-        groups = lambda v: int(_anchored(np.sort(v), tolerance).max()) + 1
+        groups = lambda v: len(_anchored(np.sort(v).tolist(), tolerance))
         angles = np.arange(-6, 6.01, 0.25)
         counts = [groups(turned(a)[1]) for a in angles]
         best = min(range(len(angles)), key=lambda i: (counts[i], abs(angles[i])))
@@ -128,20 +181,47 @@ def addressee_pass(text: Column) -> Column:
     return F.when(t.rlike(ADDRESSEE), 1).when(t.rlike(ADDRESSEE_VAGUE), 2).when(t.rlike(ADDRESSEE_WIDE), 3)
 
 
+def value_of(text: Column, pattern: str) -> Column:
+    found = F.regexp_extract(text, pattern, 1)
+    return F.when(found != "", found)
+
+
+def number_of(text: Column) -> Column:
+    return F.coalesce(value_of(text, NUMBER), value_of(text, COMPANY_NUMBER))
+
+
+def date_of(text: Column) -> Column:
+    """The first calendar date of a text, as written."""
+    return nth(F.filter(F.regexp_extract_all(text, F.lit(DATE), F.lit(1)), lambda d: parse_tr_date(d).isNotNull()), 1)
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """lines with a column m: line_no, text and what the line is or holds. Every pattern runs once for each line, before lines
+    are gathered; lines without a digit are spared those for numbers and dates."""
+    text, trimmed = F.col("text"), F.trim("text")
+    digit = text.rlike("[0-9]")
+    return lines.withColumn("m", F.struct(
+        "line_no", "text", trimmed.alias("trimmed"), addressee_pass(text).alias("pass"), trimmed.rlike(ADDRESSEE_WIDE).alias("wide"), text.rlike(LABEL_NUMBER).alias("number_label"), text.rlike(LABEL_SUBJECT).alias("subject_label"),
+        text.rlike(LABEL_REFERENCE).alias("reference_label"), text.rlike(REFERENCE_MARK).alias("reference_mark"), F.when(digit, number_of(text)).alias("number"), F.when(digit, date_of(text)).alias("date"), (digit & text.rlike(DATE)).alias("dated"),
+        text.rlike(CLOSING).alias("closing"), text.rlike(STATE_HEADER).alias("state_header"), text.rlike(COMPANY).alias("company"), (digit & text.rlike(ATTACHMENT_ONE)).alias("attachment_one"), (digit & text.rlike(ATTACHMENT_MANY)).alias("attachment_many"),
+        text.rlike(DISTRIBUTION).alias("distribution"), text.rlike(PERSON).alias("person"),
+    ))
+
+
 def outline(lines: DataFrame) -> DataFrame:
-    """One row per document from one aggregation: addressee_line and pass, first label line, closing line, header facts."""
-    p = addressee_pass(F.col("text"))
-    marked = lines.select("*", p.alias("_pass"))
-    found = marked.groupBy("doc_id").agg(F.min(F.when(F.col("_pass").isNotNull(), F.struct("_pass", "line_no"))).alias("a"), F.collect_list(F.struct("line_no", "text")).alias("all"))
+    """One row per document from one aggregation: addressee_line and pass, first label line, closing line, header facts, and the
+    marked lines in order (all)."""
+    m = marked(lines)
+    found = m.groupBy("doc_id").agg(F.min(F.when(F.col("m.pass").isNotNull(), F.struct("m.pass", "m.line_no"))).alias("a"), F.array_sort(F.collect_list("m")).alias("all"))
     at = F.col("a.line_no")
-    upper = F.filter("all", lambda x: x["line_no"] < at)
-    label = lambda x: x["text"].rlike(LABEL_NUMBER) | x["text"].rlike(LABEL_SUBJECT) | x["text"].rlike(LABEL_REFERENCE)
-    first_label = F.array_min(F.transform(F.filter(upper, label), lambda x: x["line_no"]))
-    closing = F.array_max(F.transform(F.filter("all", lambda x: (x["line_no"] >= F.coalesce(at, F.lit(0))) & x["text"].rlike(CLOSING)), lambda x: x["line_no"]))
+    found = found.withColumn("upper", F.filter("all", lambda x: x["line_no"] < at))
+    label = lambda x: x["number_label"] | x["subject_label"] | x["reference_label"]
+    first_label = F.array_min(F.transform(F.filter("upper", label), lambda x: x["line_no"]))
+    closing = F.array_max(F.transform(F.filter("all", lambda x: (x["line_no"] >= F.coalesce(at, F.lit(0))) & x["closing"]), lambda x: x["line_no"]))
     return found.select(
-        "doc_id", at.alias("addressee_line"), F.col("a._pass").alias("addressee_pass"), F.size(upper).alias("lines_above"), first_label.alias("first_label"), closing.alias("closing_line"),
-        F.exists(upper, lambda x: x["text"].rlike(STATE_HEADER)).alias("state_header"), F.exists(upper, lambda x: x["text"].rlike(COMPANY)).alias("company"), F.exists(upper, lambda x: x["text"].rlike(LABEL_NUMBER) | x["text"].rlike(LABEL_SUBJECT)).alias("labelled"),
-        F.array_sort("all").alias("all"),
+        "doc_id", at.alias("addressee_line"), F.col("a.pass").alias("addressee_pass"), F.size("upper").alias("lines_above"), first_label.alias("first_label"), closing.alias("closing_line"),
+        F.exists("upper", lambda x: x["state_header"]).alias("state_header"), F.exists("upper", lambda x: x["company"]).alias("company"), F.exists("upper", lambda x: x["number_label"] | x["subject_label"]).alias("labelled"),
+        "all",
     )
 
 
@@ -165,7 +245,7 @@ def body(found: DataFrame) -> Column:
     without a closing."""
     lines = F.filter("all", lambda x: (x["line_no"] > F.coalesce("addressee_line", F.lit(0))) & (x["line_no"] <= F.col("closing_line")))
     texts = F.transform(lines, lambda x: F.trim(x["text"]))
-    texts = F.when(nth(texts, 1).rlike(r"^\(.+\)$"), F.slice(texts, 2, 1_000_000)).otherwise(texts)
+    texts = F.when(nth(texts, 1).rlike(r"^\(.+\)$"), F.slice(texts, F.lit(2), F.size(texts))).otherwise(texts)
     return F.when(F.col("closing_line").isNotNull(), F.array_join(texts, " "))
 
 
