@@ -141,25 +141,6 @@ def l5(s, d):
     return lines.split_footer(marked, 20 / 0.75).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("part") == "footer").cast("long")).alias("footer"))
 
 
-@query("l7_document_parts")
-def l7(s, d):
-    """Letters laid out as lines: the parts found in them."""
-    return lines.document_parts(_letter_lines(s, d))
-
-
-def _letter_lines(s, d):
-    one = view(s, d, "letters").select("doc_id", F.array(F.lit("T.C."), F.concat(F.lit("SAYI : "), F.coalesce("number", F.lit("")), F.lit(" "), F.date_format("day", "dd.MM.yyyy")), F.concat(F.lit("Konu : "), F.col("subject")), F.concat("addressee", F.lit(" MÜDÜRLÜĞÜNE")), F.lit("Gereğini arz ederim."), F.concat(F.lit("Ayşe KAYA"))).alias("a"))
-    return one.select("doc_id", F.posexplode("a").alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("line_no"), "text")
-
-
-@query("x1_fields", """SELECT doc_id, number, strftime(day, '%d.%m.%Y') AS day, regexp_replace(subject, '\\s+', ' ') AS subject, addressee || ' MÜDÜRLÜĞÜNE' AS raw FROM letters""", ("letters",))
-def x1(s, d):
-    from ..operators.fields import extract_fields
-
-    f = extract_fields(_letter_lines(s, d))
-    return f.select("doc_id", F.col("number.value").alias("number"), F.col("date.value").alias("day"), F.col("subject.value").alias("subject"), F.col("addressee.raw").alias("raw"))
-
-
 # --- rules and style
 
 
@@ -577,4 +558,4 @@ def w2(s, d):
     return latest_status(rows).select("doc_id", "status", "events")
 
 
-from . import catalogue_more  # noqa: E402, F401  it registers its queries here
+from . import catalogue_more, letters  # noqa: E402, F401  they register their queries here

@@ -8,7 +8,7 @@ from ..functions import fuzzy
 from ..functions import text as t
 from ..operators import board, corpus, evaluate, fields, lines, lint, matching, register, routing, rules, sampling
 from ..sources import dimensions
-from .catalogue import _letter_lines, _units, query
+from .catalogue import _units, query
 from .views import table, view
 
 # --- text
@@ -86,21 +86,6 @@ def l6(s, d):
     return lines.strip_stock_phrases(rows).groupBy("doc_id").agg(F.sum((F.col("part") == "footer").cast("long")).alias("footer_lines"))
 
 
-@query("l8_l11_parts", "SELECT doc_id, CAST(4 AS INT) AS addressee_line, CAST(5 AS INT) AS closing_line, 'kurum' AS family, 'Gereğini arz ederim.' AS body FROM letters", ("letters",))
-def l8(s, d):
-    return lines.document_parts(_letter_lines(s, d)).select("doc_id", F.col("addressee_line").cast("int").alias("addressee_line"), F.col("closing_line").cast("int").alias("closing_line"), "family", "body")
-
-
-@query("x_evidence_rows", "SELECT doc_id, 'number' AS field_path, number AS quote, CAST(2 AS INT) AS line_no FROM letters WHERE number IS NOT NULL UNION ALL SELECT doc_id, 'date', strftime(day, '%d.%m.%Y'), 2 FROM letters UNION ALL SELECT doc_id, 'subject', subject, 3 FROM letters", ("letters",))
-def xe(s, d):
-    return fields.evidence_rows(fields.extract_fields(_letter_lines(s, d))).select("doc_id", "field_path", "quote", "line_no")
-
-
-@query("x7_signature", "SELECT doc_id, 'Ayşe KAYA' AS name FROM letters", ("letters",))
-def x7(s, d):
-    return fields.extract_fields(_letter_lines(s, d)).select("doc_id", F.col("signature.name").alias("name"))
-
-
 @query("x10_sender", "SELECT l.doc_id, CASE WHEN l.family = 'P' THEN 'kisi' WHEN u.code IS NOT NULL THEN 'birim' WHEN l.family = 'F' THEN 'sirket' END AS sender_kind, CASE WHEN l.family <> 'P' THEN u.code END AS sender_code FROM letters l LEFT JOIN units u ON u.detsis_no = CASE WHEN l.doc_id % 3 = 0 THEN CAST(10000000 + l.nation AS STRING) END", ("letters", "units"))
 def x10(s, d):
     rows = view(s, d, "letters").select("doc_id", F.when(F.col("family") == "P", "dilekce").when(F.col("family") == "F", "sirket").otherwise("kurum").alias("family"), F.array(F.lit("Antet")).alias("letterhead"), F.when(F.col("doc_id") % 3 == 0, (F.col("nation") + 10_000_000).cast("string")).alias("detsis_no"), F.col("sender").alias("person"))

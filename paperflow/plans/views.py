@@ -15,6 +15,16 @@ SELECT o.o_orderkey AS doc_id,
   o.o_orderpriority AS subject, 'kurum_' || CAST(n.n_regionkey AS STRING) AS institution, CASE WHEN o.o_orderkey % 2 = 0 THEN 'gelen' ELSE 'giden' END AS direction,
   CAST(c.c_nationkey AS INT) AS nation, CASE WHEN o.o_orderkey % 3 = 0 THEN 'genelge' WHEN o.o_orderkey % 3 = 1 THEN 'cevap_yazisi' ELSE 'dilekce' END AS belge_turu
 FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey""",
+    "letter_texts": """
+SELECT doc_id, doc_id % 3 AS kind, number, day, subject, addressee, institution, CAST(nation AS STRING) AS nation,
+  CASE doc_id % 3 WHEN 0 THEN 'T.C.' || chr(10) || 'Kurum ' || CAST(nation AS STRING) || chr(10) WHEN 1 THEN addressee || ' A.Ş.' || chr(10) || 'Kurum ' || CAST(nation AS STRING) || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 3 < 2 THEN 'SAYI : ' || coalesce(number, '') || ' ' || {date} || chr(10) || 'Konu : ' || subject || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 3 < 2 AND doc_id % 2 = 0 THEN 'İlgi : ' || substr({date}, 1, 6) || '2019 tarihli ve 2019/' || CAST(doc_id % 97 AS STRING) || ' sayılı yazı.' || chr(10) ELSE '' END
+  || addressee || ' MÜDÜRLÜĞÜNE' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '(Birim ' || CAST(nation AS STRING) || ')' || chr(10) ELSE '' END || 'İstem incelendi.' || chr(10)
+  || CASE WHEN doc_id % 7 <> 0 THEN 'Gereğini arz ederim.' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN {date} || chr(10) WHEN doc_id % 11 = 0 THEN 'Başkan a.' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 13 < 5 THEN 'Ayşe' WHEN doc_id % 13 < 9 THEN 'Mehmet Ali' ELSE 'Ömer' END || CASE WHEN doc_id % 2 = 0 THEN ' KAYA' ELSE ' DEMİR' END || CASE WHEN doc_id % 3 < 2 THEN chr(10) || 'Müdür' ELSE '' END
+  || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Ek: Liste (3 Sayfa)' WHEN 1 THEN chr(10) || 'EKLER: 2 adet' || chr(10) || '1- Rapor (5 Sayfa)' || chr(10) || '2- Harita' ELSE '' END
+  || CASE WHEN doc_id % 6 = 0 THEN chr(10) || 'DAĞITIM:' || chr(10) || 'Gereği:' || chr(10) || addressee || chr(10) || 'Bilgi:' || chr(10) || institution ELSE '' END AS text FROM letters""",
     "units": """
 SELECT 'N' || CAST(n_nationkey AS STRING) AS code, n_name AS name, 'R' || CAST(n_regionkey AS STRING) AS parent_code, CAST(CASE WHEN n_nationkey % 5 = 4 THEN 1 ELSE 2 END AS INT) AS level,
   CAST(10000000 + n_nationkey AS STRING) AS detsis_no, CAST(100 + n_nationkey % 7 AS STRING) || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '.0' || CAST(1 + n_nationkey % 9 AS STRING) END AS sdp, n_nationkey % 5 <> 4 AS routable,
@@ -54,14 +64,20 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+#: A date as dd.MM.yyyy, in either SQL.
+DATES = {"spark": "date_format(day, 'dd.MM.yyyy')", "duckdb": "strftime(day, '%d.%m.%Y')"}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{date}", DATES["spark"])
+    if name == "letter_texts":
+        sql = sql.replace("FROM letters", f"FROM ({VIEWS['letters']})")
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with these views as common tables."""
-    parts = [f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names]
+    parts = [f"{n} AS ({VIEWS[n].replace('{date}', DATES['duckdb']).format(**{t: t for t in TABLES})})" for n in names]
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + body[5:]
