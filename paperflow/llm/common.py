@@ -1,6 +1,6 @@
 """Shared parts of the corpus operators: scratch tables, Arrow text buffers, word and shingle hashes, MinHash.
 
-All hashing is vectorised over the bytes of a whole Arrow batch and cut into slices of about a megabyte, so a task's
+All hashing is vectorised over the bytes of a whole Arrow batch and cut into slices of a quarter of a megabyte, so a task's
 working set does not depend on how long a single text is beyond its own bytes and word hashes.
 """
 
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = 2 << 20
 SHINGLE_WORDS = 5
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True

@@ -43,7 +43,7 @@ def histograms(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) ->
     lo = 0
     shift = np.uint32(32 - (buckets.bit_length() - 1))
     while lo < n:
-        hi = max(lo + 1, min(int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1, lo + 256))
+        hi = max(lo + 1, min(int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1, lo + 64))
         counts = np.zeros((hi - lo) * buckets)
         for at in range(int(offsets[lo]), int(offsets[hi]), SLICE_BYTES):
             end = min(at + SLICE_BYTES + 2, int(offsets[hi]))  # two bytes over, for the grams that begin here
@@ -140,21 +140,25 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_
     each = max(1, max_train_docs // len(languages))
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))])
     place = fresh(rows, "_place")
-    some = rows.withColumn(place, uniform(id_col, 17) / share[F.col(lang_col)]).where(F.col(place) < 1)
+    drawn = rows.withColumn(place, uniform(id_col, 17) / share[F.col(lang_col)]).where(F.col(place) < 1)
+    last = drawn.select(place).orderBy(place).limit(max_train_docs).agg(F.max(place)).first()[0]  # the draw has max_train_docs rows by expectation
+    some = drawn.where(F.col(place) <= F.lit(last)) if last is not None else drawn.limit(0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 x = histograms(*utf8(part.column(1))).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2)], ["lang", "x", "place"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = some.select(F.col(lang_col), F.lower(F.col(text_col).cast("string")), place).mapInArrow(tidy(features), "lang string, x binary, place double")
-    got = got.orderBy("place").limit(max_train_docs).toArrow()  # the draw is max_train_docs by expectation, this makes it a bound
+    got = some.select(F.col(lang_col), F.lower(F.col(text_col).cast("string")), place).mapInArrow(tidy(features), "lang string, x binary").limit(max_train_docs).toArrow()
     if not got.num_rows:
         return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     labels = got["lang"].to_pylist()
+    x = np.empty((len(labels), BUCKETS), np.float32)
+    for i, row in enumerate(got["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got
     languages = sorted(set(labels))
     index = {c: i for i, c in enumerate(languages)}
     y = np.array([index[c] for c in labels])

@@ -48,8 +48,6 @@ WORDWISE = {
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
-    "post_processor": None,
-    "truncation": None,
 }
 
 
@@ -70,9 +68,11 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        stated = json.loads(self.tokenizer.to_str())
-        self.wordwise = all(stated[k] == v for k, v in WORDWISE.items()) and all(x["content"].startswith("<|") for x in stated["added_tokens"])
-        largest = max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values())
+        added = self.tokenizer.get_added_tokens_decoder()
+        stated = {k: part and json.loads(part.__getstate__()) for k in ("normalizer", "pre_tokenizer") if (part := getattr(self.tokenizer, k)) or True}
+        whole = self.tokenizer.post_processor is None and self.tokenizer.truncation is None
+        self.wordwise = whole and stated == WORDWISE and all(x.content.startswith("<|") for x in added.values())
+        largest = max(end_id, self.tokenizer.get_vocab_size(), *added)  # ids beyond 16 bits would raise an error, not wrap
         self.kind, self.code = ("<u2", "H") if largest < 1 << 16 else ("<u4", "I")
         self.cache_bytes, self.held = cache_bytes, 0
         self.cache: dict[str, bytes] = {}
@@ -272,8 +272,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         held = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 for i, t in zip(part.column(0).to_pylist(), tokenize(part.column(1).to_pylist()), strict=True):
                     ids.append(i)
                     tokens.append(np.append(t, np.array(end_id, t.dtype)))

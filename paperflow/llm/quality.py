@@ -46,7 +46,7 @@ _CODE[128:192] = 8  # continuation bytes
 _CODE[192:] = 9
 
 
-def _grouped(raw: np.ndarray, offsets: np.ndarray, limit: int = 256, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _grouped(raw: np.ndarray, offsets: np.ndarray, limit: int = 128, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, min(lo + limit, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
@@ -80,12 +80,6 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np
     return (doc, bucket, value), stats
 
 
-def dense(entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    x = np.zeros((n, WORD_BUCKETS), np.float32)
-    x[entries[0], entries[1]] = entries[2]
-    return x
-
-
 @dataclass
 class Model:
     cuts: np.ndarray  # statistics x (BINS - 1)
@@ -98,10 +92,11 @@ class Model:
         s = stats.shape[1]
         return WORD_BUCKETS + np.arange(s) * BINS + np.column_stack([np.searchsorted(self.cuts[k], stats[:, k], "right") for k in range(s)])
 
-    def vectors(self, x: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    def vectors(self, entries: tuple[np.ndarray, np.ndarray, np.ndarray], stats: np.ndarray) -> np.ndarray:
         """The whole feature rows: words, then indicators of the statistics' bins."""
         n, s = stats.shape
-        z = np.hstack([x, np.zeros((n, s * BINS), np.float32)])
+        z = np.zeros((n, WORD_BUCKETS + s * BINS), np.float32)
+        z[entries[0], entries[1]] = entries[2]
         z[np.arange(n)[:, None], self.bins(stats)] = 1 / np.sqrt(s)
         return z
 
@@ -120,7 +115,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.add.reduceat(self.weights[place] * value, starts) + pairs, -30, 30)))
 
 
-def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.02, ridge: float = 1e-5, seed: int = 5) -> Model:
+def fit(entries: tuple[np.ndarray, np.ndarray, np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.02, ridge: float = 1e-5, seed: int = 5) -> Model:
     """Adam on the logistic loss, the classes weighted equally in half."""
     rng = np.random.default_rng(seed)
     cuts = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(stats) else np.zeros((len(STATS), BINS - 1))
@@ -129,7 +124,7 @@ def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = 40, batch
     model = Model(cuts, float(np.log(mean / (1 - mean))) if 0 < mean < 1 else (mean - 0.5) * 20, np.zeros(d, np.float32), np.zeros((d, RANK), np.float32))
     if not len(y) or not 0 < mean < 1:
         return model
-    z = model.vectors(x, stats)
+    z = model.vectors(entries, stats)
     model.factors = rng.normal(0, 0.05, (d, RANK)).astype(np.float32)
     p = [np.array([model.bias], np.float32), model.weights, model.factors]
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -161,16 +156,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                entries, stats = features(*utf8(b.column(1)))
-                x = dense(entries, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in stats], pa.binary())], ["label", "x", "stats"])
+                (doc, bucket, value), stats = features(*utf8(b.column(1)))
+                at = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(c)) for c in (bucket.astype(np.int16), value)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array([r.tobytes() for r in stats], pa.binary())], ["label", "bucket", "value", "stats"])
 
     text = F.col(text_col).cast("string").alias("text")
     chosen = small_batches(docs).select(F.col(id_col), text).join(F.broadcast(some), id_col).select("label", "text")
-    got = chosen.mapInArrow(tidy(run), "label int, x binary, stats binary").limit(max_train_docs).toArrow()  # repeated ids count too
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, WORD_BUCKETS).astype(np.float32)
+    got = chosen.mapInArrow(tidy(run), "label int, bucket array<short>, value array<float>, stats binary").limit(max_train_docs).toArrow()  # repeated ids count too
+    sizes = got["bucket"].combine_chunks().value_lengths().to_numpy()
+    bucket, value = (got[c].combine_chunks().flatten().to_numpy() for c in ("bucket", "value"))
+    entries = np.repeat(np.arange(len(sizes)), sizes), bucket, value
     stats = np.frombuffer(b"".join(got["stats"].to_pylist()), float).reshape(-1, len(STATS))
-    return fit(x, stats, np.array(got["label"].to_pylist(), float))
+    return fit(entries, stats, np.array(got["label"].to_pylist(), float))
 
 
 def _scores(m: Model, texts: pa.Array) -> np.ndarray:
