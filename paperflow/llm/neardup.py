@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MinHash, checkpointed, count_of, dropped, fresh, shingle_sets, texts_of, word_hashes, written
+from .common import MinHash, checkpointed, count_of, dropped, fresh, shingle_sets, small_batches, texts_of, tidy, word_hashes, written
 
 NUM_PERM = 48
 MISS = 1e-8
 SHORT_LIST = 32
 BLOCK_SHINGLES = 200_000
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 2_000_000  # of eight bytes
+BROADCAST_LISTS = 200_000
 
 
 def match_threshold(similarity: float, num_perm: int, miss: float = MISS) -> int:
@@ -66,7 +67,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, num_perm: int, shingle:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(at)), sigs, batch.column(2)], ["doc_id", "set_key", "n_shingles", "sig", "row_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row_hash")).mapInArrow(run, f"doc_id {kind}, set_key binary, n_shingles long, sig array<int>, row_hash long")
+    text = F.col(text_col).cast("string")
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row_hash"))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, set_key binary, n_shingles long, sig array<int>, row_hash long")
 
 
 def set_key(members: np.ndarray) -> bytes | None:
@@ -74,7 +77,8 @@ def set_key(members: np.ndarray) -> bytes | None:
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """set_key, sig, members (shingle hashes) of the wanted sets (columns set_key, row_hash, sig), from one row of each."""
+    """set_key, members (shingle hashes) and, if wanted has it, sig of the wanted sets (columns set_key, row_hash), from one row of each."""
+    extra = [c for c in ("sig",) if c in wanted.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +89,14 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, sh
                 cut = at[lo : lo + part.num_rows + 1]
                 lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(s[cut[0] : cut[-1]].view(np.int64)))
                 same = pa.array([set_key(s[x:y]) == k for x, y, k in zip(cut[:-1].tolist(), cut[1:].tolist(), part.column(0).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["set_key", "sig", "members"]).filter(same)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *(part.column(2) for _ in extra)], ["set_key", "members", *extra]).filter(same)
 
     text = F.col(text_col).cast("string")
     texts = docs.select(text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row_hash"))
     if count_of(wanted) <= BROADCAST_ROWS:  # eight bytes each
         texts = texts.join(F.broadcast(wanted.select("row_hash")), "row_hash", "left_semi")
-    found = texts.join(wanted, "row_hash").select("set_key", "sig", "text").mapInArrow(run, "set_key binary, sig array<int>, members array<bigint>")
-    return found.dropDuplicates(["set_key"])
+    found = small_batches(texts).join(wanted, "row_hash").select("set_key", "text", *extra)
+    return found.mapInArrow(tidy(run), "set_key binary, members array<bigint>" + ", sig array<int>" * len(extra)).dropDuplicates(["set_key"])
 
 
 def _collisions(a: str, b: str):
@@ -105,11 +109,12 @@ def _alike(na, nb, percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set keys those with enough collisions and, on full sets, enough similarity."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("sig").alias("sig_a"), F.col("members").alias("members_a"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("sig").alias("sig_b"), F.col("members").alias("members_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.when(_collisions("sig_a", "sig_b") >= threshold, F.size(F.array_intersect("members_a", "members_b"))).otherwise(F.lit(0))
+    """Of pairs (a, b) of set keys those with enough similarity on full sets and, if sets has signatures, enough collisions."""
+    sides = [[F.col("set_key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in sets.columns if c != "set_key")] for x in ("a", "b")]
+    both = pairs.join(sets.select(sides[0]), "a").join(sets.select(sides[1]), "b")
+    shared = F.size(F.array_intersect("members_a", "members_b"))
+    if "sig" in sets.columns:
+        shared = F.when(_collisions("sig_a", "sig_b") >= threshold, shared).otherwise(F.lit(0))
     both = both.select("a", "b", shared.cast("long").alias("shared"), (F.size("members_a") + F.size("members_b")).cast("long").alias("total"))
     return both.where((F.col("shared") > 0) & (100 * F.col("shared") >= percent * (F.col("total") - F.col("shared")))).select("a", "b")
 
@@ -174,6 +179,12 @@ def _blocks(percent: int):
     return run
 
 
+def _few(lists: DataFrame) -> DataFrame:
+    """A table of lists (written), broadcast if its rows are few, so that the members of a very long list don't meet in one
+    task; else Spark splits the skewed partitions of the join."""
+    return F.broadcast(lists) if count_of(lists) <= BROADCAST_LISTS else lists
+
+
 def links(posted: DataFrame, sets: DataFrame, threshold: int, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all confirmed pairs that meet in a list. posted: token, set_key, n_shingles."""
     spark = posted.sparkSession
@@ -189,7 +200,7 @@ def links(posted: DataFrame, sets: DataFrame, threshold: int, percent: int) -> D
     open_lists = in_list.groupBy("token").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1 and size > 2")
     open_lists = written(open_lists.select("token", "size", F.col("top.component").alias("top")), "open")
 
-    short = labelled.join(open_lists.where(F.col("size") <= SHORT_LIST), "token")
+    short = labelled.join(_few(open_lists), "token").where(F.col("size") <= SHORT_LIST)
     members = F.sort_array(F.collect_list(F.struct("set_key", "n_shingles", "component")))
     short = short.groupBy("token").agg(members.alias("m")).select("m", F.explode("m").alias("x"))
     later = F.filter("m", lambda y: (y["set_key"] > F.col("x.set_key")) & (y["component"] != F.col("x.component")) & _alike(y["n_shingles"], F.col("x.n_shingles"), percent))
@@ -197,17 +208,17 @@ def links(posted: DataFrame, sets: DataFrame, threshold: int, percent: int) -> D
     short = short.join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(short, sets, threshold, percent), "more")
 
-    long_lists = open_lists.where(F.col("size") > SHORT_LIST)
-    rest = labelled.join(long_lists, "token").withColumn("odd", F.col("component") != F.col("top"))
+    rest = labelled.join(_few(open_lists), "token").where(F.col("size") > SHORT_LIST).withColumn("odd", F.col("component") != F.col("top"))
     counts = rest.groupBy("token").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("odd"), F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("odd_blocks"))
-    rest = rest.join(counts, "token").withColumn("h", F.xxhash64("set_key"))
+    counts = written(counts, "blocked")
+    rest = rest.join(_few(counts), "token").withColumn("h", F.xxhash64("set_key"))
     lefts = rest.where("odd").select("token", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.expr("int(pmod(h, odd_blocks))").alias("i"), F.lit(0).alias("side"), "set_key", "component")
     rights = rest.select("token", F.expr("int(pmod(h, all_blocks))").alias("j"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("i"), F.lit(1).alias("side"), "set_key", "component")
     grid = lefts.unionByName(rights).join(sets.select("set_key", "members"), "set_key")
     blocks = written(grid.groupBy("token", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary"), "blocks")
 
     out = checkpointed(found.union(more).union(blocks).distinct())
-    dropped(tried, found, comp, labelled, open_lists, more, blocks)
+    dropped(tried, found, comp, labelled, open_lists, more, counts, blocks)
     return out
 
 
