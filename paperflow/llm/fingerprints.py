@@ -2,12 +2,13 @@
 
 A fingerprint is NUM_PERM MinHash values of 16 bits (the low half of multiply-shift universal hashes, minimised over the
 word shingles of the whole text), written as hexadecimal. The share of equal values estimates the Jaccard similarity of two
-shingle sets; two different minima agree by chance in 1 of 65536 cases. near_duplicates() joins signature bands in Spark and
-confirms the Jaccard similarity on full shingle sets.
+shingle sets; two different minima agree by chance in 1 of 65536 cases. near_duplicates() cuts the same values into bands, joins
+the bands in Spark and confirms the Jaccard similarity on full shingle sets.
 
 Nulls and odd input: null and empty texts have the fingerprint of the empty set (all f), equal to each other with likeness 1
-and to any other text with likeness 0. Null ids come last in descending order, ties are ordered by text; repeated rows are
-documents of their own; other columns are ignored; an empty table gives an empty result; a single document is its own next.
+and to any other text with likeness 0. Null ids come last in descending order; rows of one id, or without one, are in the
+order of a hash of their text, then of the text; repeated rows are documents of their own; other columns are ignored; an empty
+table gives an empty result; a single document is its own next.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import MinHash, checkpointed, dropped, shingle_sets, utf8, word_hashes, written
+from .common import MinHash, checkpointed, dropped, mix, shingle_sets, small_batches, tidy, utf8, word_hashes, written
 
 NUM_PERM = 128
 BAND_ROWS = 4
@@ -50,30 +51,36 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes().hex() for x in sig], pa.string())], [id_col, "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return small_batches(docs).select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, fingerprint string")
 
 
 def _in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id long, text) dealt into ranges of descending doc_id, column part; the first document of each part is also
-    a guard (guard = 1) at the end of the part before it, that of the first part at the end of the last."""
+    """docs (doc_id long, text) in as many partitions as ranges of descending doc_id: doc_id, text, h, part, guard, in order.
+    The first document of each part is also a guard (guard = 1) at the end of the part before it, that of the first part at the
+    end of the last. Rows without an id are dealt to parts of their own by h, a hash of the text."""
     from pyspark.ml.feature import Bucketizer
 
-    splits = sorted({float(x) for x in docs.selectExpr(f"percentile_approx(doc_id, array({','.join(str(i / parts) for i in range(1, parts))}), 100000) AS q").first()["q"] or []}) if parts > 1 else []
+    at = ", ".join(str(i / parts) for i in range(1, parts)) or "0.5"
+    row = docs.selectExpr(f"percentile_approx(doc_id, array({at}), 100000) AS q", "count(*) AS n", "count_if(doc_id IS NULL) AS nulls").first()
+    splits = sorted({float(x) for x in row["q"] or []}) if parts > 1 else []
+    n_ranges, n_nulls = len(splits) + 1, max(1, -(-row["nulls"] * parts // max(1, row["n"])))
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    share = F.least(F.floor(h / float(1 << 63) * n_nulls), F.lit(n_nulls - 1)).cast("int")
     if splits:
         bucketed = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep").transform(docs.withColumn("at", F.col("doc_id").cast("double")))
-        last = len(splits) + 1
-        part = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.lit(len(splits)) - F.col("bucket")).cast("int")
-        bucketed = bucketed.withColumn("part", part).drop("at", "bucket")
+        bucketed = bucketed.withColumn("range", (n_ranges - 1 - F.col("bucket")).cast("int")).drop("at", "bucket")
     else:
-        bucketed = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0)))
-    heads = bucketed.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # a row for each partition
-    before = {row["part"]: heads[i - 1]["part"] for i, row in enumerate(heads)}
-    if not heads:
-        return bucketed.withColumn("guard", F.lit(0))
-    table = docs.sparkSession.createDataFrame([(row["part"], row["head"], before[row["part"]]) for row in heads], "part int, head long, guard_of int")
-    marked = bucketed.join(F.broadcast(table), "part")
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("part"), F.lit(0).alias("guard")), F.struct(F.col("guard_of").alias("part"), F.lit(1).alias("guard")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("guard"))))
-    return marked.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.part", "c.guard")
+        bucketed = docs.withColumn("range", F.lit(0))
+    ranged = bucketed.withColumn("part", F.when(F.col("doc_id").isNull(), n_ranges + share).otherwise(F.col("range"))).drop("range")
+    heads = ranged.where("doc_id IS NOT NULL").groupBy("part").agg(F.max("doc_id").alias("head"))
+    firsts = ranged.join(F.broadcast(heads), "part", "left").where("doc_id IS NULL OR doc_id = head")  # heads: a row for each part
+    firsts = firsts.groupBy("part").agg(F.min(F.struct(h.alias("h"), "text")).alias("first"), F.first("doc_id").alias("doc_id"))
+    firsts = written(firsts.select("part", "doc_id", "first.h", "first.text"), "guards")
+    found = sorted(r["part"] for r in firsts.select("part").collect())
+    before = docs.sparkSession.createDataFrame(list(zip(found, [*found[-1:], *found[:-1]], strict=True)), "part int, before int")
+    guards = firsts.join(F.broadcast(before), "part").select("doc_id", "text", "h", F.col("before").alias("part"), F.lit(1).alias("guard"))
+    rows = ranged.select("doc_id", "text", h.alias("h"), "part", F.lit(0).alias("guard")).unionByName(guards)
+    return rows.repartitionById(n_ranges + n_nulls, "part").sortWithinPartitions("guard", F.desc_nulls_last("doc_id"), "h", "text")
 
 
 def edit_half(text: str, following: str) -> str:
@@ -87,7 +94,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // partition_chars))
-    ordered = _in_order(base, ranges).repartition(2 * ranges, "part").sortWithinPartitions("part", "guard", F.desc_nulls_last("doc_id"), "text")
+    ordered = small_batches(_in_order(base, ranges))
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +122,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 b = batch.slice(lo, 500)
                 sig = signatures(b.column(1), hasher, shingle)
                 rows, nexts, edited = [], [], []
-                for i, t, s, p, guard in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sig, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                for i, t, s, p, guard in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sig, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                     if last is not None and last[3] == p:
                         rows.append(last)
                         nexts.append(s)
@@ -124,21 +131,43 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if rows:
                     yield out(rows, nexts, edited)
 
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def band_sketch(docs: DataFrame, id_col: str, text_col: str, num_perm: int, band_rows: int, shingle: int) -> DataFrame:
+    """doc_id, set_key (null for an empty set), n_shingles, bands (a hash of each band's number and values), row_hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHash(num_perm)
+        number = np.arange(num_perm // band_rows, dtype=np.uint64)
+        for batch in batches:
+            s, at = shingle_sets(*word_hashes(*utf8(batch.column(1))), shingle)
+            values = hasher.signatures(s, at).astype(np.uint16).astype(np.uint64).reshape(batch.num_rows, -1, band_rows)
+            bands = mix(number)[None].repeat(batch.num_rows, 0)
+            for j in range(band_rows):
+                bands = mix(bands ^ values[:, :, j])
+            keys = [neardup.set_key(s[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(at)), lists, batch.column(2)], ["doc_id", "set_key", "n_shingles", "bands", "row_hash"])
+
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col).cast("string")
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row_hash"))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, set_key binary, n_shingles long, bands array<long>, row_hash long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, num_perm: int = NUM_PERM, band_rows: int = BAND_ROWS, shingle: int = 5) -> DataFrame:
     """id_col, component_id: bands of band_rows signature values are joined, links confirmed on full shingle sets at percent.
 
     With 32 bands of 4 a pair at 0.8 meets in no band with a probability of 5e-8."""
-    rows = written(neardup.sketch(docs, id_col, text_col, num_perm, shingle), "sketch")
-    sets = written(rows.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n_shingles"), F.min("row_hash").alias("row_hash"), F.first("sig").alias("sig")), "sets")
-    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", 1 + i, band_rows)) for i in range(0, num_perm, band_rows)])
-    tokens = sets.select("set_key", "n_shingles", F.explode(bands).alias("token"))
+    rows = written(band_sketch(docs, id_col, text_col, num_perm, band_rows, shingle), "sketch")
+    sets = rows.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n_shingles"), F.min("row_hash").alias("row_hash"), F.first("bands").alias("bands"))
+    sets = written(sets, "sets")
+    tokens = sets.select("set_key", "n_shingles", F.explode("bands").alias("token"))
     crowd = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     posted = written(tokens.join(crowd, "token"), "posted")
-    wanted = written(posted.select("set_key").distinct().join(sets.select("set_key", "row_hash", "sig"), "set_key"), "wanted")
+    wanted = written(posted.select("set_key").distinct().join(sets.select("set_key", "row_hash"), "set_key"), "wanted")
+    dropped(sets)
     full = written(neardup.full_sets(docs, id_col, text_col, wanted, shingle), "full")
     comp = checkpointed(neardup.components(neardup.links(posted, full, 1, percent)))
-    dropped(posted, full, wanted, sets)
+    dropped(posted, full, wanted)
     return neardup.named(rows, comp, id_col).select(id_col, "component_id")
