@@ -1,14 +1,18 @@
 """Exact BM25 top-k with a sharded inverted index and block-max pruning.
 
-Index: each task cuts the documents it reads into shards of at most SHARD_TOKENS words and stores one row for each shard:
-compressed arrays of sorted terms (64-bit word hashes), postings by ascending document, and for each term the block maxima: over each block of
-BLOCK_DOCS documents the highest term frequency and the shortest document, which bound a term's score for any corpus statistics.
+Index: each task cuts the documents it reads into shards of about SHARD_TOKENS words and stores one row for each shard:
+compressed arrays of sorted terms (64-bit word hashes), postings by ascending document, and for each term the block maxima:
+over each block of BLOCK_DOCS documents the highest term frequency and the shortest document, which bound a term's score for
+any corpus statistics.
 Document frequencies, the number of documents and their mean length are summed over all shards.
 
-Search: a query block (a broadcast of about BLOCK_TERMS terms and QUERY_BLOCK queries) goes to every shard. In a shard, the bounds of the query's terms are summed
-for each document block; blocks are taken in descending order and skipped when their sum is below the score of the k-th best
-document so far (the pivot test of WAND, on aligned blocks), so no skipped document can be among the best. Thresholds carry
-over to a task's next shard, and a shard whose terms' bounds sum to less is skipped whole. The shards' best are merged by score, ties by id.
+Search: queries are cut into blocks of about BLOCK_TERMS terms and QUERY_BLOCK queries; a task is a query block (a broadcast)
+against the shards of one scan partition of the index, so a task's work doesn't grow with the index or the queries. WAVE
+blocks at a time are searched in one job, whose results are written before the next. In a shard, the bounds of the query's
+terms are summed for each document block; blocks are taken in descending order and skipped when their sum is below the score
+of the k-th best document so far (the pivot test of WAND, on aligned blocks), so no skipped document can be among the best.
+Thresholds carry over to a task's next shard, and a shard whose terms' bounds sum to less is skipped whole. The tasks' best are
+merged by score, ties by id.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. The query of a document is made of all words of its
 whole text; given queries can be of any terms.
@@ -20,17 +24,17 @@ queries the result is empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, utf8, word_hashes, written
+from .common import dropped, scratch, small_batches, tidy, utf8, word_hashes, written
 
 K1, B = 1.2, 0.75
 BLOCK_DOCS = 128
@@ -38,6 +42,7 @@ STEP_BLOCKS = 32
 SHARD_TOKENS = 1_000_000
 QUERY_BLOCK = 16_384
 BLOCK_TERMS = 250_000
+WAVE = 8
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[:48] = _SEPARATOR[58:65] = _SEPARATOR[91:97] = _SEPARATOR[123:128] = True
 SHARD = "shard long, n_docs long, n_tokens long, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, block_starts binary, blocks binary, block_tf binary, block_len binary"
@@ -110,7 +115,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield cut()
 
-    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SHARD), "index")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return written(small_batches(rows).mapInArrow(tidy(run), SHARD), "index")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -130,14 +136,21 @@ def query_terms(queries: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """query_id, term, qtf of all words of the query texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, at = _words(batch.column(1))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            frame = pd.DataFrame({"i": doc, "term": w.view(np.int64)}).value_counts(sort=False).reset_index()
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[frame["i"]]), pa.array(frame["term"].to_numpy()), pa.array(frame["count"].to_numpy(np.int64))], ["query_id", "term", "qtf"])
-
-    rows = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "query_id long, term long, qtf long")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                w, at = _words(batch.column(1))
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                order = np.lexsort((w, doc))
+                w, doc = w[order], doc[order]
+                first = np.ones(len(w), bool)
+                first[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
+                start = np.flatnonzero(first)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[start]]), pa.array(w[start].view(np.int64)), pa.array(np.diff(np.append(start, len(w))))], ["query_id", "term", "qtf"])
+
+    rows = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = small_batches(rows).mapInArrow(tidy(run), "query_id long, term long, qtf long")
     return rows.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
 
 
@@ -212,7 +225,43 @@ class Shard:
         return (lo - ends + n).repeat(n) + np.arange(ends[-1]), n
 
 
-def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def _searcher(block: Broadcast, mean_length: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the shards that come, the k best documents of each query of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, first, terms, weight = block.value
+        best: list = [None] * len(ids)
+        floors = np.zeros(len(ids))  # of the k-th best so far
+        owner = np.repeat(np.arange(len(ids)), np.diff(first))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = None  # one is held at a time
+                shard = Shard(batch.slice(i, 1).to_pylist()[0], mean_length)
+                found, at = shard.places(terms)
+                mine, cuts = weight[found], np.searchsorted(found, first)
+                bound = np.bincount(owner[found], mine * shard.term_bound[at], len(ids)) * (1 + 1e-12)
+                for q in np.flatnonzero((bound > 0) & (bound >= floors)):  # of the others no document can be among the best
+                    a, b = cuts[q], cuts[q + 1]
+                    old = best[q]
+                    docs, scores = shard.best(at[a:b], mine[a:b], k, floors[q])
+                    if len(docs):
+                        docs = shard.doc_ids[docs]
+                        if old is not None:
+                            docs, scores = np.concatenate([old[0], docs]), np.concatenate([old[1], scores])
+                        order = np.lexsort((docs, -scores))[:k]
+                        best[q] = (docs[order], scores[order])
+                        if len(order) == k:
+                            floors[q] = scores[order[-1]]
+        for lo in range(0, len(ids), 2000):
+            some = [(i, x) for i, x in zip(ids[lo : lo + 2000], best[lo : lo + 2000], strict=True) if x is not None]
+            if some:
+                docs = np.concatenate([x[0] for _, x in some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _ in some], [len(x[0]) for _, x in some])), pa.array(docs, mask=docs == NO_ID), pa.array(np.concatenate([x[1] for _, x in some]))], ["query_id", "doc_id", "score"])
+
+    return tidy(run)
+
+
+def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10, block_terms: int = BLOCK_TERMS, wave: int = WAVE) -> DataFrame:
     """query_id, rank, doc_id, score: the k best of each query (fewer if fewer share a term with it)."""
     spark = index.sparkSession
     weights = written(weights, "queries")
@@ -222,54 +271,28 @@ def search(index: DataFrame, weights: DataFrame, mean_length: float, k: int = 10
         whole, number = weights, F.expr(f"pmod(xxhash64(query_id), {blocks})")
         weights = written(whole.repartition(blocks, number).withColumn("block", number), "queries")
         dropped(whole)
-    found = None
-    for i in range(blocks):
-        rows = (weights.where(F.col("block") == i).drop("block") if blocks > 1 else weights).toArrow()
-        owner, term, weight = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
-        order = np.lexsort((term, owner))
-        ids, first = np.unique(owner[order], return_index=True)
-        block = spark.sparkContext.broadcast((ids, np.append(first, len(order)), term[order], weight[order]))
-        del rows, owner, term, weight, order
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, first, terms, weight = block.value
-            best: list = [None] * len(ids)
-            floors = np.zeros(len(ids))  # of the k-th best so far
-            owner = np.repeat(np.arange(len(ids)), np.diff(first))
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = None  # one is held at a time
-                    shard = Shard(batch.slice(i, 1).to_pylist()[0], mean_length)
-                    found, at = shard.places(terms)
-                    mine, cuts = weight[found], np.searchsorted(found, first)
-                    bound = np.bincount(owner[found], mine * shard.term_bound[at], len(ids)) * (1 + 1e-12)
-                    for q in np.flatnonzero((bound > 0) & (bound >= floors)):  # of the others no document can be among the best
-                        a, b = cuts[q], cuts[q + 1]
-                        old = best[q]
-                        docs, scores = shard.best(at[a:b], mine[a:b], k, floors[q])
-                        if len(docs):
-                            docs = shard.doc_ids[docs]
-                            if old is not None:
-                                docs, scores = np.concatenate([old[0], docs]), np.concatenate([old[1], scores])
-                            order = np.lexsort((docs, -scores))[:k]
-                            best[q] = (docs[order], scores[order])
-                            if len(order) == k:
-                                floors[q] = scores[order[-1]]
-            for lo in range(0, len(ids), 2000):
-                some = [(i, x) for i, x in zip(ids[lo : lo + 2000], best[lo : lo + 2000], strict=True) if x is not None]
-                if some:
-                    docs = np.concatenate([x[0] for _, x in some])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _ in some], [len(x[0]) for _, x in some])), pa.array(docs, mask=docs == NO_ID), pa.array(np.concatenate([x[1] for _, x in some]))], ["query_id", "doc_id", "score"])
-
-        # two tasks for each core: what one emits is bounded by its queries, and its thresholds carry over many shards
-        part = index.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "query_id long, doc_id long, score double")
-        found = part if found is None else found.union(part)
+    place, schema = scratch(spark, "found"), "query_id long, doc_id long, score double"
+    for lo in range(0, blocks, wave):
+        parts, held = [], []
+        for i in range(lo, min(lo + wave, blocks)):
+            rows = (weights.where(F.col("block") == i).drop("block") if blocks > 1 else weights).toArrow()
+            owner, term, weight = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
+            order = np.lexsort((term, owner))
+            ids, first = np.unique(owner[order], return_index=True)
+            held.append(spark.sparkContext.broadcast((ids, np.append(first, len(order)), term[order], weight[order])))
+            parts.append(small_batches(index).mapInArrow(_searcher(held[-1], mean_length, k), schema))
+        functools.reduce(DataFrame.union, parts).write.mode("append").parquet(place)
+        for block in held:
+            block.destroy()
+    dropped(weights)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return spark.read.schema(schema).parquet(place).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 50, k: int = 10) -> DataFrame:
     """The k best documents for each document whose id is divisible by every, itself among them."""
     index = build_index(docs, id_col, text_col)
     weights, mean_length = weighted(query_terms(docs.where(F.col(id_col) % every == 0), id_col, text_col), index)
-    return search(index, weights, mean_length, k)
+    found = search(index, weights, mean_length, k)
+    dropped(index)
+    return found
