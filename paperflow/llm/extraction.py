@@ -10,7 +10,8 @@ The labelled pages are a bounded set of TRAIN_PAGES page layouts composed by lab
 
 Nulls and odd input: a null page is empty and has an empty text; unclosed and stray tags are mended as browsers do for the
 common cases; a page without markup is one block of text; repeated rows are pages of their own; other columns are ignored; an
-empty table gives an empty result. Texts are neither cut nor capped; work is linear in the page.
+empty table gives an empty result. Texts are neither cut nor capped. Work is linear in the page, whatever its markup: quotes that
+never end are read as characters, and once the quotes of a tag swallow the rest of a page, tags end at the next > instead.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 TRAIN_PAGES = 400
 EPOCHS = 16
 
@@ -43,21 +46,53 @@ CLOSES = {
     "option": frozenset(["option"]), "tbody": frozenset(["thead", "tr", "td", "th"]), "tfoot": frozenset(["tbody", "tr", "td", "th"]),
 }
 SCOPES = frozenset("ul ol dl table div article section main body aside nav header footer form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+LONG_NUMBER = re.compile(r"&#(?:0*([0-9]{8,})|[xX]0*([0-9a-fA-F]{7,}));?")
+LEADING_ZEROS = re.compile(r"&#([xX]?)0{6,}(?=[0-9a-fA-F])")
 ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
-def ends(page: str, name: str) -> dict[int, int]:
-    """Where the elements of that name end, by their start; those without an end tag are left out."""
-    out, open_at = {}, []
-    for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", page, re.I):
-        if not m[1]:
-            if not m[0].endswith("/>"):
-                open_at.append(m.start())
-        elif open_at:
-            out[open_at.pop()] = m.end()
-    return out
+class Scanner:
+    """Finds the tags of a page in time linear in its length: what was searched for in vain is not searched for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self._next: dict[str, int] = {}
+        self._quoted = True  # until a tag's quotes turn out to swallow the rest of the page
+
+    def find(self, what: str, at: int) -> int:
+        """Where what is next found, -1 if no more. Calls for the same string mostly ask for ascending places."""
+        known = self._next.get(what)
+        if known is None or (known != -1 and known < at):
+            known = self._next[what] = self.page.find(what, at)
+        return known if known == -1 or known >= at else self.page.find(what, at)
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends here, outside of quoted values if they end; -1 without any."""
+        i = at
+        while self._quoted and (m := STOP.search(self.page, i)):
+            if m[0] == ">":
+                return m.start()
+            closing = self.find(m[0], m.end())
+            i = m.end() if closing == -1 else closing + 1
+        self._quoted = False
+        return self.find(">", at)
+
+    def ends(self, name: str) -> dict[int, int]:
+        """Where the elements of that name end, by their start; those without an end tag are left out."""
+        out, open_at = {}, []
+        for m in re.finditer(rf"<(/?){name}(?=[\s/>])", self.page, re.I):
+            end = self.find(">", m.end())
+            if end == -1:
+                break
+            if not m[1]:
+                if self.page[end - 1] != "/":
+                    open_at.append(m.start())
+            elif open_at:
+                out[open_at.pop()] = end + 1
+        return out
 
 
 class Tree:
@@ -72,49 +107,109 @@ class Tree:
         self.sizes: list[int] = [0]
 
 
+class Stack:
+    """The open elements. Their places by tag, and those that bound a scope, are kept beside, so that finding the one to close
+    takes no walk."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["body"]
+        self._places: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self._places.setdefault(tag, []).append(len(self.nodes))
+        if tag in SCOPES:
+            self._scopes.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, length: int) -> None:
+        while len(self.nodes) > length:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self._places[tag].pop()
+            if tag in SCOPES:
+                self._scopes.pop()
+
+    def innermost(self, tags: frozenset[str]) -> int | None:
+        """The place of the innermost open element of these tags."""
+        return max((p[-1] for t in tags if (p := self._places.get(t))), default=None)
+
+    def in_scope(self, place: int) -> bool:
+        """No element further in bounds a scope."""
+        return not self._scopes or self._scopes[-1] <= place
+
+
 def parse(page: str) -> Tree:
-    tree = Tree()
-    stack = [0]
+    tree, scan, stack = Tree(), Scanner(page), Stack()
     text: list[str] = []
     in_link = False
     at, n = 0, len(page)
     ended: dict[str, dict[int, int]] = {}
+    absent: set[str] = set()  # of these no end tag follows
 
     def put(piece: str) -> None:
         if piece:
             text.append(piece)
-            size = len(piece)
-            tree.sizes[stack[-1]] += size
+            size = 0 if piece.isspace() else len(piece)
+            tree.sizes[stack.nodes[-1]] += size
             if in_link:
-                tree.links[stack[-1]] += size
+                tree.links[stack.nodes[-1]] += size
 
     def close_block() -> None:
         if text:
-            tree.segments.append((stack[-1], "".join(text)))
+            tree.segments.append((stack.nodes[-1], "".join(text)))
             text.clear()
 
+    def after(name: str, at: int) -> int | None:
+        """Behind the end tag of that name."""
+        if name in absent:
+            return None
+        m = re.compile(rf"</{name}\b", re.I).search(page, at)
+        end = scan.find(">", m.end()) if m else -1
+        if end == -1:
+            absent.add(name)
+            return None
+        return end + 1
+
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start == -1:
             put(page[at:])
             break
-        put(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        put(page[at:start])
+        if page.startswith("<!--", start):
+            end = scan.find("-->", start + 4)
+            at = n if end == -1 else end + 3
+            continue
+        m = NAME.match(page, start + 1)
+        if m is None:
+            end = scan.find(">", start) if page[start + 1 : start + 2] in ("!", "?") else -1
+            at = start + 1 if end == -1 else end + 1
+            if end == -1:
+                put("<")
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        end = scan.tag_end(m.end())
+        if end == -1:  # no tag ends any more
+            put(page[start:])
+            break
+        name, closing, attrs, at = m[2].lower(), bool(m[1]), page[m.end() : end], end + 1
         if name in RAW and not closing:
-            if m[3].endswith("/"):
+            if attrs.endswith("/"):
                 continue
             if name not in TO_THE_END and name != "head":
                 if name not in ended:
-                    ended[name] = ends(page, name)
-                at = ended[name].get(m.start(), at)
+                    ended[name] = scan.ends(name)
+                at = ended[name].get(start, at)
                 continue
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            if name == "head" and end is None:
-                end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            at = end.end() if end else (at if name == "head" else n)
+            past = after(name, at)
+            if name == "head" and past is None and "<body" not in absent:
+                found = re.compile(r"<body\b", re.I).search(page, at)
+                if found:
+                    past = found.start()
+                else:
+                    absent.add("<body")
+            at = past if past is not None else at if name == "head" else n
         elif name in ("br", "hr"):
             put(" ")
         elif name == "a":
@@ -122,46 +217,49 @@ def parse(page: str) -> Tree:
         elif name in INLINE or name in VOID or name in RAW:
             continue
         elif name in ("html", "body"):
-            if not closing and m[3] and name == "body":
-                tree.attrs[0] = m[3]
+            if not closing and attrs and name == "body":
+                tree.attrs[0] = attrs
         elif closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == name:
-                    close_block()
-                    del stack[k:]
-                    break
-                if tree.tag[stack[k]] in SCOPES and name not in SCOPES:
-                    break
+            place = stack.innermost(frozenset((name,)))
+            if place is not None and (name in SCOPES or stack.in_scope(place)):
+                close_block()
+                stack.cut(place)
         else:
             close_block()
-            if len(stack) > 1 and tree.tag[stack[-1]] == "p":
-                stack.pop()
+            if stack.tags[-1] == "p":
+                stack.cut(len(stack.nodes) - 1)
             if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tree.tag[stack[k]]
-                    if t in CLOSES[name]:
-                        del stack[k:]
-                        break
-                    if t in SCOPES:
-                        break
-            tree.parent.append(stack[-1])
+                place = stack.innermost(CLOSES[name])
+                if place is not None and stack.in_scope(place):
+                    stack.cut(place)
+            tree.parent.append(stack.nodes[-1])
             tree.tag.append(name)
-            tree.attrs.append(m[3])
+            tree.attrs.append(attrs)
             tree.links.append(0)
             tree.sizes.append(0)
-            stack.append(len(tree.tag) - 1)
+            stack.push(len(tree.tag) - 1, name)
             in_link = False
     close_block()
     return tree
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond any character, of whatever length, are the replacement character."""
+    if "&#" in text:
+        text = LONG_NUMBER.sub("\ufffd", LEADING_ZEROS.sub(r"&#\1", text))
+    return html_lib.unescape(text)
+
+
 def kind(tag: str) -> int:
     return 0 if tag in TEXTUAL else 1 if tag in FURNITURE else 2
 
 
-@functools.lru_cache(100_000)
 def marks(tag: str, attrs: str) -> tuple[str, ...]:
     """Feature names of an element itself."""
+    return _short_marks(tag, attrs) if len(attrs) <= 300 else _marks(tag, attrs)
+
+
+def _marks(tag: str, attrs: str) -> tuple[str, ...]:
     out = [f"tag={tag}"]
     for m in ATTRIBUTE.finditer(attrs):
         if m[1].lower() != "data-label":
@@ -169,6 +267,9 @@ def marks(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+_short_marks = functools.lru_cache(20_000)(_marks)
+
+
 def measures(tree: Tree, v: int) -> list[str]:
     size = tree.sizes[v]
     if not size:
@@ -217,7 +318,7 @@ class Model:
             return ""
         tree = parse(page)
         p = self.marginals(tree)
-        blocks = (" ".join(html_lib.unescape(t).split()) for v, t in tree.segments if p[v] > 0.5)
+        blocks = (" ".join(unescaped(t).split()) for v, t in tree.segments if p[v] > 0.5)
         return " ".join(b for b in blocks if b)
 
 
@@ -229,6 +330,7 @@ def labelled_page(rng: random.Random) -> str:
     links = lambda n: "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
     pick = rng.choice
     lab = ' data-label="1"'
+    odd = lambda: pick(["", "", f' class="{words(1, 2)}"', f' id="{words(1, 1)}"'])  # noqa: E731  names that say nothing
 
     def para() -> str:
         body = words(1, pick([2, 4, 20, 60, 150])) + "."
@@ -242,6 +344,8 @@ def labelled_page(rng: random.Random) -> str:
     def article() -> str:
         head = pick(["h1", "h1", "h1", "h2", "p"])
         out = [f"<{head}{lab}>{words(1, 12)}</{head}>"]
+        if rng.random() < 0.2:
+            out.append(f"<div{odd()}{lab}>{words(2, 6)}</div>")
         if rng.random() < 0.25:
             out[0] = f"<header{lab}>{out[0]}</header>"
         for _ in range(rng.randint(1, 12) if (many := rng.random()) < 0.94 else rng.randint(40, 160) if many < 0.97 else rng.randint(200, 600)):
@@ -249,7 +353,8 @@ def labelled_page(rng: random.Random) -> str:
             if r < 0.72:
                 out.append(para())
             elif r < 0.8:
-                out.append(f"<h2{lab}>{words(1, 6)}</h2>")
+                part = pick(["h2", "h2", "h3", "h4"])
+                out.append(f"<{part}{lab}>{words(1, 6)}</{part}>")
             elif r < 0.86:
                 out.append(f"<ul{lab}>" + "".join(f"<li{lab}>{words(2, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
             elif r < 0.9:
@@ -259,7 +364,13 @@ def labelled_page(rng: random.Random) -> str:
             elif r < 0.96:
                 out.append(f'<div class="{pick(["ad", "advert", "promo", "share", "related", "newsletter"])}">{words(2, 12)}</div>')
             else:
-                out.append(f"<pre{lab}>{words(4, 12)}</pre>")
+                out.append(pick([f"<pre{lab}>{words(4, 12)}</pre>", f"<figure{lab}><img src=x><figcaption{lab}>{words(2, 9)}</figcaption></figure>"]))
+        if rng.random() < 0.3:  # parts of an article stand in boxes of their own
+            cuts = sorted(rng.sample(range(len(out) + 1), min(len(out) + 1, rng.randint(1, 3))))
+            for a, b in zip([0, *cuts], [*cuts, len(out)], strict=True):
+                if a < b and rng.random() < 0.8:
+                    box = pick(["section", "div", "div"])
+                    out[a], out[b - 1] = f"<{box}{odd()}{lab}>{out[a]}", f"{out[b - 1]}</{box}>"
         return "".join(out)
 
     shell = pick(["article", "article", "article", "main", "div", "section"])
@@ -267,11 +378,16 @@ def labelled_page(rng: random.Random) -> str:
     core = f"<{shell}{name}{lab}>{article()}</{shell}>"
     if rng.random() < 0.3:
         core = f"<main{lab}>{core}</main>" if rng.random() < 0.5 else f'<div id="{pick(["content", "main", "page"])}"{lab}>{core}</div>'
+    elif rng.random() < 0.25:
+        core = f"<main{lab}><div{odd()}{lab}><div{odd()}{lab}>{article()}</div></div></main>"
     before, after = [], []
     if rng.random() < 0.8:
         before.append(pick([f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f'<div class="{pick(["menu", "nav", "navigation", "navbar"])}"><ul>{links(5)}</ul></div>', f'<ul class="menu">{links(4)}</ul>', f'<div role="navigation">{links(4)}</div>']))
     if rng.random() < 0.5:
         before.insert(0, pick([f"<header><h2>{words(1, 3)}</h2><p>{words(2, 8)}</p></header>", f'<div class="header" id="top"><p>{words(2, 6)}</p></div>', f'<div role="banner">{words(2, 8)}</div>']))
+    if rng.random() < 0.3:
+        bar = " ".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(rng.randint(2, 7)))
+        pick([before, after]).insert(0, pick([f"<div{odd()}>{bar}</div>", f"<div{odd()}><ul>{links(4)}</ul></div>"]))
     if rng.random() < 0.6:
         before.append(f'<div class="{pick(["ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo"])}">{words(3, 15)}.</div>')
     if rng.random() < 0.35:
@@ -333,4 +449,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kind_of = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"`{id_col}` {kind_of}, `{url_col}` string, text string, n_chars long")
+    rows = pages.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col).cast("string").alias("html"))
+    return small_batches(rows).mapInArrow(tidy(run), f"`{id_col}` {kind_of}, `{url_col}` string, text string, n_chars long")
