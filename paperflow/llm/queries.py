@@ -32,10 +32,19 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch
     from .shards import arrivals_compacted
 
-    rows = arrivals_compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards")).read()
+    rows = arrivals_compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))[0].read()
     return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+def op6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that appending and compacting documents commits: what each did, its shards below and of target size."""
+    from .common import scratch
+    from .shards import arrivals_compacted
+
+    log = arrivals_compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))[1]
+    return spark.createDataFrame(log, "version int, action string, open_shards int, sealed_shards int, bytes long")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import weigh
 
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_shards": op6_shards,
+    "op6_versions": op6_versions,
     "op7_mixing": op7_mixing,
     "op8_extraction": op8_extraction,
     "op9_search": op9_search,
