@@ -175,6 +175,20 @@ def test_fingerprints_in_many_parts_and_odd(spark, odd, docs):
     assert one.near_next == 1.0
 
 
+def test_edited_fingerprints_of_repeated_ids(spark):
+    """Rows of one id, or without one, are in the order of a hash of the text; each has its own next document."""
+    import pyspark.sql.functions as F
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 30)))) for i in [None] * 300 + [50] * 200 + list(range(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1]))
+    want = collections.Counter((r[0], hashlib.sha256(fingerprints.edit_half(r[1], n[1]).encode()).hexdigest()) for r, n in zip(order, [*order[1:], order[0]], strict=True))
+    got = collections.Counter((r.doc_id, r.edited_sha256) for r in fingerprints.edited_fingerprints(docs, partition_chars=900).collect())
+    assert got == want
+
+
 def test_near_duplicates_by_bands(spark):
     pairs = near_texts(3, groups=3, copies=12)
     got = fingerprints.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).toPandas().set_index("doc_id")
@@ -275,7 +289,7 @@ def test_factorisation_identity():
     n, s = 3, len(quality.STATS)
     doc, bucket = np.repeat([0, 2], 6), np.concatenate([rng.choice(quality.WORD_BUCKETS, 6, replace=False) for _ in range(2)])
     entries, stats = (doc, bucket, rng.normal(size=12).astype(np.float32)), rng.normal(size=(n, s))
-    z = m.vectors(quality.dense(entries, n), stats)
+    z = m.vectors(entries, stats)
     assert ((z[:, quality.WORD_BUCKETS :] > 0).sum(1) == s).all()
     for row, got in zip(z, m.score(entries, stats), strict=True):
         at = np.flatnonzero(row)
@@ -479,6 +493,50 @@ def test_extraction_keeps_formulas_and_objects():
     assert extraction.train().extract(page) == "T Let x=1 be given. What it shows is told in words here. And so it ends."
 
 
+HOSTILE = {
+    "quotes": "<p>x</p><a " + '"' * 101, "open tags": "<a b " * 100_000, "svg": "<svg " * 100_000 + ">", "unended svg": "<svg>" * 100_000, "heads": "<head>" * 100_000, "swallowed": '<b ">"' * 100_000,
+    "scripts": "<script " * 50_000, "comments": "<!-- " * 100_000, "signs": "<" * 300_000, "mixed quotes": "<a '\"" * 100_000, "declarations": "<!x " * 100_000, "attributes": "<p " + "class='" * 100_001 + ">x</p>",
+    "nested": "<div>" * 60_000 + "x", "stray ends": "<foo><div>" + "<bar>" * 50_000 + "</foo>" * 50_000 + "t", "items": "<ul>" + "<li><td>" * 50_000, "long text": "<p>" + "word " * 4_000_000 + "</p>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_extraction_is_linear(name):
+    import time
+
+    page = HOSTILE[name]
+    began = time.process_time()
+    extraction.train().extract(page[: len(page) // 4])
+    quarter = time.process_time() - began
+    began = time.process_time()
+    text = extraction.train().extract(page)
+    assert time.process_time() - began < 1 + 8 * quarter + len(page) / 1e6
+    assert name != "long text" or len(text) == len(page.split("<p>")[1]) - 5
+
+
+def test_extraction_of_huge_numbers():
+    assert extraction.train().extract("<p>a&#" + "9" * 5000 + ";b&#x" + "f" * 5000 + ";c&#000000000000065;</p>") == "a\ufffdb\ufffdcA"
+
+
+LAYOUTS = [
+    # class names and nesting that labelled_page() never makes
+    """<body class="tpl-7"><div class="hdr__top"><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></div><main><div class="grid"><div class="cell-8"><h1>Bridge opens</h1><div class="byl">By A. Writer</div>
+    <p>The new bridge was opened on Monday after four years of work by two firms from the region.</p><p>Traffic will be counted for a year before the old crossing is closed.</p></div></div></main>
+    <footer><a href="/i">Imprint</a> <a href="/p">Privacy</a> Copyright 2020</footer></body>""",
+    """<html><body><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><article><header><h1>Bridge opens</h1></header><section><h2>Why</h2><p>The new bridge was opened on Monday after four years of work by two firms from the region.</p></section>
+    <section><h2>What next</h2><p>Traffic will be counted for a year before the old crossing is closed.</p><figure><img src=x><figcaption>The bridge at night</figcaption></figure></section></article><aside><h3>Most read</h3><ol><li><a href=3>Three</a></ol></aside></body></html>""",
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_extraction_of_layouts_of_another_hand(page):
+    text = extraction.train().extract(page)
+    for wanted in ("Bridge opens", "after four years of work", "before the old crossing is closed."):
+        assert wanted in text
+    for other in ("Sport", "Two", "Privacy", "Most read", "Three"):
+        assert other not in text
+
+
 def test_extraction_odd(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article><h1>T</h1><p>A&nbsp;&amp;\n b</p></article><script>no</script>", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extraction.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "T A & b", 7)]
@@ -488,15 +546,39 @@ def test_extraction_odd(spark):
 # --- shards
 
 
-def test_compaction_keeps_rows_and_sizes(spark, docs, odd):
-    table = shards.arrivals_compacted(docs.repartition(6), common.scratch(spark, "shards"), target_bytes=1 << 20)
+@pytest.mark.parametrize("files", [1, 6])
+def test_compaction_keeps_rows_and_sizes(spark, docs, odd, files):
+    """Whatever the layout of the input, arrivals are merged."""
+    table, log = shards.arrivals_compacted(docs.repartition(files), common.scratch(spark, "shards"))
     assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    assert [x[0] for x in log] == list(range(1, len(log) + 1)) and sum(x[1] == "append" for x in log) == shards.ARRIVALS
+    merged = [x for x in log if x[1].startswith("merge")]
+    assert len(merged) >= 4 and all(b[2] + b[3] < a[2] + a[3] for a, b in zip(log, log[1:]) if b in merged)
+    m = table.manifest()
+    assert m.version == len(log) and len(table.shards((*m.open, *m.sealed))) < 8 and table.compact().version == m.version
+
+
+def test_compaction_seals_full_shards_and_expires_the_rest(spark, docs):
+    table, log = shards.arrivals_compacted(docs, common.scratch(spark, "shards"), target_bytes=50_000)
     m = table.manifest()
-    assert len(m.shards) < len(table.manifest(6).shards) == 6 and table.compact(1 << 20).version == m.version
-    other = shards.arrivals_compacted(odd, common.scratch(spark, "shards"), arrivals=3)
+    assert all(s.bytes >= shards.FULL * 50_000 for s in table.shards(m.sealed)) and len(m.sealed) and log[-1][3] == len(table.shards(m.sealed))
+    assert table.read().count() == docs.count() and table.expire() >= 0 and table.versions() == [m.version]
+    on_disk = {r.path.split("/data/")[1] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{table.root}/data").select("path").collect()}
+    assert {s.path.split("/data/")[1] for s in table.shards((*m.open, *m.sealed))} == on_disk
+    assert table.read().count() == docs.count()
+
+
+def test_compaction_odd(spark, odd):
+    other = shards.arrivals_compacted(odd, common.scratch(spark, "shards"), arrivals=3)[0]
     assert sorted(map(tuple, other.read().collect()), key=repr) == sorted(ODD, key=repr)
-    empty = shards.arrivals_compacted(odd.limit(0), common.scratch(spark, "shards"))
-    assert empty.read().count() == 0 and empty.read().columns == odd.columns
+    empty, log = shards.arrivals_compacted(odd.limit(0), common.scratch(spark, "shards"))
+    assert empty.read().count() == 0 and empty.read().columns == odd.columns and len(log) == 1
+
+
+def test_versions_of_the_registered_query(spark):
+    log = q.op6_versions(spark, "/root/testdata/sf0.01").orderBy("version").collect()
+    tiers = {r.action.split()[-1] for r in log if r.action.startswith("merge")}
+    assert len(log) > shards.ARRIVALS and len(tiers) > 1 and log[-1].open_shards + log[-1].sealed_shards < shards.ARRIVALS / 2
 
 
 def test_manifests_are_atomic(spark, odd):
@@ -504,26 +586,73 @@ def test_manifests_are_atomic(spark, odd):
     with pytest.raises(ValueError):
         table.read()
     first = table.append(odd)
-    table.commit(first, first.schema, list(first.shards))
+    table.append(odd)
     with pytest.raises(Exception, match="exist|rename"):
-        table.commit(first, first.schema, list(first.shards))
+        table._commit(first, first.schema, "append", [], first.open)
     assert table.version() == 2 and table.read(1).count() == len(ODD)
 
 
+def test_arrivals_of_another_schema_are_refused(spark, odd):
+    table = shards.ShardTable(spark, common.scratch(spark, "shards"))
+    table.append(odd)
+    for other in (odd.drop("lang"), odd.withColumn("n_chars", odd["n_chars"].cast("int")), odd.select(*reversed(odd.columns))):
+        with pytest.raises(ValueError):
+            table.append(other)
+    assert table.version() == 1 and table.read().count() == len(ODD)
+
+
 # --- mixing
 
 
 def test_raking_meets_all_marginals(spark, sf, docs):
-    got = mixing.weigh(docs, targets={"lang": {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}}).toPandas()
     goal = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
-    share = (got.n_tokens * got.factor).groupby(got.lang).sum()
-    for lang, s in (share / share.sum()).items():
-        assert abs(s - goal[lang]) < 1e-6
-    for c in ("source", "topic"):
-        natural = got.groupby(c).n_tokens.sum() ** mixing.TEMPER
-        now = (got.n_tokens * got.factor).groupby(got[c]).sum()
-        assert (abs(now / now.sum() - natural / natural.sum()) < 2e-2).all()
-    assert got.probability.between(0, 1).all() and abs(got.kept.mean() - got.probability.mean()) < 0.12
+    sources = {r.source: 1.0 for r in docs.select("source").distinct().collect()}
+    got = mixing.weigh(docs, wanted=mixing.Mix(targets={"lang": goal, "source": sources}, repeats=True)).toPandas()
+    for column, wanted in (("lang", goal), ("source", dict.fromkeys(sources, 1 / len(sources)))):
+        share = (got.n_tokens * got.factor).groupby(got[column]).sum() / (got.n_tokens * got.factor).sum()
+        assert all(abs(s - wanted[v]) < 1e-6 for v, s in share.items())
+    assert got.probability.between(0, 1).all() and got.copies.max() > 1 and ((got.copies > 0) == got.kept).all()
+
+
+def test_mixing_of_all_rows_by_plain_loops(spark, docs):
+    """Topics, token counts, cells, probabilities and the kept rows, recomputed row by row."""
+    import pyspark.sql.functions as F
+
+    model = mixing.learn_topics(docs, "doc_id", "text")
+    got = mixing.weigh(docs).toPandas().set_index("doc_id")
+    rows = docs.select("doc_id", "text", "source", "lang", mixing._uniform(F.col("doc_id"), F.col("text"), 1).alias("u")).collect()
+    bucket, mine = {}, {}
+    for r in rows:
+        w = words_of(r.text)
+        for x in set(w) - bucket.keys():
+            bucket[x] = int(common.word_hashes(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0][0]) >> 54
+        count = collections.Counter(bucket[x] for x in w)
+        near = [sum(c[b] * math.log1p(n) * model.idf[b] for b, n in count.items()) for c in model.centres]
+        assert got.n_tokens[r.doc_id] == len(w)
+        assert not w or near[int(got.topic[r.doc_id][1:])] > max(near) - 1e-9
+        mine[r.doc_id] = (r.source, r.lang, got.topic[r.doc_id])
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[mine[r.doc_id]] += len(words_of(r.text))
+    tempered = {c: n**mixing.TEMPER for c, n in tokens.items()}
+    total, aim, weight = sum(tokens.values()), sum(tempered.values()), {c: n / sum(tokens.values()) for c, n in tokens.items()}
+    for _ in range(400):
+        for d in range(3):
+            now, goal = collections.Counter(), collections.Counter()
+            for c in weight:
+                now[c[d]] += weight[c]
+                goal[c[d]] += tempered[c] / aim
+            weight = {c: min(w * goal[c[d]] / now[c[d]], tokens[c] / total / mixing.BUDGET) for c, w in weight.items()}
+    kept = set()
+    for r in rows:
+        c = mine[r.doc_id]
+        p = weight[c] / (tokens[c] / total) * mixing.BUDGET
+        assert abs(got.probability[r.doc_id] - min(1, p)) < 1e-4
+        if abs(p - r.u) > 1e-4:
+            assert got.kept[r.doc_id] == (r.u < p)
+        if got.kept[r.doc_id]:
+            kept.add(r.doc_id)
+    assert {r.doc_id for r in mixing.sample(docs).collect()} == kept and 0.6 < len(kept) / len(rows) < 0.9
 
 
 def test_rake_against_plain_loops():
@@ -535,12 +664,45 @@ def test_rake_against_plain_loops():
     for _ in range(500):
         w = w * (goals[0] / w.sum(1))[:, None]
         w = w * (goals[1] / w.sum(0))[None]
-    assert np.allclose(mixing.rake(tokens, members, goals) * tokens / tokens.sum(), w.ravel())
+    factor, gap = mixing.rake(tokens, members, goals)
+    assert np.allclose(factor * tokens / tokens.sum(), w.ravel()) and gap < 1e-9
+
+
+def test_bounded_rake():
+    tokens = np.array([90.0, 5.0, 4.0, 1.0])
+    members = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    factor, gap = mixing.rake(tokens, members, [np.array([0.92, 0.08]), np.array([0.9, 0.1])], most=2)
+    assert gap < 1e-6 and factor.max() <= 2 + 1e-9
+    _, gap = mixing.rake(tokens, members, [np.array([0.5, 0.5]), np.array([0.9, 0.1])], most=2)
+    assert gap > 0.3
+
+
+def test_targets_out_of_reach_are_an_error(spark, docs):
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.weigh(docs, wanted=mixing.Mix(targets={"lang": {"fr": 0.9, "en": 0.1}}))
+
+
+def test_repeats_reach_the_budget(spark, docs):
+    wanted = mixing.Mix(targets={"lang": {"fr": 0.5, "en": 0.5}}, budget=1.5, repeats=True)
+    rows = mixing.sample(docs, wanted=wanted)
+    assert rows.columns == docs.columns and {r.lang for r in rows.select("lang").distinct().collect()} == {"fr", "en"}
+    copies = mixing.weigh(docs, wanted=wanted).toPandas().set_index("doc_id").copies
+    seen = collections.Counter(r.doc_id for r in rows.collect())
+    assert max(seen.values()) > 1 and all(seen[i] == n for i, n in copies.items())
+
+
+def test_topics_part_texts_of_different_words(spark):
+    rng = random.Random(2)
+    kinds = [[f"{a}{b}" for b in "klmnoprstuvw"] for a in ("ba", "ce", "di")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(40)), "s", "x") for i in range(90)]
+    got = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), wanted=mixing.Mix(topics=3)).toPandas()
+    assert got.topic.nunique() == 3 and all(got[got.doc_id % 3 == k].topic.nunique() == 1 for k in range(3))
 
 
 def test_mixing_odd(spark, odd):
     got = mixing.weigh(odd)
     assert got.count() == len(ODD) and got.where("source = '(none)'").count() == 3
+    assert {r.doc_id for r in got.where("topic = 'none'").collect()} == {1, 2, 3} and got.where("topic = 'none' and n_tokens > 0").count() == 0
     assert mixing.sample(odd).columns == odd.columns
     assert mixing.weigh(odd.limit(0)).count() == 0 and mixing.sample(odd.limit(0)).count() == 0
     kept = {i: {r.kept for r in rows} for i, rows in ((5, got.where("doc_id = 5").collect()),)}
@@ -600,6 +762,16 @@ def test_search_in_query_blocks_by_terms(spark, docs):
     pd.testing.assert_frame_equal(one, many)
 
 
+def test_equal_scores_across_shards_are_ranked_by_id(spark):
+    rows = [(i, "same words here" if i % 3 else f"other text {i}") for i in (*range(40, 0, -1), 7)] + [(None, "same words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    index = search.build_index(docs, shard_tokens=12)
+    assert index.count() > 5
+    weights, mean = search.weighted(search.query_terms(docs.where("doc_id = 1")), index)
+    got = [(r["rank"], r.doc_id) for r in search.search(index, weights, mean, k=6).orderBy("rank").collect()]
+    assert got == list(enumerate([None, 1, 2, 4, 5, 7], 1))
+
+
 def test_search_odd(spark, odd):
     got = search.similar_documents(odd, every=1)
     assert {r.query_id for r in got.collect()} <= {5, 6, 7, 8, 9}
@@ -628,6 +800,21 @@ def test_pipeline_stages(spark, sf, docs):
     final = seen["mixing"].toPandas()
     check_packing(rows.collect(), dict(zip(final.doc_id, final.text, strict=True)))
     assert pipeline.run(spark, sf).count() == rows.count()
+    accepted = {r.doc_id for r in langid.identify(docs).where("not rejected").collect()}
+    assert {r.doc_id for r in seen["language_id"].collect()} == accepted and len(accepted) > 0.97 * docs.count()
+    weighed = mixing.weigh(seen["minhash_near_dedup"]).where("kept").collect()
+    assert sorted(final.doc_id) == sorted(r.doc_id for r in weighed)
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_odd(spark, sf, odd, rows):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd if rows else odd.limit(0)
+    for name, stage in pipeline.STAGES:
+        before = docs
+        docs = common.written(stage(spark, before, sf), name)
+        assert name == "packing" or docs.columns == odd.columns
+    assert {r.doc_id for r in docs.collect()} <= {None, 5, 7, 8, 9} and docs.count() >= 3 * bool(rows)
 
 
 def test_oracles(spark, sf):
