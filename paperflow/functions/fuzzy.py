@@ -36,7 +36,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 @lru_cache(50_000)
 def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
-    """The best ratio of needle with windows of text, its length and a step longer; stops at the threshold."""
+    """The best ratio of needle with windows of text, its length and a step longer; stops at the threshold. Windows that can't
+    reach the threshold by their length or letters are passed over, so below it the result is a lower bound."""
     if not needle or not text:
         return 0.0
     if needle in text:
@@ -47,7 +48,8 @@ def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
     step, best = max(1, n // parts), 0.0
     for at in range(0, len(text) - n + 1, step):
         matcher = SequenceMatcher(None, needle, text[at : at + n + step])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+        least = max(best, threshold)
+        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least:
             best = max(best, matcher.ratio())
         if best >= threshold:
             break

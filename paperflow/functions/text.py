@@ -259,8 +259,12 @@ def content_stems(c: Column) -> Column:
 
 def shingles(words: Column, k: int) -> Column:
     """k-word sequences of an array of words, repeats included."""
-    at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+
+    def of(w: Column) -> Column:
+        at = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+
+    return bound(words, of)
 
 
 def words_of(c: Column) -> Column:

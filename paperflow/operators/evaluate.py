@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_window
-from ..functions.text import digits_only, fold, nth, numeric_tokens, shingles, text_or_empty, words_of
+from ..functions.text import bound, digits_only, fold, nth, numeric_tokens, shingles, text_or_empty, words_of
 
 BANDS = (0.40, 0.70, 0.90, 1.00)
 
@@ -165,7 +165,13 @@ def forbidden_repeats(text: Column, number: Column, date: Column) -> Column:
 def copy_ratio(draft: Column, body: Column, k: int = 5) -> Column:
     """The share of the draft's k-word shingles (repeats counted) that the body has; 0 if either is shorter."""
     own, other = shingles(words_of(fold(draft)), k), shingles(words_of(fold(body)), k)
-    return F.when((F.size(own) > 0) & (F.size(other) > 0), F.size(F.filter(own, lambda s: F.array_contains(other, s))) / F.size(own)).otherwise(0.0)
+
+    def share(z: Column) -> Column:
+        common = F.array_intersect(z["own"], z["other"])  # by hash; few unless the text is copied
+        found = bound(common, lambda c: F.size(F.filter(z["own"], lambda x: F.array_contains(c, x))))
+        return F.when((F.size(z["own"]) > 0) & (F.size(z["other"]) > 0), found / F.size(z["own"])).otherwise(0.0)
+
+    return bound(F.struct(own.alias("own"), other.alias("other")), share)
 
 
 def answer_quality(answers: DataFrame, allowed: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, WHITE, content_stems, fold, normalize_style, nth, paragraphs, sentences, strip, text_or_empty
+from ..functions.text import SPACE, WHITE, bound, content_stems, fold, normalize_style, nth, paragraphs, sentences, strip, text_or_empty
 
 # Closings, word lists and patterns of official style.
 CLOSINGS = {"arz": ["arz ederim"], "rica": ["rica ederim"], "karma": ["rica ederim"], "sunulur": ["bilgilerinize sunulur", "saygılarımla", "saygılarımı sunarım"]}
@@ -139,10 +139,15 @@ def names(text: Column, forbidden: Column, writer: Column, n: Column | None = No
 
 def coverage(text: Column, terms: Column, n: Column | None = None) -> Column:
     """KPS-01: a key term whose content stems mostly don't occur."""
-    n, have = normalize_style(text) if n is None else n, content_stems(text)
-    hit = lambda s: F.exists(have, lambda m: m.startswith(s) | s.startswith(m))
-    share = lambda t: F.size(F.filter(content_stems(t), hit)) / F.size(content_stems(t))
-    bad = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: ~t.rlike(TITLE_FORM) & ~normalize_style(t).rlike(REFERENCE_TERM) & ~n.contains(normalize_style(t)) & (F.size(content_stems(t)) > 0) & (share(t) < COVERAGE))
+    n = normalize_style(text) if n is None else n
+    terms = F.coalesce(terms, F.array().cast("array<string>"))
+
+    def missed(have: Column) -> Column:
+        hit = lambda s: F.exists(have, lambda m: m.startswith(s) | s.startswith(m))
+        share = lambda t: bound(content_stems(t), lambda own: F.when(F.size(own) > 0, F.size(F.filter(own, hit)) / F.size(own)))
+        return F.filter(terms, lambda t: ~t.rlike(TITLE_FORM) & ~normalize_style(t).rlike(REFERENCE_TERM) & ~n.contains(normalize_style(t)) & F.coalesce(share(t) < COVERAGE, F.lit(False)))
+
+    bad = F.when(F.size(terms) > 0, bound(content_stems(text), missed)).otherwise(terms)
     return F.transform(bad, lambda t: _finding("KPS-01", "hata", t))
 
 

@@ -1,9 +1,10 @@
-"""Matching names and codes against dimension tables. Dimensions are small and their size is checked before a broadcast;
-fuzzy ratios are computed once for each distinct text that has no exact hit."""
+"""Matching names and codes against dimension tables. A dimension of at most ROWS rows, which is checked first, is broadcast,
+packed in one row where every text is compared with all of it; names beyond that meet texts by an inverted join on their
+rarest three letters. Fuzzy ratios are computed once for each distinct text that has no exact hit, against at most ROWS names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_window, ratio
@@ -14,9 +15,28 @@ ROWS = 20_000  # of a dimension: above that it is joined, not broadcast
 QUOTE_LEAST = 8
 
 
-def dimension(df: DataFrame, rows: int = ROWS) -> DataFrame:
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    return df.limit((rows or ROWS) + 1).count() <= (rows or ROWS)
+
+
+def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A broadcast hint for a dimension of proven size."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def _grams(c: Column, n: int) -> Column:
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """t, n: every distinct text (t) with the names (n, not empty) that stand in it. A name is filed under its rarest three letters
+    (or itself, if shorter), and a text looks up the letters it has."""
+    distinct = names.select("n").distinct()
+    grams = distinct.select("n", F.explode(F.when(F.length("n") >= 3, _grams(F.col("n"), 3)).otherwise(F.array("n"))).alias("g"))
+    rarest = grams.join(grams.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("n").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
+    t = F.col("t")
+    looked_up = texts.select("t").distinct().select("t", F.explode(F.concat(_grams(t, 1), _grams(t, 2), _grams(t, 3))).alias("g"))
+    return looked_up.join(rarest, "g").where(t.contains(F.col("n"))).select("t", "n").distinct()
 
 
 def units_by_key(docs: DataFrame, units: DataFrame, key: str, unit_key: str = "detsis_no", outside: DataFrame | None = None) -> DataFrame:
@@ -59,21 +79,29 @@ def code_names(codes: DataFrame, catalog: DataFrame, code_col: str = "sdp") -> D
     return distinct.join(best, "code", "left").select("code", "b.matched_code", "b.name", F.when(F.col("b.matched_code") == F.col("code"), F.col("b.retention")).alias("retention"))
 
 
-def best_unit_match(texts: DataFrame, candidates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def best_unit_match(texts: DataFrame, candidates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """text, code, score, name: the candidate (code, name, level) that fits each distinct text best. Contained names come
-    before fuzzy ones, then level, ratio, length of the name, code and name decide."""
-    small = candidates.select("code", "name", "level", fold(F.col("name")).alias("n")).where("n <> ''")
+    before fuzzy ones, then level, ratio, length of the name, code and name decide. Fuzzy matches need a dimension of at most
+    ROWS rows: ratios know no index, so a larger one is an error unless fuzzy is off."""
+    small = candidates.select("code", "name", "level", fold(F.col("name")).alias("n")).where("n <> ''").withColumn("size", F.length("n"))
     distinct = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct().withColumn("t", fold(F.col("text"))).where("t <> ''")
-    packed = dimension(small.agg(F.collect_list(F.struct("level", F.length("n").alias("size"), "code", "name", "n")).alias("c")), 1)
-    rows = distinct.join(packed)  # one row of candidates beside every text
+    if not is_small(small):
+        if fuzzy:
+            raise ValueError(f"fuzzy matches take at most {ROWS} candidates")
+        hits = containing(distinct, small).join(small, "n").groupBy("t").agg(F.max(F.struct("level", F.lit(1.0).alias("score"), "size", "code", "name")).alias("b"))
+        return distinct.join(hits, "t").select("text", "b.code", "b.score", "b.name")
+    packed = F.broadcast(small.agg(F.collect_list(F.struct("level", "size", "code", "name", "n")).alias("c")))
+    rows = distinct.withColumn("length", F.length("t")).join(packed)  # at most ROWS candidates beside every text
     inside = F.filter("c", lambda x: F.col("t").contains(x["n"]))
     exact = F.array_max(F.transform(inside, lambda x: F.struct(x["level"].alias("level"), F.lit(1.0).alias("score"), x["size"].alias("size"), x["code"].alias("code"), x["name"].alias("name"))))
-    tried = rows.select("text", "t", "c", exact.alias("best"))
+    tried = rows.select("text", "t", "length", "c", exact.alias("best"))
     found = tried.where("best is not null").select("text", "best.code", "best.score", "best.name")
-    bound = lambda x: 2 * F.least(x["size"], F.length("t")) / (x["size"] + F.length("t")) >= threshold  # noqa: E731  no ratio can exceed it
+    if not fuzzy:
+        return found
+    bound = lambda x: 2 * F.least(x["size"], F.col("length")) / (x["size"] + F.col("length")) >= threshold  # noqa: E731  no ratio can exceed it
     rest = tried.where("best is null").select("text", "t", F.explode(F.filter("c", bound)).alias("x")).withColumn("score", ratio(F.col("x.n"), F.col("t"))).where(F.col("score") >= threshold)
-    fuzzy = rest.groupBy("text").agg(F.max(F.struct("x.level", "score", "x.size", "x.code", "x.name")).alias("b")).select("text", "b.code", "b.score", "b.name")
-    return found.unionByName(fuzzy)
+    close = rest.groupBy("text").agg(F.max(F.struct("x.level", "score", "x.size", "x.code", "x.name")).alias("b")).select("text", "b.code", "b.score", "b.name")
+    return found.unionByName(close)
 
 
 def alias_candidates(units: DataFrame, second_names: DataFrame) -> DataFrame:
@@ -83,23 +111,39 @@ def alias_candidates(units: DataFrame, second_names: DataFrame) -> DataFrame:
     return both.groupBy("n").agg(F.min(F.struct("rank", "code", "name", "level")).alias("m")).select("m.code", "m.name", "m.level")
 
 
-def letterhead_unit(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, institution: the institution all of whose lines (institution, line, ord) occur in the letterhead; most lines
-    win, the first on ties."""
-    wanted = dimension(patterns.withColumn("l", fold(F.col("line"))).groupBy("institution").agg(F.collect_list("l").alias("lines"), F.min("ord").alias("ord")).agg(F.collect_list(F.struct("institution", "lines", "ord")).alias("p")), 1)
-    rows = docs.select("doc_id", fold(F.array_join("letterhead", " ")).alias("t")).join(wanted)
-    hits = F.filter("p", lambda x: F.forall(x["lines"], lambda line: F.col("t").contains(line)))
-    best = F.array_max(F.transform(hits, lambda x: F.struct(F.size(x["lines"]).alias("n"), (-x["ord"]).alias("o"), x["institution"].alias("institution"))))
-    return rows.select("doc_id", best["institution"].alias("institution"))
+def letterhead_unit(docs: DataFrame, patterns: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """doc_id, institution, unit: the institution all of whose lines (institution, line, ord) occur in the letterhead; most
+    lines win, the first on ties. unit: the code of the institution's unit (units: code, name, institution) that the last line
+    names exactly, else the institution's own code; null without units."""
+    lines = patterns.withColumn("l", fold(F.col("line")))
+    wanted = lines.groupBy("institution").agg(F.collect_set("l").alias("lines"), F.min("ord").alias("ord"))
+    heads = docs.select("doc_id", fold(F.array_join("letterhead", " ")).alias("t"), fold(nth("letterhead", -1)).alias("last"))
+    if is_small(wanted):
+        packed = F.broadcast(wanted.agg(F.collect_list(F.struct("institution", "lines", "ord")).alias("p")))
+        hits = F.filter("p", lambda x: F.forall(x["lines"], lambda line: F.col("t").contains(line)))
+        best = F.array_max(F.transform(hits, lambda x: F.struct(F.size(x["lines"]).alias("n"), (-x["ord"]).alias("o"), x["institution"].alias("institution"))))
+        found = heads.join(packed).select("doc_id", "last", best["institution"].alias("institution"))
+    else:
+        hits = containing(heads, lines.select(F.col("l").alias("n")).where("n <> ''")).join(lines.select(F.col("l").alias("n"), "institution").distinct(), "n")
+        full = hits.groupBy("t", "institution").agg(F.count("*").alias("k")).join(wanted.select("institution", F.size(F.array_remove("lines", "")).alias("k"), "ord"), ["institution", "k"])
+        best = full.groupBy("t").agg(F.max(F.struct("k", (-F.col("ord")).alias("o"), "institution")).alias("b")).select("t", "b.institution")
+        found = heads.join(best, "t", "left").select("doc_id", "last", "institution")
+    if units is None:
+        return found.select("doc_id", "institution", F.lit(None).cast("string").alias("unit"))
+    named = units.groupBy("institution", fold(F.col("name")).alias("last")).agg(F.min("code").alias("unit"))
+    return found.join(dimension(named), ["institution", "last"], "left").select("doc_id", "institution", F.coalesce("unit", "institution").alias("unit"))
 
 
 def code_from_subject(subjects: DataFrame, catalog: DataFrame, text_col: str = "subject") -> DataFrame:
     """subject, code: the first catalogue row (by ord) whose name or one of whose subjects stands in a distinct subject."""
-    phrases = catalog.select("code", "ord", F.explode(F.array_union(F.array(F.coalesce("name", F.lit(""))), "subjects")).alias("p")).select("code", "ord", fold(F.col("p")).alias("p")).where("p <> ''")
-    packed = dimension(phrases.agg(F.array_sort(F.collect_list(F.struct("ord", "code", "p"))).alias("c")), 1)
-    rows = subjects.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("subject")).distinct().join(packed)
-    hit = nth(F.filter("c", lambda x: fold(F.col("subject")).contains(x["p"])), 1)
-    return rows.select("subject", hit["code"].alias("code")).where("code is not null")
+    phrases = catalog.select("code", "ord", F.explode(F.array_union(F.array(F.coalesce("name", F.lit(""))), "subjects")).alias("p")).select("code", "ord", fold(F.col("p")).alias("n")).where("n <> ''")
+    distinct = subjects.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("subject")).distinct().withColumn("t", fold(F.col("subject")))
+    if not is_small(phrases):
+        best = containing(distinct, phrases).join(phrases, "n").groupBy("t").agg(F.min(F.struct("ord", "code")).alias("b"))
+        return distinct.join(best, "t").select("subject", "b.code")
+    packed = F.broadcast(phrases.agg(F.array_sort(F.collect_list(F.struct("ord", "code", "n"))).alias("c")))
+    hit = nth(F.filter("c", lambda x: F.col("t").contains(x["n"])), 1)
+    return distinct.join(packed).select("subject", hit["code"].alias("code")).where("code is not null")
 
 
 def hierarchy_position(pairs: DataFrame, lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -109,8 +153,8 @@ def hierarchy_position(pairs: DataFrame, lists: DataFrame, threshold: float = TH
     names = institutions.select(F.col("institution").alias("code"), F.col("institution").alias("name"), F.lit(0).alias("level"))
     match = best_unit_match(pairs, names, "sender", threshold).select(F.col("text").alias("sender"), F.col("code").alias("institution"))
     packed = lists.select("institution", "position_ord", "position", fold(F.col("body")).alias("b")).groupBy("institution").agg(F.array_sort(F.collect_list(F.struct("position_ord", "position", "b"))).alias("l"))
-    rows = pairs.select("sender", "recipient").distinct().join(match, "sender", "left").join(dimension(packed), "institution", "left")
-    r = fold(F.col("recipient"))
+    rows = pairs.select("sender", "recipient").distinct().withColumn("r", fold(F.col("recipient"))).join(match, "sender", "left").join(dimension(packed), "institution", "left")
+    r = F.col("r")
     hit = nth(F.filter("l", lambda x: (r != "") & (x["b"].contains(r) | r.contains(x["b"]))), 1)
     return rows.select("sender", "recipient", F.when(F.col("institution").isNull(), "kurum_yok").otherwise(F.coalesce(hit["position"], F.lit("bulunamadi"))).alias("position"))
 
@@ -134,14 +178,26 @@ def recipient_unit(replies: DataFrame, units: DataFrame, text_cols: list[str]) -
     return out.select("doc_id", result.alias("unit"))
 
 
+def _disorder(rows: DataFrame, slots: int = 64) -> DataFrame:
+    """batch, out_of_order of rows (batch, doc_no, wanted, at): whether the places found fall anywhere in the wanted order. Ranged
+    over (batch, wanted), compared with the row before inside a range, and each range's first with the highest before it."""
+    place, inner, outer = F.struct("at", "doc_no"), Window.partitionBy("part", "batch").orderBy("wanted", "doc_no"), Window.partitionBy("batch").orderBy("part")
+    ranged = rows.repartitionByRange(slots, "batch", "wanted", "doc_no").select("batch", "doc_no", "wanted", "at", F.spark_partition_id().alias("part"))
+    falls = ranged.withColumn("fall", F.coalesce(F.lag(place).over(inner) > place, F.lit(False)))
+    parts = falls.groupBy("batch", "part").agg(F.max("fall").alias("fall"), F.min(place).alias("low"), F.max(place).alias("high"))
+    parts = parts.withColumn("fall", F.col("fall") | F.coalesce(F.max("high").over(outer.rowsBetween(Window.unboundedPreceding, -1)) > F.col("low"), F.lit(False)))
+    return parts.groupBy("batch").agg(F.max("fall").alias("out_of_order"))
+
+
 def match_answers(expected: DataFrame, found: DataFrame, least: int = 80, preamble: int = 20) -> DataFrame:
     """batch, missing, extra, repeated, out_of_order, short, empty, long_preamble. expected: batch, doc_no, ord; found: as
-    split_batches() gives it."""
+    split_batches() gives it. Order is checked between neighbours in ranges, so a large batch spreads over tasks."""
     bodies = found.where("doc_no is not null").groupBy("batch", "doc_no").agg(F.count("*").alias("n"), F.min("ord").alias("at"), F.min(F.length("body")).alias("size"))
     both = expected.select("batch", "doc_no", F.col("ord").alias("wanted")).join(bodies, ["batch", "doc_no"], "full")
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("wanted").isNotNull() & F.col("at").isNotNull(), F.struct(c, "doc_no")))), lambda x: x["doc_no"])
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    sums = both.groupBy("batch").agg(count(F.col("at").isNull()).alias("missing"), count(F.col("wanted").isNull()).alias("extra"), count(F.col("n") > 1).alias("repeated"), (in_order("wanted") != in_order("at")).alias("out_of_order"), count((F.col("size") > 0) & (F.col("size") < least)).alias("short"), count(F.col("size") == 0).alias("empty"))
+    sums = both.groupBy("batch").agg(count(F.col("at").isNull()).alias("missing"), count(F.col("wanted").isNull()).alias("extra"), count(F.col("n") > 1).alias("repeated"), count((F.col("size") > 0) & (F.col("size") < least)).alias("short"), count(F.col("size") == 0).alias("empty"))
+    sums = sums.join(_disorder(both.where("wanted is not null and at is not null")), "batch", "left").withColumn("out_of_order", F.coalesce("out_of_order", F.lit(False)))
+    sums = sums.select("batch", "missing", "extra", "repeated", "out_of_order", "short", "empty")
     heads = found.where("ord = 0").groupBy("batch").agg(F.max(F.length("body") > preamble).alias("long_preamble"))
     return sums.join(heads, "batch", "left").withColumn("long_preamble", F.coalesce("long_preamble", F.lit(False)))
 

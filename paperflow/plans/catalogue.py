@@ -83,11 +83,6 @@ def n11(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), t.masked(F.lit("iban"), F.col("c_name")).alias("masked"))
 
 
-@query("n13_tckn", "SELECT o_orderkey AS doc_id, true AS made_valid FROM orders")
-def n13(s, d):
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.tckn_valid(corpus.tckn_from_seed(F.col("o_orderkey"))).alias("made_valid"))
-
-
 @query("n15_clip", "SELECT doc_id, CASE WHEN length(trim(text)) > 40 THEN rtrim(substr(trim(text), 1, 39)) || '…' ELSE trim(text) END AS clipped FROM documents")
 def n15(s, d):
     return table(s, d, "documents").select("doc_id", t.clip(F.col("text"), 40).alias("clipped"))
@@ -144,19 +139,6 @@ def l5(s, d):
 # --- rules and style
 
 
-@query("r1_run_rules", r"""WITH c AS (SELECT doc_id, unnest([
-  {'r': 'B-01', 's': CASE WHEN number IS NULL THEN 'ihlal' ELSE 'uygun' END},
-  {'r': 'S-01', 's': CASE WHEN number IS NULL THEN 'alan_bos' WHEN NOT regexp_matches(number, '^E-\d{8}-') THEN 'ihlal' ELSE 'uygun' END},
-  {'r': 'S-02', 's': CASE WHEN contains(subject, 'SPECIFIED') THEN 'ihlal' ELSE 'uygun' END},
-  {'r': 'T-01', 's': CASE WHEN belge_turu NOT IN ('genelge', 'cevap_yazisi') THEN 'kapsam_disi' WHEN family NOT IN ('O', 'F') THEN 'ihlal' ELSE 'uygun' END},
-  {'r': 'T-02', 's': CASE WHEN belge_turu <> 'dilekce' THEN 'kapsam_disi' WHEN contains(translate(subject, 'I', 'i'), 'URGENT') OR contains(subject, 'HIGH') THEN 'ihlal' ELSE 'uygun' END},
-  {'r': 'M-01', 's': CASE WHEN addressee <> sender THEN 'ihlal' ELSE 'uygun' END},
-  {'r': 'G-01', 's': 'hedef_disi'}, {'r': 'Y-01', 's': 'yol_yok'}]) AS x FROM letters)
-SELECT doc_id, x.r AS rule_id, x.s AS status FROM c WHERE x.r <> 'T-02'""", ("letters",))
-def r1(s, d):
-    return rules.run_rules(view(s, d, "letters"), RULES, categories=CATEGORIES).select("doc_id", "rule_id", "status").where("rule_id <> 'T-02'")
-
-
 @query("r13_findings", """SELECT doc_id, 'B-01' AS rule_id, 'hata' AS severity, 'Y 16' AS basis FROM letters WHERE number IS NULL
 UNION ALL SELECT doc_id, 'S-01', 'uyari', 'Y 12' FROM letters WHERE number LIKE '2026/%' UNION ALL SELECT doc_id, 'S-02', 'bilgi', 'K 3' FROM letters WHERE subject LIKE '%SPECIFIED%'""", ("letters",))
 def r13(s, d):
@@ -221,11 +203,6 @@ def _units(s, d):
     return view(s, d, "units").withColumn("sdp_codes", F.when(F.col("sdp").isNull(), F.array().cast("array<string>")).otherwise(F.array("sdp")))
 
 
-@query("j1_root_institution", "SELECT code, coalesce(parent_code, code) AS root FROM units", ("units",))
-def j1(s, d):
-    return dimensions.root_institution(view(s, d, "units"), 4).select("code", "root")
-
-
 @query("j2_units_by_detsis", r"SELECT l.doc_id, u.code AS unit_code FROM letters l LEFT JOIN units u ON u.detsis_no = nullif(regexp_extract(l.number, '^E-(\d{8})-', 1), '')", ("letters", "units"))
 def j2(s, d):
     docs = view(s, d, "letters").select("doc_id", t.number_parts(F.col("number"))["detsis"].alias("detsis"))
@@ -251,7 +228,7 @@ def j5(s, d):
 @query("j5_fuzzy_units")
 def j5f(s, d):
     parts = table(s, d, "part").select(F.col("p_name").alias("text"))
-    names = table(s, d, "part").select(F.concat(F.lit("K"), F.col("p_size").cast("string")).alias("code"), F.concat(F.initcap("p_type"), F.lit(" "), F.substring_index("p_name", " ", -1)).alias("name"), F.lit(1).alias("level")).distinct()
+    names = table(s, d, "part").select(F.upper("p_type").alias("code"), F.initcap("p_type").alias("name"), F.lit(1).alias("level")).distinct()  # the types are a small vocabulary
     return matching.best_unit_match(parts, names, "text", 0.5)
 
 
@@ -262,38 +239,11 @@ def j8(s, d):
     return matching.code_from_subject(part.select(F.concat(F.lower("p_type"), F.lit(" "), F.col("p_name")).alias("subject")), catalog)
 
 
-@query("j9_fuzzy_terms")
-def j9(s, d):
-    """Benchmark passages searched in the conversations, exactly first, then by windows, in each text's own pairing."""
-    texts = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    terms = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.substring_index("text", " ", 2).alias("term"))
-    return evaluate.term_recall(texts, terms)
-
-
-@query("j14_match_answers", "SELECT source AS batch, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(sum(CASE WHEN length(trim(text)) < 80 THEN 1 ELSE 0 END) AS BIGINT) AS short FROM documents GROUP BY source")
-def j14(s, d):
-    docs = table(s, d, "documents")
-    found = docs.select(F.col("source").alias("batch"), F.col("doc_id").cast("string").alias("doc_no"), F.col("doc_id").alias("ord"), F.trim("text").alias("body"))
-    expected = docs.select(F.col("source").alias("batch"), F.col("doc_id").cast("string").alias("doc_no"), F.col("doc_id").alias("ord"))
-    return matching.match_answers(expected, found).select("batch", "missing", "extra", "short")
-
-
 @query("j15_unsupported", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j15(s, d):
     return matching.unsupported(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), ["doc_id"])
 
 
-@query("j16_verify_quote", f"""SELECT doc_id, CASE WHEN contains({FOLD}, trim(lower(translate(substr(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ ', ''), 1, 20), 'ÀÁÃÄÅÈÉÊËÌÍÏÑÒÓÔÕÙÚÝàáãäåèéêëìíïñòóôõùúýÿİIıŞşĞğÇçÖöÜüÂâÎîÛû', 'AAAAAEEEEIIINOOOOUUYaaaaaeeeeiiinoooouuyyiiissggccoouuaaiiuu')))) AND length(trim(substr(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ ', ''), 1, 20))) >= 8 THEN 'govde' END AS stands FROM documents""")
-def j16(s, d):
-    docs = table(s, d, "documents")
-    return docs.select("doc_id", matching.verify_quote(t.cut(F.col("text"), 20), F.col("text"), F.col("text")).alias("stands"))
-
-
-@query("q6_audit_units", "SELECT 'none' AS problem, code FROM units WHERE false", ("units",))
-def q6(s, d):
-    return dimensions.audit_units(view(s, d, "units"))
-
-
 # --- routing, gate, evidence
 
 
@@ -369,13 +319,6 @@ def g6(s, d):
     return register.summary(register.assign_numbers(view(s, d, "letters")))
 
 
-@query("g7_apply_actions")
-def g7(s, d):
-    docs = view(s, d, "actions").select("doc_id").distinct().select("doc_id", F.lit("insan_onayi_bekliyor").alias("status"), F.lit("N0").alias("unit"))
-    out = register.apply_actions(docs, view(s, d, "actions").withColumn("ts", F.col("ts").cast("timestamp")))
-    return out.select("doc_id", "status", "decision", "unit", "corrections", "accepted", F.size("rejected").alias("rejected"))
-
-
 # --- board
 
 
@@ -462,15 +405,6 @@ def e15(s, d):
     return rows.select("conv_id", "turn", F.size(evaluate.unverified_numbers(F.col("text"), F.col("src"))).alias("unverified"))
 
 
-@query("e17_copy_ratio")
-def e17(s, d):
-    """Each answer against the turn before it."""
-    from pyspark.sql import Window
-
-    rows = table(s, d, "conversations").withColumn("src", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return rows.select("conv_id", "turn", evaluate.copy_ratio(F.col("text"), F.col("src")).alias("ratio"))
-
-
 @query("e18_answer_quality", """SELECT user_id AS doc_id, count(*) AS n, CAST(sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) AS BIGINT) AS in_enum, CAST(sum(CASE WHEN value / 100 BETWEEN 0 AND 1 THEN 1 ELSE 0 END) AS BIGINT) AS in_range, count(DISTINCT event_type) = 1 AS stable FROM events GROUP BY 1""")
 def e18(s, d):
     rows = table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("props").alias("raw"), F.col("event_type").alias("value"), (F.col("value") / 100).alias("confidence"))
@@ -487,11 +421,6 @@ def q1(s, d):
     return rows.join(hot, "h", "left_semi").groupBy(F.col("text").alias("line")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n > 1")
 
 
-@query("q1_repeated_sentences")
-def q1s(s, d):
-    return corpus.repeated_sentences(table(s, d, "documents"))
-
-
 @query("q1_diversity", "SELECT count(*) AS n, CAST(min(length(text)) AS INT) AS min_chars, round(avg(length(text)), 6) AS mean_chars, CAST(max(length(text)) AS INT) AS max_chars FROM documents")
 def q1d(s, d):
     return corpus.diversity(table(s, d, "documents")).select("n", "min_chars", F.round("mean_chars", 6).alias("mean_chars"), "max_chars")
@@ -526,11 +455,6 @@ def b8(s, d):
     return corpus.batches(table(s, d, "documents").select("doc_id", (F.col("doc_id") + 1).alias("no"))).select("doc_id", "batch")
 
 
-@query("p1_class_covering")
-def p1(s, d):
-    return sampling.class_covering(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("-", "lang", "source").alias("class")), 100)
-
-
 @query("p2_proportional", "SELECT lang AS class, CAST(least(count(*), greatest(2, round(100.0 * count(*) / (SELECT count(*) FROM documents)))) AS BIGINT) AS n FROM documents GROUP BY lang")
 def p2(s, d):
     rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("class"))
@@ -558,4 +482,4 @@ def w2(s, d):
     return latest_status(rows).select("doc_id", "status", "events")
 
 
-from . import catalogue_more, letters  # noqa: E402, F401  they register their queries here
+from . import catalogue_more, catalogue_texts, letters  # noqa: E402, F401  they register their queries here

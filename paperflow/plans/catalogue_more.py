@@ -19,17 +19,6 @@ def n3(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(t.tr_lower(F.col("text"))).alias("lowered"), F.md5(t.squeeze_space(F.col("text"))).alias("squeezed"))
 
 
-@query("n6_paragraphs", "SELECT conv_id, turn, 2 AS paragraphs FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''")
-def n6(s, d):
-    rows = table(s, d, "conversations").where(F.trim(F.translate("text", "\n", " ")) != "")
-    return rows.select("conv_id", "turn", F.size(t.paragraphs(F.concat("text", F.lit("\n \n\nSon.")))).alias("paragraphs"))
-
-
-@query("n7_sentences")
-def n7(s, d):
-    return table(s, d, "documents").select("doc_id", F.size(t.sentences(F.col("text"))).alias("sentences"))
-
-
 @query("n12_pii_flag", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN true ELSE value > 50 END AS pii, CASE WHEN event_type = 'click' THEN 'iban' WHEN event_type = 'view' THEN 'adres' WHEN event_type = 'error' THEN 'diger' ELSE 'tarih' END AS kind FROM events")
 def n12(s, d):
     kind = F.when(F.col("event_type") == "click", "iban").when(F.col("event_type") == "view", "adres").when(F.col("event_type") == "error", "unknown").otherwise("tarih")
@@ -60,11 +49,6 @@ def n22(s, d):
     return rows.select("doc_id", t.in_scope(F.col("belge_turu"), F.lit("kurum"), {"kurum": ["genelge", "cevap_yazisi"]}).alias("letter"), t.mapped(F.col("belge_turu"), {"genelge": "Genelge", "dilekce": "Dilekçe"}).alias("label"))
 
 
-@query("n24_content_stems")
-def n24(s, d):
-    return table(s, d, "documents").select("doc_id", F.size(t.content_stems(F.col("text"))).alias("stems"))
-
-
 # --- lines and fields
 
 
@@ -80,12 +64,6 @@ def l4(s, d):
     return lines.has_text_layer(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
 
 
-@query("l6_stock_phrases", "SELECT doc_id, CAST(1 AS BIGINT) AS footer_lines FROM documents")
-def l6(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.lit(1).alias("line_no"), F.concat(F.lit("x "), F.lit("Bu belge, güvenli elektronik imza ile imzalanmıştır. "), F.substring("text", 1, 20)).alias("text"), F.lit("body").alias("part"))
-    return lines.strip_stock_phrases(rows).groupBy("doc_id").agg(F.sum((F.col("part") == "footer").cast("long")).alias("footer_lines"))
-
-
 @query("x10_sender", "SELECT l.doc_id, CASE WHEN l.family = 'P' THEN 'kisi' WHEN u.code IS NOT NULL THEN 'birim' WHEN l.family = 'F' THEN 'sirket' END AS sender_kind, CASE WHEN l.family <> 'P' THEN u.code END AS sender_code FROM letters l LEFT JOIN units u ON u.detsis_no = CASE WHEN l.doc_id % 3 = 0 THEN CAST(10000000 + l.nation AS STRING) END", ("letters", "units"))
 def x10(s, d):
     rows = view(s, d, "letters").select("doc_id", F.when(F.col("family") == "P", "dilekce").when(F.col("family") == "F", "sirket").otherwise("kurum").alias("family"), F.array(F.lit("Antet")).alias("letterhead"), F.when(F.col("doc_id") % 3 == 0, (F.col("nation") + 10_000_000).cast("string")).alias("detsis_no"), F.col("sender").alias("person"))
@@ -128,13 +106,16 @@ def j6(s, d):
     return matching.alias_candidates(u, u.where("level = 0").select("code", F.concat(F.lit("ikinci "), F.col("name")).alias("name"))).select("code", "name")
 
 
-@query("j7_letterhead_unit", "SELECT l.doc_id, arg_max(u.code, (length(u.name), u.code)) AS institution FROM letters l JOIN units u ON u.level > 0 AND contains('T.C. ' || l.addressee || ' x', u.name) GROUP BY l.doc_id", ("letters", "units"))
+@query("j7_letterhead_unit", """WITH h AS (SELECT l.doc_id, l.addressee, l.doc_id % 3 = 0 AS own, arg_max(u.code, (length(u.name), u.code)) AS institution FROM letters l JOIN units u ON u.level > 0 AND contains('t.c. ' || lower(l.addressee), lower(u.name)) GROUP BY ALL)
+SELECT l.doc_id, h.institution, CASE WHEN h.own THEN h.institution || '-B' ELSE h.institution END AS unit FROM letters l LEFT JOIN h USING (doc_id)""", ("letters", "units"))
 def j7(s, d):
-    u = view(s, d, "units").where("level > 0").select(F.col("code").alias("institution"), F.col("name").alias("line"), (-F.length("name") * 1000 - F.regexp_replace("code", "N", "").cast("int")).alias("ord"))
-    heads = view(s, d, "letters").select("doc_id", F.array(F.lit("T.C."), F.col("addressee"), F.lit("x")).alias("letterhead"))
-    found = matching.letterhead_unit(heads, u)
-    best = view(s, d, "letters").join(view(s, d, "units").where("level > 0").select("code", "name"), F.col("addressee").contains(F.col("name"))).groupBy("doc_id").agg(F.max_by("code", F.struct(F.length("name"), "code")).alias("institution"))
-    return found.join(best, ["doc_id", "institution"]).select("doc_id", "institution")
+    """Letterheads of two lines and the unit's name, an own unit of the institution in every third one."""
+    u = view(s, d, "units").where("level > 0")
+    number = F.regexp_replace("code", "[A-Z]", "").cast("int")
+    patterns = u.select(F.col("code").alias("institution"), F.col("name").alias("line"), (-F.length("name") * 1000 - number).alias("ord"))
+    own = u.select(F.concat("code", F.lit("-B")).alias("code"), F.lit("Birim").alias("name"), F.col("code").alias("institution"))
+    heads = view(s, d, "letters").select("doc_id", F.array(F.lit("T.C."), F.col("addressee"), F.when(F.col("doc_id") % 3 == 0, "BİRİM").otherwise("x")).alias("letterhead"))
+    return matching.letterhead_unit(heads, patterns, own)
 
 
 @query("j10_similarity")
@@ -162,12 +143,6 @@ def j13(s, d):
     return matching.recipient_unit(rows, _units(s, d), ["addressee"])
 
 
-@query("j17_verify_evidence", "SELECT conv_id, turn, length(trim(text)) = 0 AS dropped FROM conversations WHERE turn < 2")
-def j17(s, d):
-    rows = table(s, d, "conversations").where("turn < 2").withColumn("sentence", F.substring("text", 1, 30))
-    return matching.verify_evidence(rows, "sentence", "text").select("conv_id", "turn", "dropped")
-
-
 @query("q7_audit_catalog", "SELECT 'form' AS problem, CAST(p_size AS STRING) AS code FROM (SELECT DISTINCT p_size FROM part) UNION ALL SELECT 'subjects', CAST(p_size AS STRING) FROM (SELECT DISTINCT p_size FROM part)")
 def q7(s, d):
     catalog = table(s, d, "part").select(F.col("p_size").cast("string").alias("code")).distinct().withColumn("subjects", F.array(F.lit("a")))
@@ -208,40 +183,12 @@ def t3(s, d):
     return _bodies(s, d).select("conv_id", "turn", F.array_join(F.transform(out, lambda x: F.concat(x["rule_id"], F.lit(":"), x["detail"])), ",").alias("found"))
 
 
-@query("t4_t6_persons_names", "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'K13.1,ATF-01' ELSE 'VTD-01' END AS found FROM conversations")
-def t4(s, d):
-    rows = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("conv_id") % 2 == 0, "İnceledik, Gazi tarafından. ").otherwise("Müdürlüğümüz bakar. "), F.lit("Arz ederim.")).alias("text"), F.when(F.col("conv_id") % 2 == 0, "kurum").otherwise("vatandas").alias("writer"))
-    found = F.concat(lint.first_person(F.col("text"), F.col("writer")), lint.office_words(F.col("text"), F.col("writer")), lint.names(F.col("text"), F.array(F.lit("Gazi")), F.col("writer")))
-    return rows.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["rule_id"]), ",").alias("found"))
-
-
-@query("t7_t9_coverage_structure", "SELECT doc_id, true AS covered, CASE WHEN length(trim(text, ' ' || chr(10))) > 0 THEN 'BCM-01' END AS structure FROM documents WHERE contains(text, 'the ')")
-def t7(s, d):
-    rows = table(s, d, "documents").where(F.col("text").contains("the "))
-    return rows.select("doc_id", (F.size(lint.coverage(F.col("text"), F.array(F.lit("the ")))) == 0).alias("covered"), t.nth(F.transform(lint.structure(F.col("text"), F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(1), F.lit(1), F.lit(1), F.lit(1), F.lit(1), F.lit(1))), lambda x: x["rule_id"]), 1).alias("structure"))
-
-
-@query("t8_attachments_references", "SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'EK-01,ILG-03' WHEN 1 THEN '' WHEN 2 THEN 'EK-02' ELSE 'ILG-02' END AS found FROM conversations")
-def t8(s, d):
-    k = F.col("conv_id") % 4
-    text = F.when(k == 1, "İlgi yazı okundu, liste ekte sunulmuştur.").when(k == 2, "Liste ekte sunulmuştur.").when(k == 3, "İlgi'de kayıtlı yazı okundu.").otherwise("Konu incelendi.")
-    rows = table(s, d, "conversations").select("conv_id", "turn", text.alias("text"), k.isin(0, 1).alias("attachment"), k.isin(0, 1).alias("reference"))
-    found = F.concat(lint.attachments(F.col("text"), F.col("attachment"), F.lit(None).cast("string")), lint.references(F.col("text"), F.col("reference")))
-    return rows.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["rule_id"]), ",").alias("found"))
-
-
 @query("t10_clean_flags", r"""SELECT doc_id, NOT (trim(text, ' ' || chr(10)) = '' OR NOT regexp_matches(text, '[.!?]\s*$')) AS clean FROM documents""")
 def t10(s, d):
     docs = table(s, d, "documents").select("doc_id", "text")
     return lint.clean_flags(docs, lint.lint(docs, groups=("completeness",)))
 
 
-@query("t11_draft_checks", "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'YZ-02' ELSE '' END AS found FROM conversations")
-def t11(s, d):
-    text = F.concat(F.lit("Konu incelendi. Arz ederim."), F.when(F.col("conv_id") % 2 == 0, " Rica ederim.").otherwise(""))
-    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(lint.draft_checks(text), lambda x: x["rule_id"]), ",").alias("found"))
-
-
 @query("t12_without_conflicts", "SELECT doc_id, rule_id, severity FROM items WHERE NOT (rule_id = 'kural_2' AND doc_id % 2 = 0)", ("items",))
 def t12(s, d):
     rows = view(s, d, "items").withColumn("direction", F.when(F.col("doc_id") % 2 == 0, "gercek_kisi")).withColumn("rule_id", F.when(F.col("rule_id") == "kural_2", "ME-02").otherwise(F.col("rule_id")))
@@ -445,13 +392,6 @@ def b3(s, d):
     return corpus.allowed_defects(rows).select("doc_id", F.size("defects").alias("n"))
 
 
-@query("b5_break_reference", "SELECT conv_id, turn, true AS clean FROM conversations")
-def b5(s, d):
-    text = F.concat(F.lit("İlgide kayıtlı yazı ile istenen bilgi hazırdır. "), F.lit("Arz ederim."))
-    broken = corpus.break_reference(text, F.col("conv_id"))
-    return table(s, d, "conversations").select("conv_id", "turn", (broken.isNotNull() & ~broken.contains("İlgi")).alias("clean"))
-
-
 @query("q1_opening_words", "WITH w AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM documents) SELECT coalesce(array_to_string(a[1:3], ' '), '') AS opening, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, opening LIMIT 3")
 def q1o(s, d):
     return corpus.opening_words(table(s, d, "documents"))

@@ -79,6 +79,8 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with these views as common tables."""
     parts = [f"{n} AS ({VIEWS[n].replace('{date}', DATES['duckdb']).format(**{t: t for t in TABLES})})" for n in names]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body
