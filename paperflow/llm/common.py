@@ -6,16 +6,19 @@ working set does not depend on how long a single text is beyond its own bytes an
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 SLICE_BYTES = 1 << 18
 BATCH_BYTES = 2 << 20
 SHINGLE_WORDS = 5
@@ -54,12 +57,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which Arrow gives the memory it keeps back: Python workers outlive their tasks."""
+def released() -> None:
+    """Gives memory that Arrow and the C library keep back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def tidy(run: Callable[[Iterator[T]], Iterator[pa.RecordBatch | pa.Array]]) -> Callable[[Iterator[T]], Iterator[pa.RecordBatch | pa.Array]]:
+    """run, after which the memory that it used is given back."""
+
+    def whole(batches: Iterator[T]) -> Iterator[pa.RecordBatch | pa.Array]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        released()
 
     return whole
 

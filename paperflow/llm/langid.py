@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, fresh, small_batches, tidy, utf8
+from .common import SLICE_BYTES, fresh, released, small_batches, tidy, utf8
 
 BUCKETS = 4096
 AMBIGUOUS = 0.2
@@ -201,6 +201,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def rejected(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, letters in columns:
             yield judged(texts, letters)[-1]
+        released()
 
     return small_batches(docs).where(~rejected(*_inputs(text_col)))
 

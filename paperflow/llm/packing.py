@@ -283,6 +283,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         held = 0
         if ids:
             yield flush()
+        del tokenize
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return small_batches(rows).mapInArrow(tidy(run), SCHEMA)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, utf8, word_hashes
+from .common import released, small_batches, tidy, utf8, word_hashes
 from .langid import held_out, uniform
 
 WORD_BUCKETS = 4096
@@ -188,6 +188,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
             yield pa.array(_scores(model.value, texts) >= 0.5)
+        released()
 
     return small_batches(docs).where(good(F.col(text_col).cast("string")))
 
