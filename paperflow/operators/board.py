@@ -10,12 +10,11 @@ from ..functions.text import nth
 BINS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
-def rank_percentile(rows: DataFrame, value: str, p: float, by: list[str], slots: int = 64) -> DataFrame:
-    """by..., pXX: the value at the place min(n - 1, int(n p)) of each group, ties and all (not an interpolation).
+def _placed(rows: DataFrame, value: str, by: list[str], slots: int) -> DataFrame:
+    """by..., value, _last (how many rows stand up to and with the value), _n (rows of the group), of each distinct value.
 
     Exact without a global window: values are counted first, and the counts ranged over (by, value) are summed inside each
     range and ahead of it, so a heavy group spreads over tasks."""
-    name = f"p{round(p * 100):02d}"
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     ranged = counts.repartitionByRange(slots, *by, value).withColumn("_part", F.spark_partition_id())
@@ -24,15 +23,28 @@ def rank_percentile(rows: DataFrame, value: str, p: float, by: list[str], slots:
     ahead = parts.withColumn("_ahead", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     placed = inside.join(ahead, ["_part", *by]) if by else inside.join(ahead, "_part")
     placed = placed.join(totals, by) if by else placed.crossJoin(totals)
+    return placed.select(*by, value, (F.col("_run") + F.col("_ahead")).alias("_last"), "_n")
+
+
+def rank_percentile(rows: DataFrame, value: str, p: float, by: list[str], slots: int = 64) -> DataFrame:
+    """by..., pXX: the value at the place min(n - 1, int(n p)) of each group, ties and all (not an interpolation)."""
     place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
-    return placed.where((F.col("_run") + F.col("_ahead")) > place).groupBy(*by).agg(F.min(value).alias(name))
+    return _placed(rows, value, by, slots).where(F.col("_last") > place).groupBy(*by).agg(F.min(value).alias(f"p{round(p * 100):02d}"))
+
+
+def median(rows: DataFrame, value: str, by: list[str], slots: int = 64) -> DataFrame:
+    """by..., median: the mean of the one or two middle values."""
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = (F.min(F.when(F.col("_last") > low, F.col(value))) + F.min(F.when(F.col("_last") > high, F.col(value)))) / 2
+    return _placed(rows, value, by, slots).groupBy(*by).agg(middle.alias("median"))
 
 
 def totals(docs: DataFrame) -> DataFrame:
-    """One row: documents without those in error, rates, times and queue figures."""
+    """One row: documents without those in error, rates, times (mean, least, greatest, median, p95) and queue figures."""
     ok = docs.where(F.coalesce(F.col("status") != "hata", F.lit(True)))
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    return ok.agg(F.count("*").alias("n"), share(F.col("auto")).alias("auto_rate"), share(F.col("corrected")).alias("corrected_rate"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.sum(F.col("status").isin("insan_onayi_bekliyor").cast("long")).alias("pending"), F.sum((F.coalesce("critical", F.lit(0)) > 0).cast("long")).alias("with_critical"), F.avg("waiting_s").alias("mean_waiting_s"))
+    out = ok.agg(F.count("*").alias("n"), share(F.col("auto")).alias("auto_rate"), share(F.col("corrected")).alias("corrected_rate"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.sum(F.col("status").isin("insan_onayi_bekliyor").cast("long")).alias("pending"), F.sum((F.coalesce("critical", F.lit(0)) > 0).cast("long")).alias("with_critical"), F.avg("waiting_s").alias("mean_waiting_s"))
+    return out.crossJoin(median(ok, "ms", []).select(F.col("median").alias("median_ms"))).crossJoin(rank_percentile(ok, "ms", 0.95, []).select(F.col("p95").alias("p95_ms")))  # rows of one each
 
 
 def stage_times(trace: DataFrame, stages: DataFrame) -> DataFrame:
@@ -47,8 +59,10 @@ def item_counts(items: DataFrame) -> DataFrame:
 
 
 def rule_frequency(findings: DataFrame, order: str) -> DataFrame:
-    """rule_id, n, severity of the first-seen finding; the most frequent first, ties by rule."""
-    return findings.groupBy("rule_id").agg(F.count("*").alias("n"), F.min_by("severity", order).alias("severity")).orderBy(F.desc("n"), "rule_id")
+    """rule_id, n, and of the first-seen finding severity, message and basis (null where findings have no title or basis); the
+    most frequent first, ties by rule."""
+    seen = F.min_by(F.struct("severity", *[(F.col(c) if c in findings.columns else F.lit(None).cast("string")).alias(c) for c in ("title", "basis")]), order)
+    return findings.groupBy("rule_id").agg(F.count("*").alias("n"), seen.alias("f")).select("rule_id", "n", "f.severity", F.col("f.title").alias("message"), "f.basis").orderBy(F.desc("n"), "rule_id")
 
 
 def distribution(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -25,12 +25,18 @@ def repeated_sentences(bodies: DataFrame, least_chars: int = 25) -> DataFrame:
     return rows.join(hot, "h", "left_semi").groupBy("sentence").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n > 1")
 
 
-def diversity(bodies: DataFrame) -> DataFrame:
-    """One row: documents, distinct first sentences, least, mean and greatest length, and warnings at 90 % and 30 %."""
-    first = F.regexp_extract(squeeze_space(F.col("text")), r"^(.*?[.!?])(?:\s|$)", 1)
-    rows = bodies.select(F.length(F.coalesce("text", F.lit(""))).alias("size"), first.alias("first"))
-    out = rows.agg(F.count("*").alias("n"), F.count_distinct("first").alias("firsts"), F.min("size").alias("min_chars"), F.avg("size").alias("mean_chars"), F.max("size").alias("max_chars"))
-    return out.withColumn("few_firsts", F.col("firsts") < 0.9 * F.col("n"))
+def diversity(bodies: DataFrame, least_chars: int = 25) -> DataFrame:
+    """One row: documents, distinct first sentences (up to the first full stop), least, mean and greatest length in characters
+    and words, the share of sentences that stand more than once, and two warnings: repetitive (that share is over 30 %) and,
+    if it isn't, few_firsts (first sentences under 90 % of the documents)."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(words_of(F.col("text")))
+    rows = bodies.select(F.length(text).alias("size"), words.alias("words"), F.trim(F.substring_index(text, ".", 1)).alias("first"))
+    out = rows.agg(F.count("*").alias("n"), F.count_distinct("first").alias("firsts"), F.min("size").alias("min_chars"), F.avg("size").alias("mean_chars"), F.max("size").alias("max_chars"), F.min("words").alias("min_words"), F.avg("words").alias("mean_words"), F.max("words").alias("max_words"))
+    counts = sentence_rows(bodies).where(F.length("sentence") > least_chars).groupBy(F.xxhash64(F.lower("sentence")).alias("h")).agg(F.count("*").alias("c"))
+    shares = counts.agg(F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.greatest(F.sum("c"), F.lit(1)), F.lit(0.0)).alias("repeated_share"))
+    out = out.crossJoin(shares)  # one row each
+    return out.withColumn("repetitive", F.col("repeated_share") > 0.30).withColumn("few_firsts", ~F.col("repetitive") & (F.col("firsts") < 0.9 * F.col("n")))
 
 
 def opening_words(bodies: DataFrame, words: int = 3, k: int = 3) -> DataFrame:
@@ -77,6 +83,21 @@ def quota_check(labels: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.col("n") - F.col("target")).where("gap <> 0")
 
 
+def label_problems(labels: DataFrame) -> DataFrame:
+    """doc_id, problem: defects without their precondition, and numbers and dates that contradict the writer. labels: doc_id, defect,
+    has_reference, has_attachment, format, writer, number, day, reference_day."""
+    d, person = F.col("defect"), F.col("writer") == "vatandas"
+    number = F.coalesce(F.trim("number"), F.lit("")) != ""
+    wrong = [
+        ("ilgi_kopuk_without_reference", (d == "ilgi_kopuk") & ~F.col("has_reference")), ("tarih_tutarsiz_without_reference", (d == "tarih_tutarsiz") & ~F.col("has_reference")),
+        ("ek_beyani_yanlis_without_attachment", (d == "ek_beyani_yanlis") & ~F.col("has_attachment")), ("tarama_bozuk_with_text_layer", (d == "tarama_bozuk") & (F.col("format") != "taranmis")),
+        ("official_defect_in_petition", d.isin("sayi_eksik", "konu_eksik", "sdp_uyumsuz", "kapanis_yanlis") & person), ("petition_with_number", person & number), ("letter_without_number", (F.col("writer") == "kurum") & ~number),
+        ("reference_not_before_letter", F.col("has_reference") & (F.col("reference_day") >= F.col("day"))),
+    ]
+    problems = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in wrong]))
+    return labels.select("doc_id", F.explode(problems).alias("problem"))
+
+
 def cross_minimum(labels: DataFrame, a: str, b: str, least: int) -> DataFrame:
     """Pairs of values of two columns with fewer rows than least, absent pairs included."""
     left, right = labels.where(F.col(a).isNotNull()).select(a).distinct(), labels.where(F.col(b).isNotNull()).select(b).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_window
 from ..functions.text import bound, digits_only, fold, nth, numeric_tokens, shingles, text_or_empty, words_of
+from .board import rank_percentile
 
 BANDS = (0.40, 0.70, 0.90, 1.00)
 
@@ -48,12 +49,18 @@ def field_accuracy(predicted: DataFrame, labels: DataFrame, fields: list[str], e
 
 
 def invented(predicted: DataFrame, labels: DataFrame, gate: float = 0.95) -> DataFrame:
-    """defect, n, kept_empty, passed: on documents whose defect removed a field, whether it stayed empty (label column
-    removed_field names it; predicted has a map of values)."""
+    """defect, n, right, passed: on documents whose field a defect removed or broke, whether nothing was invented. labels: doc_id,
+    defect, removed_field, true_value, injected; predicted: doc_id, values (a map by field).
+
+    A broken code (sdp_uyumsuz) must come back as it is printed; for a vague addressee (muhatap_belirsiz) the true name must not
+    come back; any other removed field must stay empty."""
     rows = labels.where("removed_field is not null").join(predicted, "doc_id", "left")
-    empty = F.coalesce(F.trim(nth("values", F.col("removed_field"))) == "", nth("values", F.col("removed_field")).isNull())
-    out = rows.groupBy("defect").agg(F.count("*").alias("n"), F.sum(empty.cast("long")).alias("kept_empty"))
-    return out.withColumn("passed", F.col("kept_empty") >= gate * F.col("n"))
+    value = nth("values", F.col("removed_field"))
+    empty = F.coalesce(F.trim(value), F.lit("")) == ""
+    named = (F.coalesce("true_value", F.lit("")) != "") & fold(value).contains(fold(F.col("true_value")))
+    right = F.when(F.col("defect") == "sdp_uyumsuz", F.coalesce(value == F.col("injected"), F.lit(False))).when(F.col("defect") == "muhatap_belirsiz", empty | ~F.coalesce(named, F.lit(False))).otherwise(empty)
+    out = rows.groupBy("defect").agg(F.count("*").alias("n"), F.sum(right.cast("long")).alias("right"))
+    return out.withColumn("passed", F.col("right") >= gate * F.col("n"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -125,6 +132,12 @@ def closing_coverage(positions: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), count((F.col("expected") == "ust") & (F.coalesce("position", F.lit("")) != "ust")).alias("missed_superior"), count((F.col("expected") != "ust") & (F.col("position") == "ust")).alias("false_superior"), count(F.col("position").isNull() | F.col("position").isin("kurum_yok", "bulunamadi")).alias("unknown"))
 
 
+def unknown_senders(positions: DataFrame, k: int = 20) -> DataFrame:
+    """sender, n: the k most frequent senders (positions: sender, position) that the hierarchy tables don't know."""
+    unknown = positions.where(F.col("position").isNull() | F.col("position").isin("kurum_yok", "bulunamadi"))
+    return unknown.groupBy("sender").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sender").limit(k)
+
+
 def compare_runs(a: DataFrame, b: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: hits of each of two result tables (doc_id, value) and changed documents."""
     rows = labels.select("doc_id", "expected").join(a.select("doc_id", F.col("value").alias("a")), "doc_id", "left").join(b.select("doc_id", F.col("value").alias("b")), "doc_id", "left")
@@ -185,8 +198,11 @@ def answer_quality(answers: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def call_costs(calls: DataFrame) -> DataFrame:
-    """model, calls, mean_tokens, mean_candidates (percentiles by board.rank_percentile)."""
-    return calls.groupBy("model").agg(F.count("*").alias("calls"), F.avg("tokens").alias("mean_tokens"), F.avg("candidates").alias("mean_candidates"))
+    """model, calls, mean_tokens, mean_candidates, p50, p95 (of ms)."""
+    sums = calls.groupBy("model").agg(F.count("*").alias("calls"), F.avg("tokens").alias("mean_tokens"), F.avg("candidates").alias("mean_candidates"))
+    for p in (0.5, 0.95):
+        sums = sums.join(rank_percentile(calls, "ms", p, ["model"]), "model", "left")
+    return sums
 
 
 def scan_quality(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -146,6 +146,16 @@ def code_from_subject(subjects: DataFrame, catalog: DataFrame, text_col: str = "
     return distinct.join(packed).select("subject", hit["code"].alias("code")).where("code is not null")
 
 
+def narrowed_codes(docs: DataFrame, units: DataFrame, catalog: DataFrame) -> DataFrame:
+    """doc_id, subject_code: the first catalogue row (by ord), among the codes of the addressee's unit alone, whose name or one of
+    whose subjects stands in the document's subject. docs: doc_id, addressee_unit, subject; units: code, sdp_codes."""
+    phrases = catalog.select(F.col("code").alias("sdp"), "ord", F.explode(F.array_union(F.array(F.coalesce("name", F.lit(""))), "subjects")).alias("p")).select("sdp", "ord", fold(F.col("p")).alias("n")).where("n <> ''")
+    own = dimension(units.select(F.col("code").alias("addressee_unit"), F.explode("sdp_codes").alias("sdp")).join(phrases, "sdp"))
+    asked = docs.where("addressee_unit is not null and subject is not null").select("doc_id", "addressee_unit", fold(F.col("subject")).alias("t"))
+    hits = asked.join(own, "addressee_unit").where(F.col("t").contains(F.col("n")))
+    return hits.groupBy("doc_id").agg(F.min(F.struct("ord", "sdp")).alias("b")).select("doc_id", F.col("b.sdp").alias("subject_code"))
+
+
 def hierarchy_position(pairs: DataFrame, lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """sender, recipient, position: of lists (institution, position, position_ord, body), the first list of the institution
     most like the sender in which a name contains the recipient's or is contained in it; else a reason."""

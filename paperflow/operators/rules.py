@@ -19,7 +19,7 @@ from ..functions.text import cut, in_scope, nth, squeeze_space, tr_lower
 SKIPS = ("hedef_disi", "kapsam_disi", "yol_yok", "alan_bos", "veri_yok")
 ON_EMPTY = ("bos_olmamali", "bos_liste_olmamali")
 QUOTE = 300
-CHUNK = 40  # rules in one projection: keeps generated code within the limit of a method
+CHUNK = 40  # rules in one array; arrays of arrays keep generated code within the limit of a method
 
 
 @dataclass(frozen=True)
@@ -156,14 +156,10 @@ def run_rules(docs: DataFrame, rules: list[Rule], target: str = "gelen", id_col:
         raise ValueError("target is gelen or giden")
     validate(rules)
     on = [r for r in rules if r.enabled]
-    out = None
-    for lo in range(0, max(len(on), 1), CHUNK):
-        parts = [compiled(docs.schema, r, target, kind_col, categories or {}) for r in on[lo : lo + CHUNK]]
-        if not parts:
-            parts = [F.lit(None).cast("struct<rule_id:string,status:string,quote:string>")]
-        part = docs.select(id_col, F.explode(F.array_compact(F.array(*parts))).alias("r")).select(id_col, "r.rule_id", "r.status", "r.quote")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [compiled(docs.schema, r, target, kind_col, categories or {}) for r in on] or [F.lit(None).cast("struct<rule_id:string,status:string,quote:string>")]
+    chunks = [F.array(*parts[lo : lo + CHUNK]) for lo in range(0, len(parts), CHUNK)]
+    answers = F.array_compact(F.flatten(F.array(*chunks)) if len(chunks) > 1 else chunks[0])
+    return docs.select(id_col, F.explode(answers).alias("r")).select(id_col, "r.rule_id", "r.status", "r.quote")
 
 
 def findings(results: DataFrame, rules: list[Rule], evidence: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:

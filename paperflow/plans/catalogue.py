@@ -167,11 +167,11 @@ DOC_RULES = [
 ]
 
 
-@query("a5_rule_frequency", r"""SELECT * FROM (SELECT 'D-01' AS rule_id, count(*) AS n FROM documents WHERE contains(text, '!!') UNION ALL SELECT 'D-02', count(*) FROM documents WHERE regexp_matches(text, '[%$#&*]{3}')
+@query("a5_rule_frequency", r"""SELECT rule_id, n, CASE rule_id WHEN 'D-01' THEN 'shouting' WHEN 'D-02' THEN 'symbols' WHEN 'D-03' THEN 'listing' WHEN 'D-04' THEN 'ends in a full stop' WHEN 'D-05' THEN 'language given' END AS message, CAST(NULL AS VARCHAR) AS basis FROM (SELECT 'D-01' AS rule_id, count(*) AS n FROM documents WHERE contains(text, '!!') UNION ALL SELECT 'D-02', count(*) FROM documents WHERE regexp_matches(text, '[%$#&*]{3}')
 UNION ALL SELECT 'D-03', count(*) FROM documents WHERE contains(text, ' | ') UNION ALL SELECT 'D-04', count(*) FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '\.\s*$') UNION ALL SELECT 'D-05', count(*) FROM documents WHERE lang IS NULL) WHERE n > 0""")
 def a5(s, d):
     found = rules.findings(rules.run_rules(table(s, d, "documents"), DOC_RULES), DOC_RULES)
-    return board.rule_frequency(found, "doc_id").select("rule_id", "n")
+    return board.rule_frequency(found, "doc_id").select("rule_id", "n", "message", "basis")
 
 
 _ABBREVIATED = "(?:" + "|".join(t.ABBREVIATIONS) + "|[A-ZÇĞİÖŞÜ])"
@@ -421,11 +421,6 @@ def q1(s, d):
     return rows.join(hot, "h", "left_semi").groupBy(F.col("text").alias("line")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n > 1")
 
 
-@query("q1_diversity", "SELECT count(*) AS n, CAST(min(length(text)) AS INT) AS min_chars, round(avg(length(text)), 6) AS mean_chars, CAST(max(length(text)) AS INT) AS max_chars FROM documents")
-def q1d(s, d):
-    return corpus.diversity(table(s, d, "documents")).select("n", "min_chars", F.round("mean_chars", 6).alias("mean_chars"), "max_chars")
-
-
 @query("q5_quota_check", """WITH c AS (SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2), t AS (SELECT * FROM (VALUES ('lang', 'en', 500), ('lang', 'tr', 5), ('source', 'src0', 50)) AS v(dimension, value, target))
 SELECT coalesce(c.dimension, t.dimension) AS dimension, coalesce(c.value, t.value) AS value, coalesce(n, 0) AS n, CAST(coalesce(target, 0) AS BIGINT) AS target FROM c FULL JOIN t ON c.dimension = t.dimension AND c.value = t.value WHERE coalesce(n, 0) <> coalesce(target, 0)""")
 def q5(s, d):

@@ -253,12 +253,6 @@ def g9(s, d):
     return register.transfers(rows.where("direction = 'giden'").select("doc_id", F.lit("N0").alias("from_unit"), "ts"), recipients).select("doc_id", "current_unit")
 
 
-@query("a1_totals", "SELECT count(*) AS n, round(avg(CASE WHEN score >= 0.85 THEN 1.0 ELSE 0.0 END), 9) AS auto_rate, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN critical_missing > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_critical FROM decisions WHERE doc_id % 7 <> 0", ("decisions",))
-def a1(s, d):
-    docs = view(s, d, "decisions").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "hata").when(F.col("doc_id") % 2 == 0, "insan_onayi_bekliyor").otherwise("onaylandi").alias("status"), (F.col("score") >= 0.85).alias("auto"), F.lit(False).alias("corrected"), F.col("score").alias("ms"), F.col("critical_missing").alias("critical"), F.lit(1.0).alias("waiting_s"))
-    return board.totals(docs).select("n", F.round("auto_rate", 9).alias("auto_rate"), "pending", "with_critical")
-
-
 @query("a7_routing_hits", "SELECT 'N' || CAST(doc_id % 25 AS STRING) AS old_unit, 'N' || CAST((doc_id + 1) % 25 AS STRING) AS new_unit, count(*) AS n FROM decisions WHERE doc_id % 10 = 0 GROUP BY ALL", ("decisions",))
 def a7(s, d):
     docs = view(s, d, "decisions")
@@ -281,14 +275,6 @@ def a10(s, d):
 # --- evaluation and corpus
 
 
-@query("e3_invented", "SELECT 'd' || CAST(doc_id % 3 AS STRING) AS defect, count(*) AS n, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept_empty FROM letters GROUP BY 1", ("letters",))
-def e3(s, d):
-    rows = view(s, d, "letters")
-    labels = rows.select("doc_id", F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("defect"), F.lit("sayi").alias("removed_field"))
-    predicted = rows.select("doc_id", F.create_map(F.lit("sayi"), F.when(F.col("doc_id") % 2 == 0, " ").otherwise("x")).alias("values"))
-    return evaluate.invented(predicted, labels).select("defect", "n", "kept_empty")
-
-
 def _defects(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("defect"), F.when(F.col("o_orderkey") % 2 == 0, "taranmis").otherwise("metin").alias("format"))
 
@@ -348,12 +334,6 @@ def e16(s, d):
     return view(s, d, "letters").select("doc_id", F.array_join(evaluate.forbidden_repeats(text, F.col("number"), F.col("day")), ",").alias("repeats"))
 
 
-@query("e19_call_costs", "SELECT event_type AS model, count(*) AS calls, round(avg(value), 6) AS mean_tokens FROM events GROUP BY 1")
-def e19(s, d):
-    calls = table(s, d, "events").select(F.col("event_type").alias("model"), F.col("value").alias("tokens"), F.lit(1).alias("candidates"))
-    return evaluate.call_costs(calls).select("model", "calls", F.round("mean_tokens", 6).alias("mean_tokens"))
-
-
 def _rule_sets(s, d):
     found = view(s, d, "items").groupBy("doc_id").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
     return found.join(_defects(s, d).select("doc_id", "defect"), "doc_id").where("defect is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import corpus, evaluate, lines, lint, matching, register, routing, rules, sampling
+from ..operators import board, corpus, evaluate, lines, lint, matching, register, routing, rules, sampling
 from ..sources import dimensions
 from .catalogue import FOLD, query
 from .views import spread, table, view
@@ -372,3 +372,90 @@ def p1(s, d):
     """How many of each class a class-covering sample of 40 takes."""
     rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("class"))
     return sampling.class_covering(rows, 40).groupBy("class").agg(F.count_distinct("id").alias("n"), F.max("round").cast("long").alias("rounds"))
+
+
+# --- board, costs and audits
+
+
+@query(
+    "a1_totals",
+    """WITH x AS (SELECT *, (doc_id % 211) * 1.5 AS ms FROM decisions WHERE doc_id % 7 <> 0), r AS (SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS r, count(*) OVER () AS n FROM x)
+SELECT count(*) AS n, round(avg(CASE WHEN score >= 0.85 THEN 1.0 ELSE 0.0 END), 9) AS auto_rate, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN critical_missing > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_critical,
+  CAST(median(ms) AS DOUBLE) AS median_ms, (SELECT CAST(ms AS DOUBLE) FROM r WHERE r = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))) AS p95_ms FROM x""",
+    ("decisions",),
+)
+def a1(s, d):
+    status = F.when(F.col("doc_id") % 7 == 0, "hata").when(F.col("doc_id") % 2 == 0, "insan_onayi_bekliyor").otherwise("onaylandi")
+    docs = view(s, d, "decisions").select("doc_id", status.alias("status"), (F.col("score") >= 0.85).alias("auto"), F.lit(False).alias("corrected"), ((F.col("doc_id") % 211) * 1.5).alias("ms"), F.col("critical_missing").alias("critical"), F.lit(1.0).alias("waiting_s"))
+    return board.totals(docs).select("n", F.round("auto_rate", 9).alias("auto_rate"), "pending", "with_critical", F.col("median_ms").cast("double").alias("median_ms"), F.col("p95_ms").cast("double").alias("p95_ms"))
+
+
+@query(
+    "e19_call_costs",
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type AS model, max(n) AS calls, round(avg(value), 6) AS mean_tokens, max(CASE WHEN r = least(n - 1, CAST(floor(n * 0.5) AS BIGINT)) THEN value END) AS p50, max(CASE WHEN r = least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) THEN value END) AS p95 FROM r GROUP BY 1""",
+)
+def e19(s, d):
+    calls = table(s, d, "events").select(F.col("event_type").alias("model"), F.col("value").alias("tokens"), F.lit(1).alias("candidates"), F.col("value").alias("ms"))
+    return evaluate.call_costs(calls).select("model", "calls", F.round("mean_tokens", 6).alias("mean_tokens"), "p50", "p95")
+
+
+@query("e10_unknown_senders", "SELECT sender, count(*) AS n FROM letters WHERE doc_id % 3 <> 1 GROUP BY 1 ORDER BY n DESC, sender LIMIT 20", ("letters",))
+def e10u(s, d):
+    k = F.col("doc_id") % 3
+    return evaluate.unknown_senders(view(s, d, "letters").select("sender", F.when(k == 1, "ust").when(k == 2, "bulunamadi").alias("position")))
+
+
+@query(
+    "q1_diversity",
+    r"""WITH s AS (SELECT lower(trim(unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))))) AS x FROM documents), c AS (SELECT x, count(*) AS c FROM s WHERE length(x) > 25 GROUP BY x),
+h AS (SELECT sum(CASE WHEN c > 1 THEN c ELSE 0 END) / greatest(sum(c), 1) AS share FROM c), b AS (SELECT count(*) AS n, count(DISTINCT trim(split_part(coalesce(text, ''), '.', 1))) AS firsts, CAST(min(length(text)) AS INT) AS min_chars, round(avg(length(text)), 6) AS mean_chars, CAST(max(length(text)) AS INT) AS max_chars,
+  round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))), 6) AS mean_words FROM documents)
+SELECT n, firsts, min_chars, mean_chars, max_chars, mean_words, round(share, 9) AS repeated_share, share > 0.30 AS repetitive, NOT share > 0.30 AND firsts < 0.9 * n AS few_firsts FROM b, h""",
+)
+def q1d(s, d):
+    out = corpus.diversity(spread(table(s, d, "documents").select("doc_id", "text")))
+    return out.select("n", "firsts", "min_chars", F.round("mean_chars", 6).alias("mean_chars"), "max_chars", F.round("mean_words", 6).alias("mean_words"), F.round("repeated_share", 9).alias("repeated_share"), "repetitive", "few_firsts")
+
+
+@query(
+    "e3_invented",
+    """SELECT CASE doc_id % 3 WHEN 0 THEN 'sdp_uyumsuz' WHEN 1 THEN 'muhatap_belirsiz' ELSE 'konu_eksik' END AS defect, count(*) AS n,
+  CAST(sum(CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END ELSE CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END END) AS BIGINT) AS "right" FROM letters GROUP BY 1""",
+    ("letters",),
+)
+def e3(s, d):
+    k, rows = F.col("doc_id"), view(s, d, "letters")
+    defect = F.when(k % 3 == 0, "sdp_uyumsuz").when(k % 3 == 1, "muhatap_belirsiz").otherwise("konu_eksik")
+    labels = rows.select("doc_id", defect.alias("defect"), F.lit("alan").alias("removed_field"), F.col("addressee").alias("true_value"), F.lit("broken").alias("injected"))
+    value = F.when(k % 3 == 0, F.when(k % 2 == 0, "broken").otherwise("mended")).when(k % 3 == 1, F.when(k % 5 == 0, F.concat(F.lit("Sayın "), F.lower("addressee"))).when(k % 5 == 1, "İlgili Makam")).otherwise(F.when(k % 4 == 0, " ").otherwise("x"))
+    return evaluate.invented(rows.select("doc_id", F.create_map(F.lit("alan"), value).alias("values")), labels).select("defect", "n", "right")
+
+
+@query(
+    "r10_code_conflict",
+    r"""WITH x AS (SELECT doc_id, nation, subject, nullif(regexp_extract(number, '^E-\d{8}-([\d.]+)-', 1), '') AS code, substr(subject, 1, 1) AS digit FROM letters), s AS (SELECT *, CASE WHEN nation % 2 = 0 AND digit IN ('1', '2') THEN '10' || digit WHEN nation % 2 = 1 AND digit = '3' THEN '103' END AS own FROM x)
+SELECT doc_id, CASE WHEN code IS NULL THEN 'alan_bos' WHEN own IS NULL THEN 'veri_yok' WHEN code <> own THEN 'ihlal' ELSE 'uygun' END AS status FROM s""",
+    ("letters",),
+)
+def r10(s, d):
+    """The code in the number against the code of the subject, looked for among the codes of the addressee's unit alone."""
+    subjects = {"101": ["1-URGENT"], "102": ["2-HIGH"], "103": ["3-MEDIUM"]}
+    catalog = s.createDataFrame([(code, int(code), None, found) for code, found in subjects.items()], "code string, ord int, name string, subjects array<string>")
+    units = table(s, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("101"), F.lit("102"))).otherwise(F.array(F.lit("103"))).alias("sdp_codes"))
+    docs = view(s, d, "letters").select("doc_id", F.concat(F.lit("N"), F.col("nation").cast("string")).alias("addressee_unit"), "subject", t.number_parts(F.col("number"))["sdp"].alias("number_code"), "belge_turu")
+    docs = docs.join(matching.narrowed_codes(docs, units, catalog), "doc_id", "left")
+    one = [rules.Rule("S-07", "ozel_fonksiyon", path="number_code", other_path="subject_code", function="kod_uyumu")]
+    return rules.run_rules(docs, one).select("doc_id", "status")
+
+
+@query(
+    "q5_label_problems",
+    """SELECT doc_id, 'ilgi_kopuk_without_reference' AS problem FROM letters WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'official_defect_in_petition' FROM letters WHERE doc_id % 4 = 1 AND family = 'P'
+UNION ALL SELECT doc_id, 'petition_with_number' FROM letters WHERE family = 'P' AND number IS NOT NULL UNION ALL SELECT doc_id, 'letter_without_number' FROM letters WHERE family <> 'P' AND number IS NULL UNION ALL SELECT doc_id, 'reference_not_before_letter' FROM letters WHERE doc_id % 3 = 0 AND doc_id % 5 = 0""",
+    ("letters",),
+)
+def q5l(s, d):
+    k = F.col("doc_id")
+    labels = view(s, d, "letters").select("doc_id", F.when(k % 4 == 0, "ilgi_kopuk").when(k % 4 == 1, "konu_eksik").alias("defect"), (k % 3 == 0).alias("has_reference"), F.lit(False).alias("has_attachment"), F.lit("metin").alias("format"), F.when(F.col("family") == "P", "vatandas").otherwise("kurum").alias("writer"), "number", "day", F.when(k % 5 == 0, F.col("day")).otherwise(F.date_sub("day", 3)).alias("reference_day"))
+    return corpus.label_problems(labels)

@@ -60,7 +60,11 @@ def parse_rule_list(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def overlay_rules(rules: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Rules with the non-null override columns laid over, defaults filled (targets [gelen], enabled false)."""
+    """Rules with the non-null override columns laid over, defaults filled (targets [gelen], enabled false). Overrides of rules
+    that don't exist are an error."""
+    unknown = [r[0] for r in unknown_overrides(rules, overrides).limit(20).collect()]
+    if unknown:
+        raise ValueError(f"overrides of unknown rules: {', '.join(map(str, unknown))}")
     extra = [c for c in overrides.columns if c != "rule_id"]
     both = rules.alias("r").join(overrides.alias("o"), "rule_id", "left")
     columns = [F.coalesce(F.col(f"o.{c}"), F.col(f"r.{c}")).alias(c) if c in rules.columns else F.col(f"o.{c}") for c in extra]

@@ -43,16 +43,39 @@ def latest_status(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def status_stream(spark: SparkSession, path: str, schema: T.StructType, sink: str, checkpoint: str, watermark: str = "1 hour", files: int = 100) -> StreamingQuery:
-    """Keeps sink (a parquet folder for each version, the last named in `current` view terms by its batch number) at the
-    latest status of every document: each micro-batch is merged with the state before it."""
+    """Appends the latest status of the documents that each micro-batch touches under sink/changes, a folder for each batch;
+    a batch that runs again replaces its own folder. current_status() reads the state, fold_status() folds the changes into
+    sink/base from time to time. An event that comes again after the watermark is counted again; the status stays right."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = latest_status(batch)
-        if number > 0:
-            old = spark.read.parquet(f"{sink}/batch={number - 1}").select("doc_id", "status", "ts", "events")
-            both = old.unionByName(new)
-            new = both.groupBy("doc_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"), F.sum("events").alias("events"))
-        new.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        latest_status(batch).write.mode("overwrite").parquet(f"{sink}/changes/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["doc_id", "action_id"])
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def current_status(spark: SparkSession, sink: str) -> DataFrame:
+    """doc_id, status, ts, events: the last base, and all batches after it."""
+    base = max(_folders(spark, f"{sink}/base"), key=lambda p: int(p.rpartition("=")[2]), default=None)
+    done = int(base.rpartition("=")[2]) if base else -1
+    new = [p for p in _folders(spark, f"{sink}/changes") if int(p.rpartition("=")[2]) > done]
+    rows = spark.read.parquet(*([base] if base else []), *new).select("doc_id", "status", "ts", "events")
+    return rows.groupBy("doc_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"), F.sum("events").alias("events"))
+
+
+def fold_status(spark: SparkSession, sink: str) -> None:
+    """Writes a base of all batches so far, then deletes what it replaces (readers of those must have ended; no stream runs)."""
+    old, changes = _folders(spark, f"{sink}/base"), _folders(spark, f"{sink}/changes")
+    last = max((int(p.rpartition("=")[2]) for p in changes), default=None)
+    if last is None or any(int(p.rpartition("=")[2]) == last for p in old):
+        return
+    current_status(spark, sink).write.parquet(f"{sink}/base/batch={last}")
+    for folder in (*old, *(p for p in changes if int(p.rpartition("=")[2]) < last)):  # the last stays: a stream may run it again
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

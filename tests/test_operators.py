@@ -114,7 +114,9 @@ def test_rule_list_and_overlay(spark):
     assert (got["B-01"].check, got["B-01"].pattern, got["B-01"].title_cut, got["B-01"].category) == ("regex_bulunmali", r"^T\.C\.$", True, "B")
     assert (got["G-02"].check, got["G-02"].severity) == ("bos_olmamali", "uyari")
     over = spark.createDataFrame([("G-02", "hata", True), ("X-1", None, None)], "rule_id string, severity string, enabled boolean")
-    laid = {r.rule_id: r for r in dimensions.overlay_rules(dimensions.parse_rule_list(md), over).collect()}
+    with pytest.raises(ValueError, match="X-1"):
+        dimensions.overlay_rules(dimensions.parse_rule_list(md), over)
+    laid = {r.rule_id: r for r in dimensions.overlay_rules(dimensions.parse_rule_list(md), over.where("rule_id <> 'X-1'")).collect()}
     assert laid["G-02"].severity == "hata" and laid["G-02"].enabled and not laid["B-01"].enabled
     assert [r[0] for r in dimensions.unknown_overrides(dimensions.parse_rule_list(md), over).collect()] == ["X-1"]
 
@@ -306,3 +308,52 @@ def test_bare_name_after_many_faculty_names(spark):
     docs = spark.createDataFrame([(1, "Gazi Eğitim Fakültesi " * 10_001), (2, "Gazi Eğitim Fakültesi " * 10_001 + "Gazi tarafından")], "id int, text string")
     found = docs.select("id", F.size(lint.names(F.col("text"), F.array(F.lit("Gazi")), F.lit("ogrenci"))).alias("n"))
     assert {r.id: r.n for r in found.collect()} == {1: 0, 2: 1}
+
+
+def test_style_checks_without_length_caps(spark):
+    far = "x " * 500
+    rows = [
+        (1, "Konu incelendi. Gereğini arz ederim" + " " * 90 + ".", "kurum", None), (2, far + ". Bitti.", "kurum", None), (3, "aba Eğitim Fakültesi", "ogrenci", ["aba"]), (4, "ababa Eğitim Fakültesi arz", "ogrenci", ["aba"]), (5, "a\\Eb Bölümü", "ogrenci", ["a\\Eb"]),
+        (6, "Gereğini arz" + " " * 200 + "ve rica ederim.", "kurum", None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, writer string, forbidden_names array<string>").withColumn("direction", F.when(F.col("doc_id") == 6, "karma").otherwise("ust"))
+    found = {(r.doc_id, r.rule_id, r.detail) for r in lint.lint(frame, groups=("completeness", "closing", "names")).collect()}
+    assert not {x for x in found if x[0] in (1, 6) and x[1].startswith("ME")} and (2, "TAM-01", "short") in found
+    assert {x[0] for x in found if x[1] == "ATF-01"} == {4}
+
+
+def test_large_dimensions_are_joined_inverted(spark, units, monkeypatch):
+    texts = spark.createDataFrame([("FEN İŞLERİ MÜDÜRLÜĞÜNE",), ("Yenimahalle Belediye Başkanlığı İmar Müdürlüğü",), ("başka",)], "text string")
+    heads = spark.createDataFrame([(1, ["T.C.", "Yenimahalle Belediye Başkanlığı", "Fen İşleri Müdürlüğü"]), (2, ["x"])], "doc_id int, letterhead array<string>")
+    lines_ = spark.createDataFrame([("R", "Yenimahalle Belediye Başkanlığı", 1), ("Q", "Belediye", 2)], "institution string, line string, ord int")
+    catalog = spark.createDataFrame([("1", 1, "imar", ["fen"]), ("2", 2, "ab", [])], "code string, ord int, name string, subjects array<string>")
+    subjects = spark.createDataFrame([("Fen ve imar",), ("cab",)], "subject string")
+    small = lambda: (
+        sorted(matching.best_unit_match(texts, units, fuzzy=False).collect()), sorted(tuple(r) for r in matching.letterhead_unit(heads, lines_, units).collect()), sorted(matching.code_from_subject(subjects, catalog).collect())
+    )
+    one = small()
+    monkeypatch.setattr(matching, "ROWS", 1)
+    assert small() == one and one[1][0][1:] == ("R", "F") and len(one[0]) == 2 and len(one[2]) == 2
+    with pytest.raises(ValueError):
+        matching.best_unit_match(texts, units)
+
+
+def test_best_window_passes_over_hopeless_windows():
+    from paperflow.functions import fuzzy
+
+    assert fuzzy.best_window("abcdefgh", "zz abcdefxh zz", 0.75, 4) >= 0.75 and fuzzy.best_window("abcdefgh", "0123456789" * 50, 0.8, 4) == 0.0
+
+
+def test_percentiles_costs_and_label_problems(spark):
+    calls = spark.createDataFrame([("a", 10, 1, float(i)) for i in range(1, 12)] + [("b", 20, 2, None)], "model string, tokens int, candidates int, ms double")
+    got = {r.model: (r.calls, r.p50, r.p95) for r in evaluate.call_costs(calls).collect()}
+    assert got == {"a": (11, 6.0, 11.0), "b": (1, None, None)}
+    assert board.median(calls, "ms", ["model"]).collect()[0].median == 6.0 and board.median(calls.where("ms < 11"), "ms", []).first().median == 5.5
+    labels = spark.createDataFrame([(1, "ilgi_kopuk", False, False, "metin", "kurum", "1", "2020-01-02", None), (2, None, True, False, "metin", "kurum", None, "2020-01-02", "2020-01-02"), (3, "konu_eksik", False, False, "metin", "vatandas", "x", "2020-01-02", None), (4, None, False, False, "metin", "kurum", "1", "2020-01-02", None)], "doc_id int, defect string, has_reference boolean, has_attachment boolean, format string, writer string, number string, day string, reference_day string")
+    assert sorted(tuple(r) for r in corpus.label_problems(labels).collect()) == [(1, "ilgi_kopuk_without_reference"), (2, "letter_without_number"), (2, "reference_not_before_letter"), (3, "official_defect_in_petition"), (3, "petition_with_number")]
+
+
+def test_many_rules_read_the_documents_once(spark):
+    many = [rules.Rule(f"R-{i:03d}", "bos_olmamali", path="text") for i in range(130)]
+    out = rules.run_rules(spark.createDataFrame([(1, "x", "k"), (2, None, "k")], "doc_id int, text string, belge_turu string"), many)
+    assert out.count() == 260 and out.where("status = 'ihlal'").count() == 130 and "Union" not in out._jdf.queryExecution().optimizedPlan().toString()

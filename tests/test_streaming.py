@@ -10,9 +10,13 @@ def test_status_stream(spark, sf, tmp_path):
     rows.union(rows.limit(50)).repartition(3).write.parquet(str(tmp_path / "in"))
     q = jobs.status_stream(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "cp"), "3650 days", files=1)
     q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    got = {r.doc_id: (r.status, r.events) for r in spark.read.parquet(str(tmp_path / "out" / f"batch={last}")).collect()}
-    assert got == {r.doc_id: (r.status, r.events) for r in jobs.latest_status(rows).collect()}
+    want = {r.doc_id: (r.status, r.events) for r in jobs.latest_status(rows).collect()}
+    state = lambda: {r.doc_id: (r.status, r.events) for r in jobs.current_status(spark, str(tmp_path / "out")).collect()}
+    assert state() == want and len(list((tmp_path / "out" / "changes").glob("batch=*"))) == 3
+    jobs.fold_status(spark, str(tmp_path / "out"))
+    assert state() == want and len(list((tmp_path / "out" / "changes").glob("batch=*"))) == 1
+    jobs.fold_status(spark, str(tmp_path / "out"))
+    assert state() == want
 
 
 def test_intake(spark, tmp_path):
