@@ -4,7 +4,7 @@ write_archives() writes one record per page with Spark's text writer (records en
 file is a valid WARC file and is committed as any Spark output is). Of records with equal payloads of at least MIN_REVISIT
 bytes the one with the largest id holds the payload, the others are revisit records that refer to it.
 
-build_index() reads the headers of the archives, sorts captures by reversed-host key (SURT) into ranges, packs each range
+build_index() reads the headers of the archives, window by window past their payloads, sorts captures by reversed-host key (SURT) into ranges, packs each range
 into compressed blocks of BLOCK_CAPTURES, and keeps a sparse directory: the first key of each block, one array for each range.
 lookup() finds ranges by binary search among their bounds (one row for each range, which is all that is broadcast), blocks by
 binary search in a range's directory, and captures by binary search in a block; read_records() then reads the byte ranges.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -27,13 +28,14 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_of, scratch, written
+from .common import count_of, delete, dropped, scratch, written
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 4000
 BLOCK_CAPTURES = 256
 RANGE_CAPTURES = 500_000
 BROADCAST_ROWS = 1_000_000
+WINDOW = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 CAPTURE = "key string, file string, start long, size long"
 
@@ -108,25 +110,40 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
 
 
+def headers(f, window: int = WINDOW) -> Iterator[tuple[dict[str, str], int, int]]:
+    """Fields, start and size of every record of an open archive. Reads windows that begin at a header and skips payloads that
+    reach beyond them, so neither the archive nor a payload is held."""
+    length, at, start, data = f.size(), 0, 0, b""
+    while at < length:
+        end = data.find(b"\r\n\r\n", at - start)
+        size = window
+        while end < 0:
+            start, data = at, f.read_at(min(size, length - at), at)
+            end = data.find(b"\r\n\r\n")
+            if end < 0 and at + size >= length:
+                raise ValueError(f"a header without an end at {at}")
+            size *= 2
+        fields, body = header_of(data, at - start)
+        after = start + body + int(fields["Content-Length"]) + 4
+        yield fields, at, after - at
+        at = after
+        if at > start + len(data):
+            start, data = at, b""
+
+
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """url, page_id, file, start, size of every record, from the headers alone."""
+    """key, file, start, size of every record, from the headers alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for uri in frame["file"]:
-                rows = []
                 with _opened(uri) as f:
-                    data = f.read()
-                at = 0
-                while at < len(data):
-                    fields, body = header_of(data, at)
-                    end = body + int(fields["Content-Length"]) + 4
-                    rows.append((fields.get("WARC-Target-URI"), uri, at, end - at))
-                    at = end
-                yield pd.DataFrame(rows, columns=["url", "file", "start", "size"])
+                    found = headers(f)
+                    while rows := [(fields.get("WARC-Target-URI"), uri, start, size) for fields, start, size in itertools.islice(found, 5000)]:
+                        yield pd.DataFrame(rows, columns=["url", "file", "start", "size"])
 
     files = archive_files(spark, path)
-    dealt = files.repartition(max(spark.sparkContext.defaultParallelism, 1), "file")
+    dealt = files.repartition(max(1, min(count_of(files), 4 * spark.sparkContext.defaultParallelism)))
     return dealt.select("file").mapInPandas(run, "url string, file string, start long, size long").select(surt(F.col("url")).alias("key"), "file", "start", "size")
 
 
@@ -134,7 +151,7 @@ def build_index(spark: SparkSession, path: str, block_captures: int = BLOCK_CAPT
     """blocks(range, block, first_key, last_key, data) and directory(range, first_key, last_key, first_keys, last_keys)."""
     from pyspark import TaskContext
 
-    rows = written(captures(spark, path), "captures")
+    rows = written(captures(spark, path), "captures")  # deleted once the blocks are written
     ranges = max(1, -(-count_of(rows) // range_captures))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,6 +170,7 @@ def build_index(spark: SparkSession, path: str, block_captures: int = BLOCK_CAPT
 
     ordered = rows.repartitionByRange(ranges, "key", "file", "start").sortWithinPartitions("key", "file", "start")
     blocks = written(ordered.mapInPandas(run, "range int, block int, first_key string, last_key string, data binary"), "blocks")
+    dropped(rows)
     entry = F.array_sort(F.collect_list(F.struct("block", "first_key", "last_key")))
     directory = blocks.groupBy("range").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), entry.alias("e"))
     return blocks, written(directory.select("range", "first_key", "last_key", F.col("e.first_key").alias("first_keys"), F.col("e.last_key").alias("last_keys")), "directory")
@@ -245,4 +263,7 @@ def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     blocks, directory = build_index(spark, path)
     url = F.regexp_replace(F.regexp_replace(F.col(url_col).cast("string"), "\r", "%0D"), "\n", "%0A")
     keys = pages.select(surt(url).alias("key"))
-    return read_records(lookup(keys, blocks, directory))
+    out = read_records(lookup(keys, blocks, directory))  # what it returns stands on a table of its own
+    dropped(blocks, directory)
+    delete(spark, path)
+    return out

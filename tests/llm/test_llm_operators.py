@@ -421,6 +421,30 @@ def test_archives_odd(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [64, 1000, 1 << 18])
+def test_headers_are_read_past_payloads(window):
+    class File:
+        def __init__(self, data):
+            self.data, self.read = data, 0
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            self.read += n
+            return self.data[at : at + n]
+
+    rng, raw, want = random.Random(1), b"", []
+    for i in range(60):
+        payload = b"\r\n\r\nWARC/1.1" + b"x" * rng.choice([0, 10, 3000, 200_000 if i == 7 else 5])
+        record = b"WARC/1.1\r\nWARC-Target-URI: http://a/%d%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, b"y" * rng.choice([0, 300]), len(payload), payload)
+        want.append((len(raw), len(record)))
+        raw += record
+    f = File(raw)
+    assert [(start, size) for _, start, size in warc.headers(f, window)] == want
+    assert window > 1000 or f.read < len(raw)
+
+
 def test_lookup_finds_every_capture(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     path = common.scratch(spark, "warc")
