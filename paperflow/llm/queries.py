@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..plans.views import spread, table
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +14,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_components
 
-    return near_components(table(spark, sf_dir, "documents"), percent=85)
+    return near_components(spread(table(spark, sf_dir, "documents")), percent=85)
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,19 +46,19 @@ def op6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import weigh
 
-    return weigh(table(spark, sf_dir, "documents"))
+    return weigh(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extraction import extract
 
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .search import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +82,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
