@@ -143,12 +143,6 @@ def j13(s, d):
     return matching.recipient_unit(rows, _units(s, d), ["addressee"])
 
 
-@query("q7_audit_catalog", "SELECT 'form' AS problem, CAST(p_size AS STRING) AS code FROM (SELECT DISTINCT p_size FROM part) UNION ALL SELECT 'subjects', CAST(p_size AS STRING) FROM (SELECT DISTINCT p_size FROM part)")
-def q7(s, d):
-    catalog = table(s, d, "part").select(F.col("p_size").cast("string").alias("code")).distinct().withColumn("subjects", F.array(F.lit("a")))
-    return dimensions.audit_catalog(catalog)
-
-
 # --- rules and style
 
 

@@ -459,3 +459,47 @@ def q5l(s, d):
     k = F.col("doc_id")
     labels = view(s, d, "letters").select("doc_id", F.when(k % 4 == 0, "ilgi_kopuk").when(k % 4 == 1, "konu_eksik").alias("defect"), (k % 3 == 0).alias("has_reference"), F.lit(False).alias("has_attachment"), F.lit("metin").alias("format"), F.when(F.col("family") == "P", "vatandas").otherwise("kurum").alias("writer"), "number", "day", F.when(k % 5 == 0, F.col("day")).otherwise(F.date_sub("day", 3)).alias("reference_day"))
     return corpus.label_problems(labels)
+
+
+CATALOG = """catalog AS (SELECT p_partkey AS k, CAST(100 + p_partkey % 40 AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.0' || (p_partkey % 4 + 1) ELSE '.1' END AS code, CASE WHEN p_partkey % 7 = 0 THEN '999' ELSE CAST(100 + p_partkey % 40 AS VARCHAR) END AS main_group,
+  CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS level, CASE WHEN p_partkey % 5 = 0 THEN 'ortak' ELSE 'kuruma_ozel' END AS scope, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 13 = 0 THEN 'hepsi' ELSE 'belediye' END AS kind, CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 3 END AS n FROM part)"""
+
+
+@query(
+    "q7_audit_catalog",
+    f"""WITH {CATALOG}, u AS (SELECT 'form' AS problem, code FROM catalog WHERE NOT regexp_matches(code, '^\\d{{3}}(\\.\\d{{2}}){{0,3}}$') UNION ALL SELECT 'subjects', code FROM catalog WHERE n <> 3 UNION ALL SELECT 'main_group', code FROM catalog WHERE main_group <> substr(code, 1, 3)
+UNION ALL SELECT 'kind', code FROM catalog WHERE (scope = 'ortak') <> (kind = 'hepsi') UNION ALL SELECT 'repeated_code', code FROM catalog GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'parent_absent', code FROM catalog WHERE regexp_matches(code, '^\\d+\\.\\d\\d$') AND substr(code, 1, 3) NOT IN (SELECT code FROM catalog)) SELECT problem, code, count(*) AS n FROM u GROUP BY ALL""",
+)
+def q7(s, d):
+    """Codes, derived columns, scopes and subjects that the part keys get right in most rows."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    group = text(k % 40 + 100)
+    code = F.concat(group, F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(".0"), text(k % 4 + 1))).otherwise(".1"))
+    words = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    rows = table(s, d, "part").select(
+        code.alias("code"), F.when(k % 7 == 0, "999").otherwise(group).alias("main_group"), F.when(k % 3 == 0, 1).otherwise(2).alias("level"), F.when(k % 5 == 0, "ortak").otherwise("kuruma_ozel").alias("scope"),
+        F.when((k % 5 == 0) | (k % 13 == 0), "hepsi").otherwise("belediye").alias("kind"), F.when(k % 11 == 0, F.slice(words, 1, 2)).otherwise(words).alias("subjects"),
+    )
+    return dimensions.audit_catalog(rows).groupBy("problem", "code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q6_audit_profiles",
+    """WITH f AS (SELECT CAST(c_nationkey AS VARCHAR) AS institution, c_name AS body, CASE c_custkey % 5 WHEN 0 THEN 'rica' WHEN 1 THEN 'bilgi' ELSE 'arz' END AS form, c_custkey AS k FROM customer), u AS (SELECT lower(s_name) AS name FROM supplier)
+SELECT problem, code, count(*) AS n FROM (SELECT 'no_profile' AS problem, CAST(n_nationkey AS VARCHAR) AS code FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'body_without_id', institution FROM f WHERE k % 9 = 0
+UNION ALL SELECT DISTINCT 'body_with_two_ids', institution FROM f WHERE k % 10 = 3 AND k % 9 <> 0 UNION ALL SELECT 'unknown_form', institution FROM f WHERE form = 'bilgi' UNION ALL SELECT 'rica_for_a_unit', institution FROM f WHERE form = 'rica' AND k % 2 = 0
+UNION ALL SELECT DISTINCT 'body_without_form', institution FROM f WHERE k % 6 = 0) GROUP BY ALL""",
+)
+def q6p(s, d):
+    """Profiles of the nations: their customers as bodies, some without an id, with two ids, without a form, or named as a unit."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string").alias("institution")
+    customer = table(s, d, "customer")
+    body = F.when((k % 5 == 0) & (k % 2 == 0), "Tek Birim").otherwise(F.col("c_name"))
+    forms = customer.select(nation, body.alias("body"), F.when(k % 5 == 0, "rica").when(k % 5 == 1, "bilgi").otherwise("arz").alias("form"))
+    ids = customer.select(nation, F.col("c_name").alias("name"), F.when(k % 9 == 0, " ").otherwise(k.cast("string")).alias("detsis_no"), k.alias("k"))
+    bodies = ids.drop("k").unionByName(ids.where("k % 10 = 3").select("institution", "name", F.lit("x").alias("detsis_no")))
+    hierarchy = customer.where("c_custkey % 6 = 0").select(nation, F.concat("c_name", F.lit(" başka")).alias("body"))
+    units = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.lit("TEK BİRİM").alias("name"), F.lit(0).alias("level"))
+    profiles = table(s, d, "nation").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").cast("string").alias("institution"))
+    return dimensions.audit_profiles(units, profiles, forms, bodies, hierarchy).groupBy("problem", "code").agg(F.count("*").alias("n"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import nth
+from ..functions.text import fold, nth
 
 DEPTH = 16
 
@@ -20,23 +20,66 @@ def root_institution(units: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out.select("code", "root", "path")
 
 
+def _problems(rows: DataFrame, key: str, tests: list[tuple[str, Column]]) -> DataFrame:
+    """problem, code of every test that a row fails."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests]))
+    return rows.select(F.explode(found).alias("problem"), F.col(key).alias("code"))
+
+
+def _empty(name: str) -> Column:
+    return F.coalesce(F.trim(name), F.lit("")) == ""
+
+
 def audit_units(units: DataFrame) -> DataFrame:
-    """problem, code: repeated code or id, unknown parent, empty name or title."""
+    """problem, code: repeated code or id, unknown parent or institution, empty name; and, of the columns that units has, an
+    institution with a parent (level), no id, no title, a possible target (routable) without a duty or codes."""
     repeated = lambda c: units.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n > 1").select(F.lit(f"repeated_{c}").alias("problem"), "code")
-    parents = units.select(F.col("code").alias("parent_code"))
-    orphans = units.where("parent_code is not null").join(parents, "parent_code", "left_anti").select(F.lit("unknown_parent").alias("problem"), "code")
-    empty = units.where(F.coalesce(F.trim("name"), F.lit("")) == "").select(F.lit("empty_name").alias("problem"), "code")
-    return repeated("code").unionByName(repeated("detsis_no")).unionByName(orphans).unionByName(empty)
+    known = lambda c: units.where(F.col(c).isNotNull()).join(units.select(F.col("code").alias(c)).distinct(), c, "left_anti")
+    tests, have = [("empty_name", _empty("name"))], set(units.columns)
+    if "level" in have:
+        tests.append(("institution_with_parent", (F.col("level") == 0) & F.col("parent_code").isNotNull()))
+    if "title" in have:
+        tests += [("empty_title", _empty("title")), ("empty_detsis_no", _empty("detsis_no"))]
+    if {"routable", "duty", "sdp_codes"} <= have:
+        tests += [("target_without_duty", F.col("routable") & _empty("duty")), ("target_without_codes", F.col("routable") & (F.coalesce(F.size("sdp_codes"), F.lit(0)) <= 0))]
+    out = repeated("code").unionByName(repeated("detsis_no")).unionByName(known("parent_code").select(F.lit("unknown_parent").alias("problem"), "code")).unionByName(_problems(units, "code", tests))
+    if "root_code" in have:
+        out = out.unionByName(known("root_code").select(F.lit("unknown_root").alias("problem"), "code"))
+    return out
+
+
+def audit_profiles(units: DataFrame, profiles: DataFrame, forms: DataFrame, bodies: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """problem, code (an institution) of profiles (institution), forms (institution, body, form), bodies (institution, name,
+    detsis_no) and hierarchy (institution, body): institutions without a profile, bodies without an id or with two, forms that
+    are neither arz nor rica, rica for the name of a single unit, and bodies of the hierarchy without a form."""
+    no_profile = units.where("level = 0").select(F.col("code").alias("institution")).join(profiles.select("institution"), "institution", "left_anti").select(F.lit("no_profile").alias("problem"), F.col("institution").alias("code"))
+    no_id = bodies.where(_empty("detsis_no")).select(F.lit("body_without_id"), "institution")
+    named = bodies.where(~_empty("detsis_no"))
+    two = named.join(named.groupBy("name").agg(F.count_distinct("detsis_no").alias("n")).where("n > 1"), "name").select(F.lit("body_with_two_ids"), "institution").distinct()
+    other = forms.where(~F.coalesce(F.col("form").isin("arz", "rica"), F.lit(False))).select(F.lit("unknown_form"), "institution")
+    single = units.select(fold(F.col("name")).alias("b")).distinct()
+    trap = forms.where("form = 'rica'").withColumn("b", fold(F.col("body"))).join(single, "b", "left_semi").select(F.lit("rica_for_a_unit"), "institution")
+    lacking = hierarchy.join(forms.select("institution", "body"), ["institution", "body"], "left_anti").select(F.lit("body_without_form"), "institution").distinct()
+    return no_profile.union(no_id).union(two).union(other).union(trap).union(lacking)
 
 
 def audit_catalog(catalog: DataFrame, subjects: int = 3) -> DataFrame:
-    """problem, code: form of the code, repeated code, parent prefix absent, wrong number of subjects."""
-    form = catalog.where(~F.col("code").rlike(r"^\d{3}(\.\d{2}){0,3}$")).select(F.lit("form").alias("problem"), "code")
+    """problem, code: form of the code, repeated code, parent prefix absent, wrong number of subjects or an empty one; and, of the
+    columns that catalog has, derived ones that don't follow from the code (main_group, level, parent_code), a name that is empty
+    or over 200 characters, a scope that isn't ortak or kuruma_ozel or contradicts the kind of institution (hepsi), and a
+    citizen flag that isn't evet or hayir."""
+    have, parent = set(catalog.columns), F.nullif(F.regexp_extract("code", r"^(.*)\.\d{2}$", 1), F.lit(""))
+    tests = [("form", ~F.col("code").rlike(r"^\d{3}(\.\d{2}){0,3}$")), ("subjects", (F.size("subjects") != subjects) | F.exists("subjects", lambda x: F.coalesce(F.trim(x), F.lit("")) == ""))]
+    derived = {
+        "main_group": F.col("main_group") != F.substring("code", 1, 3), "level": F.col("level") != F.size(F.split("code", r"\.")), "parent_code": ~F.nullif(F.trim("parent_code"), F.lit("")).eqNullSafe(parent),
+        "name": _empty("name") | (F.length("name") > 200), "scope": ~F.col("scope").isin("ortak", "kuruma_ozel"), "citizen": ~F.col("citizen").isin("evet", "hayir"),
+    }
+    tests += [(c, test) for c, test in derived.items() if c in have]
+    if {"scope", "kind"} <= have:
+        tests.append(("kind", (F.col("scope") == "ortak") != (F.col("kind") == "hepsi")))
     repeated = catalog.groupBy("code").count().where("count > 1").select(F.lit("repeated_code").alias("problem"), "code")
-    parent = catalog.withColumn("parent", F.regexp_extract("code", r"^(.*)\.\d{2}$", 1)).where("parent <> ''")
-    absent = parent.join(catalog.select(F.col("code").alias("parent")), "parent", "left_anti").select(F.lit("parent_absent").alias("problem"), "code")
-    wrong = catalog.where(F.size("subjects") != subjects).select(F.lit("subjects").alias("problem"), "code")
-    return form.unionByName(repeated).unionByName(absent).unionByName(wrong)
+    absent = catalog.withColumn("parent", parent).where("parent is not null").join(catalog.select(F.col("code").alias("parent")).distinct(), "parent", "left_anti").select(F.lit("parent_absent").alias("problem"), "code")
+    return _problems(catalog, "code", tests).unionByName(repeated).unionByName(absent)
 
 
 def parse_rule_list(lines: DataFrame, text_col: str = "value") -> DataFrame:
