@@ -35,9 +35,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 @lru_cache(50_000)
-def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
+def best_window(needle: str, text: str, threshold: float, parts: int, floor: float = 0.0) -> float:
     """The best ratio of needle with windows of text, its length and a step longer; stops at the threshold. Windows that can't
-    reach the threshold by their length or letters are passed over, so below it the result is a lower bound."""
+    reach the floor by their length or letters are passed over, so below it the result is a lower bound."""
     if not needle or not text:
         return 0.0
     if needle in text:
@@ -48,8 +48,8 @@ def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
     step, best = max(1, n // parts), 0.0
     for at in range(0, len(text) - n + 1, step):
         matcher = SequenceMatcher(None, needle, text[at : at + n + step])
-        least = max(best, threshold)
-        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least:
+        hopeful = lambda bound: bound > best and bound >= floor  # noqa: B023, E731
+        if hopeful(matcher.real_quick_ratio()) and hopeful(matcher.quick_ratio()):
             best = max(best, matcher.ratio())
         if best >= threshold:
             break
@@ -57,10 +57,11 @@ def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
 
 
 def fuzzy_window(needle: Column, text: Column, threshold: float = 0.80, parts: int = 6) -> Column:
-    """Best window ratio of a folded needle in a folded text; containment is decided by the built-in first."""
+    """Best window ratio of a folded needle in a folded text, a lower bound where it is under the threshold; containment is
+    decided by the built-in first."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([best_window(x or "", y or "", threshold, parts) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([best_window(x or "", y or "", threshold, parts, threshold) for x, y in zip(a, b, strict=True)], dtype=float)
 
     inside = (needle != "") & text.contains(needle)
     score = F.pandas_udf(run, "double")(needle, F.when(inside, needle).otherwise(text))  # batches skip the texts already decided

@@ -341,7 +341,7 @@ def test_large_dimensions_are_joined_inverted(spark, units, monkeypatch):
 def test_best_window_passes_over_hopeless_windows():
     from paperflow.functions import fuzzy
 
-    assert fuzzy.best_window("abcdefgh", "zz abcdefxh zz", 0.75, 4) >= 0.75 and fuzzy.best_window("abcdefgh", "0123456789" * 50, 0.8, 4) == 0.0
+    assert fuzzy.best_window("abcdefgh", "zz abcdefxh zz", 0.75, 4) >= 0.75 and fuzzy.best_window("abcdefgh", "abc0def9xh" * 50, 0.8, 4, 0.8) == 0.0
 
 
 def test_percentiles_costs_and_label_problems(spark):
