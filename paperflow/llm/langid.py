@@ -164,6 +164,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_
     y = np.array([index[c] for c in labels])
     code = code_matrix(len(languages))
     weights, bias = fit_bits(x, code[y].astype(np.float32), (1 / np.bincount(y))[y])
+    del x
+    released()
     return Model(languages, code, weights, bias)
 
 

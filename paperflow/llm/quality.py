@@ -168,7 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     bucket, value = (got[c].combine_chunks().flatten().to_numpy() for c in ("bucket", "value"))
     entries = np.repeat(np.arange(len(sizes)), sizes), bucket, value
     stats = np.frombuffer(b"".join(got["stats"].to_pylist()), float).reshape(-1, len(STATS))
-    return fit(entries, stats, np.array(got["label"].to_pylist(), float))
+    labels = np.array(got["label"].to_pylist(), float)
+    del got
+    out = fit(entries, stats, labels)
+    del entries, bucket, value, stats
+    released()
+    return out
 
 
 def _scores(m: Model, texts: pa.Array) -> np.ndarray:
