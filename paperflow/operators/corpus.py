@@ -98,10 +98,13 @@ def label_problems(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.explode(problems).alias("problem"))
 
 
-def cross_minimum(labels: DataFrame, a: str, b: str, least: int) -> DataFrame:
-    """Pairs of values of two columns with fewer rows than least, absent pairs included."""
+def cross_minimum(labels: DataFrame, a: str, b: str, least: int, most: int = 1_000_000) -> DataFrame:
+    """Pairs of values of two columns with fewer rows than least, absent pairs included. More than most pairs of values are an
+    error: the columns are meant to be small vocabularies."""
     left, right = labels.where(F.col(a).isNotNull()).select(a).distinct(), labels.where(F.col(b).isNotNull()).select(b).distinct()
-    grid = left.crossJoin(right)  # two small vocabularies
+    if (pairs := left.count() * right.count()) > most:
+        raise ValueError(f"{pairs} pairs of {a} and {b}")
+    grid = left.crossJoin(right)
     n = labels.groupBy(a, b).agg(F.count("*").alias("n"))
     return grid.join(n, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
 

@@ -100,12 +100,6 @@ def j4(s, d):
     return matching.code_names(codes, catalog).select("code", "matched_code", "name")
 
 
-@query("j6_alias_candidates", "SELECT code, name FROM units UNION ALL SELECT code, 'ikinci ' || name FROM units WHERE level = 0", ("units",))
-def j6(s, d):
-    u = view(s, d, "units")
-    return matching.alias_candidates(u, u.where("level = 0").select("code", F.concat(F.lit("ikinci "), F.col("name")).alias("name"))).select("code", "name")
-
-
 @query("j7_letterhead_unit", """WITH h AS (SELECT l.doc_id, l.addressee, l.doc_id % 3 = 0 AS own, arg_max(u.code, (length(u.name), u.code)) AS institution FROM letters l JOIN units u ON u.level > 0 AND contains('t.c. ' || lower(l.addressee), lower(u.name)) GROUP BY ALL)
 SELECT l.doc_id, h.institution, CASE WHEN h.own THEN h.institution || '-B' ELSE h.institution END AS unit FROM letters l LEFT JOIN h USING (doc_id)""", ("letters", "units"))
 def j7(s, d):

@@ -319,6 +319,15 @@ def j1(s, d):
     return dimensions.root_institution(once, 4).select("code", "root")
 
 
+@query("j6_alias_candidates", "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'ikinci ' || c_name FROM customer WHERE c_custkey % 3 = 0")
+def j6(s, d):
+    """Second names of two customers in three, of which one repeats a first name."""
+    k = F.col("c_custkey")
+    units = table(s, d, "customer").select(k.cast("string").alias("code"), F.col("c_name").alias("name"), F.lit(0).alias("level"))
+    second = table(s, d, "customer").where("c_custkey % 3 < 2").select(k.cast("string").alias("code"), F.when(k % 3 == 0, F.concat(F.lit("ikinci "), F.col("c_name"))).otherwise(F.upper("c_name")).alias("name"))
+    return matching.alias_candidates(units, second).select("code", "name")
+
+
 # --- decisions, actions, samples
 
 
