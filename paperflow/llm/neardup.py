@@ -226,8 +226,9 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """The sketched rows, with component: its key (null for an empty set) and least_row: the row that names it."""
     labelled = rows.join(comp, rows["set_key"] == comp["node"], "left").select("doc_id", "row_hash", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("component"))
     name = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_hash")
-    least = labelled.where("component is not null").groupBy("component").agg(F.min(name).alias("least_row"))
-    return labelled.join(least, "component", "left")
+    least = labelled.where("component is not null").groupBy("component").agg(F.min(name).alias("least_row"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = labelled.join(_few(written(least, "least")), "component", "left")
+    return out.withColumn("least_row", F.coalesce("least_row", F.when(F.col("component").isNotNull(), name)))
 
 
 def named(rows: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
