@@ -190,12 +190,6 @@ def t1(s, d):
     return found.groupBy("rule_id", "detail").agg(F.count("*").alias("n"))
 
 
-@query("t_full_lint")
-def t_full(s, d):
-    bodies = spread(table(s, d, "documents").select("doc_id", "text")).select("*", F.lit("kurum").alias("writer"), F.lit("ust").alias("direction"), F.lit(False).alias("attachment"), F.lit(False).alias("reference"))
-    return corpus.body_audit(lint.lint(bodies))
-
-
 # --- joins and matching
 
 
