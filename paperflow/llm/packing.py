@@ -33,7 +33,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 GROUP_TOKENS = 2_000_000
 STEP_WINDOWS = 32
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 
