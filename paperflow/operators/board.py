@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nth
+from ..sources.scratch import written
 
 BINS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
@@ -14,10 +15,10 @@ def _placed(rows: DataFrame, value: str, by: list[str], slots: int) -> DataFrame
     """by..., value, _last (how many rows stand up to and with the value), _n (rows of the group), of each distinct value.
 
     Exact without a global window: values are counted first, and the counts ranged over (by, value) are summed inside each
-    range and ahead of it, so a heavy group spreads over tasks."""
+    range and ahead of it, so a heavy group spreads over tasks. The ranges are written first, as both sums must see the same ones."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    ranged = counts.repartitionByRange(slots, *by, value).withColumn("_part", F.spark_partition_id())
+    ranged = written(counts.repartitionByRange(slots, *by, value).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*by).agg(F.sum("_c").alias("_n"))
     inside = ranged.withColumn("_run", F.sum("_c").over(Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     parts = ranged.groupBy("_part", *by).agg(F.sum("_c").alias("_s"))
     ahead = parts.withColumn("_ahead", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")

@@ -202,7 +202,7 @@ def marked(lines: DataFrame) -> DataFrame:
     digit = text.rlike("[0-9]")
     return lines.withColumn("m", F.struct(
         "line_no", "text", trimmed.alias("trimmed"), addressee_pass(text).alias("pass"), trimmed.rlike(ADDRESSEE_WIDE).alias("wide"), text.rlike(LABEL_NUMBER).alias("number_label"), text.rlike(LABEL_SUBJECT).alias("subject_label"),
-        text.rlike(LABEL_REFERENCE).alias("reference_label"), text.rlike(REFERENCE_MARK).alias("reference_mark"), F.when(digit, number_of(text)).alias("number"), F.when(digit, date_of(text)).alias("date"), (digit & text.rlike(DATE)).alias("dated"),
+        text.rlike(LABEL_REFERENCE).alias("reference_label"), text.rlike(REFERENCE_MARK).alias("reference_mark"), F.when(digit, number_of(text)).alias("number"), F.when(digit, date_of(text)).alias("date"), F.when(digit, value_of(text, DATE)).alias("date_text"), (digit & text.rlike(DATE)).alias("dated"),
         text.rlike(CLOSING).alias("closing"), text.rlike(STATE_HEADER).alias("state_header"), text.rlike(COMPANY).alias("company"), (digit & text.rlike(ATTACHMENT_ONE)).alias("attachment_one"), (digit & text.rlike(ATTACHMENT_MANY)).alias("attachment_many"),
         text.rlike(DISTRIBUTION).alias("distribution"), text.rlike(PERSON).alias("person"),
     ))

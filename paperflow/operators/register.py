@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number_parts
+from ..sources.scratch import written
 
 KEY = ["direction", "institution"]
 APPROVERS = ["birim_amiri", "yonetici", "memur"]
@@ -19,11 +20,12 @@ def assign_numbers(new: DataFrame, register: DataFrame | None = None, slots: int
     without gaps in the order of (ts, doc_id); numbers are never reset. A document that comes twice counts once.
 
     A few institutions hold most rows, so no window spans an institution: rows are ranged over (key, ts, doc_id), numbered
-    inside each range, and the ranges' counts are summed ahead of it (one row for each key and range)."""
+    inside each range, and the ranges' counts are summed ahead of it (one row for each key and range). The ranges are written first,
+    as numbers and counts must see the same ones."""
     rows = new.groupBy(*KEY, "doc_id").agg(F.min("ts").alias("ts"))
     if register is not None:
         rows = rows.join(register.select(*KEY, "doc_id"), [*KEY, "doc_id"], "left_anti")
-    ranged = rows.repartitionByRange(slots, *KEY, "ts", "doc_id").withColumn("part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(slots, *KEY, "ts", "doc_id").withColumn("part", F.spark_partition_id()), "ranged")
     inner = Window.partitionBy("part", *KEY).orderBy("ts", "doc_id")
     numbered = ranged.withColumn("n", F.row_number().over(inner))
     counts = ranged.groupBy("part", *KEY).agg(F.count("*").alias("c"))

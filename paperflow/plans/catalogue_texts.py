@@ -311,6 +311,10 @@ def e17(s, d):
 
 # --- dimensions
 
+CLIMB = """climb AS (
+  SELECT code, code AS here, [code] AS seen, false AS met FROM u UNION ALL
+  SELECT c.code, u.parent_code, list_append(c.seen, u.parent_code), list_contains(c.seen, u.parent_code) FROM climb c JOIN u ON u.code = c.here WHERE NOT c.met AND u.parent_code IS NOT NULL)
+SELECT code, arg_max(here, len(seen)) AS root FROM climb GROUP BY code"""
 BODIES = """bodies AS (SELECT 'C' || CAST(c_custkey % 997 AS VARCHAR) AS code, CASE WHEN c_custkey % 53 = 0 THEN ' ' ELSE c_name END AS name, 'U' || CAST(c_nationkey + CASE WHEN c_custkey % 31 = 0 THEN 100 ELSE 0 END AS VARCHAR) AS parent_code, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey - c_custkey % 7 AS VARCHAR) END AS detsis_no FROM customer
   UNION ALL SELECT 'U' || CAST(n_nationkey AS VARCHAR), n_name, 'R' || CAST(n_regionkey AS VARCHAR), NULL FROM nation UNION ALL SELECT 'R' || CAST(r_regionkey AS VARCHAR), r_name, NULL, NULL FROM region)"""
 
@@ -337,13 +341,24 @@ def q6(s, d):
 
 @query(
     "j1_root_institution",
-    f"""WITH {BODIES}, u AS (SELECT code, min(parent_code) AS parent_code FROM bodies GROUP BY code), a AS (SELECT u.code, u.parent_code, p.code AS up, p.parent_code AS upper FROM u LEFT JOIN u p ON p.code = u.parent_code)
-SELECT a.code, coalesce(q.code, a.up, a.code) AS root FROM a LEFT JOIN u q ON q.code = a.upper""",
+    f"""WITH RECURSIVE {BODIES}, u AS (SELECT code, min(parent_code) AS parent_code FROM bodies GROUP BY code), {CLIMB}""",
 )
 def j1(s, d):
     """The root of every body, three levels up at most; unknown parents end the climb."""
-    once = _bodies(s, d).groupBy("code").agg(F.min("parent_code").alias("parent_code"))
-    return dimensions.root_institution(once, 4).select("code", "root")
+    return dimensions.root_institution(_bodies(s, d))
+
+
+@query(
+    "j1_deep_chains",
+    f"""WITH RECURSIVE u AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS code, CASE WHEN c_custkey % 100 > 0 THEN CAST(c_custkey - 1 AS VARCHAR) WHEN c_custkey % 300 = 0 THEN CAST(c_custkey + 40 AS VARCHAR) WHEN c_custkey % 300 = 100 THEN 'X' || CAST(c_custkey AS VARCHAR) END AS parent_code
+  FROM customer), {CLIMB}""",
+)
+def j1_deep(s, d):
+    """Customers in chains of 100: a third of them under a root, a third under an unknown parent, a third with a cycle of 41 at the top."""
+    k, text = F.col("c_custkey"), lambda c: c.cast("string")
+    parent = F.when(k % 100 > 0, text(k - 1)).when(k % 300 == 0, text(k + 40)).when(k % 300 == 100, F.concat(F.lit("X"), text(k)))
+    return dimensions.root_institution(table(s, d, "customer").select(text(k).alias("code"), parent.alias("parent_code")))
 
 
 @query("j6_alias_candidates", "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'ikinci ' || c_name FROM customer WHERE c_custkey % 3 = 0")

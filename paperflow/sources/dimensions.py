@@ -6,18 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, nth
-
-DEPTH = 16
-
-
-def root_institution(units: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """code, root, path of every unit; a cycle or an unknown parent ends the climb where it is met."""
-    tree = units.select(F.col("code").alias("up_code"), F.col("parent_code").alias("up_parent"))
-    out = units.select("code", F.col("code").alias("root"), "parent_code", F.array("code").alias("path"))
-    for _ in range(depth):
-        out = out.join(tree, (out["parent_code"] == F.col("up_code")) & ~F.array_contains("path", F.col("up_code")), "left")
-        out = out.select("code", F.coalesce("up_code", "root").alias("root"), F.col("up_parent").alias("parent_code"), F.when(F.col("up_code").isNotNull(), F.array_append("path", F.col("up_code"))).otherwise(F.col("path")).alias("path"))
-    return out.select("code", "root", "path")
+from .scratch import dropped, written
+
+
+def _climbed(steps: DataFrame, n: int) -> DataFrame:
+    """steps (code, up, done) with up the end of the climb: in each round every open climb takes as many steps as it has taken
+    before, so a chain of n units takes log2(n) rounds. What is still open after n steps goes round a cycle."""
+    taken = 1
+    while taken <= n and steps.where("not done").limit(1).count():
+        further = steps.select(F.col("code").alias("up"), F.col("up").alias("further"), F.col("done").alias("at_end"))
+        open_ = steps.where("not done").join(further, "up").select("code", F.col("further").alias("up"), F.col("at_end").alias("done"))
+        now = written(steps.where("done").unionByName(open_), "climb")
+        if hasattr(steps, "scratch_path"):
+            dropped(steps)
+        steps, taken = now, 2 * taken
+    return steps
+
+
+def root_institution(units: DataFrame) -> DataFrame:
+    """code, root of every unit, at any depth. The climb ends at a unit without a parent (null or blank), at an unknown parent, which is
+    then the root, or in a cycle at the first unit that is met again: for a unit of the cycle itself, for others where they enter it.
+    A repeated code counts once, with its smallest parent; a null code is left out.
+
+    Climbs double in each round. Units that are still open after as many steps as there are units stand in a cycle or lead to one; the
+    units they have reached are the cycles' members, as each step only turns a cycle. Members end climbs in a second pass."""
+    parent = F.nullif(F.trim("parent_code"), F.lit(""))
+    tree = written(units.where("code is not null").groupBy("code").agg(F.min(parent).alias("parent")), "units")
+    n = tree.count()
+    known = tree.select(F.col("code").alias("parent"), F.lit(True).alias("known"))
+    first = tree.join(known, "parent", "left").select("code", F.coalesce("parent", "code").alias("up"), F.col("known").isNull().alias("done"))
+    ends = _climbed(written(first, "climb"), n)
+    if not ends.where("not done").limit(1).count():
+        dropped(tree)
+        return ends.select("code", F.col("up").alias("root"))
+    turning = ends.where("not done")
+    members = written(turning.select(F.col("up").alias("code")).distinct(), "members")
+    into = turning.select("code").join(tree, "code").join(members.select("code", F.lit(True).alias("member")), "code", "left")
+    into = into.select("code", F.when(F.col("member"), F.col("code")).otherwise(F.col("parent")).alias("up"), F.coalesce("member", F.lit(False)).alias("done"))
+    others = _climbed(written(into, "climb"), n)
+    dropped(tree, members)
+    return ends.where("done").unionByName(others).select("code", F.col("up").alias("root"))
 
 
 def _problems(rows: DataFrame, key: str, tests: list[tuple[str, Column]]) -> DataFrame:

@@ -193,6 +193,48 @@ def test_other_matches(spark, units):
     assert {r.code: r.root for r in dimensions.root_institution(units).collect()} == {"R": "R", "F": "R", "İ": "R", "K": "R"}
 
 
+def root_by_walking(parents, code):
+    seen = set()
+    while code not in seen:
+        seen.add(code)
+        if not (parents.get(code) or "").strip():
+            return code
+        code = parents[code]
+    return code
+
+
+def test_root_institution_at_any_depth(spark):
+    """A chain of 1,000, cycles of 1 to 50 with tails into them, unknown and blank parents, a third of all units below one."""
+    parents = {f"c{i}": f"c{i - 1}" if i else None for i in range(1000)}
+    for n in (1, 2, 3, 7, 16, 50):
+        parents |= {f"r{n}_{i}": f"r{n}_{(i + 1) % n}" for i in range(n)} | {f"t{n}_{i}": f"t{n}_{i - 1}" if i else f"r{n}_{n // 2}" for i in range(9)}
+    parents |= {"u0": "nowhere", "u1": "u0", "b0": "  ", "b1": "b0", **{f"h{i}": "c3" for i in range(500)}}
+    rows = [*parents.items(), (None, "c1"), ("u1", "z")]  # a repeated code counts with its smallest parent
+    got = {r.code: r.root for r in dimensions.root_institution(spark.createDataFrame(rows, "code string, parent_code string")).collect()}
+    assert got == {c: root_by_walking(parents, c) for c in parents}
+    assert dimensions.root_institution(spark.createDataFrame([], "code string, parent_code string")).count() == 0
+
+
+def test_numbers_and_percentiles_without_exchange_reuse(spark):
+    rows = spark.range(20_000).selectExpr("'gelen' AS direction", "concat('k', id % 3) AS institution", "id AS doc_id", "cast(id % 50 as timestamp) AS ts", "hash(id) % 1000000 AS ms")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = register.assign_numbers(rows).toPandas()
+        for _, own in got.groupby("institution"):
+            assert sorted(own.seq) == list(range(1, len(own) + 1))
+        values = sorted(r.ms for r in rows.collect())
+        assert board.rank_percentile(rows, "ms", 0.95, []).first()[0] == values[min(len(values) - 1, int(len(values) * 0.95))]
+        assert board.median(rows, "ms", []).first()[0] == (values[9_999] + values[10_000]) / 2
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_reference_keeps_its_date_as_printed(spark):
+    text = ["T.C.", "Kurum", "İlgi : 29.02.2019 tarihli ve 2019/7 sayılı yazı, 01.03.2019", "ANKARA MÜDÜRLÜĞÜNE", "Gereğini arz ederim."]
+    f = fields.extract_fields(spark.createDataFrame([(1, i, x) for i, x in enumerate(text, 1)], "doc_id int, line_no int, text string")).first()
+    assert (f.reference.date_text, f.reference.date, f.reference.number) == ("29.02.2019", None, "2019/7")
+
+
 def test_hierarchy(spark):
     lists = spark.createDataFrame([("Ankara Valiliği", "ust", 0, "İçişleri Bakanlığı"), ("Ankara Valiliği", "alt", 2, "Çankaya Kaymakamlığı")], "institution string, position string, position_ord int, body string")
     pairs = spark.createDataFrame([("ANKARA VALİLİĞİ", "Çankaya Kaymakamlığı"), ("Ankara Valiliği", "Bilinmeyen"), ("xyz", "a")], "sender string, recipient string")
