@@ -1,20 +1,19 @@
 """Ratcliff-Obershelp similarity, which Spark lacks, as Arrow-batched functions on folded texts.
 
-Each batch memoises repeated pairs; callers match distinct texts and try exact containment first."""
+Callers match distinct texts and try exact containment first; bounds in numpy (similar.py) choose what a ratio is computed for."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .similar import best_window as seeded_window
 from .text import fold
 
 
-@lru_cache(50_000)
 def _ratio(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
@@ -34,10 +33,11 @@ def similarity(a: Column, b: Column) -> Column:
     return ratio(fold(a), fold(b))
 
 
-@lru_cache(50_000)
 def best_window(needle: str, text: str, threshold: float, parts: int, floor: float = 0.0) -> float:
     """The best ratio of needle with windows of text, its length and a step longer; stops at the threshold. Windows that can't
-    reach the floor by their length or letters are passed over, so below it the result is a lower bound."""
+    reach the floor are passed over, so below it the result is a lower bound; they are found by seeds if the floor is the threshold."""
+    if floor >= threshold:
+        return seeded_window(needle, text, threshold, parts)
     if not needle or not text:
         return 0.0
     if needle in text:

@@ -1,18 +1,26 @@
 """Matching names and codes against dimension tables. A dimension of at most ROWS rows, which is checked first, is broadcast,
 packed in one row where every text is compared with all of it; names beyond that meet texts by an inverted join on their
-rarest three letters. Fuzzy ratios are computed once for each distinct text that has no exact hit, against at most ROWS names."""
+rarest three letters. Fuzzy matches are a similarity join of distinct texts that have no exact hit: names of like length are indexed
+in shards, and bounds leave few pairs to compute a ratio for, however many names there are."""
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import fuzzy_window, ratio
+from ..functions.fuzzy import fuzzy_window
+from ..functions.similar import NameIndex
 from ..functions.text import fold, nth, text_or_empty
+from ..sources.scratch import written
 
 THRESHOLD = 0.75
 ROWS = 20_000  # of a dimension: above that it is joined, not broadcast
 QUOTE_LEAST = 8
+BAND = 1.25  # a band holds names from a length to so many times it
+SHARD_NAMES, BLOCK_TEXTS = 20_000, 5_000
 
 
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
@@ -79,29 +87,74 @@ def code_names(codes: DataFrame, catalog: DataFrame, code_col: str = "sdp") -> D
     return distinct.join(best, "code", "left").select("code", "b.matched_code", "b.name", F.when(F.col("b.matched_code") == F.col("code"), F.col("b.retention")).alias("retention"))
 
 
+def _bands(size: Column, threshold: float) -> Column:
+    """The bands of names that a text of this length can reach the threshold with: the ratio of r is at most 2 min / (min + max)."""
+    low, high = size * (threshold / (2 - threshold)), size * ((2 - threshold) / threshold)
+    band = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / math.log(BAND)).cast("int")
+    return F.sequence(band(low - 1e-6), band(high + 1e-6))
+
+
+def _met(texts: DataFrame, names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """texts (t) and names (n, rank) with band, shard, block: those in one (band, shard, block) are compared. A band's names are dealt to
+    shards and its texts to blocks of bounded size, by hashes, so that neither gathers in one task."""
+    band = F.floor(F.log(F.length("n").cast("double")) / math.log(BAND)).cast("int")
+    named = names.select("n", "rank", band.alias("band"))
+    asked = texts.select("t", F.explode(_bands(F.length("t").cast("double"), threshold)).alias("band"))
+    shards = named.groupBy("band").agg(F.ceil(F.count("*") / SHARD_NAMES).alias("shards"))
+    blocks = asked.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("blocks"))
+    sizes = shards.join(blocks, "band")  # a row for each band, of which there are log(longest name)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = named.join(sizes, "band").select("n", "rank", "band", F.pmod(F.xxhash64("n"), "shards").alias("shard"), every("blocks").alias("block"))
+    right = asked.join(sizes, "band").select("t", "band", every("shards").alias("shard"), F.pmod(F.xxhash64("t"), "blocks").alias("block"))
+    return left, right
+
+
+def similar_names(texts: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """t, n, score: every pair of a distinct folded text (t) and a distinct folded name (n) whose ratio is at least the threshold.
+    Nulls and empty strings are like nothing."""
+    return _similar(texts, names.where("n <> ''").select("n").distinct().withColumn("rank", F.array().cast("array<string>")), threshold, False)
+
+
+def _similar(texts: DataFrame, names: DataFrame, threshold: float, best: bool) -> DataFrame:
+    left, right = _met(texts.where("t <> ''").select("t").distinct(), names, threshold)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        named, ranks = a.column("n").to_pylist(), a.column("rank").to_pylist()
+        index, out = NameIndex(named, threshold), []
+        rank = [(int(x[0]), *x[1:]) if x else () for x in ranks]
+        for t in b.column("t").to_pylist() if named else []:
+            found = index.best(t, rank) if best else None
+            out += [(t, named[i], s) for i, s in ([found] if found else [] if best else index.matches(t))]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"t": pa.array(cols[0], pa.string()), "n": pa.array(cols[1], pa.string()), "score": pa.array(cols[2], pa.float64())})
+
+    key = ["band", "shard", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "t string, n string, score double")
+
+
 def best_unit_match(texts: DataFrame, candidates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """text, code, score, name: the candidate (code, name, level) that fits each distinct text best. Contained names come
-    before fuzzy ones, then level, ratio, length of the name, code and name decide. Fuzzy matches need a dimension of at most
-    ROWS rows: ratios know no index, so a larger one is an error unless fuzzy is off."""
+    before fuzzy ones, then level, ratio, length of the name, code and name decide. Null and empty texts match nothing."""
     small = candidates.select("code", "name", "level", fold(F.col("name")).alias("n")).where("n <> ''").withColumn("size", F.length("n"))
     distinct = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct().withColumn("t", fold(F.col("text"))).where("t <> ''")
-    if not is_small(small):
-        if fuzzy:
-            raise ValueError(f"fuzzy matches take at most {ROWS} candidates")
+    if is_small(small):
+        packed = F.broadcast(small.agg(F.collect_list(F.struct("level", "size", "code", "name", "n")).alias("c")))
+        inside = F.filter("c", lambda x: F.col("t").contains(x["n"]))
+        exact = F.array_max(F.transform(inside, lambda x: F.struct(x["level"].alias("level"), F.lit(1.0).alias("score"), x["size"].alias("size"), x["code"].alias("code"), x["name"].alias("name"))))
+        tried = distinct.join(packed).select("text", "t", exact.alias("b"))  # at most ROWS candidates beside every text
+    else:
         hits = containing(distinct, small).join(small, "n").groupBy("t").agg(F.max(F.struct("level", F.lit(1.0).alias("score"), "size", "code", "name")).alias("b"))
-        return distinct.join(hits, "t").select("text", "b.code", "b.score", "b.name")
-    packed = F.broadcast(small.agg(F.collect_list(F.struct("level", "size", "code", "name", "n")).alias("c")))
-    rows = distinct.withColumn("length", F.length("t")).join(packed)  # at most ROWS candidates beside every text
-    inside = F.filter("c", lambda x: F.col("t").contains(x["n"]))
-    exact = F.array_max(F.transform(inside, lambda x: F.struct(x["level"].alias("level"), F.lit(1.0).alias("score"), x["size"].alias("size"), x["code"].alias("code"), x["name"].alias("name"))))
-    tried = rows.select("text", "t", "length", "c", exact.alias("best"))
-    found = tried.where("best is not null").select("text", "best.code", "best.score", "best.name")
+        tried = distinct.join(hits, "t", "left")
+    found = tried.where("b is not null").select("text", "b.code", "b.score", "b.name")
     if not fuzzy:
         return found
-    bound = lambda x: 2 * F.least(x["size"], F.col("length")) / (x["size"] + F.col("length")) >= threshold  # noqa: E731  no ratio can exceed it
-    rest = tried.where("best is null").select("text", "t", F.explode(F.filter("c", bound)).alias("x")).withColumn("score", ratio(F.col("x.n"), F.col("t"))).where(F.col("score") >= threshold)
-    close = rest.groupBy("text").agg(F.max(F.struct("x.level", "score", "x.size", "x.code", "x.name")).alias("b")).select("text", "b.code", "b.score", "b.name")
-    return found.unionByName(close)
+    tried = written(tried, "tried")  # texts with and without an exact hit are told apart once
+    found, rest = tried.where("b is not null").select("text", "b.code", "b.score", "b.name"), tried.where("b is null").select("text", "t")
+    # of the rows of one folded name only the greatest can win; levels go to the index as text beside code and name
+    named = small.groupBy("n").agg(F.max(F.struct("level", "code", "name")).alias("m")).select("n", "m", F.array(F.coalesce(F.col("m.level"), F.lit(-1)).cast("string"), F.coalesce("m.code", F.lit("")), F.coalesce("m.name", F.lit(""))).alias("rank"))
+    close = _similar(rest, named.select("n", "rank"), threshold, True).join(named.select("n", "m"), "n")
+    best = close.groupBy("t").agg(F.max(F.struct("m.level", "score", F.length("n").alias("size"), "m.code", "m.name")).alias("b"))
+    return found.unionByName(rest.join(best, "t").select("text", "b.code", "b.score", "b.name"))
 
 
 def alias_candidates(units: DataFrame, second_names: DataFrame) -> DataFrame:
@@ -224,6 +277,16 @@ def verify_quote(quote: Column, body: Column, raw: Column, least: int = QUOTE_LE
     return F.when(F.length(q) < least, None).when(fold(body).contains(q), "govde").when(fold(raw).contains(q), "ham")
 
 
+def verify_quotes(docs: DataFrame, quotes: DataFrame, least: int = QUOTE_LEAST) -> DataFrame:
+    """doc_id, quote, stands (govde or ham): every quote (quote) with every document (doc_id, body, raw) it stands in, compared folded;
+    quotes shorter than least stand nowhere. An inverted join by the quotes' rarest three letters, not a comparison of all pairs."""
+    asked = quotes.select("quote", fold(F.col("quote")).alias("n")).where(F.length("n") >= least).distinct()
+    texts = docs.select("doc_id", fold(F.col("body")).alias("b"), fold(F.col("raw")).alias("r"))
+    found = lambda c, stands: containing(texts.select(F.col(c).alias("t")), asked).join(texts.select("doc_id", F.col(c).alias("t")), "t").select("doc_id", "n", F.lit(stands).alias("stands"))
+    both = found("b", "govde").unionByName(found("r", "ham")).groupBy("doc_id", "n").agg(F.min("stands").alias("stands"))  # govde before ham
+    return both.join(asked, "n").select("doc_id", "quote", "stands")
+
+
 def verify_evidence(rows: DataFrame, sentence_col: str = "sentence", body_col: str = "body", threshold: float = 0.80) -> DataFrame:
     """rows with evidence (the sentence, at most 300 characters, if it is found in the body at the threshold) and dropped."""
     scored = rows.withColumn("_s", fuzzy_window(fold(F.col(sentence_col)), fold(F.col(body_col)), threshold))

@@ -261,29 +261,27 @@ def j14(s, d):
 
 @query(
     "j16_verify_quote",
-    f"""WITH d AS (SELECT doc_id, {FOLD} AS body FROM documents), q AS (SELECT d.doc_id, d.body, b.item_id, trim(regexp_replace(lower(translate(b.text, 'ÀÁÃÄÅÈÉÊËÌÍÏÑÒÓÔÕÙÚÝàáãäåèéêëìíïñòóôõùúýÿİIıŞşĞğÇçÖöÜüÂâÎîÛû', 'AAAAAEEEEIIINOOOOUUYaaaaaeeeeiiinoooouuyyiiissggccoouuaaiiuu')), '\\s+', ' ', 'g')) AS quote
-  FROM d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS r FROM benchmark) b ON b.r = d.doc_id % 16)
-SELECT doc_id, item_id, CASE WHEN length(quote) < 8 THEN NULL WHEN contains(body, quote) THEN 'govde' END AS stands FROM q""",
+    f"""WITH d AS (SELECT doc_id, {FOLD} AS body FROM documents), q AS (SELECT item_id, {FOLD} AS quote FROM benchmark)
+SELECT doc_id, item_id, 'govde' AS stands FROM d JOIN q ON length(quote) >= 8 AND contains(body, quote)""",
 )
 def j16(s, d):
-    """A benchmark passage looked for in each whole document."""
-    ranked = table(s, d, "benchmark").select("item_id", F.col("text").alias("quote")).orderBy("item_id").limit(16)  # of a table of quotes, one for each remainder
-    ranked = ranked.withColumn("r", F.row_number().over(Window.orderBy("item_id")) - 1)
-    docs = spread(table(s, d, "documents").select("doc_id", "text")).withColumn("r", (F.col("doc_id") % 16).cast("int")).join(F.broadcast(ranked), "r")
-    return docs.select("doc_id", "item_id", matching.verify_quote(F.col("quote"), F.col("text"), F.col("text")).alias("stands"))
+    """Every benchmark passage looked for in every whole document."""
+    docs = spread(table(s, d, "documents").select("doc_id", F.col("text").alias("body"), F.col("text").alias("raw")))
+    items = table(s, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return matching.verify_quotes(docs, items.select("quote")).join(items, "quote").select("doc_id", "item_id", "stands")
 
 
 @query("j17_verify_evidence")
 def j17(s, d):
-    """The first sentence of every whole turn looked for in the turn before it."""
+    """Every sentence of every whole turn looked for in the turn before it."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(s, d, "conversations").withColumn("body", before).where("body is not null").withColumn("sentence", t.nth(t.sentences(F.col("text")), 1))
-    return matching.verify_evidence(spread_rows(rows), "sentence", "body").select("conv_id", "turn", "evidence", "dropped")
+    rows = table(s, d, "conversations").withColumn("body", before).where("body is not null").select("conv_id", "turn", "body", F.posexplode(t.sentences(F.col("text"))).alias("place", "sentence"))
+    return matching.verify_evidence(spread_rows(rows), "sentence", "body").select("conv_id", "turn", "place", "evidence", "dropped")
 
 
 def spread_rows(rows):
     """Rows dealt over the session's shuffle partitions, for row-heavy work behind a window of few groups."""
-    return rows.repartition("conv_id", "turn")
+    return rows.repartition("conv_id", "turn", "place")
 
 
 @query("j9_fuzzy_terms")

@@ -100,6 +100,13 @@ def test_best_window_against_all_windows(needle, text):
         assert got == (max(ratios) if max(ratios) < 0.8 else next(r for r in ratios if r >= 0.8))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcd ", min_size=1, max_size=90), st.text("abcd ", max_size=200), st.sampled_from([0.6, 0.8, 0.95]), st.sampled_from([3, 4, 6]))
+def test_seeded_windows_find_what_all_windows_find(needle, text, threshold, parts):
+    got, want = fuzzy.best_window(needle, text, threshold, parts, threshold), fuzzy.best_window(needle, text, threshold, parts)
+    assert got == want if want >= threshold else got <= want
+
+
 def test_fuzzy_columns(spark):
     rows = spark.createDataFrame([("cankaya belediye baskanligi", "yenimahalle belediye baskanligi"), ("", "x"), (None, None)], "a string, b string")
     got = [r[0] for r in rows.select(fuzzy.ratio(F.col("a"), F.col("b"))).collect()]

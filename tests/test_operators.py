@@ -1,6 +1,7 @@
 """Operators on literal rows: documented cases, tie rules, guards, and properties such as gap-free numbers."""
 
 import datetime as dt
+import difflib
 import random
 
 import pytest
@@ -376,8 +377,66 @@ def test_large_dimensions_are_joined_inverted(spark, units, monkeypatch):
     one = small()
     monkeypatch.setattr(matching, "ROWS", 1)
     assert small() == one and one[1][0][1:] == ("R", "F") and len(one[0]) == 2 and len(one[2]) == 2
-    with pytest.raises(ValueError):
-        matching.best_unit_match(texts, units)
+
+
+SYLLABLES = "mu dur luk fen is ler i ba kan lik il ce me bel ed iye okul sag imar park bah zabi ta şo ğu ço".split()
+
+
+def like_names(seed, n):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def misread(rng, name):
+    out = list(name)
+    for _ in range(rng.randint(0, 5)):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "i", " "])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
+def test_similarity_join_is_all_pairs(spark, monkeypatch, threshold):
+    """Shards, blocks and bands of a few rows; short, long and repeated names; the bounds lose no pair."""
+    monkeypatch.setattr(matching, "SHARD_NAMES", 40)
+    monkeypatch.setattr(matching, "BLOCK_TEXTS", 30)
+    rng = random.Random(3)
+    names = [*like_names(1, 300), "a", "ab", "abc", "x" * 90, "uzun ad " * 40]
+    texts = [misread(rng, rng.choice(names)) for _ in range(120)] + ["b", "ab", "x" * 100, "uzun ad " * 38, "", None]
+    frame = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    got = {(r.t, r.n): r.score for r in matching.similar_names(frame(texts + texts[:9], "t"), frame(names + names[:5] + ["", None], "n"), threshold).collect()}
+    ratio = lambda n, t: 1.0 if n == t else difflib.SequenceMatcher(None, n, t).ratio()
+    assert got == {(t, n): ratio(n, t) for t in set(texts) if t for n in set(names) if ratio(n, t) >= threshold}
+
+
+def test_best_fuzzy_unit_of_many(spark, monkeypatch):
+    """The best of tied, levelled and repeated names, with more candidates than a dimension that is packed."""
+    monkeypatch.setattr(matching, "SHARD_NAMES", 50)
+    rng = random.Random(5)
+    units = [(f"c{i % 180}", name, i % 3) for i, name in enumerate(like_names(2, 260) + like_names(2, 40))]
+    texts = sorted({misread(rng, rng.choice(units)[1]) for _ in range(100)} - {""}) + ["başka bir şey tümüyle", None]
+    frame = spark.createDataFrame(units, "code string, name string, level int")
+    want = {}
+    for x in texts[:-1]:
+        low = x.replace("ş", "s").replace("ğ", "g").replace("ç", "c").replace("ü", "u")
+        low, found = " ".join(low.split()), []
+        for code, name, level in units:
+            n = name.replace("ş", "s").replace("ğ", "g").replace("ç", "c")
+            score = 1.0 if n in low else difflib.SequenceMatcher(None, n, low).ratio()
+            if low and score >= 0.75:
+                found.append((n in low, level, score, len(n), code, name))
+        if found:
+            want[x] = (max(found)[4], max(found)[2], max(found)[5])
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    one = {r.text: (r.code, r.score, r["name"]) for r in matching.best_unit_match(rows, frame).collect()}
+    monkeypatch.setattr(matching, "ROWS", 10)
+    assert one == want and {r.text: (r.code, r.score, r["name"]) for r in matching.best_unit_match(rows, frame).collect()} == want
+
+
+def test_quotes_in_all_documents(spark):
+    docs = spark.createDataFrame([(1, "Karar  ALINDI, dosya kapandı.", "x"), (2, "başka", "karar alındı, dosya"), (3, None, None)], "doc_id int, body string, raw string")
+    quotes = spark.createDataFrame([("karar alındı",), ("Dosya kapandı.",), ("kısa",), (None,), ("karar alındı",)], "quote string")
+    assert sorted(tuple(r) for r in matching.verify_quotes(docs, quotes).collect()) == [(1, "Dosya kapandı.", "govde"), (1, "karar alındı", "govde"), (2, "karar alındı", "ham")]
 
 
 def test_best_window_passes_over_hopeless_windows():
