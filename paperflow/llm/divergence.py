@@ -36,6 +36,7 @@ DENSE_TERMS = 64
 TOP_TERMS = 200
 CHUNK_BYTES = 8 << 20
 PAIR_CELLS = 1 << 22
+SMALL_ROWS = 50_000  # languages and groups up to which they are broadcast
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,12 +93,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_docs: int) -> DataFrame:
-    """lang, source, term, n: counts of kept terms in groups, above 0. Counted in tasks first, then one shuffle by (lang, term)."""
+    """lang, source, term, n, lang_count: counts of kept terms in groups, above 0, and in their language. Counted in tasks first, then
+    one shuffle by (lang, term)."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = small_batches(docs).select(named(lang_col).alias("lang"), named(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
     parts = rows.mapInArrow(tidy(_count), "lang string, source string, term string, n long, docs long")
     counts = parts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return counts.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("docs") >= min_docs).select("lang", "source", "term", "n")
+    whole = Window.partitionBy("lang", "term")
+    summed = counts.withColumn("docs", F.sum("docs").over(whole)).withColumn("lang_count", F.sum("n").over(whole))
+    return summed.where(F.col("docs") >= min_docs).select("lang", "source", "term", "n", "lang_count")
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A broadcast hint for rows that are few, by a count; others are joined as Spark finds best."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def scaled(count: np.ndarray, total: int) -> np.ndarray:
@@ -238,28 +247,27 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     terms that it uses more than its language does (part term)."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     terms = written(kept_terms(docs, text_col, lang_col, source_col, min_docs), "terms")
-    per_lang = terms.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count_distinct("term").alias("v"))
+    per_lang = written(terms.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count_distinct("term").alias("v")), "languages")
     sums = terms.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source")).distinct()
     groups = written(groups.join(sums, ["lang", "source"], "left").join(per_lang, "lang", "left").na.fill(0), "groups")
 
     number = F.pmod(F.xxhash64("lang", "term"), F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK_TERMS)))
-    in_blocks = terms.join(per_lang, "lang").select("lang", number.alias("block"), "source", "term", "n")
+    in_blocks = terms.join(sized(per_lang), "lang").select("lang", number.alias("block"), "source", "term", "n").repartition("lang", "block")
     levels = written(in_blocks.groupBy("lang", "block").applyInArrow(level_rows, "lang string, block long, source string, n long, terms long, bits binary"), "levels")
     shown = groups.join(levels.select("lang", "block").distinct(), "lang")
     shown = shown.select("lang", "block", "source", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("terms"), F.lit(None).cast("binary").alias("bits"), (F.col("n") + F.col("v")).alias("total"))
     both = levels.withColumn("total", F.lit(None).cast("long")).unionByName(shown)
     sent = both.groupBy("lang", "block").applyInArrow(pair_rows, "lang string, source string, item string, value long")
     pairs = written(sent.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "pairs")
-    dropped(levels)
+    dropped(levels, per_lang)
     others = groups.select("lang", F.col("source").alias("item"))
     pairs = groups.select("lang", "source").join(others, "lang").where("source <> item").join(pairs, ["lang", "source", "item"], "left").na.fill(0, ["value"])
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
     share = lambda n, total: f"1 + CAST({SCALE} AS DECIMAL(10, 0)) * ({n} + 1) div ({total})"
-    whole = Window.partitionBy("lang", "term")
-    used = terms.withColumn("lang_count", F.sum("n").over(whole)).join(groups.withColumnRenamed("n", "group_n"), ["lang", "source"])
+    used = terms.join(sized(groups.withColumnRenamed("n", "group_n")), ["lang", "source"])
     used = used.select("lang", "source", F.col("term").alias("item"), F.expr(share("n", "group_n + v")).alias("p"), F.expr(share("lang_count", "lang_n + v")).alias("q"))
     used = used.where("p > q").withColumn("value", F.expr("(p - q) * (p - q) div q"))
     best = used.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

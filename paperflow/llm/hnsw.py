@@ -36,6 +36,7 @@ WAVE = 512
 QUERY_BLOCK = 4096
 AT_ONCE = 256
 EXPAND = 4
+MOST_TASKS = 20_000
 
 
 def _beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,12 +281,13 @@ def vectors_of(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def build_index(rows: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, width: int = WIDTH, ef: int = EF_BUILD) -> DataFrame:
     """INDEX rows, one for each shard, written to the shared folder. keep: the most results that a query can be given, with its own."""
     sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    tasks = min(sizes.agg(F.sum("shards")).first()[0] or 1, MOST_TASKS)  # by number: the work isn't in the bytes
     dealt = rows.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("id", "v"), "shards").alias("shard"), "id", "v", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from index_shards(batches, keep, width, ef)
 
-    return written(small_batches(dealt).groupBy("dim", "shard").applyInArrow(run, INDEX), "hnsw")
+    return written(small_batches(dealt).repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(run, INDEX), "hnsw")
 
 
 def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, width: int = WIDTH, ef_build: int = EF_BUILD, ef: int = EF_SEARCH) -> DataFrame:
@@ -298,7 +300,8 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     counts = queries.groupBy("dim").agg(F.count("*").alias("n"))
     blocks = queries.join(counts, "dim").groupBy("dim", number.alias("block")).agg(F.collect_list(F.struct("id", "of", "v")).alias("queries"))
     asked = blocks.join(index.select("dim", "shard"), "dim")
-    pairs = index.join(asked, ["dim", "shard"]).drop("block")
+    tasks = min(asked.count() or 1, MOST_TASKS)
+    pairs = index.join(asked, ["dim", "shard"]).repartition(tasks, "dim", "shard", "block").drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
