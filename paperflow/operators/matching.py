@@ -20,7 +20,7 @@ THRESHOLD = 0.75
 ROWS = 20_000  # of a dimension: above that it is joined, not broadcast
 QUOTE_LEAST = 8
 BAND = 1.25  # a band holds names from a length to so many times it
-SHARD_NAMES, BLOCK_TEXTS = 20_000, 5_000
+SHARD_NAMES, BLOCK_TEXTS, MOST_TASKS = 20_000, 5_000, 20_000
 
 
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
@@ -94,8 +94,8 @@ def _bands(size: Column, threshold: float) -> Column:
     return F.sequence(band(low - 1e-6), band(high + 1e-6))
 
 
-def _met(texts: DataFrame, names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """texts (t) and names (n, rank) with band, shard, block: those in one (band, shard, block) are compared. A band's names are dealt to
+def _met(texts: DataFrame, names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """texts (t) and names (n, rank) with band, shard, block, and the number of these: those of one are compared. A band's names are dealt to
     shards and its texts to blocks of bounded size, by hashes, so that neither gathers in one task."""
     band = F.floor(F.log(F.length("n").cast("double")) / math.log(BAND)).cast("int")
     named = names.select("n", "rank", band.alias("band"))
@@ -106,7 +106,7 @@ def _met(texts: DataFrame, names: DataFrame, threshold: float) -> tuple[DataFram
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = named.join(sizes, "band").select("n", "rank", "band", F.pmod(F.xxhash64("n"), "shards").alias("shard"), every("blocks").alias("block"))
     right = asked.join(sizes, "band").select("t", "band", every("shards").alias("shard"), F.pmod(F.xxhash64("t"), "blocks").alias("block"))
-    return left, right
+    return left, right, sizes.agg(F.coalesce(F.sum(F.col("shards") * F.col("blocks")), F.lit(0))).first()[0]
 
 
 def similar_names(texts: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -116,7 +116,9 @@ def similar_names(texts: DataFrame, names: DataFrame, threshold: float = THRESHO
 
 
 def _similar(texts: DataFrame, names: DataFrame, threshold: float, best: bool) -> DataFrame:
-    left, right = _met(texts.where("t <> ''").select("t").distinct(), names, threshold)
+    key = ["band", "shard", "block"]
+    left, right, groups = _met(texts.where("t <> ''").select("t").distinct(), names, threshold)
+    tasks = min(2 * groups + 1, MOST_TASKS)  # by number, as the work isn't in the bytes
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         named, ranks = a.column("n").to_pylist(), a.column("rank").to_pylist()
@@ -128,8 +130,7 @@ def _similar(texts: DataFrame, names: DataFrame, threshold: float, best: bool) -
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"t": pa.array(cols[0], pa.string()), "n": pa.array(cols[1], pa.string()), "score": pa.array(cols[2], pa.float64())})
 
-    key = ["band", "shard", "block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "t string, n string, score double")
+    return left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *key).groupBy(*key)).applyInArrow(run, "t string, n string, score double")
 
 
 def best_unit_match(texts: DataFrame, candidates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:

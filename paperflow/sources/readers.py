@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyed import KeyedTable
+
 PARTY = "kurum_kodu string, kurum_adi string, kurum_tipi string, birim_kodu string, birim_adi string, detsis_no string, imza_unvani string"
 UNIT = "birim_kodu string, birim_adi string, ust_birim_kodu string, hiyerarsi_seviyesi string, gorev_alani string, sdp_kodlari string, vatandas_yogunlugu string, imza_unvani string, detsis_no string"
 CATALOG = "kod string, ana_grup string, seviye string, ust_kod string, ad string, saklama_suresi string, kapsam string, kurum_tipi string, vatandas_konusu string, ornek_konular string"
@@ -88,8 +90,14 @@ def split_batches(answers: DataFrame, id_col: str = "batch", text_col: str = "te
     return pieces.select("batch", "ord", number.alias("doc_no"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("body")).where("ord > 0 or body <> ''")
 
 
-def write_documents(docs: DataFrame, path: str, by: str = "kurum") -> None:
-    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def write_documents(docs: DataFrame, path: str, key: tuple[str, ...] = ("kurum", "doc_id")) -> dict:
+    """Saves documents: those that the table at path has are replaced, others added, the rest stays. Returns the commit."""
+    return KeyedTable(docs.sparkSession, path, list(key)).save(docs)
+
+
+def saved(spark: SparkSession, path: str, key: tuple[str, ...] = ("kurum", "doc_id")) -> DataFrame:
+    """All documents or results that saves have left at path."""
+    return KeyedTable(spark, path, list(key)).read()
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +106,6 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> tupl
     return raw.where("_corrupt_record is null").drop("_corrupt_record"), raw.where("_corrupt_record is not null").select("_corrupt_record")
 
 
-def write_result(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """Findings, routes, decisions or register rows; only the partitions that rows has are replaced."""
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+def write_result(rows: DataFrame, path: str, key: tuple[str, ...]) -> dict:
+    """Saves findings, routes, decisions or register rows by their key, as write_documents() does."""
+    return KeyedTable(rows.sparkSession, path, list(key)).save(rows)
