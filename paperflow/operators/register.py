@@ -12,6 +12,8 @@ KEY = ["direction", "institution"]
 APPROVERS = ["birim_amiri", "yonetici", "memur"]
 NEEDS_REASON = ["reddet", "birim_degistir", "karari_geri_al"]
 OPEN = ["insan_onayi_bekliyor", "eksik_bilgi_bekliyor", "isleniyor"]
+ACTIONS = ["onayla", "reddet", "birim_degistir", "taslak_kaydet", "eksik_bilgi_iste", "eksik_bilgi_cevabi", "karari_geri_al", "deftere_kaydet"]
+CORRECTS = ["reddet", "birim_degistir", "taslak_kaydet"]
 CLOSED = ["onaylandi", "reddedildi", "otomatik_onaylandi"]
 
 
@@ -73,12 +75,21 @@ def summary(register: DataFrame) -> DataFrame:
     return register.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
-def apply_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
+def with_targets(actions: DataFrame, units: DataFrame | None) -> DataFrame:
+    """actions with target: whether new_unit can be routed to. units: code, routable; None: every unit that is named can."""
+    if units is None:
+        return actions.withColumn("target", F.col("new_unit").isNotNull())
+    known = units.where("routable and code is not null").select(F.col("code").alias("_unit")).distinct().withColumn("_known", F.lit(True))
+    return actions.join(known, actions["new_unit"] == F.col("_unit"), "left").withColumn("target", F.coalesce("_known", F.lit(False))).drop("_unit", "_known")
+
+
+def apply_actions(docs: DataFrame, actions: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """doc_id, status, decision, unit, corrections, accepted, rejected (array of action_id and reason) after all actions.
 
     docs: doc_id, status, unit. actions: doc_id, action_id, ts, role, action, reason, new_unit. Actions of a document fold in
-    the order of (ts, action_id): roles without the right, missing reasons and states that bar an action reject it."""
-    rows = actions.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("ts", "action_id", "role", "action", "reason", "new_unit"))).alias("a"))
+    the order of (ts, action_id): roles without the right, missing reasons and states that bar an action reject it, and a change to a
+    unit that doesn't exist or can't be a target (units: code, routable; None: any unit that is named)."""
+    rows = with_targets(actions, units).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("ts", "action_id", "role", "action", "reason", "new_unit", "target"))).alias("a"))
     both = docs.select("doc_id", "status", "unit").join(rows, "doc_id", "left")
     state = F.struct(F.col("status").alias("status"), F.lit(None).cast("string").alias("decision"), F.col("unit").alias("unit"), F.lit(0).alias("corrections"), F.lit(0).alias("accepted"), F.array().cast("array<struct<action_id:bigint,reason:string>>").alias("rejected"))
 
@@ -87,20 +98,20 @@ def apply_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
         no_reason = action.isin(NEEDS_REASON) & (F.coalesce(F.trim(x["reason"]), F.lit("")) == "")
         bar = (
             F.when(~F.coalesce(x["role"].isin(APPROVERS), F.lit(False)), "yetki_yok").when(no_reason, "gerekce_yok").when(action.isin("onayla", "reddet") & ~is_open, "sonuclanmis")
-            .when((action == "birim_degistir") & x["new_unit"].isNull(), "birim_gecersiz").when((action == "karari_geri_al") & (x["role"] != "yonetici"), "yalniz_yonetici").when((action == "karari_geri_al") & is_open, "acik")
-            .when(~action.isin("onayla", "reddet", "birim_degistir", "taslak_kaydet", "eksik_bilgi_iste", "eksik_bilgi_cevabi", "karari_geri_al", "deftere_kaydet"), "bilinmeyen")
+            .when((action == "birim_degistir") & ~x["target"], "birim_gecersiz").when((action == "karari_geri_al") & (x["role"] != "yonetici"), "yalniz_yonetici").when((action == "karari_geri_al") & is_open, "acik")
+            .when(~F.coalesce(action.isin(ACTIONS), F.lit(False)), "bilinmeyen")
         )
         ok = bar.isNull()
         status = F.when(action == "onayla", "onaylandi").when(action == "reddet", "reddedildi").when(action == "eksik_bilgi_iste", "eksik_bilgi_bekliyor").when(action.isin("eksik_bilgi_cevabi", "karari_geri_al"), "insan_onayi_bekliyor").otherwise(s["status"])
         decision = F.when(action == "onayla", "onaylandi").when(action == "reddet", "reddedildi").when(action == "birim_degistir", "birim_degistirildi").when(action == "eksik_bilgi_iste", "eksik_bilgi_istendi").when(action == "karari_geri_al", F.lit(None)).otherwise(s["decision"])
-        corrected = action.isin("reddet", "birim_degistir", "taslak_kaydet").cast("int")
+        corrected = action.isin(CORRECTS).cast("int")
         return F.struct(
             F.when(ok, status).otherwise(s["status"]).alias("status"), F.when(ok, decision).otherwise(s["decision"]).alias("decision"), F.when(ok & (action == "birim_degistir"), x["new_unit"]).otherwise(s["unit"]).alias("unit"),
             F.when(ok, s["corrections"] + corrected).otherwise(s["corrections"]).alias("corrections"), F.when(ok, s["accepted"] + 1).otherwise(s["accepted"]).alias("accepted"),
             F.when(ok, s["rejected"]).otherwise(F.array_append(s["rejected"], F.struct(x["action_id"].alias("action_id"), bar.alias("reason")))).alias("rejected"),
         )
 
-    folded = F.aggregate(F.coalesce("a", F.array().cast("array<struct<ts:timestamp,action_id:bigint,role:string,action:string,reason:string,new_unit:string>>")), state, step)
+    folded = F.aggregate(F.coalesce("a", F.array().cast("array<struct<ts:timestamp,action_id:bigint,role:string,action:string,reason:string,new_unit:string,target:boolean>>")), state, step)
     return both.select("doc_id", folded.alias("s")).select("doc_id", "s.status", "s.decision", "s.unit", "s.corrections", "s.accepted", "s.rejected")
 
 
