@@ -50,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """df, whose session hands rows to Python in Arrow batches of BATCH_BYTES at most (a longer single row is a batch): what a
-    Python worker and the JVM hold for a task is then a few such batches, however long the texts are."""
+    Python worker and the JVM hold for a task is then a few such batches, however long the texts are. The setting is the session's and
+    stays, as a plan reads it when it runs; a smaller one of the caller's is kept."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(re.match(r"-?\d+", conf.get(name))[0]) <= BATCH_BYTES:
+    if not 0 < df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
 

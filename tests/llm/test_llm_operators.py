@@ -328,6 +328,26 @@ def test_quality_scores_of_all_rows_by_plain_loops(spark, sf, docs):
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-3
 
 
+def test_quality_does_not_depend_on_the_layout(spark, sf, docs):
+    """Two layouts of one table, with repeated ids whose rows don't all fit in the sample."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0").selectExpr("doc_id", "concat(text, ' more') AS text", "lang", "source", "n_chars"))
+    scores = lambda d: sorted((r.doc_id, r.score) for r in quality.score(d, labels, max_train_docs=40).collect())
+    assert scores(twice.repartition(3)) == scores(twice.orderBy("text").repartition(7, "source"))
+
+
+@pytest.mark.parametrize(("before", "after"), [("64m", str(common.BATCH_BYTES)), ("1g", str(common.BATCH_BYTES)), ("512k", "512k"), ("4096", "4096")])
+def test_batches_are_bounded_whatever_the_unit(spark, before, after):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before)
+        common.small_batches(spark.range(1))
+        assert spark.conf.get(name) == after
+    finally:
+        spark.conf.set(name, kept)
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(5, 1, "x"), (None, 0, "x"), (6, None, "x"), (9, 1, "x")], "doc_id long, quality int, text string")
     got = quality.score(odd, labels).collect()
