@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_window
 from ..functions.similar import NameIndex
-from ..functions.text import fold, nth, text_or_empty
+from ..functions.text import bound, fold, nth, text_or_empty
 from ..sources.scratch import written
 
 THRESHOLD = 0.75
@@ -32,8 +32,14 @@ def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def _grams(c: Column, n: int) -> Column:
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+def _grams(c: Column, *sizes: int) -> Column:
+    """Distinct runs of so many letters. Letters are cut out once, as a place in a long text is found by counting from its start."""
+
+    def of(letters: Column, n: int) -> Column:
+        run = F.transform(F.sequence(F.lit(0), F.size(letters) - n), lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
+        return F.when(F.size(letters) >= n, F.array_distinct(run)).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda letters: F.concat(*[of(letters, n) for n in sizes]))
 
 
 def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     grams = distinct.select("n", F.explode(F.when(F.length("n") >= 3, _grams(F.col("n"), 3)).otherwise(F.array("n"))).alias("g"))
     rarest = grams.join(grams.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("n").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
     t = F.col("t")
-    looked_up = texts.select("t").distinct().select("t", F.explode(F.concat(_grams(t, 1), _grams(t, 2), _grams(t, 3))).alias("g"))
+    looked_up = texts.select("t").distinct().select("t", F.explode(_grams(t, 1, 2, 3)).alias("g"))
     return looked_up.join(rarest, "g").where(t.contains(F.col("n"))).select("t", "n").distinct()
 
 

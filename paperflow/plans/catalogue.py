@@ -471,4 +471,4 @@ def w2(s, d):
     return latest_status(rows).select("doc_id", "status", "events")
 
 
-from . import catalogue_more, catalogue_texts, letters  # noqa: E402, F401  they register their queries here
+from . import catalogue_more, catalogue_tables, catalogue_texts, letters  # noqa: E402, F401  they register their queries here
