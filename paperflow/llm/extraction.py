@@ -1,7 +1,7 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
-Block elements are the nodes of a tree; each has a binary state, content or not. A node's own evidence (tag, class, id and role
-words, text or none, link share) gives its unary potential; a potential for each kind of child couples it with its parent.
+Block elements are the nodes of a tree; each has a binary state, content or not. A node's own evidence (tag; words of class,
+id and role and their parts; length, sentences, link share, share of the page, place and neighbours of its text) gives its unary potential; a potential for each kind of child couples it with its parent.
 Sum-product messages from the leaves to the root and back give exact content marginals; the text of nodes above one half is the
 main text. The weights are fitted by maximum likelihood on labelled pages, with expectations from the same messages.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 900
 EPOCHS = 16
 
 # Fixed values of HTML: elements by their role in the tree.
@@ -50,8 +50,24 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 LONG_NUMBER = re.compile(r"&#(?:0*([0-9]{8,})|[xX]0*([0-9a-fA-F]{7,}));?")
 LEADING_ZEROS = re.compile(r"&#([xX]?)0{6,}(?=[0-9a-fA-F])")
-ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+WORD = re.compile(r"[^\W\d_]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+RIGHTS = re.compile(r"©|\(c\)\s*\d|copyright|all rights reserved|alle rechte|tous droits|todos los derechos|tüm hakları", re.I)
+CONSENT = re.compile(r"\bcookies?\b|\bgdpr\b|\bconsent\b|çerez", re.I)
+PART = 4
+
+# Fixed values of the training pages: names that page authors give to the parts of a page.
+MENUS = ["menu", "nav", "navigation", "navbar", "main-menu", "nav-primary", "topnav", "hauptmenue", "ust-menu", "menu-principal", "barre-navigation"]
+HEADERS = ["header", "top", "masthead", "site-header", "page-head", "branding", "kopfzeile", "ust-bolum", "entete", "cabecera", "logo-bar"]
+NOTICES = ["cookie", "notice", "consent", "alert", "cookie notice", "popup", "gdpr", "privacy-banner", "modal", "overlay", "hinweis", "cerez-uyari", "aviso"]
+ADVERTS = ["ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo", "ad-slot", "werbung", "reklam", "publicite", "anuncio"]
+SIDES = ["sidebar", "widget", "related", "rail", "side-column", "most-read", "trending", "seitenleiste", "yan-sutun", "colonne-laterale", "barra-lateral"]
+COMMENTS = ["comments", "discussion", "comment list", "commentlist", "replies", "disqus", "respond", "reader-comments", "kommentare", "yorumlar", "commentaires", "comentarios", "thread"]
+FOOTERS = ["footer", "site-footer", "colophon", "page-foot", "bottom", "fusszeile", "alt-bilgi", "pied-de-page", "pie-de-pagina", "legal", "imprint"]
+BOXES = ["ad", "advert", "promo", "share", "related", "newsletter", "social", "signup", "teaser"]
+SHELLS = ["content", "post", "entry", "article body", "main content", "story", "post text", "primary", "inhalt", "icerik", "contenu", "contenido", "site-main"]
+NAMED = re.compile(r' (?:class|id)="[^"]*"')
 
 
 class Scanner:
@@ -263,19 +279,59 @@ def _marks(tag: str, attrs: str) -> tuple[str, ...]:
     out = [f"tag={tag}"]
     for m in ATTRIBUTE.finditer(attrs):
         if m[1].lower() != "data-label":
-            out += [f"word={w}" for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())]
+            for w in WORD.findall(HUMP.sub(" ", m[2] or m[3] or m[4] or "").lower()):
+                out.append(f"word={w}")
+                out += [f"part={w[i : i + PART]}" for i in range(len(w) - PART + 1)]
     return tuple(dict.fromkeys(out))
 
 
 _short_marks = functools.lru_cache(20_000)(_marks)
 
 
-def measures(tree: Tree, v: int) -> list[str]:
-    size = tree.sizes[v]
-    if not size:
-        return ["text=0"]
-    share = tree.links[v] / size
-    return [f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}"]
+def _bin(x: float, *edges: float) -> int:
+    return sum(x >= e for e in edges)
+
+
+def measures(tree: Tree) -> list[list[str]]:
+    """Features of each node from its text, its subtree and its place: link share, length, sentences, share of the page, neighbours of its
+    tag, words of notices of rights and consent. Names play no part in them."""
+    n = len(tree.tag)
+    whole, linked, stops, start, says = tree.sizes[:], tree.links[:], [0] * n, [-1] * n, [""] * n
+    done = 0
+    for v, t in tree.segments:
+        start[v] = done if start[v] < 0 else start[v]
+        done += 0 if t.isspace() else len(t)
+        stops[v] += t.count(".") + t.count("!") + t.count("?")
+        if len(t) < 400:
+            says[v] = "rights" if RIGHTS.search(t) else "consent" if CONSENT.search(t) else says[v]
+    alike: dict[tuple[int, str], int] = {}
+    for v in range(n - 1, 0, -1):
+        p = tree.parent[v]
+        whole[p] += whole[v]
+        linked[p] += linked[v]
+        if start[v] >= 0 and (start[p] < 0 or start[v] < start[p]):
+            start[p] = start[v]
+        if whole[v]:
+            alike[p, tree.tag[v]] = alike.get((p, tree.tag[v]), 0) + 1
+    total = max(1, done)
+    out = []
+    for v in range(n):
+        size, tag = tree.sizes[v], tree.tag[v]
+        own = [f"whole={_bin(whole[v] / total, 0.02, 0.1, 0.3, 0.6, 0.9)}", f"all links={_bin(linked[v] / max(1, whole[v]), 0.05, 0.3, 0.6, 0.9)}", f"at={_bin(max(0, start[v]) / total, 0.03, 0.15, 0.85, 0.97)}"]
+        if not size:
+            own.append("text=0")
+        else:
+            share = _bin(tree.links[v] / size, 0.05, 0.5)
+            long = _bin(size, 20, 60, 150, 400)
+            own += [f"links={share}", f"size={long}", f"stops={_bin(stops[v], 1, 3)}", f"{tag} size={long}", f"alike={_bin(alike.get((tree.parent[v], tag), 0), 2, 4)}"]
+        if says[v]:
+            own.append(f"says={says[v]}")
+        out.append(own)
+    return out
+
+
+def features(tree: Tree) -> list[tuple[str, ...]]:
+    return [(*marks(t, a), *m) for t, a, m in zip(tree.tag, tree.attrs, measures(tree), strict=True)]
 
 
 def _log_add(a: float, b: float) -> float:
@@ -289,13 +345,13 @@ class Model:
         self.weights: dict[str, float] = {}
         self.edges = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)]
 
-    def unary(self, tree: Tree) -> list[float]:
+    def unary(self, tree: Tree, of: list[tuple[str, ...]] | None = None) -> list[float]:
         get = self.weights.get
-        return [sum(get(x, 0.0) for x in marks(tree.tag[v], tree.attrs[v])) + sum(get(x, 0.0) for x in measures(tree, v)) for v in range(len(tree.tag))]
+        return [sum(get(x, 0.0) for x in own) for own in of or features(tree)]
 
-    def messages(self, tree: Tree) -> tuple[list[float], list[float], list[float]]:
-        """Log-odds of content of each node: from its subtree, from all the page, and of its parent without this node."""
-        up = self.unary(tree)
+    def messages(self, tree: Tree, of: list[tuple[str, ...]] | None = None) -> tuple[list[float], list[float], list[float]]:
+        """Log-odds of content of each node: from its subtree, from all the page, and of its parent without this node. of: features()."""
+        up = self.unary(tree, of)
         kinds = [kind(t) for t in tree.tag]
         sent = [0.0] * len(up)
         for v in range(len(up) - 1, 0, -1):
@@ -323,11 +379,13 @@ class Model:
 
 
 def labelled_page(rng: random.Random) -> str:
-    """A page whose content elements bear data-label="1"."""
+    """A page whose content elements bear data-label="1". Two in five have no names at all."""
+    nameless = rng.random() < 0.4
+
     def words(lo: int, hi: int) -> str:
         return " ".join("".join(rng.choice(["an", "re", "th", "on", "el", "ti", "mo", "ve"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(lo, hi)))
 
-    links = lambda n: "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
+    links = lambda n, most=3: "".join(f'<li><a href="/{i}">{words(1 if most < 4 else 3, most)}</a></li>' for i in range(n))
     pick = rng.choice
     lab = ' data-label="1"'
     odd = lambda: pick(["", "", f' class="{words(1, 2)}"', f' id="{words(1, 1)}"'])  # noqa: E731  names that say nothing
@@ -335,9 +393,13 @@ def labelled_page(rng: random.Random) -> str:
     def para() -> str:
         body = words(1, pick([2, 4, 20, 60, 150])) + "."
         r = rng.random()
+        if r < 0.07:
+            return f'<div class="{pick(["", "article-", "story-"])}{pick(BOXES)}-{words(1, 2).replace(" ", "-")}"{lab}>{words(12, 60)}. {words(5, 20)}.</div>'  # a name that misleads
         if r < 0.1:
+            body += pick([" Copyright ", " The cookies ", " Consent "]) + words(12, 40) + "."
+        elif r < 0.16:
             body = f"<b>{words(3, 12)}</b> {body}"
-        elif r < 0.2:
+        elif r < 0.25:
             body += f' <a href="/x">{words(1, 3)}</a> {words(2, 9)}.'
         return f"<p{lab}>{body}" + pick(["</p>", "</p>", ""])
 
@@ -361,10 +423,14 @@ def labelled_page(rng: random.Random) -> str:
                 out.append(f"<blockquote{lab}><p{lab}>{words(5, 30)}</p></blockquote>")
             elif r < 0.93:
                 out.append(f"<table{lab}><tr{lab}><td{lab}>{words(1, 4)}</td><td{lab}>{words(1, 4)}</td></tr></table>")
-            elif r < 0.96:
-                out.append(f'<div class="{pick(["ad", "advert", "promo", "share", "related", "newsletter"])}">{words(2, 12)}</div>')
+            elif r < 0.96 and not nameless:
+                out.append(f'<div class="{pick(BOXES)}">{words(2, 12)}</div>')
             else:
                 out.append(pick([f"<pre{lab}>{words(4, 12)}</pre>", f"<figure{lab}><img src=x><figcaption{lab}>{words(2, 9)}</figcaption></figure>"]))
+        if rng.random() < 0.12:  # linked sources
+            out.append(f"<h2{lab}>{words(1, 2)}</h2><ul{lab}>" + "".join(f'<li{lab}><a href="/s">{words(3, 12)}</a></li>' for _ in range(rng.randint(2, 6))) + "</ul>")
+        if rng.random() < 0.1:  # a part of the article under a name that misleads
+            out.append(f'<section class="{pick(BOXES)} {words(1, 1)}"{lab}><h2{lab}>{words(1, 4)}</h2><p{lab}>{words(12, 60)}.</p></section>')
         if rng.random() < 0.3:  # parts of an article stand in boxes of their own
             cuts = sorted(rng.sample(range(len(out) + 1), min(len(out) + 1, rng.randint(1, 3))))
             for a, b in zip([0, *cuts], [*cuts, len(out)], strict=True):
@@ -374,55 +440,64 @@ def labelled_page(rng: random.Random) -> str:
         return "".join(out)
 
     shell = pick(["article", "article", "article", "main", "div", "section"])
-    name = "" if shell in ("article", "main") and rng.random() < 0.7 else f' class="{pick(["content", "post", "entry", "article body", "main content", "story", "post text"])}"'
+    name = "" if shell in ("article", "main") and rng.random() < 0.7 else f' {pick(["class", "class", "id"])}="{pick(SHELLS)}"'
     core = f"<{shell}{name}{lab}>{article()}</{shell}>"
     if rng.random() < 0.3:
         core = f"<main{lab}>{core}</main>" if rng.random() < 0.5 else f'<div id="{pick(["content", "main", "page"])}"{lab}>{core}</div>'
     elif rng.random() < 0.25:
         core = f"<main{lab}><div{odd()}{lab}><div{odd()}{lab}>{article()}</div></div></main>"
-    before, after = [], []
+    before, after, inside = [], [], []
     if rng.random() < 0.8:
-        before.append(pick([f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f'<div class="{pick(["menu", "nav", "navigation", "navbar"])}"><ul>{links(5)}</ul></div>', f'<ul class="menu">{links(4)}</ul>', f'<div role="navigation">{links(4)}</div>']))
+        before.append(pick([f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f'<div class="{pick(MENUS)}"><ul>{links(5)}</ul></div>', f'<ul class="menu">{links(4)}</ul>', f'<div role="navigation">{links(4)}</div>']))
     if rng.random() < 0.5:
-        before.insert(0, pick([f"<header><h2>{words(1, 3)}</h2><p>{words(2, 8)}</p></header>", f'<div class="header" id="top"><p>{words(2, 6)}</p></div>', f'<div role="banner">{words(2, 8)}</div>']))
+        before.insert(0, pick([f"<header><h2>{words(1, 3)}</h2><p>{words(2, 8)}</p></header>", f"<header><p>{words(1, 4)}</p></header>", f'<div {pick(["class", "id"])}="{pick(HEADERS)}"><p>{words(2, 6)}</p>{pick(["", f"<p>{words(2, 6)}</p>"])}</div>', f'<div class="{pick(HEADERS)}"><p>{words(2, 6)}</p></div>', f'<div role="banner">{words(2, 8)}</div>']))
     if rng.random() < 0.3:
         bar = " ".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(rng.randint(2, 7)))
         pick([before, after]).insert(0, pick([f"<div{odd()}>{bar}</div>", f"<div{odd()}><ul>{links(4)}</ul></div>"]))
     if rng.random() < 0.6:
-        before.append(f'<div class="{pick(["ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo"])}">{words(3, 15)}.</div>')
+        before.append(f'<div class="{pick(ADVERTS)}">{words(3, 15)}.</div>')
     if rng.random() < 0.35:
-        before.append(f'<div class="{pick(["cookie", "notice", "consent", "alert", "cookie notice", "popup"])}"><p>{words(5, 30)}.</p></div>')
+        before.append(f'<div {pick(["class", "class", "id"])}="{pick(NOTICES)}{pick(["", "-bar", "-box"])}"><p>{pick(["", "We use cookies. ", "Your consent: "])}{words(5, 30)}.</p>{pick(["", "<button>OK</button>"])}</div>')
     if rng.random() < 0.3:
         before.append(f'<div class="breadcrumb">{words(2, 5)}</div>')
     if rng.random() < 0.45:
-        side = f"<h3>{words(1, 3)}</h3><p>{words(5, 40)}.</p><ul>{links(4)}</ul>"
-        (before if rng.random() < 0.4 else after).append(pick([f"<aside>{side}</aside>", f'<div class="{pick(["sidebar", "widget", "related", "rail"])}">{side}</div>', f'<div role="complementary">{side}</div>']))
+        side = f"<h3>{words(1, 3)}</h3>{pick([f"<p>{words(5, 40)}.</p>", ""])}<ul>{links(rng.randint(2, 6), pick([3, 8, 12]))}</ul>"
+        (before if rng.random() < 0.4 else after).append(pick([f"<aside>{side}</aside>", f'<div class="{pick(SIDES)}">{side}</div>', f'<div role="complementary">{side}</div>']))
     if rng.random() < 0.4:
-        reply = "".join(f'<{(box := pick(["div", "div", "li", "article"]))} class="{pick(["comment", "reply"])}"><p>{words(1, 60)}.</p></{box}>' for _ in range(rng.randint(1, 4)))
-        after.append(f'<{pick(["section", "div"])} {pick(["class", "id"])}="{pick(["comments", "discussion", "comment list", "replies", "disqus"])}"><h3>{words(1, 3)}</h3>{reply}</section></div>')
+        own = pick(["comment", "reply", "depth", "", ""])
+        reply = "".join(f'<{(box := pick(["div", "div", "li", "article" if own and not nameless else "li", "div"]))}{f' class="{own}"' if own else ""}><p>{words(1, 60)}.</p></{box}>' for _ in range(rng.randint(1, 4)))
+        (inside if rng.random() < 0.3 and not nameless else after).append(f'<{(out := pick(["section", "div"]))} {pick(["class", "id"])}="{pick(COMMENTS)}">{pick([f"<h3>{words(1, 3)}</h3>", ""])}{pick(["<ol>", ""]) if own == "depth" else ""}{reply}</{out}>')
     if rng.random() < 0.4:
         after.append(f'<form class="{pick(["search", "subscribe", "contact", ""])}"><p>{words(2, 10)}</p><label>{words(1, 3)}</label><button>{words(1, 1)}</button></form>')
     if rng.random() < 0.85:
-        after.append(pick([f"<footer>{words(3, 20)}.</footer>", f"<footer><p>{words(3, 20)}</p><ul>{links(3)}</ul></footer>", f'<div class="footer" id="footer"><p>{words(4, 20)}</p></div>', f'<div role="contentinfo">{words(3, 9)}</div>']))
-    return f"<html><head><title>{words(2, 6)}</title></head><body>{''.join(before)}{core}{''.join(after)}</body></html>"
+        rights = pick(["", "", "Copyright 2020 ", "© 2019 ", "All rights reserved. "])
+        box = pick([f'{pick(["class", "id"])}="{pick(FOOTERS)}"', f'class="{words(1, 1)}"' if rights else 'class="footer"'])
+        after.append(pick([f"<footer>{rights}{words(3, 20)}.</footer>", f"<footer><p>{rights}{words(3, 20)}</p><ul>{links(3)}</ul></footer>", f"<div {box}><p>{rights}{words(2, 20)}</p></div>", f'<div role="contentinfo">{words(3, 9)}</div>']))
+    if inside and core.endswith("</main>"):
+        core = core[:-7] + "".join(inside) + "</main>"
+    else:
+        after = inside + after
+    body = f"<body>{''.join(before)}{core}{''.join(after)}</body>"
+    return f"<html><head><title>{words(2, 6)}</title></head>{NAMED.sub('', body) if nameless else body}</html>"
 
 
 @functools.lru_cache(1)
-def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, rate: float = 0.3, ridge: float = 2e-4, seed: int = 11) -> Model:
+def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, rate: float = 0.1, ridge: float = 5e-4, seed: int = 11) -> Model:
     """Maximum likelihood by gradient steps page by page: observed minus expected features and edges."""
     rng = random.Random(seed)
     trees = [parse(labelled_page(rng)) for _ in range(pages)]
     labels = [[int("data-label" in a or v == 0) for v, a in enumerate(t.attrs)] for t in trees]
+    of = [features(t) for t in trees]
     model = Model()
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
         for i in rng.sample(range(pages), pages):
             tree, y = trees[i], labels[i]
-            up, total, cavity = model.messages(tree)
+            up, total, cavity = model.messages(tree, of[i])
             for v in range(len(y)):
                 gap = y[v] - 1 / (1 + math.exp(-max(-50.0, min(50.0, total[v]))))
                 if abs(gap) > 1e-3:
-                    for x in (*marks(tree.tag[v], tree.attrs[v]), *measures(tree, v)):
+                    for x in of[i][v]:
                         old = model.weights.get(x, 0.0)
                         model.weights[x] = old + step * (gap - ridge * old)
                 if v:

@@ -581,6 +581,70 @@ def test_extraction_of_layouts_of_another_hand(page):
         assert other not in text
 
 
+# Pages of another hand: names and nesting apart from labelled_page().
+FIRST = "The new bridge was opened on Monday after four years of work by two firms from the region."
+SECOND = "Traffic will be counted for a year before the old crossing is closed, the council said."
+ARTICLE = f"<h1>Bridge opens</h1><p>{FIRST}</p><p>{SECOND}</p>"
+WHOLE = f"Bridge opens {FIRST} {SECOND}"
+PAGES = {
+    "gdpr": (f'<body><div class="gdpr-bar"><p>We use cookies to give you the best experience.</p><button>OK</button></div><main>{ARTICLE}</main></body>', WHOLE),
+    "respond": (f'<body><main><article>{ARTICLE}</article><div id="respond"><h3>3 thoughts on this</h3><ol class="commentlist"><li class="depth-1"><p>Nice one, thanks for that report!</p></li><li class="depth-1"><p>I do not agree with this at all.</p></li></ol></div></main></body>', WHOLE),
+    "wp": (f'<body><div id="masthead"><p>The Daily Bridge</p><p>All the news</p></div><div id="primary"><article>{ARTICLE}</article></div><div id="colophon"><p>Proudly made by us in the region.</p></div></body>', WHOLE),
+    "de": (f'<body><div class="kopfzeile"><p>Die Zeitung am Ort</p></div><div class="inhalt">{ARTICLE}</div><div class="fusszeile"><p>Impressum und Datenschutz</p></div></body>', WHOLE),
+    "tr": (f'<body><div class="ust-menu"><ul><li><a href=1>Ana sayfa</a></li><li><a href=2>Spor</a></li></ul></div><article>{ARTICLE}</article><div class="yorumlar"><p>Çok güzel olmuş, elinize sağlık.</p><p>Katılmıyorum bu habere.</p></div></body>', WHOLE),
+    "copy": (f'<body><main>{ARTICLE}</main><div class="x8f3k"><p>Copyright 2021 The Daily Bridge. All rights reserved.</p></div></body>', WHOLE),
+    "testid": (f"<article><h1>Bridge opens</h1><p data-testid='share-comment-menu'>{FIRST}</p><p>{SECOND}</p></article>", WHOLE),
+    "sources": (f"<nav><a href=1>Home</a></nav><article>{ARTICLE}<h2>Sources</h2><ul><li><a href='/a'>Annual report of the bridge office</a></li><li><a href='/b'>Minutes of the council meeting in May</a></li></ul></article>", WHOLE + " Sources Annual report of the bridge office Minutes of the council meeting in May"),
+    "related": (f"<article>{ARTICLE}<section class='related work'><h2>Earlier bridges</h2><p>Two earlier bridges stood at the same place and were lost to floods in the last century.</p></section></article>", WHOLE + " Earlier bridges Two earlier bridges stood at the same place and were lost to floods in the last century."),
+    "adfree": (f"<article><h1>Bridge opens</h1><div class='article-ad-free-note'>{FIRST}</div><p>{SECOND}</p></article>", WHOLE),
+    "nameless": (f"<body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div><div><div><h1>Bridge opens</h1><p>{FIRST}</p><p>{SECOND}</p></div></div><div><p>© 2020 The Daily Bridge</p></div></body>", WHOLE),
+    "sidebar": (f"<body><div class='wrap'><div class='col-8'>{ARTICLE}</div><div class='col-4'><h3>Most read</h3><ul><li><a href=1>One more thing</a></li><li><a href=2>Another thing</a></li></ul></div></div></body>", WHOLE),
+    "camel": (f"<body><div class='siteHeader'><p>Daily</p></div><article>{ARTICLE}</article><div class='commentsSection'><p>I like it very much indeed.</p></div><div class='pageFooter'><p>Some last words here.</p></div></body>", WHOLE),
+    "pubdisqus": (f"<body><main>{ARTICLE}<div id='disqus_thread'><p>Great read, thank you all!</p></div></main></body>", WHOLE),
+    "fr": (f"<body><div id='entete'><p>Le journal</p></div><div id='contenu'>{ARTICLE}</div><div id='commentaires'><p>Merci pour cet article.</p></div><div class='pied-de-page'><p>Mentions</p></div></body>", WHOLE),
+    "newsletter": (f"<body><article>{ARTICLE}</article><div class='newsletter-signup'><p>Get our best stories every morning.</p></div></body>", WHOLE),
+    "modal": (f"<body><div class='modal-overlay'><p>Subscribe now and save half of the price.</p></div><main>{ARTICLE}</main></body>", WHOLE),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_extraction_of_pages_of_another_hand(name):
+    page, want = PAGES[name]
+    assert extraction.train().extract(page) == want
+
+
+def other_layouts():
+    """(page, article words, other words) of 120 layouts: shells and furniture under names that the training pages don't have."""
+    rng = random.Random(41)
+    say = lambda n: " ".join(rng.choice("river stone market winter engine letter garden office report summer window bridge music school".split()) for _ in range(n))
+    shells = ["<article>{}</article>", "<main>{}</main>", '<main><div class="row"><div class="col-8">{}</div></div></main>', '<div class="post-body">{}</div>', '<div id="story-text">{}</div>', "<div><div>{}</div></div>", '<div class="c-9f2a"><section>{}</section></div>', "<main><article><div>{}</div></article></main>"]
+    for i in range(120):
+        own = [say(rng.randint(3, 7)), *(say(rng.randint(15, 70)) + "." for _ in range(rng.randint(3, 7)))]
+        parts = [f"<h1>{own[0]}</h1>", *(f"<p data-testid='share-menu' data-comment-id='{i}'>{x}</p>" for x in own[1:])]
+        if i % 4 == 0:
+            own.append(say(12))
+            parts.append(f"<blockquote><p>{own[-1]}</p></blockquote>")
+        head, menu, cookie, side, talk, foot = say(3), [say(1) for _ in range(5)], say(9), [say(4) for _ in range(4)], say(11) + "!", say(7)
+        top = f'<div class="{rng.choice(["topbar-wrap", "site-branding", "pageHeader", "kopf-bereich"])}"><p>{head}</p></div>' if i % 2 else f"<header><p>{head}</p></header>"
+        nav = f'<div class="{rng.choice(["nav-wrap", "mainMenu", "menue-leiste", "x1"])}"><ul>' + "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in menu) + "</ul></div>"
+        note = f'<div class="{rng.choice(["cookie-layer", "CookieConsent", "gdpr-note", "privacy-popup"])}"><p>We use cookies. {cookie}.</p><button>OK</button></div>' if i % 3 == 0 else ""
+        rail = f'<div class="{rng.choice(["side-area", "sidebar-right", "related-stories", "x2"])}"><h3>{side[0]}</h3><ul>' + "".join(f"<li><a href='/{j}'>{x}</a></li>" for j, x in enumerate(side[1:])) + "</ul></div>"
+        said = f'<div class="{rng.choice(["comment-area", "userComments", "kommentar-bereich", "yorumlar-alani"])}"><div><p>{talk}</p></div></div>' if i % 3 else ""
+        last = f'<div class="{rng.choice(["footer-wrap", "globalFooter", "fusszeile-unten", "x3"])}"><p>Copyright 2021 {foot}</p></div>'
+        yield f"<html><body>{top}{nav}{note}{rng.choice(shells).format(''.join(parts))}{rail}{said}{last}</body></html>", " ".join(own).split(), [*head.split(), *menu, *(cookie.split() if note else []), *" ".join(side).split(), *(talk.split() if said else []), *foot.split()]
+
+
+def test_extraction_recall_and_precision():
+    recall, precision, exact = [], [], 0
+    for page, own, _ in other_layouts():
+        got = extraction.train().extract(page).split()
+        both = sum((collections.Counter(got) & collections.Counter(own)).values())
+        recall.append(both / len(own))
+        precision.append(both / max(1, len(got)))
+        exact += got == own
+    assert np.mean(recall) >= 0.97 and np.mean(precision) >= 0.97 and exact >= 0.8 * len(recall), (np.mean(recall), np.mean(precision), exact)
+
+
 def test_extraction_odd(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article><h1>T</h1><p>A&nbsp;&amp;\n b</p></article><script>no</script>", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extraction.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "T A & b", 7)]
