@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number_parts
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import written
 
 KEY = ["direction", "institution"]
@@ -42,6 +43,21 @@ def assign_numbers(new: DataFrame, register: DataFrame | None = None, slots: int
     return out.select(*KEY, "doc_id", (F.col("n") + F.col("before")).cast("long").alias("seq"))
 
 
+def register_numbers(at: KeyedTable, new: DataFrame) -> DataFrame:
+    """direction, institution, doc_id, seq of the new documents, from a register that several writers number at once. at: a table with the
+    key (direction, institution, doc_id).
+
+    Numbers count from the register as one version has it and are saved as the next version or not at all; a writer that comes second
+    numbers anew. So numbers stay without gaps and repeats, also when a writer fails before its commit."""
+
+    def numbered(register: DataFrame | None) -> DataFrame:
+        rows = assign_numbers(new, register)
+        return rows if register is None else rows.join(register.select(*KEY, "doc_id"), [*KEY, "doc_id"], "left_anti")
+
+    at.transact(numbered)
+    return at.lookup(new.select(*KEY, "doc_id").distinct())
+
+
 def official_numbers(rows: DataFrame) -> DataFrame:
     """doc_id, number, problem: E-detsis-sdp-seq, which must parse back; missing or malformed parts give a problem."""
     number = F.concat(F.lit("E-"), F.col("detsis"), F.lit("-"), F.col("sdp"), F.lit("-"), F.col("seq").cast("string"))

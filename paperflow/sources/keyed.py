@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -181,16 +182,33 @@ class KeyedTable:
             if not new.limit(1).count():
                 return self.commit_of() or {}
             for _ in range(TRIES):
-                commit = self._saved(new, rows.schema, delete)
+                commit = self._saved(new, rows.schema, delete, self.commit_of())
                 if commit is not None:
                     return commit
             raise RuntimeError(f"{self.path}: other writers were first {TRIES} times")
         finally:
             dropped(new)
 
-    def _saved(self, new: DataFrame, schema: T.StructType, delete: bool) -> dict | None:
-        base, known = self.commit_of(), self.versions()
-        version = (known[-1] if known else 0) + 1
+    def transact(self, make: Callable[[DataFrame | None], DataFrame]) -> dict:
+        """Saves the rows that make() gives for the table as it stands (None before the first save), and no other way: when another writer
+        was first, make() is asked again for the table that this one left. Without rows nothing is committed."""
+        for _ in range(TRIES):
+            base = self.commit_of()
+            rows = make(self.read(base["version"]) if base else None)
+            new = written(rows.withColumn("_k", self.key_text()), "save")
+            try:
+                if not new.limit(1).count():
+                    return base or {}
+                commit = self._saved(new, rows.schema, False, base)
+            finally:
+                dropped(new)
+            if commit is not None:
+                return commit
+        raise RuntimeError(f"{self.path}: other writers were first {TRIES} times")
+
+    def _saved(self, new: DataFrame, schema: T.StructType, delete: bool, base: dict | None) -> dict | None:
+        """The commit after base; None if there is one already."""
+        version = (base["version"] if base else 0) + 1
         if base:
             schema = T.StructType.fromJson(base["schema"])
             if {(f.name, f.dataType.simpleString()) for f in schema} != {(f.name, f.dataType.simpleString()) for f in new.drop("_k").schema}:

@@ -6,6 +6,7 @@ import threading
 import numpy as np
 import pytest
 
+from paperflow.operators import register
 from paperflow.sources import keyed, readers
 from paperflow.sources.keyed import KeyedTable
 
@@ -73,6 +74,34 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     assert not failed and set(got) == {(n, i) for n in ("x", "y", "both") for i in range(3)} and t.versions() == list(range(1, 7))
 
 
+def test_writers_number_at_once_without_gaps(spark, tmp_path):
+    at, failed = (lambda: KeyedTable(spark, f"file://{tmp_path}/reg", ["direction", "institution", "doc_id"])), []
+
+    def letters(lo, hi):
+        return spark.range(lo, hi).selectExpr("'gelen' AS direction", "concat('k', id % 2) AS institution", "id AS doc_id", "cast(1000 + id % 9 as timestamp) AS ts")
+
+    def write(lo, hi):
+        try:
+            register.register_numbers(at(), letters(lo, hi)).collect()
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    writers = [threading.Thread(target=write, args=x) for x in [(0, 30), (20, 60)]]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    with pytest.raises(ZeroDivisionError):
+        at().transact(lambda rows: 1 / 0)  # a writer that fails leaves nothing
+    first = {r.doc_id: r.seq for r in at().read().collect()}
+    again = {r.doc_id: r.seq for r in register.register_numbers(at(), letters(55, 70)).collect()}
+    rows = at().read().collect()
+    assert not failed and len(first) == 60 and {d: s for d, s in again.items() if d in first} == {d: first[d] for d in range(55, 60)}
+    for k in ("k0", "k1"):
+        own = sorted(r.seq for r in rows if r.institution == k)
+        assert own == list(range(1, len(own) + 1)) and len(own) == 35
+
+
 def test_a_commit_is_never_overwritten(spark, tmp_path):
     t = table(spark, tmp_path)
     assert t._commit(1, {"list": "a"}) and not t._commit(1, {"list": "b"}) and t.commit_of() == {"list": "a"}
