@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, check_digits, normalize_style, nth, squeeze_space, words_of
+from .sampling import first_rows
 
 CLOSING_VERB = r"(?s)^(.*)\b(arz|rica)( ederim)"
 REFERENCE_PHRASES = [r"(?iu)\bilgi(?:de|'de)?\s+kayıtlı\s+(?:yazı|başvuru)(?:nız|niz)?\s*(?:ile|üzerine|kapsamında)?,?\s*", r"(?iu)\bilgi\s+(?:yazı|talep|başvuru)(?:nız|niz)?\s*(?:ile|üzerine|kapsamında)?,?\s*"]
@@ -118,7 +119,7 @@ def assign_flags(orders: DataFrame, flag: str, must: Column, target: int, weight
     """orders with a boolean flag: all that must have it, then those of the highest weight (ties by a hash of the id) up to
     the target."""
     rows = orders.withColumn("_must", must).withColumn("_weight", weight).withColumn("_h", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
-    ahead = rows.orderBy(F.desc("_must"), F.desc("_weight"), "_h", "id").limit(target).select("id").withColumn("_in", F.lit(True))
+    ahead = first_rows(rows.select("id", "_must", "_weight", "_h"), target, F.desc("_must"), F.desc("_weight"), "_h", "id").select("id").withColumn("_in", F.lit(True))
     out = rows.join(ahead, "id", "left")
     return out.withColumn(flag, F.col("_must") | F.coalesce("_in", F.lit(False))).drop("_must", "_weight", "_h", "_in")
 

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+
+FEW = 50_000  # rows that may be gathered in one task
+
+
+def first_rows(rows: DataFrame, n: int, *order: Column | str, slots: int = 64) -> DataFrame:
+    """The first n rows by order, which must tell all rows apart for the result to be one. Up to FEW rows are a limit behind a sort. More are
+    cut where they lie: rows are ranged by the order, the ranges' counts are summed ahead, whole ranges stay or go, and only the one
+    that the cut falls into is numbered, so no task holds more than a range."""
+    if n <= FEW:
+        return rows.orderBy(*order).limit(n)
+    ranged = written(rows.repartitionByRange(slots, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.broadcast(counts.withColumn("_ahead", ahead))  # at most slots rows
+    placed = ranged.join(parts, "_part").where(F.col("_ahead") < n)
+    whole = placed.where(F.col("_ahead") + F.col("_n") <= n)
+    cut = placed.where(F.col("_ahead") + F.col("_n") > n).withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return whole.select(*rows.columns).unionByName(cut.where(F.col("_r") + F.col("_ahead") <= n).select(*rows.columns))
+
 
 def _order(seed: int):
     return F.xxhash64(F.col("id").cast("string"), F.lit(seed))
@@ -19,7 +40,7 @@ def _firsts(rows: DataFrame, n: int, seed: int) -> DataFrame:
 def class_covering(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """One row of each class, then rounds over the classes by size until n. rows: id, class."""
     sizes = rows.groupBy("class").agg(F.count("*").alias("size"))
-    return _firsts(rows, n, seed).join(sizes, "class").orderBy("r", F.desc("size"), "class").limit(n).select("id", "class", F.col("r").alias("round"))
+    return first_rows(_firsts(rows, n, seed).join(sizes, "class"), n, "r", F.desc("size"), "class", "id").select("id", "class", F.col("r").alias("round"))
 
 
 def proportional(rows: DataFrame, n: int, least: int = 2, seed: int = 0) -> DataFrame:
@@ -40,11 +61,11 @@ def balanced_defects(rows: DataFrame, n: int) -> DataFrame:
     """Half defective in equal shares of the kinds, the rest clean, each by id."""
     bad, clean = rows.where("defect is not null"), rows.where("defect is null")
     r = F.row_number().over(Window.partitionBy("defect").orderBy("id"))
-    chosen = bad.withColumn("r", r).where(F.col("r") <= n).orderBy("r", "defect").limit(n // 2).select("id", "class", "defect")
-    return chosen.unionByName(clean.orderBy("id").limit(n - n // 2).select("id", "class", "defect"))
+    chosen = first_rows(bad.withColumn("r", r).where(F.col("r") <= n), n // 2, "r", "defect", "id").select("id", "class", "defect")
+    return chosen.unionByName(first_rows(clean, n - n // 2, "id").select("id", "class", "defect"))
 
 
 def hard_cases(rows: DataFrame, n: int) -> DataFrame:
     """A third of bad scans, the rest clean, each by id. rows: id, class, bad_scan."""
-    bad = rows.where("bad_scan").orderBy("id").limit(n // 3)
-    return bad.unionByName(rows.where("not bad_scan").orderBy("id").limit(n - n // 3))
+    bad = first_rows(rows.where("bad_scan"), n // 3, "id")
+    return bad.unionByName(first_rows(rows.where("not bad_scan"), n - n // 3, "id"))

@@ -348,10 +348,15 @@ def q4(s, d):
     return corpus.printed_text_audit(printed, rows.select("doc_id", F.col("addressee").alias("value"), F.lit(True).alias("wanted"))).select("doc_id", "value")
 
 
-@query("b2_assign_flags", "SELECT count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS must FROM orders WHERE o_orderstatus = 'F'")
+@query(
+    "b2_assign_flags",
+    """WITH r AS (SELECT o_orderkey AS id, o_orderstatus = 'P' AS must, row_number() OVER (ORDER BY o_orderstatus = 'P' DESC, (o_orderkey * 7919) % 1000003 DESC) AS place, count(*) OVER () AS n FROM orders) SELECT id, must OR place <= n // 3 AS flag FROM r""",
+)
 def b2(s, d):
+    """All open orders, and of the others those of the greatest weight until a third of the table has the flag."""
     rows = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
-    return corpus.assign_flags(rows, "flag", F.col("o_orderstatus") == "F", 10, F.lit(0.5)).where("flag").agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("must"))
+    weight = F.col("id") * 7919 % 1000003
+    return corpus.assign_flags(rows, "flag", F.col("o_orderstatus") == "P", rows.count() // 3, weight).select("id", "flag")
 
 
 @query("b3_allowed_defects", "SELECT doc_id, CAST(CASE WHEN number IS NULL THEN 1 ELSE 2 END + doc_id % 2 AS INT) AS n FROM letters", ("letters",))

@@ -433,6 +433,18 @@ def test_best_fuzzy_unit_of_many(spark, monkeypatch):
     assert one == want and {r.text: (r.code, r.score, r["name"]) for r in matching.best_unit_match(rows, frame).collect()} == want
 
 
+def test_first_rows_are_cut_where_they_lie(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id", "id % 7 AS k")
+    want = [r.id for r in rows.orderBy(F.desc("k"), "id").limit(1234).collect()]
+    monkeypatch.setattr(sampling, "FEW", 10)
+    for n, own in ((1234, want), (0, []), (5000, None), (9000, None), (1, want[:1])):
+        got = [r.id for r in sampling.first_rows(rows, n, F.desc("k"), "id", slots=9).collect()]
+        assert len(got) == len(set(got)) and (set(got) == set(own) if own is not None else len(got) == 5000)
+    flagged = corpus.assign_flags(rows.withColumn("id", F.col("id")), "flag", F.col("k") == 0, 2000, F.col("id").cast("double")).where("flag")
+    must = {i for i in range(5000) if i % 7 == 0}
+    assert {r.id for r in flagged.collect()} == must | set(sorted(set(range(5000)) - must)[-(2000 - len(must)) :])
+
+
 def test_quotes_in_all_documents(spark):
     docs = spark.createDataFrame([(1, "Karar  ALINDI, dosya kapandı.", "x"), (2, "başka", "karar alındı, dosya"), (3, None, None)], "doc_id int, body string, raw string")
     quotes = spark.createDataFrame([("karar alındı",), ("Dosya kapandı.",), ("kısa",), (None,), ("karar alındı",)], "quote string")
