@@ -10,6 +10,7 @@ from .sampling import first_rows
 
 CLOSING_VERB = r"(?s)^(.*)\b(arz|rica)( ederim)"
 REFERENCE_PHRASES = [r"(?iu)\bilgi(?:de|'de)?\s+kayıtlı\s+(?:yazı|başvuru)(?:nız|niz)?\s*(?:ile|üzerine|kapsamında)?,?\s*", r"(?iu)\bilgi\s+(?:yazı|talep|başvuru)(?:nız|niz)?\s*(?:ile|üzerine|kapsamında)?,?\s*"]
+GRID_BLOCK = 1_000
 OPENINGS = ["Yapılan inceleme sonucunda", "Konu değerlendirilmiş olup", "Kayıtların tetkikinde", "Talep incelenmiş ve"]
 
 
@@ -99,15 +100,21 @@ def label_problems(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.explode(problems).alias("problem"))
 
 
-def cross_minimum(labels: DataFrame, a: str, b: str, least: int, most: int = 1_000_000) -> DataFrame:
-    """Pairs of values of two columns with fewer rows than least, absent pairs included. More than most pairs of values are an
-    error: the columns are meant to be small vocabularies."""
-    left, right = labels.where(F.col(a).isNotNull()).select(a).distinct(), labels.where(F.col(b).isNotNull()).select(b).distinct()
-    if (pairs := left.count() * right.count()) > most:
-        raise ValueError(f"{pairs} pairs of {a} and {b}")
-    grid = left.crossJoin(right)
-    n = labels.groupBy(a, b).agg(F.count("*").alias("n"))
-    return grid.join(n, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+def cross_minimum(labels: DataFrame, a: str, b: str, least: int) -> DataFrame:
+    """Pairs of values of two columns with fewer rows than least, absent pairs included; nulls are no values.
+
+    The pairs that have enough rows are few beside the grid. Values of b stand in blocks of arrays; each value of a meets every block by
+    its number, and what it has enough of is taken out of the block before any pair becomes a row."""
+    n = labels.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    values = labels.where(F.col(b).isNotNull()).select(F.col(b).alias("_b")).distinct()
+    blocks = max(1, -(-values.count() // GRID_BLOCK))
+    block = F.pmod(F.xxhash64("_b"), F.lit(blocks))
+    right = values.groupBy(block.alias("_block")).agg(F.collect_list("_b").alias("_all"))
+    left = labels.where(F.col(a).isNotNull()).select(F.col(a).alias("_a")).distinct().select("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    known = n.select(F.col(a).alias("_a"), F.col(b).alias("_b"), "n").groupBy("_a", block.alias("_block")).agg(F.collect_set(F.when(F.col("n") >= least, F.col("_b"))).alias("_enough"), F.map_from_entries(F.collect_list(F.when(F.col("n") < least, F.struct("_b", "n")))).alias("_few"))
+    rows = left.join(right, "_block").join(known, ["_a", "_block"], "left")
+    missing = F.explode(F.when(F.col("_enough").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_enough")))
+    return rows.select(F.col("_a").alias(a), missing.alias(b), "_few").select(a, b, F.coalesce(F.element_at("_few", F.col(b)), F.lit(0)).alias("n"))
 
 
 def expand_quota(cells: DataFrame) -> DataFrame:

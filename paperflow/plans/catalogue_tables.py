@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, rule_tables
+from ..operators import lint, matching, rule_tables
 from ..sources.keyed import KeyedTable
 from ..sources.scratch import scratch
 from .catalogue import query
@@ -42,6 +42,21 @@ def r1_table(s, d):
     return rule_tables.run_rule_table(docs, pattern.unionByName(entry).withColumn("path", F.lit("text"))).where("status = 'ihlal'").select("doc_id", "rule_id")
 
 
+NORMAL = "translate(lower(translate(translate(coalesce(text, ''), '''’ʼ', ''), 'İI', 'iı')), 'âîû', 'aiu')"
+
+
+@query(
+    "t6_names_in_texts",
+    f"""SELECT doc_id, CASE WHEN contains(n, 'thing') THEN 'Thing,' ELSE '' END || CASE WHEN contains(n, 'erin ') THEN 'erin ,' ELSE '' END || CASE WHEN contains(n, 'that') THEN 'THÂT,' ELSE '' END AS found
+FROM (SELECT doc_id, {NORMAL} AS n FROM documents)""",
+)
+def t6_texts(s, d):
+    """Names that really stand in the documents, by institutions and students, none of them before a faculty's word."""
+    docs = spread(table(s, d, "documents").select("doc_id", "lang", "text"))
+    bad = lint.names(F.coalesce("text", F.lit("")), F.array(F.lit("Thing"), F.lit("erin "), F.lit("  "), F.lit("THÂT")), F.when(F.col("lang") == "en", "kurum").otherwise("ogrenci"))
+    return docs.select("doc_id", F.array_join(F.transform(bad, lambda x: F.concat(x["quote"], F.lit(","))), "").alias("found"))
+
+
 @query("j5_similarity_join")
 def j5_join(s, d):
     """Pairs of a part's name and another part's name of other words, alike by at least 0.85: no bound on either side's rows."""

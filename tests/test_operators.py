@@ -433,6 +433,20 @@ def test_best_fuzzy_unit_of_many(spark, monkeypatch):
     assert one == want and {r.text: (r.code, r.score, r["name"]) for r in matching.best_unit_match(rows, frame).collect()} == want
 
 
+def test_cross_minimum_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "GRID_BLOCK", 4)
+    rng = random.Random(6)
+    rows = [(rng.choice([*range(9), None]), rng.choice([*"abcdefghijk", None])) for _ in range(300)]
+    count = {}
+    for a, b in rows:
+        if a is not None and b is not None:
+            count[a, b] = count.get((a, b), 0) + 1
+    want = {(a, b): count.get((a, b), 0) for a in {x for x, _ in rows} - {None} for b in {y for _, y in rows} - {None}}
+    got = {(r.a, r.b): r.n for r in corpus.cross_minimum(spark.createDataFrame(rows, "a int, b string"), "a", "b", 3).collect()}
+    assert got == {k: n for k, n in want.items() if n < 3}
+    assert corpus.cross_minimum(spark.createDataFrame([], "a int, b string"), "a", "b", 3).count() == 0
+
+
 def test_first_rows_are_cut_where_they_lie(spark, monkeypatch):
     rows = spark.range(5000).selectExpr("id", "id % 7 AS k")
     want = [r.id for r in rows.orderBy(F.desc("k"), "id").limit(1234).collect()]
