@@ -16,7 +16,11 @@ def _placed(rows: DataFrame, value: str, by: list[str], slots: int) -> DataFrame
 
     Exact without a global window: values are counted first, and the counts ranged over (by, value) are summed inside each
     range and ahead of it, so a heavy group spreads over tasks. The ranges are written first, as both sums must see the same ones."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    return _placed_counts(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")), value, by, slots)
+
+
+def _placed_counts(counts: DataFrame, value: str, by: list[str], slots: int) -> DataFrame:
+    """_placed() of rows by, value, _c: how many rows have the value."""
     ranged = written(counts.repartitionByRange(slots, *by, value).withColumn("_part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy(*by).agg(F.sum("_c").alias("_n"))
     inside = ranged.withColumn("_run", F.sum("_c").over(Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
@@ -33,6 +37,13 @@ def rank_percentile(rows: DataFrame, value: str, p: float, by: list[str], slots:
     return _placed(rows, value, by, slots).where(F.col("_last") > place).groupBy(*by).agg(F.min(value).alias(f"p{round(p * 100):02d}"))
 
 
+def percentile_of_counts(counts: DataFrame, value: str, n: str, p: float, by: list[str], slots: int = 64) -> DataFrame:
+    """rank_percentile() of rows of which only the number for each value is known; nulls and numbers that aren't above 0 don't count."""
+    known = counts.where(F.col(value).isNotNull() & (F.col(n) > 0)).select(*by, value, F.col(n).alias("_c"))
+    place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
+    return _placed_counts(known, value, by, slots).where(F.col("_last") > place).groupBy(*by).agg(F.min(value).alias(f"p{round(p * 100):02d}"))
+
+
 def median(rows: DataFrame, value: str, by: list[str], slots: int = 64) -> DataFrame:
     """by..., median: the mean of the one or two middle values."""
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)

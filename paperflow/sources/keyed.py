@@ -189,24 +189,27 @@ class KeyedTable:
         finally:
             dropped(new)
 
-    def transact(self, make: Callable[[DataFrame | None], DataFrame]) -> dict:
+    def transact(self, make: Callable[[DataFrame | None], DataFrame], number: int | None = None) -> dict:
         """Saves the rows that make() gives for the table as it stands (None before the first save), and no other way: when another writer
-        was first, make() is asked again for the table that this one left. Without rows nothing is committed."""
+        was first, make() is asked again for the table that this one left. Without rows nothing is committed. number: of this change in
+        an ascending sequence of one writer; a change that the table has already isn't made again."""
         for _ in range(TRIES):
             base = self.commit_of()
+            if number is not None and base and base.get("number") is not None and base["number"] >= number:
+                return base
             rows = make(self.read(base["version"]) if base else None)
             new = written(rows.withColumn("_k", self.key_text()), "save")
             try:
                 if not new.limit(1).count():
                     return base or {}
-                commit = self._saved(new, rows.schema, False, base)
+                commit = self._saved(new, rows.schema, False, base, number)
             finally:
                 dropped(new)
             if commit is not None:
                 return commit
         raise RuntimeError(f"{self.path}: other writers were first {TRIES} times")
 
-    def _saved(self, new: DataFrame, schema: T.StructType, delete: bool, base: dict | None) -> dict | None:
+    def _saved(self, new: DataFrame, schema: T.StructType, delete: bool, base: dict | None, number: int | None = None) -> dict | None:
         """The commit after base; None if there is one already."""
         version = (base["version"] if base else 0) + 1
         if base:
@@ -227,7 +230,8 @@ class KeyedTable:
         listed = f"lists/{uuid.uuid4().hex}"
         files.join(touched, "file", "left_anti").unionByName(added).coalesce(max(1, (n_files + n_new) // 5000)).write.parquet(f"{self.path}/{listed}")
         dropped(touched, added)
-        info = {"version": version, "list": listed, "schema": schema.jsonValue(), "files_before": n_files, "files_rewritten": n_touched, "files_written": n_new, "rows_read": n_old, "rows_written": n_rows}
+        number = number if number is not None else base.get("number") if base else None
+        info = {"version": version, "number": number, "list": listed, "schema": schema.jsonValue(), "files_before": n_files, "files_rewritten": n_touched, "files_written": n_new, "rows_read": n_old, "rows_written": n_rows}
         if self._commit(version, info):
             return info
         for left in (folder, listed):  # nobody knows of them
