@@ -146,8 +146,9 @@ def fit(entries: tuple[np.ndarray, np.ndarray, np.ndarray], stats: np.ndarray, y
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Fits on labelled rows that aren't held out. The chosen ids (max_train_docs at most) are broadcast. The rows are cut and fitted in the
-    order of (hash of the id, id, hash of the text), so the model depends on the table alone, however its rows lie in files."""
+    """Fits on labelled rows that aren't held out. The chosen ids (max_train_docs at most) are broadcast. Of rows that share
+    an id the one of the least hash of its text counts, and rows are fitted in the order of (hash of the id, id), so the model depends
+    on the table alone, however its rows lie in files."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, HELD_OUT, 1))
     share = min(1.0, max_train_docs / max(1, marks.count()))
     some = marks.select(F.col(id_col), F.col(label_col), uniform(id_col, 29).alias("place")).where(F.col("place") < share)
@@ -160,13 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 (doc, bucket, value), stats = features(*utf8(b.column(1)))
                 at = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(c)) for c in (bucket.astype(np.int16), value)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array([r.tobytes() for r in stats], pa.binary()), *b.columns[2:]], ["label", "bucket", "value", "stats", "place", "id", "hash"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array([r.tobytes() for r in stats], pa.binary()), *b.columns[2:]], ["label", "bucket", "value", "stats", "place", "id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    chosen = rows.join(F.broadcast(some), id_col).select("label", F.col("_text").alias("text"), "place", F.col(id_col).alias("id"), F.xxhash64("_text").alias("hash"))
-    got = chosen.mapInArrow(tidy(run), f"label int, bucket array<short>, value array<float>, stats binary, place double, id {kind}, hash long")
-    got = got.orderBy("place", "id", "hash").limit(max_train_docs).select("label", "bucket", "value", "stats").toArrow()  # repeated ids count too
+    chosen = rows.join(F.broadcast(some), id_col).groupBy("place", F.col(id_col).alias("id")).agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).alias("t"), F.min("label").alias("label"))
+    chosen = chosen.select("label", F.col("t._text").alias("text"), "place", "id")
+    got = chosen.mapInArrow(tidy(run), f"label int, bucket array<short>, value array<float>, stats binary, place double, id {kind}").toArrow()  # a row for each chosen id
+    got = got.sort_by([("place", "ascending"), ("id", "ascending")])
     sizes = got["bucket"].combine_chunks().value_lengths().to_numpy()
     bucket, value = (got[c].combine_chunks().flatten().to_numpy() for c in ("bucket", "value"))
     entries = np.repeat(np.arange(len(sizes)), sizes), bucket, value
