@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet and read again before the next. The
 filtering stages and mixing return rows of documents in all their columns; packing returns pieces of token sequences.
+
+Nulls and odd input: null and empty texts go at the first stage, as they have no letter; rows without an
+id stay or go like others, and their least hash decides in their group; null sources and languages are values of their own to mixing. Repeated rows are
+judged alike by the filters and one of them stays after near_dedup. Very long texts are read whole by every stage. Columns beyond
+those of documents are carried along, whatever their names. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -15,27 +20,31 @@ from paperflow.llm.common import dropped, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters, or ambiguous beyond what the code corrects) go."""
+    """Documents without a language (null or empty texts, no letters, or ambiguous beyond what the code corrects) go. Equal texts share
+    their fate."""
     return langid.accepted(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine scores below one half go."""
+    """Documents that the factorisation machine scores below one half go; a score of exactly one half stays. Without labels
+    every score is one half, so all stay."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity of 0.8 or more) stays."""
+    """One document of each near-duplicate group (five-word shingles, similarity of 0.8 or more) stays, that of the smallest id; of rows
+    that share it, the one of the least hash. Texts without words are near nothing."""
     return neardup.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by probabilities raked to the source, language and topic targets."""
+    """Documents are sampled by probabilities raked to the source, language and topic targets. The draw is a hash of the id: the same rows
+    stay on every run, and copies of a row share their fate."""
     return mixing.sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; null and empty texts have their end token alone."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
