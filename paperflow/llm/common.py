@@ -66,6 +66,11 @@ def released() -> None:
         trim(0)
 
 
+def fetched(spark: SparkSession) -> None:
+    """Gives back what a fetch has left on the heap of the driver's JVM, before a model is fitted beside it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable[[Iterator[T]], Iterator[pa.RecordBatch | pa.Array]]) -> Callable[[Iterator[T]], Iterator[pa.RecordBatch | pa.Array]]:
     """run, after which the memory that it used is given back."""
 

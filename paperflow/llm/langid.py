@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, fresh, released, small_batches, tidy, utf8
+from .common import SLICE_BYTES, fetched, fresh, released, small_batches, tidy, utf8
 
 BUCKETS = 4096
 AMBIGUOUS = 0.2
@@ -152,6 +152,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     got = some.select(F.col(lang_col), F.lower(F.col(text_col).cast("string")), place).mapInArrow(tidy(features), "lang string, x binary").limit(max_train_docs).toArrow()
+    fetched(docs.sparkSession)
     if not got.num_rows:
         return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     labels = got["lang"].to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, tidy, utf8, word_hashes
+from .common import fetched, released, small_batches, tidy, utf8, word_hashes
 from .langid import held_out, uniform
 
 WORD_BUCKETS = 4096
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen = chosen.select("label", F.col("t._text").alias("text"), "place", "id")
     got = chosen.mapInArrow(tidy(run), f"label int, bucket array<short>, value array<float>, stats binary, place double, id {kind}").toArrow()  # a row for each chosen id
     got = got.sort_by([("place", "ascending"), ("id", "ascending")])
+    fetched(docs.sparkSession)
     sizes = got["bucket"].combine_chunks().value_lengths().to_numpy()
     bucket, value = (got[c].combine_chunks().flatten().to_numpy() for c in ("bucket", "value"))
     entries = np.repeat(np.arange(len(sizes)), sizes), bucket, value
