@@ -20,6 +20,6 @@ def long_keys(sf, tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["x1_fields"])
+@pytest.mark.parametrize("name", ["x1_fields", "x_evidence_rows"])
 def test_long_keys(spark, long_keys, name):
     assert oracle.difference(spark, oracle.database(long_keys), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], long_keys) is None
