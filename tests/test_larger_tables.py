@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import oracle
+import pandas as pd
 import pytest
 
 from paperflow.plans import catalogue
@@ -23,3 +24,22 @@ def long_keys(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ["x1_fields", "x_evidence_rows"])
 def test_long_keys(spark, long_keys, name):
     assert oracle.difference(spark, oracle.database(long_keys), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], long_keys) is None
+
+
+TEXTS = [None, "", " ", "\xa0.", "Una ciónno. Y.", "Que çÇ. Foo.", "La Ç. Foo.", "Bak No. Foo.", "Iki söz var\n\nson.", "Iki söz var bkz.\n\nson.", "Tek\xa0söz.", "Iki söz.\xa0Son.", "Iki söz.\x0bSon.", "Son söz.\xa0", "Son söz\x0b",
+         "Önce\rT.C.\rsonra.", "Sayı : 3", "EKLER: 2.", "Tabiiö değil.", "Tabii değil.", "yaptıkarz ederim.", "a̅ettim bunu.", "²ettim bunu.", "éekli bir.", "ilgi'de kayıtlı.", "ilgiç.", "Bunu arz ve\nrica ederim\xa0."]
+
+
+@pytest.fixture(scope="module")
+def odd_texts(sf, tmp_path_factory):
+    to = tmp_path_factory.mktemp("odd_texts")
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", to / name)
+    pd.DataFrame({"doc_id": range(len(TEXTS)), "text": TEXTS, "lang": "tr", "source": "s", "n_chars": [len(x or "") for x in TEXTS]}).to_parquet(to / "documents.parquet")
+    return str(to)
+
+
+@pytest.mark.parametrize("name", ["t1_lint"])
+def test_odd_texts(spark, odd_texts, name):
+    assert oracle.difference(spark, oracle.database(odd_texts), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], odd_texts) is None
