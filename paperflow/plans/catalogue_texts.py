@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import board, corpus, evaluate, lines, lint, matching, register, routing, rules, sampling
 from ..sources import dimensions
-from .catalogue import FOLD, query
+from .catalogue import FOLD, SHORT, STRIPPED, WHITE, WORD, in_re2, query
 from .views import spread, table, view
 
 
@@ -194,23 +194,24 @@ def t8(s, d):
     return rows.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["rule_id"]), ",").alias("found"))
 
 
-_W = r"[\p{L}\p{N}_]"
 _SUFFIXES = re.search(r"\(\?:([^)]*)\)", lint.FIRST_PERSON)[1]
-_FORM_TESTS = ", ".join("{'r': 'BIC-01', 's': 'hata', 'k': CAST(regexp_matches(text, '" + p.replace("(?mU)", "(?m)") + "') AS BIGINT)}" for p, _ in lint.FORMS)
+_FORM_TESTS = ", ".join("{'r': 'BIC-01', 's': 'hata', 'k': CAST(regexp_matches(text, '" + in_re2(p) + "') AS BIGINT)}" for p, _ in lint.FORMS)
 _FORBIDDEN = ", ".join("{'r': 'ME-02', 's': 'hata', 'k': CAST(contains(n, '" + w + "') AS BIGINT)}" for w in lint.FORBIDDEN_CLOSINGS)
+_BEFORE, _AFTER = f"(?:^|[^{WORD}])", f"(?:$|[^{WORD}])"
 
 
 @query(
     "t_full_lint",
-    rf"""WITH x AS (SELECT doc_id, coalesce(text, '') AS text, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents), y AS (SELECT *, translate(lower(translate(translate(t, '''’ʼ', ''), 'İI', 'iı')), 'âîû', 'aiu') AS n FROM x),
-z AS (SELECT *, regexp_matches(n, 'arz ederim\s*\.?\s*$') AS has, regexp_matches(n, '(?:rica ederim|bilgilerinize sunulur|saygılarımla|saygılarımı sunarım)\s*\.?\s*$') AS other, regexp_extract_all(n, '{_W}+') AS words FROM y),
+    rf"""WITH x AS (SELECT doc_id, coalesce(text, '') AS text, {STRIPPED} AS t FROM documents), y AS (SELECT *, translate(lower(translate(translate(t, '''’ʼ', ''), 'İI', 'iı')), 'âîû', 'aiu') AS n FROM x),
+z AS (SELECT *, regexp_matches(n, 'arz ederim[{WHITE}]*\.?[{WHITE}]*$') AS has, regexp_matches(n, '(?:arz[\t-\r ]*(?:ve|/)[\t-\r ]*rica ederim|bilgilerinize sunulur|saygılarımla|saygılarımı sunarım|arz ederim|rica ederim)[{WHITE}]*\.?[{WHITE}]*$') AS other,
+  regexp_extract_all(regexp_replace(n, '{in_re2(lint.CLOSING_TAIL.replace("$", ""))}$', ''), '[{WORD}]+') AS words FROM y),
 f AS (SELECT doc_id, unnest([{{'r': 'TAM-01', 's': 'hata', 'k': CAST(t = '' OR NOT regexp_matches(t, '[.!?]$') AS BIGINT)}},
-  {{'r': 'TAM-01', 's': 'uyari', 'k': CAST(regexp_matches(t, '[.!?]$') AND (regexp_matches(t, '^\S+$') OR (regexp_matches(t, '[.!?]\s+[A-ZÇĞİÖŞÜ"„]\S*$') AND NOT regexp_matches(t, '\b(?:{"|".join(t.ABBREVIATIONS)}|[A-ZÇĞİÖŞÜ])\.\s+\S+$'))) AS BIGINT)}}, {_FORM_TESTS}, {_FORBIDDEN},
+  {{'r': 'TAM-01', 's': 'uyari', 'k': CAST({SHORT} AS BIGINT)}}, {_FORM_TESTS}, {_FORBIDDEN},
   {{'r': 'ME-02', 's': 'uyari', 'k': CAST(contains(n, 'önem arz et') AS BIGINT)}}, {{'r': 'ME-03', 's': 'hata', 'k': CAST(NOT has AND other AS BIGINT)}}, {{'r': 'ME-02', 's': 'hata', 'k': CAST(NOT has AND NOT other AS BIGINT)}},
-  {{'r': 'K13.1', 's': 'hata', 'k': CAST(len(list_filter(words, lambda w: regexp_full_match(w, '{_W}{{2,}}(?:{_SUFFIXES})'))) + len(list_filter(words, lambda w: regexp_full_match(w, '{_W}{{2,}}(?:{"|".join(lint.PAST_SUFFIXES)})') AND NOT list_contains({_listed(lint.NOT_VERBS)}, w) AND list_contains({_listed(lint.PAST_STEMS)}, substr(w, 1, length(w) - 3))))
+  {{'r': 'K13.1', 's': 'hata', 'k': CAST(len(list_filter(words, lambda w: regexp_full_match(w, '[{WORD}]{{2,}}(?:{_SUFFIXES})'))) + len(list_filter(words, lambda w: regexp_full_match(w, '[{WORD}]{{2,}}(?:{"|".join(lint.PAST_SUFFIXES)})') AND NOT list_contains({_listed(lint.NOT_VERBS)}, w) AND list_contains({_listed(lint.PAST_STEMS)}, substr(w, 1, length(w) - 3))))
     + len(list_filter(words, lambda w: list_contains({_listed(w for w in lint.FIRST_PERSON_WORDS if not w.endswith(tuple(lint.PAST_SUFFIXES)))}, w))) AS BIGINT)}},
-  {{'r': 'EK-02', 's': 'hata', 'k': CAST(regexp_matches(n, '(?:^|[^\p{{L}}\p{{N}}_])(?:ekte|ekinde|ekimizde|ilişikte|ilişiğinde|ek olarak|ekli(?:$|[^\p{{L}}\p{{N}}_])|yazımız ekind|ekled[\p{{L}}\p{{N}}_]|ekliyor|eklenmiş|eke dâhil|eke dahil)') AS BIGINT)}},
-  {{'r': 'ILG-02', 's': 'hata', 'k': CAST(regexp_matches(n, '(?:^|[^\p{{L}}\p{{N}}_])ilgi(?:de|ye|nde)?(?:$|[^\p{{L}}\p{{N}}_])') AS BIGINT)}}]) AS f FROM z)
+  {{'r': 'EK-02', 's': 'hata', 'k': CAST(regexp_matches(n, '{_BEFORE}(?:ekte|ekinde|ekimizde|ilişikte|ilişiğinde|ek olarak|ekli{_AFTER}|yazımız ekind|ekled[{WORD}]|ekliyor|eklenmiş|eke dâhil|eke dahil)') AS BIGINT)}},
+  {{'r': 'ILG-02', 's': 'hata', 'k': CAST(regexp_matches(n, '{_BEFORE}ilgi(?:de|ye|nde)?{_AFTER}') AS BIGINT)}}]) AS f FROM z)
 SELECT f.r AS rule_id, f.s AS severity, CAST(sum(f.k) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM f WHERE f.k > 0 GROUP BY ALL""",
 )
 def t_full(s, d):

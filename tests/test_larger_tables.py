@@ -40,6 +40,6 @@ def odd_texts(sf, tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["t1_lint"])
+@pytest.mark.parametrize("name", ["t1_lint", "t_full_lint"])
 def test_odd_texts(spark, odd_texts, name):
     assert oracle.difference(spark, oracle.database(odd_texts), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], odd_texts) is None
