@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Topics are clusters learned from the texts: spherical k-means over tf-idf rows of hashed words, fitted on a bounded sample of
-max_sample documents (chosen by a hash of id and text); every document then gets its nearest cluster. Token counts (words) are
+Topics are clusters learned from all texts: spherical k-means over tf-idf rows of hashed words, a pass of Spark over every
+document for each round; every document then gets its nearest cluster. Token counts (words) are
 summed in Spark for each (source, language, topic) cell. Raking scales the cells until the token shares of every source,
 language and topic are their targets. A cell's factor, times the budget (the share of all tokens that is wanted), is the
 expected number of copies of each of its documents. Without repeats no factor may pass 1 / budget: a cell at that bound keeps
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, released, small_batches, tidy, utf8, word_hashes, written
+from .common import dropped, fresh, released, small_batches, tidy, utf8, word_hashes, written
 
 MAX_CELLS = 200_000
 TEMPER = 0.9
@@ -37,7 +37,8 @@ BUDGET = 0.75
 MAX_GAP = 0.01
 TOPICS = 12
 WORD_BUCKETS = 1024
-MAX_SAMPLE = 4000
+UNIT = float(1 << 24)
+DRAWS = 4
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 SLICE = 256
@@ -67,54 +68,114 @@ class Topics:
         return topic, n_words
 
 
-def fit_topics(counts: np.ndarray, topics: int, rounds: int = 30, seed: int = 7) -> Topics:
-    """Spherical k-means over tf-idf rows (counts: texts x WORD_BUCKETS, float)."""
-    counts = counts[counts.any(1)]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.01).astype(np.float32)
-    if not len(counts):
-        return Topics(idf.astype(float), np.zeros((1, WORD_BUCKETS)))
-    x = np.log1p(counts, out=counts)
-    x *= idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rng, picked = np.random.default_rng(seed), [0]
-    while len(picked) < min(topics, len(x)):  # far from those picked, as k-means++ does
-        far = np.maximum(1 - (x @ x[picked].T).max(1), 0).astype(float)
-        if far.sum() < 1e-9:
+def _dense(cells: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Rows of length UNIT of texts' cells (bucket and count by turns): whole numbers, whose sums are the same in any order."""
+    raw, at = utf8(cells)
+    flat, doc = raw[at[0] : at[-1]].view(np.uint32).reshape(-1, 2), np.repeat(np.arange(len(cells)), np.diff(at) // 8)
+    x = np.zeros((len(cells), WORD_BUCKETS))
+    x[doc, flat[:, 0]] = np.log1p(flat[:, 1]) * idf[flat[:, 0]]
+    return np.rint(x * (UNIT / np.linalg.norm(x, axis=1, keepdims=True)))
+
+
+def _totals(table: DataFrame, of) -> np.ndarray:
+    """Sums over all rows of what of(cells) gives for a batch of them: a matrix of whole numbers. Tasks send their sums, which Spark adds up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                total = total + of(batch.column(0).slice(lo, SLICE))
+        if isinstance(total, np.ndarray):
+            at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at].astype(np.int64))], ["i", "j", "s"])
+
+    sums = table.select("cells").mapInArrow(tidy(run), "i int, j int, s long").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow()
+    i, j, s = (sums.column(c).to_numpy() for c in ("i", "j", "s"))
+    out = np.zeros((int(i.max(initial=0)) + 1, max(WORD_BUCKETS + 1, int(j.max(initial=0)) + 1)))
+    out[i, j] = s
+    return out
+
+
+def _drawn(table: DataFrame, idf: np.ndarray, centres: np.ndarray, n: int, turn: int) -> np.ndarray:
+    """At most n rows, drawn from all with a chance that grows with their distance from the centres, as k-means|| does: those whose
+    exponential waiting times at that rate are the shortest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                far = 1 - (_dense(part.column(0), idf) @ centres.T).max(1, initial=0) / UNIT if len(centres) else np.ones(part.num_rows)
+                u = np.modf(part.column(1).to_numpy() * (1 << 20) + turn * 0.6180339887498949)[0]
+                some = np.flatnonzero(far > 1e-6)
+                wait = -np.log(np.maximum(u[some], 1e-300)) / far[some]
+                few = np.argsort(wait, kind="stable")[:n] if len(some) > n else np.arange(len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(wait[few]), part.column(0).take(pa.array(some[few]))], ["wait", "cells"])
+
+    got = table.select("cells", "place").mapInArrow(tidy(run), "wait double, cells binary").orderBy("wait", "cells").limit(n).toArrow()
+    return _dense(got["cells"].combine_chunks(), idf) / UNIT if got.num_rows else np.zeros((0, WORD_BUCKETS))
+
+
+def _seeds(table: DataFrame, idf: np.ndarray, topics: int, seed: int) -> np.ndarray:
+    """First centres: rows drawn in a few turns, then k-means++ among these, each weighed by the rows that are nearest to it."""
+    centres = _drawn(table, idf, np.zeros((0, WORD_BUCKETS)), 1, 0)
+    for turn in range(1, DRAWS + 1):
+        more = _drawn(table, idf, centres, 2 * topics, turn)
+        if not len(more):
             break
-        picked.append(int(rng.choice(len(x), p=far / far.sum())))
-    centres = x[picked]
-    for _ in range(rounds):
-        mine = (x @ centres.T).argmax(1)
-        sums = np.stack([x[mine == k].sum(0) for k in range(len(centres))])
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
-    return Topics(idf.astype(float), centres.astype(float))
+        centres = np.concatenate([centres, more])
+    weight = _totals(table, lambda cells: np.bincount((_dense(cells, idf) @ centres.T).argmax(1), minlength=len(centres))[None, :])[0, : len(centres)]
+    rng, picked = np.random.default_rng(seed), [int(weight.argmax())]
+    while len(picked) < min(topics, len(centres)):
+        far = weight * np.maximum(1 - (centres @ centres[picked].T).max(1), 0)
+        if far.sum() < 1e-6:
+            break
+        picked.append(int(rng.choice(len(centres), p=far / far.sum())))
+    return centres[picked]
 
 
-def learn_topics(docs: DataFrame, id_col: str, text_col: str, topics: int = TOPICS, max_sample: int = MAX_SAMPLE) -> Topics:
+def learn_topics(docs: DataFrame, id_col: str, text_col: str, topics: int = TOPICS, rounds: int = 30, seed: int = 7) -> Topics:
+    """Spherical k-means over tf-idf rows of every text with a word. The texts' cells are written once; each round is a pass over
+    them, and only sums by centre and bucket come to the driver."""
     text = F.col(text_col).cast("string")
-    place = _uniform(F.col(id_col), text, 41)
-    share = min(1.0, max_sample / max(1, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
                 doc, bucket, times, _ = word_counts(part.column(0))
-                rows = np.zeros((part.num_rows, WORD_BUCKETS), np.float32)
-                rows[doc, bucket] = times
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), part.column(1)], ["x", "place"])
-
-    some = small_batches(docs).select(text.alias("text"), place.alias("place")).where(F.col("place") < share)
-    got = some.mapInArrow(tidy(run), "x binary, place double").orderBy("place", "x").limit(max_sample).toArrow()
-    counts = np.empty((got.num_rows, WORD_BUCKETS), np.float32)
-    for i, row in enumerate(got["x"]):
-        counts[i] = np.frombuffer(row.as_buffer(), np.float32)
-    del got
-    out = fit_topics(counts, topics)
-    del counts
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]) * 8
+                flat = np.stack([bucket, times], axis=1).astype(np.uint32)
+                cells = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+                kept = pa.array(np.flatnonzero(np.diff(at)))
+                yield pa.RecordBatch.from_arrays([cells.take(kept), part.column(1).take(kept)], ["cells", "place"])
+
+    table = written(small_batches(docs).select(text, _uniform(F.col(id_col), text, 41).alias("place")).mapInArrow(tidy(run), "cells binary, place double"), "topics")
+
+    def held(cells: pa.Array) -> np.ndarray:
+        raw, at = utf8(cells)
+        buckets = raw[at[0] : at[-1]].view(np.uint32)[::2]
+        return np.append(np.bincount(buckets, minlength=WORD_BUCKETS), len(cells))[None, :]
+
+    counts = _totals(table, held)[0]
+    idf = np.log((1 + counts[WORD_BUCKETS]) / (1 + counts[:WORD_BUCKETS])) + 0.01
+    centres = _seeds(table, idf, topics, seed) if counts[WORD_BUCKETS] else np.zeros((1, WORD_BUCKETS))
+    last = None
+
+    def summed(cells: pa.Array) -> np.ndarray:
+        x = _dense(cells, idf)
+        return np.eye(len(centres))[(x @ centres.T).argmax(1)].T @ x
+
+    for _ in range(rounds if counts[WORD_BUCKETS] else 0):
+        sums = np.zeros((len(centres), WORD_BUCKETS))
+        got = _totals(table, summed)[:, :WORD_BUCKETS]
+        sums[: len(got)] = got
+        if last is not None and (sums == last).all():
+            break
+        last, norm = sums, np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    dropped(table)
     released()
-    return out
+    return Topics(idf, centres)
 
 
 def _topic_column(topics: Topics, docs: DataFrame):
@@ -175,7 +236,6 @@ class Mix:
     max_gap: float = MAX_GAP
     seed: int = 1
     topics: int = TOPICS
-    max_sample: int = MAX_SAMPLE
 
 
 def cells(counts: DataFrame, wanted: Mix) -> DataFrame:
@@ -218,7 +278,7 @@ def weigh(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """Every row's id_col, source, lang, topic, n_tokens, factor, probability (of being kept at all), copies, kept. The texts are
     read once after the topics are learned; the small columns are written and read for the rest."""
     text = F.col(text_col).cast("string")
-    of = _topic_column(learn_topics(docs, id_col, text_col, wanted.topics, wanted.max_sample), docs)
+    of = _topic_column(learn_topics(docs, id_col, text_col, wanted.topics), docs)
     small = docs.select(F.col(id_col).alias("id"), _value(source_col).alias("source"), _value(lang_col).alias("lang"), _uniform(F.col(id_col), text, wanted.seed).alias("u"), of(text).alias("t"))
     small = written(small.select("id", "source", "lang", "u", "t.topic", "t.n_tokens"), "mix")
     out = small.join(F.broadcast(cells(small, wanted)), list(DIMENSIONS)).withColumn("copies", _copies(F.col("expected"), F.col("u")))
@@ -229,7 +289,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The kept rows, in the columns of docs, each as often as it has copies. Topics are found twice, for the counts and for the
     rows: that costs less than carrying whole rows through a shuffle."""
     text, m, c = F.col(text_col).cast("string"), fresh(docs, "_mix"), fresh(docs, "_cell")
-    of = _topic_column(learn_topics(docs, id_col, text_col, wanted.topics, wanted.max_sample), docs)
+    of = _topic_column(learn_topics(docs, id_col, text_col, wanted.topics), docs)
     counts = docs.select(_value(source_col).alias("source"), _value(lang_col).alias("lang"), of(text).alias("t"))
     table = cells(counts.select("source", "lang", "t.topic", "t.n_tokens"), wanted).select(F.struct("*").alias(c))
     rows = docs.withColumn(m, of(text))

@@ -240,3 +240,24 @@ def test_interactions_of_nothing(spark):
     assert got.count() == 0 and got.columns == COLUMNS
     one = filter_audit.interactions(spark.createDataFrame([(1, None, None, None, *SPARE)], DOC), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(one) == 600 and {r.part for r in one} == {""} and {r.shapley for r in one if r.filter_order[r.step - 1] == "A"} == {120}
+
+
+def test_topics_are_learned_from_every_text(spark):
+    """Rounds over all 5,000 rows as a plain loop makes them: words that stand in few texts count in idf and centres."""
+    from paperflow.llm import mixing
+
+    texts = [f"{'alpha beta' if i % 2 else 'gamma delta'} w{i % 7} {'rare' if i % 1250 == 3 else ''}" for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = mixing.learn_topics(docs, "doc_id", "text", topics=4)
+    doc, bucket, times, _ = mixing.word_counts(pa.array(texts))
+    x = np.zeros((len(texts), mixing.WORD_BUCKETS))
+    x[doc, bucket] = times
+    idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(0))) + 0.01
+    assert np.allclose(model.idf, idf)
+    x = np.log1p(x) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mine = (x @ model.centres.T).argmax(1)  # the rounds have come to rest
+    sums = np.stack([x[mine == k].sum(0) for k in range(len(model.centres))])
+    assert np.allclose(model.centres, sums / np.linalg.norm(sums, axis=1, keepdims=True), atol=1e-5)
+    again = mixing.learn_topics(docs.repartition(7), "doc_id", "text", topics=4)
+    assert (again.centres == model.centres).all()
