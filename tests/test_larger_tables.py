@@ -43,3 +43,14 @@ def odd_texts(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ["t1_lint", "t_full_lint"])
 def test_odd_texts(spark, odd_texts, name):
     assert oracle.difference(spark, oracle.database(odd_texts), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], odd_texts) is None
+
+
+def test_turkish_ratio_reads_no_letter_by_pattern(spark):
+    """Every letter that isn't Turkish as a match of a pattern took most of the time."""
+    from pyspark.sql import functions as F
+
+    from paperflow.functions import text as t
+
+    rows = spark.createDataFrame([("Çığ ab",), ("😀é ş\u0301",), ("123 .",), ("",), (None,)], "x string").select(t.turkish_ratio(F.col("x")).alias("r"))
+    assert [r.r for r in rows.collect()] == [3 / 5, 1 / 2, 0, 0, 0]
+    assert "[^ç" not in rows._jdf.queryExecution().toString()
