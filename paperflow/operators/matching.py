@@ -42,15 +42,28 @@ def _grams(c: Column, *sizes: int) -> Column:
     return bound(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda letters: F.concat(*[of(letters, n) for n in sizes]))
 
 
-def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """t, n: every distinct text (t) with the names (n, not empty) that stand in it. A name is filed under its rarest three letters
-    (or itself, if shorter), and a text looks up the letters it has."""
+def _standing(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows (t and other columns) with every name (n, not empty) that stands in t. A name is filed under its rarest three letters (or itself,
+    if shorter), and a text looks up the letters it has: only those that a name is filed under leave the row, if the names are few."""
     distinct = names.select("n").distinct()
     grams = distinct.select("n", F.explode(F.when(F.length("n") >= 3, _grams(F.col("n"), 3)).otherwise(F.array("n"))).alias("g"))
-    rarest = grams.join(grams.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("n").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
+    filed = grams.join(grams.groupBy("g").agg(F.count("*").alias("c")), "g").groupBy("n").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
     t = F.col("t")
-    looked_up = texts.select("t").distinct().select("t", F.explode(_grams(t, 1, 2, 3)).alias("g"))
-    return looked_up.join(rarest, "g").where(t.contains(F.col("n"))).select("t", "n").distinct()
+    if is_small(distinct):
+        found = filed.collect()
+        keys = sorted({r["g"] for r in found})
+        sizes = sorted({len(g) for g in keys}) or [3]
+        runs = F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
+        has = F.array_distinct(F.filter(runs, lambda g: g.isin(keys)))
+        filed = F.broadcast(rows.sparkSession.createDataFrame([(r["n"], r["g"]) for r in found], "n string, g string"))
+    else:
+        has = _grams(t, 1, 2, 3)
+    return rows.select("*", F.explode(has).alias("g")).join(filed, "g").where(t.contains(F.col("n"))).drop("g")
+
+
+def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """t, n: every distinct text (t) with the names (n, not empty) that stand in it."""
+    return _standing(texts.select("t").distinct(), names).select("t", "n").distinct()
 
 
 def units_by_key(docs: DataFrame, units: DataFrame, key: str, unit_key: str = "detsis_no", outside: DataFrame | None = None) -> DataFrame:
@@ -288,9 +301,10 @@ def verify_quotes(docs: DataFrame, quotes: DataFrame, least: int = QUOTE_LEAST)
     """doc_id, quote, stands (govde or ham): every quote (quote) with every document (doc_id, body, raw) it stands in, compared folded;
     quotes shorter than least stand nowhere. An inverted join by the quotes' rarest three letters, not a comparison of all pairs."""
     asked = quotes.select("quote", fold(F.col("quote")).alias("n")).where(F.length("n") >= least).distinct()
-    texts = docs.select("doc_id", fold(F.col("body")).alias("b"), fold(F.col("raw")).alias("r"))
-    found = lambda c, stands: containing(texts.select(F.col(c).alias("t")), asked).join(texts.select("doc_id", F.col(c).alias("t")), "t").select("doc_id", "n", F.lit(stands).alias("stands"))
-    both = found("b", "govde").unionByName(found("r", "ham")).groupBy("doc_id", "n").agg(F.min("stands").alias("stands"))  # govde before ham
+    body, raw = fold(F.col("body")), fold(F.col("raw"))
+    texts = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("govde").alias("stands"), body.alias("t")), F.struct(F.lit("ham").alias("stands"), F.when(~F.col("raw").eqNullSafe(F.col("body")), raw).alias("t")))).alias("x"))
+    found = _standing(texts.select("doc_id", "x.stands", "x.t").where("t is not null"), asked.select("n"))
+    both = found.groupBy("doc_id", "n").agg(F.min("stands").alias("stands"))  # govde before ham
     return both.join(asked, "n").select("doc_id", "quote", "stands")
 
 

@@ -54,3 +54,15 @@ def test_turkish_ratio_reads_no_letter_by_pattern(spark):
     rows = spark.createDataFrame([("Çığ ab",), ("😀é ş\u0301",), ("123 .",), ("",), (None,)], "x string").select(t.turkish_ratio(F.col("x")).alias("r"))
     assert [r.r for r in rows.collect()] == [3 / 5, 1 / 2, 0, 0, 0]
     assert "[^ç" not in rows._jdf.queryExecution().toString()
+
+
+def test_quotes_leave_a_text_only_where_filed(spark):
+    """A row for each of a text's letters, with the text in each, grew with the square of its length."""
+    from paperflow.operators import matching
+
+    long = "x y " * 5000 + "a needle 😀 here " + "q" * 5000
+    docs = spark.createDataFrame([(1, long, long), (2, "nothing", "Bir NEEDLE 😀 here."), (3, None, None)], "doc_id long, body string, raw string")
+    quotes = spark.createDataFrame([("needle 😀 here",), ("short",), ("not there at all",)], "quote string")
+    found = matching.verify_quotes(docs, quotes)
+    assert sorted(map(tuple, found.collect())) == [(1, "needle 😀 here", "govde"), (2, "needle 😀 here", "ham")]
+    assert "InSet" in found._jdf.queryExecution().optimizedPlan().toString() or " IN (" in found._jdf.queryExecution().optimizedPlan().toString()
