@@ -66,3 +66,17 @@ def test_quotes_leave_a_text_only_where_filed(spark):
     found = matching.verify_quotes(docs, quotes)
     assert sorted(map(tuple, found.collect())) == [(1, "needle 😀 here", "govde"), (2, "needle 😀 here", "ham")]
     assert "InSet" in found._jdf.queryExecution().optimizedPlan().toString() or " IN (" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_from_their_own_marks(spark, sf):
+    """Fields that are asked for alone come out as among all, and no other field's patterns run."""
+    from paperflow.operators import fields, lines
+    from paperflow.plans import letters
+
+    rows = letters._lines(spark, sf).where("doc_id < 200")
+    whole = fields.extract_fields(rows)
+    for only in (("signature", "petition_signature"), ("reference", "attachments", "distribution"), ("number", "signature")):
+        some = fields.extract_fields(rows, only)
+        assert set(some.columns) == {"doc_id", *only}
+        assert sorted(map(str, some.select("doc_id", *only).collect())) == sorted(map(str, whole.select("doc_id", *only).collect()))
+    assert lines.COMPANY not in fields.extract_fields(rows, ("signature",))._jdf.queryExecution().optimizedPlan().toString()
