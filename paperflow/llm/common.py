@@ -86,12 +86,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/paperflow/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors, knows its size.
-    Its place is kept in the attribute scratch_path, for dropped()."""
+    Its place is kept in the attribute scratch_path, for dropped(); options are the writer's."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -21,7 +21,7 @@ row share their fate; other columns are ignored; an empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,9 @@ DRAWS = 4
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 SLICE = 256
+BLOCK = 128
+GAIN = 1e-4
+WIDE = 32
 
 
 def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,62 +71,98 @@ class Topics:
         return topic, n_words
 
 
-def _dense(cells: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Rows of length UNIT of texts' cells (bucket and count by turns): whole numbers, whose sums are the same in any order."""
-    raw, at = utf8(cells)
-    flat, doc = raw[at[0] : at[-1]].view(np.uint32).reshape(-1, 2), np.repeat(np.arange(len(cells)), np.diff(at) // 8)
-    x = np.zeros((len(cells), WORD_BUCKETS))
-    x[doc, flat[:, 0]] = np.log1p(flat[:, 1]) * idf[flat[:, 0]]
-    return np.rint(x * (UNIT / np.linalg.norm(x, axis=1, keepdims=True)))
+@dataclass
+class Part:
+    """Entries of up to BLOCK texts that have words, text by text: ends (their number up to each text), bucket, value, and a uniform
+    number for each text. A table of parts has them as binary columns, so that a pass hands Python few rows."""
 
+    ends: np.ndarray
+    bucket: np.ndarray
+    value: np.ndarray  # times of a word's bucket, or in table rows whole numbers: the row's length is UNIT
+    place: np.ndarray
 
-def _totals(table: DataFrame, of) -> np.ndarray:
-    """Sums over all rows of what of(cells) gives for a batch of them: a matrix of whole numbers. Tasks send their sums, which Spark adds up."""
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                total = total + of(batch.column(0).slice(lo, SLICE))
-        if isinstance(total, np.ndarray):
-            at = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at].astype(np.int64))], ["i", "j", "s"])
+    def dense(self) -> np.ndarray:
+        x = np.zeros((len(self.ends), WORD_BUCKETS))
+        x[self.doc, self.bucket] = self.value
+        return x
 
-    sums = table.select("cells").mapInArrow(tidy(run), "i int, j int, s long").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow()
-    i, j, s = (sums.column(c).to_numpy() for c in ("i", "j", "s"))
-    out = np.zeros((int(i.max(initial=0)) + 1, max(WORD_BUCKETS + 1, int(j.max(initial=0)) + 1)))
-    out[i, j] = s
-    return out
+    def nearest(self, centres: np.ndarray) -> np.ndarray:
+        return (self.dense() @ centres.T).argmax(1)
 
 
-def _drawn(table: DataFrame, idf: np.ndarray, centres: np.ndarray, n: int, turn: int) -> np.ndarray:
-    """At most n rows, drawn from all with a chance that grows with their distance from the centres, as k-means|| does: those whose
-    exponential waiting times at that rate are the shortest."""
+PART = {"ends": "<u4", "bucket": "<u2", "value": "<f4", "place": "<f8"}
+TIMES = PART | {"value": "<u4"}
+PARTS = ", ".join(f"{name} binary" for name in PART)
+ROW_GROUP = {"parquet.block.size": str(8 << 20)}  # a reader decodes a row group of such long rows at once
+
+
+def _parts(batches: Iterator[pa.RecordBatch], kinds: Mapping[str, str] = PART) -> Iterator[Part]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield Part(*(np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in enumerate(kinds.values())))
+
+
+def _row(part: Part, kinds: Mapping[str, str] = PART) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.asarray(getattr(part, name), kind).tobytes()], pa.binary()) for name, kind in kinds.items()], list(kinds))
+
+
+def _totals(table: DataFrame, shape: tuple[int, int], of: Callable[[Part], np.ndarray], kinds: Mapping[str, str] = PART) -> np.ndarray:
+    """Sums over all parts of what of(part) gives: a matrix of whole numbers. Tasks send their sums, WIDE in a row, which Spark adds up."""
+    sums = [f"s{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                far = 1 - (_dense(part.column(0), idf) @ centres.T).max(1, initial=0) / UNIT if len(centres) else np.ones(part.num_rows)
-                u = np.modf(part.column(1).to_numpy() * (1 << 20) + turn * 0.6180339887498949)[0]
-                some = np.flatnonzero(far > 1e-6)
-                wait = -np.log(np.maximum(u[some], 1e-300)) / far[some]
-                few = np.argsort(wait, kind="stable")[:n] if len(some) > n else np.arange(len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(wait[few]), part.column(0).take(pa.array(some[few]))], ["wait", "cells"])
+        total = np.zeros(-(-shape[0] * shape[1] // WIDE) * WIDE)
+        for part in _parts(batches, kinds):
+            total[: shape[0] * shape[1]] += of(part).ravel()
+        total = total.reshape(-1, WIDE).astype(np.int64)
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c) for c in total[at].T)], ["k", *sums])
+
+    got = table.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("k", *sums))).groupBy("k").agg(*(F.sum(c).alias(c) for c in sums)).toArrow()
+    out = np.zeros((-(-shape[0] * shape[1] // WIDE), WIDE))
+    out[got["k"].to_numpy()] = np.stack([got[c].to_numpy() for c in sums], axis=1)
+    return out.ravel()[: shape[0] * shape[1]].reshape(shape)
 
-    got = table.select("cells", "place").mapInArrow(tidy(run), "wait double, cells binary").orderBy("wait", "cells").limit(n).toArrow()
-    return _dense(got["cells"].combine_chunks(), idf) / UNIT if got.num_rows else np.zeros((0, WORD_BUCKETS))
 
+def _drawn(table: DataFrame, centres: np.ndarray, n: int, turn: int) -> np.ndarray:
+    """At most n rows, drawn from all with a chance that grows with their distance from the centres, as k-means|| does: those whose
+    exponential waiting times at that rate are the shortest."""
 
-def _seeds(table: DataFrame, idf: np.ndarray, topics: int, seed: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[tuple[float, bytes, bytes]] = []
+        for part in _parts(batches):
+            far = 1 - (part.dense() @ centres.T).max(1) / UNIT if len(centres) else np.ones(len(part.ends))
+            u = np.modf(part.place * (1 << 20) + turn * 0.6180339887498949)[0]
+            some = np.flatnonzero(far > 1e-6)
+            wait = -np.log(np.maximum(u[some], 1e-300)) / far[some]
+            starts = np.concatenate([[0], part.ends])
+            for i in np.argsort(wait, kind="stable")[:n]:
+                cut = slice(starts[some[i]], starts[some[i] + 1])
+                first.append((float(wait[i]), part.bucket[cut].tobytes(), part.value[cut].tobytes()))
+            first = sorted(first)[:n]
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*first, strict=True)], ["wait", "bucket", "value"])
+
+    got = table.mapInArrow(tidy(run), "wait double, bucket binary, value binary").orderBy("wait", "bucket", "value").limit(n).collect()
+    out = np.zeros((len(got), WORD_BUCKETS))
+    for x, row in zip(out, got, strict=True):
+        x[np.frombuffer(row["bucket"], PART["bucket"])] = np.frombuffer(row["value"], PART["value"])
+    return out / UNIT
+
+
+def _seeds(table: DataFrame, topics: int, seed: int) -> np.ndarray:
     """First centres: rows drawn in a few turns, then k-means++ among these, each weighed by the rows that are nearest to it."""
-    centres = _drawn(table, idf, np.zeros((0, WORD_BUCKETS)), 1, 0)
+    centres = _drawn(table, np.zeros((0, WORD_BUCKETS)), 1, 0)
     for turn in range(1, DRAWS + 1):
-        more = _drawn(table, idf, centres, 2 * topics, turn)
+        more = _drawn(table, centres, 2 * topics, turn)
         if not len(more):
             break
         centres = np.concatenate([centres, more])
-    weight = _totals(table, lambda cells: np.bincount((_dense(cells, idf) @ centres.T).argmax(1), minlength=len(centres))[None, :])[0, : len(centres)]
+    weight = _totals(table, (1, len(centres)), lambda part: np.bincount(part.nearest(centres), minlength=len(centres)))[0]
     rng, picked = np.random.default_rng(seed), [int(weight.argmax())]
     while len(picked) < min(topics, len(centres)):
         far = weight * np.maximum(1 - (centres @ centres[picked].T).max(1), 0)
@@ -133,47 +172,50 @@ def _seeds(table: DataFrame, idf: np.ndarray, topics: int, seed: int) -> np.ndar
     return centres[picked]
 
 
-def learn_topics(docs: DataFrame, id_col: str, text_col: str, topics: int = TOPICS, rounds: int = 30, seed: int = 7) -> Topics:
-    """Spherical k-means over tf-idf rows of every text with a word. The texts' cells are written once; each round is a pass over
-    them, and only sums by centre and bucket come to the driver."""
+def learn_topics(docs: DataFrame, id_col: str, text_col: str, topics: int = TOPICS, rounds: int = 30, seed: int = 7, gain: float = GAIN) -> Topics:
+    """Spherical k-means over tf-idf rows of every text with a word. The first centres are drawn; each round then makes every centre
+    anew as the sum over all texts that are nearest to it, until the texts' likeness to their centres, added up, grows by less than
+    gain of itself. The texts' rows are written once; a round is a pass over them, and only sums by centre and bucket come to the driver."""
     text = F.col(text_col).cast("string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
                 doc, bucket, times, _ = word_counts(part.column(0))
-                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]) * 8
-                flat = np.stack([bucket, times], axis=1).astype(np.uint32)
-                cells = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
-                kept = pa.array(np.flatnonzero(np.diff(at)))
-                yield pa.RecordBatch.from_arrays([cells.take(kept), part.column(1).take(kept)], ["cells", "place"])
+                sizes = np.bincount(doc, minlength=part.num_rows)
+                worded = np.flatnonzero(sizes)
+                if len(worded):
+                    yield _row(Part(np.cumsum(sizes[worded]), bucket, times, part.column(1).to_numpy()[worded]), TIMES)
 
-    table = written(small_batches(docs).select(text, _uniform(F.col(id_col), text, 41).alias("place")).mapInArrow(tidy(run), "cells binary, place double"), "topics")
+    table = written(small_batches(docs).select(text, _uniform(F.col(id_col), text, 41).alias("place")).mapInArrow(tidy(counted), PARTS), "topics", **ROW_GROUP)
+    counts = _totals(table, (1, WORD_BUCKETS + 1), lambda part: np.append(np.bincount(part.bucket, minlength=WORD_BUCKETS), len(part.ends)), TIMES)[0]
+    idf = np.log((1 + counts[WORD_BUCKETS]) / (1 + counts[:WORD_BUCKETS])) + 0.01
+    if not counts[WORD_BUCKETS]:
+        dropped(table)
+        return Topics(idf, np.zeros((1, WORD_BUCKETS)))
 
-    def held(cells: pa.Array) -> np.ndarray:
-        raw, at = utf8(cells)
-        buckets = raw[at[0] : at[-1]].view(np.uint32)[::2]
-        return np.append(np.bincount(buckets, minlength=WORD_BUCKETS), len(cells))[None, :]
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, TIMES):  # whole numbers up to 2^24, which 32 bits hold: their sums are the same in any order
+            x = np.log1p(part.value) * idf[part.bucket]
+            norm = np.sqrt(np.bincount(part.doc, x * x))
+            yield _row(Part(part.ends, part.bucket, np.rint(x * (UNIT / norm)[part.doc]), part.place))
 
-    counts = _totals(table, held)[0]
-    idf = np.log((1 + counts[WORD_BUCKETS]) / (1 + counts[:WORD_BUCKETS])) + 0.01
-    centres = _seeds(table, idf, topics, seed) if counts[WORD_BUCKETS] else np.zeros((1, WORD_BUCKETS))
-    last = None
-
-    def summed(cells: pa.Array) -> np.ndarray:
-        x = _dense(cells, idf)
-        return np.eye(len(centres))[(x @ centres.T).argmax(1)].T @ x
-
-    for _ in range(rounds if counts[WORD_BUCKETS] else 0):
-        sums = np.zeros((len(centres), WORD_BUCKETS))
-        got = _totals(table, summed)[:, :WORD_BUCKETS]
-        sums[: len(got)] = got
-        if last is not None and (sums == last).all():
-            break
-        last, norm = sums, np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    rows = written(table.mapInArrow(tidy(weighed), PARTS), "topics", **ROW_GROUP)
     dropped(table)
+    centres, like = _seeds(rows, topics, seed), 0.0
+
+    def summed(part: Part) -> np.ndarray:
+        return np.bincount(part.nearest(centres)[part.doc] * WORD_BUCKETS + part.bucket, part.value, len(centres) * WORD_BUCKETS)
+
+    for _ in range(rounds):
+        sums = _totals(rows, (len(centres), WORD_BUCKETS), summed)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+        if norm.sum() - like < gain * norm.sum():
+            break
+        like = norm.sum()
+    dropped(rows)
     released()
     return Topics(idf, centres)
 

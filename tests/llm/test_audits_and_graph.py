@@ -261,3 +261,21 @@ def test_topics_are_learned_from_every_text(spark):
     assert np.allclose(model.centres, sums / np.linalg.norm(sums, axis=1, keepdims=True), atol=1e-5)
     again = mixing.learn_topics(docs.repartition(7), "doc_id", "text", topics=4)
     assert (again.centres == model.centres).all()
+
+
+def test_topics_rounds_end_when_they_gain_nothing(spark, monkeypatch):
+    """Over texts without topics, whose clusters creep on: few passes, after which a further round as a plain loop gains next to nothing."""
+    from paperflow.llm import mixing
+
+    rng, passes, totals = np.random.default_rng(3), [], mixing._totals
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, 30) % 400) for _ in range(3000)]
+    monkeypatch.setattr(mixing, "_totals", lambda *a: passes.append(1) or totals(*a))
+    model = mixing.learn_topics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id", "text")
+    assert len(passes) < 25
+    doc, bucket, times, _ = mixing.word_counts(pa.array(texts))
+    x = np.zeros((len(texts), mixing.WORD_BUCKETS))
+    x[doc, bucket] = np.log1p(times) * model.idf[bucket]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ model.centres.T
+    sums = np.stack([x[near.argmax(1) == k].sum(0) for k in range(len(model.centres))])
+    assert np.linalg.norm(sums, axis=1).sum() < near.max(1).sum() * (1 + 1e-3)
