@@ -35,6 +35,7 @@ GROUP_TOKENS = 2_000_000
 STEP_WINDOWS = 32
 CACHE_BYTES = 48 << 20
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BYTE_LETTERS = {byte: 290 + k for k, byte in enumerate(range(128, 161))} | {173: 323}  # ByteLevel's letters for bytes that don't print
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 
 
@@ -55,7 +56,7 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer file. If the file cuts texts as WORDWISE says, a word met before costs one look-up;
     any other tokenizer encodes whole texts.
 
-    Words of ASCII letters are encoded by the model itself, other words by the whole tokenizer. Texts with control white
+    Words of Latin letters are encoded by the model itself, other words by the whole tokenizer. Texts with control white
     space or letters whose lower case depends on their place are left to the tokenizer whole. What is remembered is kept in
     two generations of cache_bytes each: words that come up again move to the younger one, the older one is dropped."""
 
@@ -83,24 +84,22 @@ class WordTokenizer:
 
     def _unknown(self, words: set[str]) -> list[str]:
         """Those that the younger generation lacks, once it has taken what it can from the older one."""
-        new = words - self.cache.keys()
-        found = new & self.older.keys()
+        new = words.difference(self.cache)  # difference alone looks up the words; - and & go through all that is remembered
+        lacking = new.difference(self.older)
+        found = new - lacking
         self.cache.update((w, self.older[w]) for w in found)
         self._count(found)
-        return list(new - found)
+        return list(lacking)
 
     def _count(self, words: Collection[str]) -> None:
         self.held += 170 * len(words) + 2 * sum(map(len, words)) + sum(map(len, map(self.cache.__getitem__, words)))
 
     def _letters(self, words: list[str]) -> None:
-        """Remembers words of letters alone: plain ASCII by the model itself, others many at a time by the library."""
-        cache, code, tokenize, rest = self.cache, self.code, self.model.tokenize, []
+        """Remembers words of letters alone, encoded by the model itself; other letters than ASCII are spelled in its byte alphabet."""
+        cache, code, tokenize = self.cache, self.code, self.model.tokenize
         for w in words:
-            if w.isascii():
-                cache[w] = array(code, [x.id for x in tokenize(w)]).tobytes()
-            else:
-                rest.append(w)
-        self._whole(rest)
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            cache[w] = array(code, [x.id for x in tokenize(spelled)]).tobytes()
 
     def _whole(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -109,22 +108,23 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         """Remembers new words (lower case, without white space). A word of letters with a tail of ASCII punctuation is its
         letters, then its tail."""
-        cache, letters, tailed, other = self.cache, set(), [], []
+        cache, plain, cores, tailed, other = self.cache, [], set(), [], []
         for w in words:
-            core = w.rstrip(_TAIL)
-            if core.isalpha() and (core.isascii() or self._plain.fullmatch(core)):
-                letters.add(core)
-                if len(core) != len(w):
-                    tailed.append((w, core, w[len(core) :]))
-            else:
+            core = w if w.isalpha() else w.rstrip(_TAIL)
+            if not (core.isalpha() and (core.isascii() or self._plain.fullmatch(core))):
                 other.append(w)
-        new = self._unknown(letters)
-        self._letters(new)
-        more = self._unknown({t for _, _, t in tailed})
+            elif core is w:
+                plain.append(w)
+            else:
+                cores.add(core)
+                tailed.append((w, core, w[len(core) :]))
+        new = self._unknown(cores.difference(plain))
+        self._letters(plain + new)
+        more = self._unknown({t for _, _, t in tailed}.difference(other))
         self._whole(other + more)
         for w, core, tail in tailed:
             cache[w] = cache[core] + cache[tail]
-        self._count({*words, *new, *more})
+        self._count([*words, *new, *more])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
