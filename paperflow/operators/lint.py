@@ -95,7 +95,8 @@ def expected_closing(writer: Column, direction: Column) -> Column:
 
 def closing(text: Column, writer: Column, direction: Column, n: Column | None = None) -> Column:
     """ME-02, ME-03."""
-    n = normalize_style(stripped(text)) if n is None else n
+    if n is None:  # folded once, not for each phrase
+        return bound(normalize_style(stripped(text)), lambda folded: closing(text, writer, direction, folded))
     bare = F.rtrim(n, F.lit(WHITE))
     bare = F.when(bare.endswith("."), F.rtrim(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(WHITE))).otherwise(bare)
     ends = {kind: reduce(lambda out, p: out | bare.endswith(p), phrases, F.lit(False)) for kind, phrases in CLOSINGS.items()}
