@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from paperflow.llm import langid, mixing, neardup, packing, quality
 from paperflow.llm.common import dropped, written
 
+CACHE_BYTES = 10 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or empty texts, no letters, or ambiguous beyond what the code corrects) go. Equal texts share
@@ -44,10 +46,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens; null and empty texts have their end token alone."""
+    """Pieces of documents in sequences of at most 2048 tokens; null and empty texts have their end token alone. Fewer words are
+    remembered than by packing alone, as the stages before leave the executors' heaps full."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=CACHE_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

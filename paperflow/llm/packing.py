@@ -242,12 +242,13 @@ def step_groups(windows: list[tuple[int, list]], per_step: int = STEP_WINDOWS) -
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (the sequence's length),
-    step_group. Sequence ids and step groups are unique across the table: the partition's number stands in the upper bits."""
+    step_group. Sequence ids and step groups are unique across the table: the partition's number stands in the upper bits. cache_bytes bounds
+    what a worker remembers of words (twice over), not what it returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, packer = WordTokenizer(tokenizer_path, end_id), Packer(tiers)
+        tokenize, packer = WordTokenizer(tokenizer_path, end_id, cache_bytes), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         state = {"sequence": base, "step": base}
         ids: list = []

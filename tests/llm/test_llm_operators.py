@@ -408,6 +408,15 @@ def test_words_have_the_ids_of_the_library():
         assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_the_pipeline_remembers_fewer_words_for_the_same_pieces(spark, odd, monkeypatch):
+    pipeline, asked, pack = pytest.importorskip("corpus_pipeline"), {}, packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: asked.update(b) or pack(*a, **b))
+    rows = odd.limit(9).coalesce(1)
+    got = pipeline.pack(spark, rows, "").collect()
+    assert asked["cache_bytes"] < packing.CACHE_BYTES // 4
+    assert got == pack(rows, PATH).collect() == pack(rows, PATH, cache_bytes=0).collect()
+
+
 def test_packer_fills_windows():
     rng = random.Random(1)
     lengths = [rng.choice([1, 5, 80, 300, 700, 1500, 5000]) for _ in range(400)]
