@@ -32,6 +32,27 @@ def test_lines_from_words_anchors_on_the_first_word(spark):
     assert [(r.line_no, r.text) for r in got] == [(1, "a b"), (2, "c d c")]
 
 
+def test_lines_of_whole_batches_equal_a_plain_loop():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((d, p, rng.choice([0.0, 3.0, 5.5, 6.0, 9.0, 14.0, 20.0]), float(rng.randint(0, 4)), rng.choice("abcç")) for d in range(6) for p in (1, 2) for _ in range(rng.randint(1, 40)))
+    expected = []
+    for key in sorted({r[:2] for r in rows}):
+        page, lines_ = [r[2:] for r in rows if r[:2] == key], []
+        for y, x, text in page:
+            if not lines_ or y - lines_[-1][0] > 6.0:
+                lines_.append((y, []))
+            lines_[-1][1].append((x, text))
+        for no, (y, found) in enumerate(lines_, 1):
+            texts = [t for _, t in sorted(found)]
+            expected.append((*key, no, y, " ".join(t for i, t in enumerate(texts) if not i or t != texts[i - 1])))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "page", "y", "x", "text"])
+    assert list(zip(*(c.to_pylist() for c in lines._page_lines(batch, 6.0)), strict=True)) == expected
+
+
 def test_deskew(spark):
     import math
 
