@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import repeat
 
 import numpy as np
 
 EPS = 1e-9
 WORD = 63  # letters that fit a 64-bit row of the LCS
+CELLS = 1 << 20  # of windows that are counted at once
 
 
 def letters(text: str) -> np.ndarray:
@@ -62,17 +64,23 @@ def common_subsequence(text: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return len(text) - np.bitwise_count(v & np.uint64((1 << len(text)) - 1)).astype(np.int64)
 
 
-def long_subsequence(a: str, b: str) -> int:
-    """LCS of two texts, by Python's long integers."""
+def places_of(a: str) -> dict[str, int]:
+    """For each letter the places that it has in a text, as bits."""
     masks: dict[str, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def long_subsequence(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """LCS of two texts, by Python's long integers; places: places_of(a), if they are known."""
+    masks, full = places_of(a) if places is None else places, (1 << len(a)) - 1
     v = full
-    for x in b:
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    for m in map(masks.get, b, repeat(0)):
+        u = v & m
+        if u:
+            v = (v + u) | (v - u)  # what is carried beyond the text's bits touches none of them
+    return len(a) - (v & full).bit_count()
 
 
 class NameIndex:
@@ -158,24 +166,55 @@ class NameIndex:
         return 1.0 if name == text else SequenceMatcher(None, name, text).ratio()
 
 
+def _coded(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each token among the distinct ones of another array (how many there are: it isn't there), and how often each stands there."""
+    distinct, counts = np.unique(of, return_counts=True)
+    if not len(distinct):
+        return np.zeros(len(tokens), np.int64), counts
+    at = np.minimum(np.searchsorted(distinct, tokens), len(distinct) - 1)
+    return np.where(distinct[at] == tokens, at, len(distinct)), counts
+
+
+def _shared(codes: np.ndarray, counts: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Of codes and counts (_coded) the tokens that each window has in common with the other array, repeats as often as both have them."""
+    kinds, out = len(counts) + 1, np.zeros(len(starts), np.int64)
+    codes = np.append(codes, np.full(width, len(counts)))
+    some = max(1, CELLS // (width + kinds))
+    for lo in range(0, len(starts), some):
+        inside = codes[starts[lo : lo + some, None] + np.arange(width)]
+        n = len(inside)
+        cells = np.bincount((inside + np.arange(n)[:, None] * kinds).ravel(), minlength=n * kinds).reshape(n, kinds)
+        out[lo : lo + some] = np.minimum(cells[:, :-1], counts).sum(1)
+    return out
+
+
 def hopeful_windows(needle: str, text: str, threshold: float, step: int) -> np.ndarray:
     """Starts of windows (of the needle's length and a step more, a step apart) that the ratio can reach the threshold in, by the
-    pairs of letters that they have in common with the needle, then by the letters."""
+    pairs of letters that they have in common with the needle, then by the letters and by the pairs, repeats counted."""
     a, m = letters(needle), letters(text)
     starts = np.arange(0, len(m) - len(a) + 1, step)
-    ends = np.minimum(starts + len(a) + step, len(m))
+    width = len(a) + step
+    ends = np.minimum(starts + width, len(m))
     total = len(a) + ends - starts
     need = least_pairs(total, threshold)
-    if need.max(initial=0) > 0:
-        seeds = np.concatenate([[0], np.cumsum(np.isin(pairs_of(m), pairs_of(a)))])
+    paired = need.max(initial=0) > 0
+    if paired:
+        codes, counts = _coded(pairs_of(m), pairs_of(a))
+        seeds = np.concatenate([[0], np.cumsum(codes < len(counts))])
         some = seeds[ends - 1] - seeds[starts] >= need
-        starts, ends, total = starts[some], ends[some], total[some]
-    shared = np.zeros(len(starts), np.int64)
-    for letter, n in zip(*np.unique(a, return_counts=True), strict=True):
-        if len(starts):
-            run = np.concatenate([[0], np.cumsum(m == letter)])
-            shared += np.minimum(run[ends] - run[starts], n)
-    return starts[shared >= least_matched(total, threshold)]
+        starts, total, need = starts[some], total[some], need[some]
+    if len(starts):
+        some = _shared(*_coded(m, a), starts, width) >= least_matched(total, threshold)
+        starts, need = starts[some], need[some]
+    if paired and len(starts):
+        starts = starts[_shared(codes, counts, starts, width - 1) >= need]
+    return starts
+
+
+def reachable(a: str, b: str, threshold: float) -> bool:
+    """Whether the ratio of two texts can reach the threshold, by their lengths, then by their longest common subsequence."""
+    least = int(least_matched(len(a) + len(b), threshold))
+    return min(len(a), len(b)) >= least and long_subsequence(a, b) >= least
 
 
 def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
@@ -187,7 +226,7 @@ def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
         return 1.0
     n = len(needle)
     if len(text) < n:
-        return SequenceMatcher(None, needle, text).ratio()
+        return SequenceMatcher(None, needle, text).ratio() if reachable(needle, text, threshold) else 0.0
     step, best = max(1, n // parts), 0.0
     at = hopeful_windows(needle, text, threshold, step)
     width = n + step
@@ -195,9 +234,10 @@ def best_window(needle: str, text: str, threshold: float, parts: int) -> float:
         m = np.append(letters(text), np.full(width, -1))
         lcs = np.concatenate([common_subsequence(letters(needle), m[part[:, None] + np.arange(width)]) for part in np.array_split(at, max(1, len(at) // 1024))])
         at = at[lcs >= least_matched(n + np.minimum(at + width, len(text)) - at, threshold)]
+    places = places_of(needle) if n > WORD and len(at) else {}
     for i in at.tolist():
         window = text[i : i + width]
-        if n > WORD and long_subsequence(needle, window) < least_matched(n + len(window), threshold):
+        if n > WORD and long_subsequence(needle, window, places) < least_matched(n + len(window), threshold):
             continue
         best = max(best, SequenceMatcher(None, needle, window).ratio())
         if best >= threshold:

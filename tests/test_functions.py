@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperflow.functions import fuzzy
+from paperflow.functions import fuzzy, similar
 from paperflow.functions import text as t
 from paperflow.operators import corpus
 
@@ -111,3 +111,32 @@ def test_fuzzy_columns(spark):
     rows = spark.createDataFrame([("cankaya belediye baskanligi", "yenimahalle belediye baskanligi"), ("", "x"), (None, None)], "a string, b string")
     got = [r[0] for r in rows.select(fuzzy.ratio(F.col("a"), F.col("b"))).collect()]
     assert abs(got[0] - 0.759) < 0.01 and got[1:] == [0.0, 0.0]
+
+
+def test_a_text_shorter_than_the_needle_gets_a_ratio_only_if_it_can_reach_the_threshold(monkeypatch):
+    matched = []
+
+    class Counted(similar.SequenceMatcher):
+        def ratio(self):
+            matched.append((self.a, self.b))
+            return super().ratio()
+
+    monkeypatch.setattr(similar, "SequenceMatcher", Counted)
+    needle = "abcdefghij" * 8
+    assert similar.best_window(needle, "abcdefghij" * 3, 0.8, 6) == 0.0 and similar.best_window(needle, "jihgfedcba" * 7 + "jihgfedcb", 0.8, 6) == 0.0 and not matched
+    assert similar.best_window(needle, needle[:-2], 0.8, 6) >= 0.8 and len(matched) == 1
+
+
+def test_windows_count_repeats_of_pairs_and_letters():
+    needle = "abacabadabacabae" * 5
+    assert len(similar.hopeful_windows(needle, "ba" * 200, 0.8, 13)) == 0  # of its letters and pairs only some, again and again
+    text = "xyz" * 30 + needle[:-3] + "q" * 30
+    at = similar.hopeful_windows(needle, text, 0.8, 13)
+    width = len(needle) + 13
+    want = [i for i in range(0, len(text) - len(needle) + 1, 13) if difflib.SequenceMatcher(None, needle, text[i : i + width]).ratio() >= 0.8]
+    assert want and set(want) <= set(at.tolist())
+    at_once, similar.CELLS = similar.CELLS, 1  # a window at a time
+    try:
+        assert similar.hopeful_windows(needle, text, 0.8, 13).tolist() == at.tolist()
+    finally:
+        similar.CELLS = at_once
