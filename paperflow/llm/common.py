@@ -15,6 +15,7 @@ from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +67,32 @@ def released() -> None:
         trim(0)
 
 
+def trimmed(spark: SparkSession) -> bool:
+    """Gives memory that the C library keeps for the driver's JVM back to the system: planning and compiling many queries leaves it in
+    the arenas of hundreds of threads. Takes some 10 ms; false on a JVM without that command, which keeps it. Called by reflection, as
+    Python doesn't reach the class behind the bean server."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def listed(kind, *items):
+        out = array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    of = jvm.java.lang.Class.forName
+    kinds = listed(jvm.java.lang.Class, of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;"))
+    command = listed(jvm.java.lang.Object, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+    try:
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def fetched(spark: SparkSession) -> None:
-    """Gives back what a fetch has left on the heap of the driver's JVM, before a model is fitted beside it."""
+    """Gives back what a fetch has left on the heap of the driver's JVM and beside it, before a model is fitted beside it."""
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
 
 
 def tidy(run: Callable[[Iterator[T]], Iterator[pa.RecordBatch | pa.Array]]) -> Callable[[Iterator[T]], Iterator[pa.RecordBatch | pa.Array]]:
@@ -87,11 +111,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors, knows its size.
-    Its place is kept in the attribute scratch_path, for dropped(); options are the writer's."""
+    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors, knows its size. The
+    driver gives back what planning it has left. Its place is kept in the attribute scratch_path, for dropped(); options are the writer's."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
+    trimmed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -110,7 +135,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    trimmed(df.sparkSession)
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -964,3 +964,15 @@ def test_words_of_latin_letters_never_meet_the_whole_tokenizer(monkeypatch):
     monkeypatch.setattr(words, "_whole", lambda w: asked.extend(w) or whole(w))
     assert [list(x) for x in words(texts)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert asked == []
+
+
+def test_the_driver_gives_memory_back_after_each_table(spark, monkeypatch):
+    jvm, given = spark._jvm, []
+    mbeans = str(jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getSpecVersion())
+    assert common.trimmed(spark) or int(mbeans.split(".")[0]) < 17  # the command came with 17
+    monkeypatch.setattr(common, "trimmed", lambda s: given.append(s) or True)
+    table = common.written(spark.range(5), "five")
+    assert common.checkpointed(table).count() == 5 and len(given) == 2
+    common.fetched(spark)
+    common.dropped(table)
+    assert len(given) == 3
