@@ -889,6 +889,49 @@ def test_equal_scores_across_shards_are_ranked_by_id(spark):
     assert got == list(enumerate([None, 1, 2, 4, 5, 7], 1))
 
 
+def test_search_multiplies_common_terms(monkeypatch):
+    """Documents of two languages and all lengths, copies among them, whatever the tiles: rows as of plain loops, equal scores for equal
+    documents, and most of what a pair shares multiplied, not added posting by posting."""
+    rng = np.random.default_rng(5)
+    texts = [rng.zipf(1.3, int(rng.integers(0, 120))) % 300 + 1000 * (i % 3 > 1) for i in range(300)]
+    texts += [texts[i] for i in range(0, 60)]
+    words = [x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in texts]
+    bags = [collections.Counter(w.view(np.int64).tolist()) for w in words]
+    df, mean = collections.Counter(w for b in bags for w in b), np.mean([len(x) for x in texts])
+    idf = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    asked = [(q, w, n * idf[w]) for q in range(0, 300, 2) for w, n in bags[q].items()]
+    for group, dense, head, piece in ((1024, 0.0025, 2048, 1 << 17), (16, 0.02, 5, 64), (64, 0.0, 7, 1), (32, 2.0, 9, 50)):
+        for name, value in (("GROUP", group), ("GROUPS", 40), ("DENSE", dense), ("HEAD", head), ("PIECE", piece), ("RESCORED", 3)):
+            monkeypatch.setattr(search, name, value)
+        best = search.Best(search.Queries(*(np.array(x) for x in zip(*asked, strict=True))), 10)
+        for lo in range(0, len(texts), 120):
+            own = range(lo, min(lo + 120, len(texts)))
+            row = search.shard_row(lo, np.array(own), np.concatenate([words[i] for i in own]), np.array([len(words[i]) for i in own], np.int32))
+            best.meet(search.Shard(row, best.queries.terms, mean))
+        assert sorted(best.queries.ids.tolist()) == sorted({q for q, *_ in asked}) and (len(best.queries.edges) > 2) == (group < 150)
+        for q, docs, scores in zip(best.queries.ids.tolist(), best.docs, best.scores, strict=True):
+            want = {i: sum(bags[q][w] * idf[w] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * len(texts[i]) / mean)) for w in sorted(bags[q]) if w in b) for i, b in enumerate(bags)}
+            want = sorted(((-s, i) for i, s in want.items() if s > 0))[:10]
+            kept = scores > -np.inf
+            assert np.allclose(scores[kept], [-s for s, _ in want], rtol=1e-12) and docs[kept].tolist() == [i for _, i in want]
+    monkeypatch.undo()
+    added, add = [], np.add.at
+    queries = search.Queries(*(np.array(x) for x in zip(*asked, strict=True)))
+    shard = search.Shard(search.shard_row(0, np.arange(len(texts)), np.concatenate(words), np.array([len(x) for x in texts], np.int32)), queries.terms, mean)
+    monkeypatch.setattr(search.np, "add", type("", (), {"at": lambda a, i, b: (added.append(len(i)), add(a, i, b))}))
+    search.Best(queries, 10).meet(shard)
+    assert sum(added) < 0.1 * sum(df[w] for _, w, _ in asked)
+
+
+def test_search_without_queries_or_words():
+    queries = search.Queries(*(np.zeros(0, x) for x in (int, int, float)))
+    row = search.shard_row(0, np.arange(3), np.zeros(0, np.uint64), np.zeros(3, np.int32))
+    search.Best(queries, 10).meet(search.Shard(row, queries.terms, 1.0))
+    some = search.Best(search.Queries(np.array([1]), np.array([7]), np.array([1.0])), 10)
+    some.meet(search.Shard(row, some.queries.terms, 1.0))
+    assert not (some.scores > -np.inf).any()
+
+
 def test_search_odd(spark, odd):
     got = search.similar_documents(odd, every=1)
     assert {r.query_id for r in got.collect()} <= {5, 6, 7, 8, 9}
