@@ -70,8 +70,20 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
 
 def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The n places from each start, one after the other."""
-    ends = n.cumsum()
-    return (lo - ends + n).repeat(n) + np.arange(ends[-1] if len(ends) else 0)
+    out = (lo - n.cumsum() + n).repeat(n)
+    out += np.arange(len(out))
+    return out
+
+
+def _paired(number: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whole numbers and values, of 32 bits each, side by side, so that both are fetched at once."""
+    out = np.empty((len(number), 2), np.int32)
+    out[:, 0], out[:, 1] = number, value.astype(np.float32).view(np.int32)
+    return out.view(np.int64).ravel()
+
+
+def _parted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2]
 
 
 def alike(owner: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,14 +235,14 @@ class Queries:
         self.first = np.searchsorted(owner[order], np.arange(len(ids) + 1))
 
     def by_term(self) -> list[tuple[np.ndarray, ...]]:
-        """Of each group: its terms, where the queries that have each begin, those queries (places in the group) and their weights."""
+        """Of each group: its terms, where the queries that have each begin, and those queries (places in the group) with their weights."""
         out = []
         for lo, hi in itertools.pairwise(self.edges):
             own = slice(self.first[lo], self.first[hi])
             order = np.argsort(self.term[own], kind="stable")
             terms, owner = self.term[own][order], np.arange(hi - lo).repeat(np.diff(self.first[lo : hi + 1]))
             starts = np.flatnonzero(np.diff(terms, prepend=-1))
-            out.append((terms[starts], np.append(starts, len(order)), owner[order], self.weight[own][order].astype(np.float32)))
+            out.append((terms[starts], np.append(starts, len(order)), _paired(owner[order], self.weight[own][order])))
         return out
 
 
@@ -253,16 +265,16 @@ class Shard:
         group = np.arange(len(groups)).repeat(np.diff(self.edges))[doc]
         self.count = np.bincount(term * np.int64(len(groups)) + group, minlength=len(found) * len(groups))
         start = self.count.cumsum() - self.count
-        self.count, self.start = (np.ascontiguousarray(x.reshape(len(found), len(groups)).T) for x in (self.count, start))
-        self.inside, self.impact32 = doc - self.edges[group], impact.astype(np.float32)
+        self.count, self.start = (np.array(x.reshape(len(found), len(groups)).T, np.int32, order="C") for x in (self.count, start))
+        self.pairs = _paired(doc - self.edges[group], impact)
         order = np.argsort(doc.astype(np.uint16) if self.n <= 1 << 16 else doc, kind="stable")  # terms ascend within a document
         self.of_doc = np.append(0, np.bincount(doc, minlength=self.n).cumsum())
         self.term, self.impact = term[order], impact[order]
 
     def tile(self, g: int, terms: tuple[np.ndarray, ...], size: int) -> np.ndarray | None:
         """Scores in 32 bits of the documents of group g for size queries, of which terms has the terms found here: their places, where
-        and how many their queries are, these queries and their weights. None if they share no term."""
-        place, begin, many, owner, weight = terms
+        and how many their queries are, and these queries with their weights. None if they share no term."""
+        place, begin, many, queries = terms
         have = np.flatnonzero(self.count[g][place])
         place, begin, many = place[have], begin[have], many[have]
         if not len(have):
@@ -273,20 +285,19 @@ class Shard:
         head = np.flatnonzero(dense)
         for lo in range(0, len(head), HEAD):
             h = head[lo : lo + HEAD]
-            p, e = _spans(self.start[g][place[h]], n[h]), _spans(begin[h], many[h])
             d, w = np.zeros((len(h), n_docs), np.float32), np.zeros((len(h), size), np.float32)
-            d.ravel()[(np.arange(len(h)) * n_docs).repeat(n[h]) + self.inside[p]] = self.impact32[p]
-            w.ravel()[(np.arange(len(h)) * size).repeat(many[h]) + owner[e]] = weight[e]
+            for to, pairs, lengths in ((d, self.pairs[_spans(self.start[g][place[h]], n[h])], n[h]), (w, queries[_spans(begin[h], many[h])], many[h])):
+                at, value = _parted(pairs)
+                to.ravel()[(np.arange(len(h)) * to.shape[1]).repeat(lengths) + at] = value
             scores += w.T @ d
         rest = np.flatnonzero(~dense)
-        e, each = _spans(begin[rest], many[rest]), n[rest].repeat(many[rest])
-        start, row, w = self.start[g][place[rest]].repeat(many[rest]), owner[e] * n_docs, weight[e]
-        ends = each.cumsum()
-        cells, lo = scores.ravel(), 0
-        while lo < len(e):
+        rows, each = queries[_spans(begin[rest], many[rest])], n[rest].repeat(many[rest])
+        _parted(rows)[0][:] *= n_docs
+        start, ends, cells, lo = self.start[g][place[rest]].repeat(many[rest]), each.cumsum(), scores.ravel(), 0
+        while lo < len(rows):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, "right")))
-            p, c = _spans(start[lo:hi], each[lo:hi]), each[lo:hi]
-            np.add.at(cells, row[lo:hi].repeat(c) + self.inside[p], w[lo:hi].repeat(c) * self.impact32[p])
+            (row, weight), (at, impact) = _parted(rows[lo:hi].repeat(each[lo:hi])), _parted(self.pairs[_spans(start[lo:hi], each[lo:hi])])
+            np.add.at(cells, (row + at).astype(np.intp), weight * impact)
             lo = hi
         return scores
 
@@ -305,11 +316,11 @@ class Best:
 
     def meet(self, shard: Shard) -> None:
         found = []
-        for (lo, hi), (terms, starts, owner, weight) in zip(itertools.pairwise(self.queries.edges), self.groups, strict=True):
+        for (lo, hi), (terms, starts, own) in zip(itertools.pairwise(self.queries.edges), self.groups, strict=True):
             place = shard.place[terms]
             have = np.flatnonzero(place >= 0)
             if len(have):
-                q, doc = self._candidates(shard, (place[have], starts[have], np.diff(starts)[have], owner, weight), lo, hi)
+                q, doc = self._candidates(shard, (place[have], starts[have], np.diff(starts)[have], own), lo, hi)
                 found.append((q + lo, doc))
         if any(len(q) for q, _ in found):
             self._add(shard, *(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -320,7 +331,7 @@ class Best:
         slack = (int(np.diff(self.queries.first[lo : hi + 1]).max()) + 16) * 2.0**-23  # more than twice the rounding error of a score
         least = np.maximum(floors * (1 - slack), np.finfo(np.float32).tiny)
         found = []
-        shared = shard.count[:, parts[0]] @ parts[2]
+        shared = shard.count[:, parts[0]].astype(np.float32) @ parts[2].astype(np.float32)
         for g in np.argsort(-shared, kind="stable"):
             scores = shard.tile(int(g), parts, hi - lo)
             if scores is None:
